@@ -1,4 +1,4 @@
-"""Series held as arrays: scaling, differencing and feedback windows, JVM-side."""
+"""Short arrays: ends of series, differences of them, feedback windows; JVM-side."""
 
 from __future__ import annotations
 
@@ -15,7 +15,11 @@ def difference_once(series: Column, lag: int) -> Column:
 
 
 def difference(series: Column, d: int, seasonal_d: int, period: int) -> Column:
-    """Seasonal differences first, then ordinary ones."""
+    """Seasonal differences first, then ordinary ones.
+
+    Meant for the few values at the end of a series: each order evaluates its
+    input twice. Whole series are differenced by windows or in Python tasks.
+    """
     for _ in range(seasonal_d):
         series = difference_once(series, period)
     for _ in range(d):
@@ -29,10 +33,6 @@ def tail(series: Column, k: int) -> Column:
     return F.slice(series, F.size(series) - k_eff + 1, k_eff)
 
 
-def scaled(series: Column, center: Column, scale: Column) -> Column:
-    return F.transform(series, lambda x: (x - center) / scale)
-
-
 def shift_append(window: Column, value: Column) -> Column:
     """Drop the oldest item and append a new one."""
     return F.concat(F.slice(window, 2, F.size(window) - 1), F.array(value))

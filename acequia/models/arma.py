@@ -138,14 +138,14 @@ def _descend(shape: Shape, params, w, x, start, rounds: int, step=1e-5):
         params[:, live[better]] = trial[:, better]
         best[live[better]] = sse[better]
         damping[live] = np.where(better, damping[live] / 5, damping[live] * 8)
-        settled = np.where(better, gain < 1e-6, (gain > -1e-9) | (damping[live] > 1e3))
+        settled = np.where(better, gain < 1e-5, (gain > -1e-9) | (damping[live] > 1e3))
         live = live[~settled]
         if not len(live):
             break
     return params, best
 
 
-def fit(shape: Shape, w, x, lengths, rounds: int = 25):
+def fit(shape: Shape, w, x, lengths, rounds: int = 15):
     """Best parameters (size, series), their error variance and error count.
 
     ``w`` is right-aligned: series i occupies the last ``lengths[i]`` rows.

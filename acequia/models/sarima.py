@@ -1,8 +1,8 @@
 """SARIMA and SARIMAX over many stations: Spark prepares, spreads and integrates.
 
-Differencing, scaling and undoing both run in the JVM. Python tasks only fit
-or run the recursion, for batches of series spread over all cores. The
-estimator minimises the conditional sum of squares, so coefficients are close
+Spark packs one series per station and target and spreads them over all cores;
+Python tasks fit, or run the recursion, for a batch of series at once; the
+forecast differences are summed back to levels by Spark windows. The estimator minimises the conditional sum of squares, so coefficients are close
 to, but not the same as, exact maximum likelihood ones.
 """
 
@@ -15,12 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acequia.functions.arrays import difference, future_regressor, scaled, tail
+from acequia.functions.arrays import future_regressor
 from acequia.models import arma
 from acequia.models.batches import chunks, isolated, right_aligned
 from acequia.operators.scaling import entry
 from acequia.operators.series import integrate_forecast
-from acequia.schema import DAY, KEY, TrainConfig
+from acequia.schema import KEY, TrainConfig
 from acequia.session import ship_package, task_count
 
 FIT_SCHEMA = (
@@ -33,10 +33,6 @@ PATH_SCHEMA = (
 ORDER_FIELDS = ("p", "d", "q", "P", "D", "Q", "s")
 
 
-def _level(c: str) -> Column:
-    return scaled(F.col(c), entry(c)["center"], entry(c)["scale"])
-
-
 def model_shape(order, seasonal, regressors: int = 0) -> arma.Shape:
     """The seasonal family has a constant, the one with regressors has none."""
     p, _, q = order
@@ -49,55 +45,82 @@ def shortest_series(shape: arma.Shape) -> int:
     return max(seasonal, 4 * shape.size + shape.p + shape.P * shape.s)
 
 
-def target_series(pack: DataFrame, config: TrainConfig, regressors: bool) -> DataFrame:
-    """One row per station and target: differenced scaled series and regressors."""
-    _, d, _ = config.order
-    _, seasonal_d, _, period = config.seasonal
-    diffs = {c: difference(_level(c), d, seasonal_d, period) for c in config.variables}
-    with_diffs = pack.select(KEY, *[v.alias(f"_w_{c}") for c, v in diffs.items()])
+def _per_target(make, variables, others: bool) -> Column:
+    """``make`` of the row's target column, followed by the regressors' if wanted."""
 
     def row(c: str) -> Column:
-        others = [F.col(f"_w_{o}") for o in config.variables if regressors and o != c]
-        x = F.array(*others) if others else F.array().cast("array<array<double>>")
-        return F.struct(F.lit(c).alias("target"), F.col(f"_w_{c}").alias("w"), x.alias("x"))
+        names = [c] + ([o for o in variables if o != c] if others else [])
+        return F.array(*[make(n) for n in names])
+
+    return F.coalesce(*[F.when(F.col("target") == c, row(c)) for c in variables])
+
 
-    return with_diffs.select(
-        KEY, F.explode(F.array(*[row(c) for c in config.variables])).alias("_t")
-    ).select(KEY, "_t.*")
+def _series_columns(variables, others: bool) -> list[Column]:
+    """Level arrays of target and regressors, and their scalers, in one order."""
+    return [
+        _per_target(F.col, variables, others).alias("levels"),
+        _per_target(lambda c: entry(c)["center"], variables, others).alias("centers"),
+        _per_target(lambda c: entry(c)["scale"], variables, others).alias("widths"),
+    ]
+
+
+def target_series(pack: DataFrame, variables, regressors: bool) -> DataFrame:
+    """One row per station and target, with the level arrays a fit needs."""
+    targets = F.explode(F.array(*[F.lit(c) for c in variables])).alias("target")
+    return pack.select(KEY, targets, "scales", *variables).select(
+        KEY, "target", *_series_columns(variables, regressors)
+    )
 
 
-def _regressor_block(pdf: pd.DataFrame, count: int) -> np.ndarray | None:
-    if not count:
-        return None
-    return np.stack([right_aligned([row[j] for row in pdf["x"]])[0] for j in range(count)])
+def scaled_levels(pdf: pd.DataFrame) -> list[list[np.ndarray]]:
+    """Per row the scaled level series: target first, then the regressors."""
+    return [
+        [(np.asarray(x, dtype=float) - c) / s for x, c, s in zip(levels, centers, widths)]
+        for levels, centers, widths in zip(pdf["levels"], pdf["centers"], pdf["widths"])
+    ]
 
 
-def _fit_tasks(shape: arma.Shape, needed: int):
+def differenced(series: np.ndarray, d: int, seasonal_d: int, period: int) -> np.ndarray:
+    for _ in range(seasonal_d):
+        series = series[period:] - series[:-period]
+    return np.diff(series, d)
+
+
+def _blocks(rows: list[list[np.ndarray]], d: int, seasonal_d: int, period: int):
+    """Right-aligned differenced target block, regressor blocks or None, lengths."""
+    diffs = [[differenced(x, d, seasonal_d, period) for x in row] for row in rows]
+    w, lengths = right_aligned([row[0] for row in diffs])
+    if not np.isfinite(w).all():
+        raise ValueError("series has gaps")
+    count = len(diffs[0]) - 1
+    x = [right_aligned([row[j + 1] for row in diffs])[0] for j in range(count)]
+    return w, np.stack(x) if x else None, lengths
+
+
+def _fit_tasks(shape: arma.Shape, d: int, seasonal_d: int):
+    lost_days = d + seasonal_d * shape.s
+    needed = shortest_series(shape) + lost_days
+
     def failed(pdf: pd.DataFrame, message: str) -> pd.DataFrame:
         out = pdf[["station", "target"]].copy()
-        out["coef"], out["sigma2"], out["n"] = None, np.nan, pdf["w"].map(len)
-        out["error"] = message
+        out["coef"], out["sigma2"], out["error"] = None, np.nan, message
+        out["n"] = pdf["levels"].map(lambda x: len(x[0]))
         return out
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, lengths = right_aligned(list(pdf["w"]))
-        if not np.isfinite(w).all():
-            raise ValueError("series has gaps")
-        params, sigma2, used = arma.fit(shape, w, _regressor_block(pdf, shape.r), lengths)
+        w, x, lengths = _blocks(scaled_levels(pdf), d, seasonal_d, shape.s)
+        params, sigma2, used = arma.fit(shape, w, x, lengths)
         out = pdf[["station", "target"]].copy()
         out["coef"], out["sigma2"], out["n"] = list(params.T), sigma2, used
         out["error"] = None
-        lost = ~np.isfinite(sigma2)
-        out.loc[lost, "error"] = "fit did not converge"
+        out.loc[~np.isfinite(sigma2), "error"] = "fit did not converge"
         return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in chunks(frames):
-            short = pdf["w"].map(len) < needed
+            short = pdf["levels"].map(lambda x: len(x[0])) < needed
             if short.any():
-                yield failed(
-                    pdf[short], f"series too short: at least {needed} differenced days needed"
-                )
+                yield failed(pdf[short], f"series too short: at least {needed} days needed")
             if not short.all():
                 yield from isolated(pdf[~short].reset_index(drop=True), work, failed)
 
@@ -113,12 +136,12 @@ def fit(pack: DataFrame, config: TrainConfig, family: str) -> DataFrame:
     ship_package(pack.sparkSession)
     regressors = len(config.variables) - 1 if family == "sarimax" else 0
     shape = model_shape(config.order, config.seasonal, regressors)
-    rows = target_series(pack, config, regressors > 0).repartition(
+    rows = target_series(pack, config.variables, regressors > 0).repartition(
         task_count(pack.sparkSession), KEY, "target"
     )
-    fitted = rows.mapInPandas(_fit_tasks(shape, shortest_series(shape)), FIT_SCHEMA)
     p, d, q = config.order
     P, D, Q, s = config.seasonal
+    fitted = rows.mapInPandas(_fit_tasks(shape, d, D), FIT_SCHEMA)
     settings = dict(zip(ORDER_FIELDS, (p, d, q, P, D, Q, s)))
     settings["variables"] = ",".join(config.variables)
     params = F.create_map(*[F.lit(str(x)) for kv in settings.items() for x in kv])
@@ -137,32 +160,36 @@ def fit(pack: DataFrame, config: TrainConfig, family: str) -> DataFrame:
     )
 
 
-def _forecast_tasks(shape: arma.Shape, horizon: int):
-    carried = ["station", "target", "last_day", "center", "scale"]
+def _forecast_tasks(shape: arma.Shape, d: int, seasonal_d: int, horizon: int):
+    reach = d + seasonal_d * shape.s
 
-    def failed(pdf: pd.DataFrame, message: str) -> pd.DataFrame:
-        out = pdf[carried].copy()
-        out["path"], out["shift"], out["tail"], out["error"] = None, None, None, message
+    def emit(pdf: pd.DataFrame, path, shift, tail, message) -> pd.DataFrame:
+        out = pdf[["station", "target", "last_day"]].copy()
+        out["center"] = pdf["centers"].map(lambda c: c[0])
+        out["scale"] = pdf["widths"].map(lambda c: c[0])
+        out["path"], out["shift"], out["tail"], out["error"] = path, shift, tail, message
         return out
 
+    def failed(pdf: pd.DataFrame, message: str) -> pd.DataFrame:
+        return emit(pdf, None, None, None, message)
+
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         params = np.stack(list(pdf["coef"])).T
-        w, lengths = right_aligned(list(pdf["w"]))
-        x = _regressor_block(pdf, shape.r)
+        rows = scaled_levels(pdf)
+        w, x, lengths = _blocks(rows, d, seasonal_d, shape.s)
         path = arma.forecast(shape, params, w, x, lengths, horizon)
         if not np.isfinite(path).all():
             raise ValueError("forecast is not finite")
-        out = pdf[carried].copy()
-        out["path"] = list(path.T)
-        level_tail = [np.asarray(t, dtype=float) for t in pdf["tail"]]
-        shift = np.zeros((len(pdf), horizon))
-        if shape.r:
-            beta = params[int(shape.const) : shape.first].T
-            for i in range(len(pdf)):
-                level_tail[i] = level_tail[i] - beta[i] @ np.stack(list(pdf["x_tail"][i]))
-                shift[i] = beta[i] @ np.stack(list(pdf["x_future"][i]))
-        out["shift"], out["tail"], out["error"] = list(shift), level_tail, None
-        return out
+        betas = params[int(shape.const) : shape.first].T
+        tails, shifts = [], []
+        for beta, row, future, centers, widths in zip(
+            betas, rows, pdf["future"], pdf["centers"], pdf["widths"]
+        ):
+            last = np.stack([x[len(x) - reach :] for x in row])
+            tails.append(last[0] - beta @ last[1:])
+            ahead = (np.stack(list(future)) - centers[:, None]) / widths[:, None]
+            shifts.append(beta @ ahead[1:])
+        return emit(pdf, list(path.T), shifts, tails, None)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in chunks(frames):
@@ -189,45 +216,23 @@ def forecast(
     ship_package(models.sparkSession)
     _, d, _ = order
     _, seasonal_d, _, period = seasonal
-    reach = d + seasonal_d * period
     regressors = len(variables) - 1 if family == "sarimax" else 0
     shape = model_shape(order, seasonal, regressors)
-
     joined = models.select(KEY, "target", "coef", "scales").join(
         history.select(KEY, "last_day", *variables), KEY
     )
-    levels = joined.select(
-        KEY,
-        "target",
-        "coef",
-        "last_day",
-        entry(F.col("target"))["center"].alias("center"),
-        entry(F.col("target"))["scale"].alias("scale"),
-        *[_level(c).alias(c) for c in variables],
+    future = _per_target(
+        lambda c: future_regressor(F.col(c), horizon, policy), variables, regressors > 0
     )
-
-    def of_target(make) -> Column:
-        return F.coalesce(*[F.when(F.col("target") == c, make(c)) for c in variables])
-
-    def others(make) -> Column:
-        if not regressors:
-            return F.array().cast("array<array<double>>")
-        return of_target(lambda c: F.array(*[make(o) for o in variables if o != c]))
-
-    ready = levels.select(
+    ready = joined.select(
         KEY,
         "target",
         "coef",
         "last_day",
-        "center",
-        "scale",
-        of_target(lambda c: difference(F.col(c), d, seasonal_d, period)).alias("w"),
-        others(lambda o: difference(F.col(o), d, seasonal_d, period)).alias("x"),
-        of_target(lambda c: tail(F.col(c), reach)).alias("tail"),
-        others(lambda o: tail(F.col(o), reach)).alias("x_tail"),
-        others(lambda o: future_regressor(F.col(o), horizon, policy)).alias("x_future"),
+        *_series_columns(variables, regressors > 0),
+        future.alias("future"),
     ).repartition(task_count(models.sparkSession), KEY, "target")
-    paths = ready.mapInPandas(_forecast_tasks(shape, horizon), PATH_SCHEMA)
+    paths = ready.mapInPandas(_forecast_tasks(shape, d, seasonal_d, horizon), PATH_SCHEMA)
     good = paths.filter(F.col("error").isNull())
     steps = good.select(
         KEY,

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acequia.functions.arrays import scaled, tail
+from acequia.functions.arrays import tail
 from acequia.models import linear
 from acequia.models.batches import chunks, isolated
 from acequia.operators.scaling import entry
@@ -32,8 +32,23 @@ SOLVE_SCHEMA = (
 PATH_SCHEMA = "station bigint, last_day date, target string, path array<double>, error string"
 
 
-def _level(c: str, scales: str) -> Column:
-    return scaled(F.col(c), entry(c, scales)["center"], entry(c, scales)["scale"])
+def _scalers(columns, scales: str | None) -> list[Column]:
+    """Centers and scales of the variables as two arrays; neutral without ``scales``."""
+    if scales is None:
+        return [
+            F.array(*[F.lit(0.0) for _ in columns]).alias("centers"),
+            F.array(*[F.lit(1.0) for _ in columns]).alias("widths"),
+        ]
+    return [
+        F.array(*[entry(c, scales)["center"] for c in columns]).alias("centers"),
+        F.array(*[entry(c, scales)["scale"] for c in columns]).alias("widths"),
+    ]
+
+
+def _scaled_block(row, columns) -> np.ndarray:
+    """(days, variables) of one row's arrays."""
+    block = np.column_stack([row[c] for c in columns]).astype(float)
+    return (block - row["centers"]) / row["widths"]
 
 
 def lag_blocks(
@@ -42,13 +57,19 @@ def lag_blocks(
     """Overlapping slices: block b predicts rows [b*days + lags, (b+1)*days + lags)."""
     last = F.ceil((F.col("n") - lags) / F.lit(days)).cast("int") - 1
     levels = pack.filter(F.col("n") > lags).select(
-        KEY, "n", *[(_level(c, scales) if scales else F.col(c)).alias(c) for c in columns]
+        KEY, "n", *columns, *_scalers(columns, scales)
     )
     return levels.select(
-        KEY, F.explode(F.sequence(F.lit(0), last)).alias("block"), *columns
+        KEY,
+        F.explode(F.sequence(F.lit(0), last)).alias("block"),
+        *columns,
+        "centers",
+        "widths",
     ).select(
         KEY,
         "block",
+        "centers",
+        "widths",
         *[F.slice(c, F.col("block") * days + 1, days + lags).alias(c) for c in columns],
     )
 
@@ -60,10 +81,10 @@ def moments(blocks: DataFrame, columns, lags: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in chunks(frames, 64):
             grams, heads, counts = [], [], []
-            for i in range(len(pdf)):
-                block = np.column_stack([pdf[c][i] for c in columns]).astype(float)
+            for row in pdf.to_dict("records"):
+                block = _scaled_block(row, columns)
                 grams.append(linear.upper(linear.cross_products(block, lags)))
-                heads.append(block[:lags].ravel() if pdf["block"][i] == 0 else None)
+                heads.append(block[:lags].ravel() if row["block"] == 0 else None)
                 counts.append(len(block) - lags)
             out = pdf[["station", "block"]].copy()
             out["n"], out["gram"], out["head"] = counts, grams, heads
@@ -104,7 +125,7 @@ def _solve_tasks(k: int, lags: int, ic: str | None, ridge: float):
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, row in pdf.iterrows():
+        for row in pdf.to_dict("records"):
             gram = linear.symmetric(np.sum(np.stack(list(row["grams"])), axis=0), size)
             if not np.isfinite(gram).all():
                 raise ValueError("series has gaps")
@@ -251,10 +272,8 @@ def _forecast_tasks(columns: list[str], horizon: int):
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         p = int(pdf["p"].iloc[0])
         coef = np.stack([np.reshape(c, (1 + k * p, k)) for c in pdf["coef"]])
-        state = np.stack(
-            [np.column_stack([row[c][-p:] if p else [] for c in columns]).reshape(p, k)
-             for _, row in pdf.iterrows()]
-        ).astype(float)
+        blocks = [_scaled_block(row, columns) for row in pdf.to_dict("records")]
+        state = np.stack([b[len(b) - p :] for b in blocks])
         path = linear.recurse(coef, state, horizon)
         if not np.isfinite(path).all():
             raise ValueError("forecast is not finite")
@@ -280,11 +299,13 @@ def forecast(
     joined = models.select(
         KEY, F.col("params")["p"].cast("int").alias("p"), "coef", "scales"
     ).join(
-        history.select(KEY, "last_day", *[tail(F.col(c), longest).alias(c) for c in columns]),
+        history.select(
+            KEY, "last_day", *[tail(F.col(c), max(longest, 1)).alias(c) for c in columns]
+        ),
         KEY,
     )
     state = joined.select(
-        KEY, "p", "coef", "last_day", *[_level(c, "scales").alias(c) for c in columns]
+        KEY, "p", "coef", "last_day", *columns, *_scalers(columns, "scales")
     ).repartition(task_count(models.sparkSession), KEY)
     paths = state.mapInPandas(_forecast_tasks(columns, horizon), PATH_SCHEMA)
     by_target = models.select(KEY, F.explode("scales").alias("target", "_p"))

@@ -32,9 +32,23 @@ def history_pack(df: DataFrame, columns=VARIABLES) -> DataFrame:
 
 
 def _settings(models: DataFrame) -> list:
-    """Distinct settings among the models: one row per training configuration."""
-    fields = [F.col("params")[f].alias(f) for f in (*ORDER_FIELDS, "variables")]
-    return models.select("model_type", *fields).distinct().collect()
+    """Distinct settings among the models: one row per training configuration.
+
+    Autoregressions of any order run together, so only their longest order counts.
+    """
+    orders = [F.col("params")[f].alias(f) for f in ORDER_FIELDS if f != "p"]
+    autoregressive = F.col("model_type").isin("var", "window")
+    p = F.col("params")["p"].cast("int")
+    return (
+        models.groupBy(
+            "model_type",
+            F.col("params")["variables"].alias("variables"),
+            F.when(~autoregressive, p).alias("p"),
+            *orders,
+        )
+        .agg(F.max(p).alias("longest"))
+        .collect()
+    )
 
 
 def predict_all(
@@ -64,14 +78,12 @@ def predict_all(
             order = tuple(int(setting[f]) for f in ("p", "d", "q"))
             seasonal = tuple(int(setting[f]) for f in ("P", "D", "Q", "s"))
             for field in ORDER_FIELDS:
-                chosen = chosen.filter(F.col("params")[field] == setting[field])
+                chosen = chosen.filter(F.col("params")[field] == str(setting[field]))
             part = sarima.forecast(
                 chosen, history, order, seasonal, variables, horizon, family, policy
             )
         else:
-            p = setting["p"]
-            chosen = chosen.filter(F.col("params")["p"] == p)
-            part = var.forecast(chosen, history, variables, horizon, int(p))
+            part = var.forecast(chosen, history, variables, horizon, setting["longest"])
         parts.append(part.withColumn("model", F.lit(family)))
     if not parts:
         raise ValueError("no trained models of the chosen types")

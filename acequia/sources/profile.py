@@ -14,7 +14,7 @@ def recommended(rows: Column) -> Column:
 
 
 def profile_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, size, columns, rows, recommended) for every CSV below ``folder``.
+    """(folder, name, size, columns, rows, recommended) for every CSV below ``folder``.
 
     The extension counts in any case. A large file is counted by many tasks;
     only its line count and its first line are merged. Within a file, the line
@@ -41,6 +41,7 @@ def profile_files(spark: SparkSession, folder: str) -> DataFrame:
             F.min_by("value", "line").alias("header"),
         )
         .select(
+            F.element_at(F.split("path", "/"), -2).alias("folder"),
             "name",
             "size",
             F.split(F.regexp_replace("header", "^\\uFEFF", ""), ",").alias("columns"),
