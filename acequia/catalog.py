@@ -8,7 +8,7 @@ of a sum are rounded to some decimals. Radiation is reported in MJ.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acequia.functions import agronomy, naming
@@ -17,7 +17,7 @@ from acequia.models import ar, sarima, var
 from acequia.operators import calendar, reports, scaling, series
 from acequia.plans.predict import forecast_irrigation, history_pack, horizon_days, predict_all
 from acequia.plans.train import train_all, training_pack
-from acequia.schema import DAY, KEY, SPANISH_NAMES, VARIABLES, TrainConfig
+from acequia.schema import DAY, KEY, SCALER_KINDS, SPANISH_NAMES, VARIABLES, TrainConfig
 from acequia.session import materialize, scratch_path
 from acequia.sources import climate_csv, export, irrigation_log, profile, registry
 from acequia.sources.tables import climate, irrigation_log_text, table
@@ -316,7 +316,12 @@ def forecast_gaps(spark, sf_dir):
 def scale_apply(spark, sf_dir):
     rows = gap_free(spark, sf_dir)
     scaled = scaling.apply_scales(rows, scaling.fit_scales(rows))
-    return scaled.select(KEY, DAY, *[r(c, 4).alias(c) for c in VARIABLES])
+
+    def shown(c: str) -> Column:
+        # quartiles are exact, so only a last-digit difference near zero is rounded away
+        return r(r(c, 9)) if SCALER_KINDS[c] == "robust" else r(c, 4)
+
+    return scaled.select(KEY, DAY, *[shown(c).alias(c) for c in VARIABLES])
 
 
 def scale_inverse(spark, sf_dir):
@@ -370,7 +375,9 @@ def var_gram(spark, sf_dir):
     pack, config = _whole_pack(spark, sf_dir)
     partial = var.moments(var.lag_blocks(pack, config.variables, 1), config.variables, 1)
     rows = var.gram_entries(partial, config.variables, 1)
-    return rows.withColumn("value", r("value", 3))
+    constant = (F.col("term_a") == "const") & (F.col("term_b") == "const")
+    n = F.max(F.when(constant, F.col("value"))).over(Window.partitionBy(KEY))
+    return rows.withColumn("n", n.cast("bigint")).withColumn("value", r(F.col("value") / n, 6))
 
 
 # --- windows and sequences ------------------------------------------------

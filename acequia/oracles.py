@@ -226,7 +226,8 @@ def _gram() -> str:
     )
     gram = f"gram as (select station, {sums} from lagged where rh_lag1 is not null group by station)"
     rows = " union all ".join(
-        f"select station, '{a}' as term_a, '{b}' as term_b, round(g{i}_{j}, 3) as value from gram"
+        f"select station, '{a}' as term_a, '{b}' as term_b, cast(g0_0 as bigint) as n, "
+        f"round(g{i}_{j} / g0_0, 6) as value from gram"
         for i, a in enumerate(GRAM_TERMS)
         for j, b in enumerate(GRAM_TERMS)
         if j >= i
@@ -404,7 +405,15 @@ ORACLES = {
     ),
     "scale_apply": _on_filled(
         "select w.station, w.day, {} from whole w join scales s using (station)".format(
-            ", ".join(f"round(({v} - c_{v}) / s_{v}, 4) as {v}" for v in VARS)
+            ", ".join(
+                (
+                    _single(f"round(({v} - c_{v}) / s_{v}, 9)")
+                    if v in ROBUST
+                    else f"round(({v} - c_{v}) / s_{v}, 4)"
+                )
+                + f" as {v}"
+                for v in VARS
+            )
         ),
         WHOLE,
         _scales("whole"),
