@@ -50,7 +50,7 @@ def completed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gap_free(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return completed(spark, sf_dir).dropna(subset=list(VARIABLES))
+    return calendar.whole_series(climate(spark, sf_dir))
 
 
 def daily_irrigation(spark: SparkSession, sf_dir: str) -> DataFrame:

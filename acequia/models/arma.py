@@ -78,22 +78,44 @@ def residuals(shape: Shape, params, w, x, start):
         e[lag:] += weight * u[:-lag]
     skip = shape.p + shape.P * shape.s
     e[np.arange(len(w))[:, None] < start + skip] = 0.0
-    moving = lag_weights(theta, stheta, shape.s, 1.0)
-    scratch = np.empty(w.shape[1])
-    for t in range(int(start.min()) + skip, len(w)):
-        row = e[t]
-        for lag, weight in moving.items():
-            if t >= lag:
-                np.multiply(weight, e[t - lag], out=scratch)
-                row -= scratch
+    _filter_moving(e, lag_weights(theta, stheta, shape.s, 1.0), int(start.min()) + skip, shape)
     return e
 
 
+def _filter_moving(e, moving, first: int, shape: Shape) -> None:
+    """Subtract the moving-average terms in place, from row ``first`` on.
+
+    Lags of a season or more only look at rows before the current season, so
+    they are applied to a season of rows at once; short lags go row by row.
+    """
+    span = shape.s if shape.Q else len(e)
+    near = [(lag, weight) for lag, weight in moving.items() if lag < span]
+    far = [(lag, weight) for lag, weight in moving.items() if lag >= span]
+    scratch = np.empty(e.shape[1])
+    for at in range(first, len(e), span):
+        to = min(at + span, len(e))
+        for lag, weight in far:
+            begin = max(at, lag)
+            if begin < to:
+                e[begin:to] -= weight * e[begin - lag : to - lag]
+        for t in range(at, to):
+            for lag, weight in near:
+                if t >= lag:
+                    np.multiply(weight, e[t - lag], out=scratch)
+                    e[t] -= scratch
+
+
 def _sse(e):
     total = np.einsum("tn,tn->n", e, e)
     return np.where(np.isfinite(total), total, np.inf)
 
 
+def _products(jac):
+    """Per series the matrix of products of derivatives, summed over time."""
+    by_series = np.ascontiguousarray(jac.transpose(2, 1, 0))
+    return by_series @ by_series.transpose(0, 2, 1)
+
+
 def _bounded(shape: Shape, params):
     params[shape.first :] = np.clip(params[shape.first :], -BOUND, BOUND)
     return params
@@ -123,11 +145,11 @@ def _descend(shape: Shape, params, w, x, start, rounds: int, step=1e-5):
             np.tile(s_l, k + 1),
         ).reshape(len(w), k + 1, m)
         e = errors[:, k]
-        jac = np.nan_to_num(
-            ((errors[:, :k] - e[:, None]) / step).transpose(2, 1, 0), posinf=0.0, neginf=0.0
-        )
-        normal = jac @ jac.transpose(0, 2, 1)
-        grad = jac @ np.nan_to_num(e, posinf=0.0, neginf=0.0).T[:, :, None]
+        jac = (errors[:, :k] - e[:, None]) / step
+        normal = _products(jac)
+        grad = np.einsum("tin,tn->ni", jac, e)[:, :, None]
+        broken = ~(np.isfinite(normal).all((1, 2)) & np.isfinite(grad).all((1, 2)))
+        normal[broken], grad[broken] = np.eye(k), 0.0
         diagonal = np.einsum("nkk->nk", normal)
         normal[:, np.arange(k), np.arange(k)] += damping[live, None] * (diagonal + 1e-9)
         delta = np.linalg.solve(normal, grad)[..., 0].T

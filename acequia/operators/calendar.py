@@ -7,6 +7,9 @@ the raw table. Each operator needs one exchange by station and one sort.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,19 +100,33 @@ def interpolate_time(df: DataFrame, columns=VARIABLES) -> DataFrame:
     )
 
 
-def complete_series(df: DataFrame, columns=VARIABLES) -> DataFrame:
+def complete_series(df: DataFrame, columns=VARIABLES, flag: str | None = None) -> DataFrame:
     """``interpolate_time(calendar_grid(df))`` in one window over the observed rows.
 
     Neighbours are found before the empty days are generated, so only observed
-    rows are exchanged and sorted.
+    rows are exchanged and sorted. ``flag`` names an added column that tells
+    whether a day has all variables; it is known before the days are generated.
     """
     observed = _with_neighbours(
         df.filter(F.col(DAY).isNotNull()).select(KEY, DAY, *columns), columns
     ).withColumn("_until", _last_day_before_next())
     carried = [f"_{side}_{c}" for c in columns for side in ("p", "n")]
+    kept = [KEY]
+    if flag:
+        known = reduce(and_, [F.col(f"_p_{c}").isNotNull() for c in columns])
+        observed, kept = observed.withColumn(flag, known), [KEY, flag]
     return observed.select(
-        KEY, F.explode(F.sequence(DAY, "_until")).alias(DAY), *carried
-    ).select(KEY, DAY, *[_linear(c).alias(c) for c in columns])
+        *kept, F.explode(F.sequence(DAY, "_until")).alias(DAY), *carried
+    ).select(KEY, DAY, *kept[1:], *[_linear(c).alias(c) for c in columns])
+
+
+def whole_series(df: DataFrame, columns=VARIABLES) -> DataFrame:
+    """Completed series from each station's first day with all variables.
+
+    Only leading days can lack a reading, so what remains has no gaps. The
+    test is made on observed rows, before the calendar days are generated.
+    """
+    return complete_series(df, columns, "_whole").filter("_whole").drop("_whole")
 
 
 def future_days(df: DataFrame, horizon: Column, last_day: str = "last_day") -> DataFrame:

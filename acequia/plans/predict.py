@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from acequia.functions.agronomy import DEFAULT, with_irrigation
 from acequia.models import sarima, var
 from acequia.models.sarima import ORDER_FIELDS
-from acequia.operators.calendar import complete_series
+from acequia.operators.calendar import whole_series
 from acequia.operators.reports import irrigation_totals, unify_forecasts
 from acequia.operators.series import pack_series
 from acequia.schema import DAY, DEFAULT_HORIZON, KEY, MAX_HORIZON, VARIABLES, CropParams
@@ -27,8 +27,7 @@ def horizon_days(requested: int = DEFAULT_HORIZON) -> int:
 
 def history_pack(df: DataFrame, columns=VARIABLES) -> DataFrame:
     """Completed series of each station as arrays, from its first complete day on."""
-    rows = complete_series(df, columns).dropna(subset=list(columns))
-    return pack_series(rows, columns)
+    return pack_series(whole_series(df, columns), columns)
 
 
 def _settings(models: DataFrame) -> list:

@@ -23,11 +23,8 @@ def training_pack(df: DataFrame, config: TrainConfig) -> DataFrame:
     with empty arrays, so that it ends as an error row and not as a silent loss.
     """
     columns = list(config.variables)
-    labelled = label_split(complete_series(df, columns), config.test_size)
-    usable = F.col("split") == "train"
-    for c in columns:
-        usable = usable & F.col(c).isNotNull()
-    train = labelled.withColumn("_use", usable).withColumns(
+    labelled = label_split(complete_series(df, columns, "_whole"), config.test_size)
+    train = labelled.withColumn("_use", F.col("_whole") & (F.col("split") == "train")).withColumns(
         {c: F.when(F.col("_use"), F.col(c)) for c in columns}
     )
     row = F.when(F.col("_use"), F.struct(DAY, *columns))
