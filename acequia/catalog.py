@@ -405,22 +405,22 @@ def split_bounds(spark, sf_dir):
     return bounds.withColumn("train_pct", r("train_pct", 4))
 
 
-def sliding_sequences(spark, sf_dir):
-    """Every window of 30 days, with sums weighted by position to pin down its order."""
-    rows = series.sliding_sequences(gap_free(spark, sf_dir))
+SEQUENCE_PROBES = (1, 6, 12, 18, 24, 30)
 
-    def weighted(c: str) -> Column:
-        items = F.transform("sequence", lambda x, i: x[c] * (i + 1))
-        return F.aggregate(items, F.lit(0.0), lambda a, x: a + x)
 
+def sliding_sequences(spark, sf_dir):
+    """Every window of 30 days and the day after it; the window shown at six positions."""
+    rows = series.sliding_sequences(gap_free(spark, sf_dir))
     return rows.select(
         KEY,
         DAY,
         F.size("sequence").cast("bigint").alias("length"),
         r("temp_c").alias("target_temp_c"),
-        r(F.element_at("sequence", 1)["temp_c"]).alias("oldest_temp_c"),
-        r(F.element_at("sequence", -1)["temp_c"]).alias("newest_temp_c"),
-        *[r(weighted(c)).alias(f"weighted_{c}") for c in ("temp_c", "rh", "wind_ms")],
+        *[
+            r(F.col("sequence")[i - 1][c]).alias(f"{c}_{i}")
+            for c in ("temp_c", "rh", "wind_ms")
+            for i in SEQUENCE_PROBES
+        ],
     )
 
 

@@ -37,16 +37,3 @@ def shift_append(window: Column, value: Column) -> Column:
     """Drop the oldest item and append a new one."""
     return F.concat(F.slice(window, 2, F.size(window) - 1), F.array(value))
 
-
-def future_regressor(series: Column, horizon: int, policy: str = "hold") -> Column:
-    """Regressor values for the forecast steps, as an array.
-
-    'hold' repeats the last value. 'head' takes the first ``horizon`` values of
-    the history, and repeats the last value where the history is shorter.
-    """
-    held = F.array_repeat(F.element_at(series, -1), horizon)
-    if policy == "hold":
-        return held
-    if policy == "head":
-        return F.when(F.size(series) >= horizon, F.slice(series, 1, horizon)).otherwise(held)
-    raise ValueError(f"unknown exog policy {policy!r}")

@@ -13,7 +13,7 @@ Residuals before the first full set of autoregressive lags are zero.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -167,17 +167,40 @@ def _descend(shape: Shape, params, w, x, start, rounds: int, step=1e-5):
     return params, best
 
 
+def _plain_regression(w, x):
+    """Least-squares weights (r, series) of each series on its regressors."""
+    normal = np.einsum("rtn,qtn->nrq", x, x)
+    size = x.shape[0]
+    normal[:, range(size), range(size)] += 1e-9 * (1.0 + np.einsum("nrr->nr", normal))
+    return np.linalg.solve(normal, np.einsum("rtn,tn->nr", x, w)[..., None])[..., 0].T
+
+
 def fit(shape: Shape, w, x, lengths, rounds: int = 15):
     """Best parameters (size, series), their error variance and error count.
 
     ``w`` is right-aligned: series i occupies the last ``lengths[i]`` rows.
     Every series takes a few steps from each start point and goes on from the
-    one that got furthest.
+    one that got furthest. Regressors are held at their plain least-squares
+    weights during those first steps.
     """
-    n = w.shape[1]
+    if shape.r:
+        beta = _plain_regression(w, x)
+        free = replace(shape, r=0)
+        apart = w - np.einsum("rn,rtn->tn", beta, x)
+        params = _first_steps(free, apart, np.asarray(lengths))
+        params = np.insert(params, int(shape.const), beta, axis=0)
+    else:
+        params = _first_steps(shape, w, np.asarray(lengths))
     lengths = np.asarray(lengths)
-    start = len(w) - lengths
-    runs = []
+    with np.errstate(over="ignore", invalid="ignore"):
+        params, sse = _descend(shape, params, w, x, len(w) - lengths, rounds)
+    used = lengths - shape.p - shape.P * shape.s
+    return params, sse / used, used
+
+
+def _first_steps(shape: Shape, w, lengths):
+    """Parameters of the best start point after three steps, per series."""
+    n, start, runs = w.shape[1], len(w) - lengths, []
     with np.errstate(over="ignore", invalid="ignore"):
         for guess in STARTS[: 3 if shape.q or shape.Q else 1]:
             params = np.zeros((shape.size, n))
@@ -186,12 +209,9 @@ def fit(shape: Shape, w, x, lengths, rounds: int = 15):
             if shape.const:
                 phi, _, sphi, _ = shape.split(params)
                 params[0] = w.sum(0) / lengths * (1 - phi.sum(0)) * (1 - sphi.sum(0))
-            runs.append(_descend(shape, params, w, x, start, rounds=3))
-        choice = np.argmin([sse for _, sse in runs], axis=0)
-        params = np.stack([p for p, _ in runs])[choice, :, np.arange(n)].T
-        params, sse = _descend(shape, params, w, x, start, rounds)
-    used = lengths - shape.p - shape.P * shape.s
-    return params, sse / used, used
+            runs.append(_descend(shape, params, w, None, start, rounds=3))
+    choice = np.argmin([sse for _, sse in runs], axis=0)
+    return np.stack([p for p, _ in runs])[choice, :, np.arange(n)].T
 
 
 def forecast(shape: Shape, params, w, x, lengths, horizon: int):

@@ -1,7 +1,7 @@
 """SARIMA and SARIMAX over many stations: Spark prepares, spreads and integrates.
 
-Spark packs one series per station and target and spreads them over all cores;
-Python tasks fit, or run the recursion, for a batch of series at once; the
+Spark packs the series of a station and spreads the stations over all cores;
+Python tasks fit, or run the recursion, for a batch of targets at once; the
 forecast differences are summed back to levels by Spark windows. The estimator minimises the conditional sum of squares, so coefficients are close
 to, but not the same as, exact maximum likelihood ones.
 """
@@ -15,9 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acequia.functions.arrays import future_regressor
 from acequia.models import arma
-from acequia.models.batches import chunks, isolated, right_aligned
+from acequia.models.batches import BATCH, chunks, isolated, right_aligned
 from acequia.operators.scaling import entry
 from acequia.operators.series import integrate_forecast
 from acequia.schema import KEY, TrainConfig
@@ -45,38 +44,23 @@ def shortest_series(shape: arma.Shape) -> int:
     return max(seasonal, 4 * shape.size + shape.p + shape.P * shape.s)
 
 
-def _per_target(make, variables, others: bool) -> Column:
-    """``make`` of the row's target column, followed by the regressors' if wanted."""
-
-    def row(c: str) -> Column:
-        names = [c] + ([o for o in variables if o != c] if others else [])
-        return F.array(*[make(n) for n in names])
-
-    return F.coalesce(*[F.when(F.col("target") == c, row(c)) for c in variables])
-
-
-def _series_columns(variables, others: bool) -> list[Column]:
-    """Level arrays of target and regressors, and their scalers, in one order."""
+def scaler_arrays(variables) -> list[Column]:
+    """Centers and scales of the variables, in their order."""
     return [
-        _per_target(F.col, variables, others).alias("levels"),
-        _per_target(lambda c: entry(c)["center"], variables, others).alias("centers"),
-        _per_target(lambda c: entry(c)["scale"], variables, others).alias("widths"),
+        F.array(*[entry(c)["center"] for c in variables]).alias("centers"),
+        F.array(*[entry(c)["scale"] for c in variables]).alias("widths"),
     ]
 
 
-def target_series(pack: DataFrame, variables, regressors: bool) -> DataFrame:
-    """One row per station and target, with the level arrays a fit needs."""
-    targets = F.explode(F.array(*[F.lit(c) for c in variables])).alias("target")
-    return pack.select(KEY, targets, "scales", *variables).select(
-        KEY, "target", *_series_columns(variables, regressors)
-    )
+def _order(target: str, variables, regressors: int) -> list[str]:
+    return [target] + ([v for v in variables if v != target] if regressors else [])
 
 
-def scaled_levels(pdf: pd.DataFrame) -> list[list[np.ndarray]]:
-    """Per row the scaled level series: target first, then the regressors."""
+def _scaled(record, names, variables, centers, widths) -> list[np.ndarray]:
+    """Scaled level series of one station: target first, then the regressors."""
+    at = [variables.index(n) for n in names]
     return [
-        [(np.asarray(x, dtype=float) - c) / s for x, c, s in zip(levels, centers, widths)]
-        for levels, centers, widths in zip(pdf["levels"], pdf["centers"], pdf["widths"])
+        (np.asarray(record[n], dtype=float) - centers[i]) / widths[i] for n, i in zip(names, at)
     ]
 
 
@@ -86,7 +70,7 @@ def differenced(series: np.ndarray, d: int, seasonal_d: int, period: int) -> np.
     return np.diff(series, d)
 
 
-def _blocks(rows: list[list[np.ndarray]], d: int, seasonal_d: int, period: int):
+def _blocks(rows, d: int, seasonal_d: int, period: int):
     """Right-aligned differenced target block, regressor blocks or None, lengths."""
     diffs = [[differenced(x, d, seasonal_d, period) for x in row] for row in rows]
     w, lengths = right_aligned([row[0] for row in diffs])
@@ -97,7 +81,7 @@ def _blocks(rows: list[list[np.ndarray]], d: int, seasonal_d: int, period: int):
     return w, np.stack(x) if x else None, lengths
 
 
-def _fit_tasks(shape: arma.Shape, d: int, seasonal_d: int):
+def _fit_tasks(shape: arma.Shape, d: int, seasonal_d: int, variables: list[str]):
     lost_days = d + seasonal_d * shape.s
     needed = shortest_series(shape) + lost_days
 
@@ -108,7 +92,7 @@ def _fit_tasks(shape: arma.Shape, d: int, seasonal_d: int):
         return out
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, x, lengths = _blocks(scaled_levels(pdf), d, seasonal_d, shape.s)
+        w, x, lengths = _blocks(pdf["levels"], d, seasonal_d, shape.s)
         params, sigma2, used = arma.fit(shape, w, x, lengths)
         out = pdf[["station", "target"]].copy()
         out["coef"], out["sigma2"], out["n"] = list(params.T), sigma2, used
@@ -117,7 +101,25 @@ def _fit_tasks(shape: arma.Shape, d: int, seasonal_d: int):
         return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in chunks(frames):
+        for stations in chunks(frames, max(BATCH // len(variables), 1)):
+            pdf = pd.DataFrame(
+                [
+                    (
+                        record["station"],
+                        target,
+                        _scaled(
+                            record,
+                            _order(target, variables, shape.r),
+                            variables,
+                            record["centers"],
+                            record["widths"],
+                        ),
+                    )
+                    for record in stations.to_dict("records")
+                    for target in variables
+                ],
+                columns=["station", "target", "levels"],
+            )
             short = pdf["levels"].map(lambda x: len(x[0])) < needed
             if short.any():
                 yield failed(pdf[short], f"series too short: at least {needed} days needed")
@@ -136,12 +138,13 @@ def fit(pack: DataFrame, config: TrainConfig, family: str) -> DataFrame:
     ship_package(pack.sparkSession)
     regressors = len(config.variables) - 1 if family == "sarimax" else 0
     shape = model_shape(config.order, config.seasonal, regressors)
-    rows = target_series(pack, config.variables, regressors > 0).repartition(
-        task_count(pack.sparkSession), KEY, "target"
+    variables = list(config.variables)
+    rows = pack.select(KEY, *variables, *scaler_arrays(variables)).repartition(
+        task_count(pack.sparkSession), KEY
     )
     p, d, q = config.order
     P, D, Q, s = config.seasonal
-    fitted = rows.mapInPandas(_fit_tasks(shape, d, D), FIT_SCHEMA)
+    fitted = rows.mapInPandas(_fit_tasks(shape, d, D, variables), FIT_SCHEMA)
     settings = dict(zip(ORDER_FIELDS, (p, d, q, P, D, Q, s)))
     settings["variables"] = ",".join(config.variables)
     params = F.create_map(*[F.lit(str(x)) for kv in settings.items() for x in kv])
@@ -160,13 +163,20 @@ def fit(pack: DataFrame, config: TrainConfig, family: str) -> DataFrame:
     )
 
 
-def _forecast_tasks(shape: arma.Shape, d: int, seasonal_d: int, horizon: int):
+def _ahead(series: np.ndarray, horizon: int, policy: str) -> np.ndarray:
+    """Regressor values for the forecast steps (see ``exog_future`` for the policies)."""
+    if policy == "head" and len(series) >= horizon:
+        return series[:horizon]
+    return np.full(horizon, series[-1])
+
+
+def _forecast_tasks(
+    shape: arma.Shape, d: int, seasonal_d: int, variables: list[str], horizon: int, policy: str
+):
     reach = d + seasonal_d * shape.s
 
     def emit(pdf: pd.DataFrame, path, shift, tail, message) -> pd.DataFrame:
-        out = pdf[["station", "target", "last_day"]].copy()
-        out["center"] = pdf["centers"].map(lambda c: c[0])
-        out["scale"] = pdf["widths"].map(lambda c: c[0])
+        out = pdf[["station", "target", "last_day", "center", "scale"]].copy()
         out["path"], out["shift"], out["tail"], out["error"] = path, shift, tail, message
         return out
 
@@ -175,24 +185,35 @@ def _forecast_tasks(shape: arma.Shape, d: int, seasonal_d: int, horizon: int):
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         params = np.stack(list(pdf["coef"])).T
-        rows = scaled_levels(pdf)
-        w, x, lengths = _blocks(rows, d, seasonal_d, shape.s)
+        w, x, lengths = _blocks(pdf["levels"], d, seasonal_d, shape.s)
         path = arma.forecast(shape, params, w, x, lengths, horizon)
         if not np.isfinite(path).all():
             raise ValueError("forecast is not finite")
-        betas = params[int(shape.const) : shape.first].T
         tails, shifts = [], []
-        for beta, row, future, centers, widths in zip(
-            betas, rows, pdf["future"], pdf["centers"], pdf["widths"]
-        ):
-            last = np.stack([x[len(x) - reach :] for x in row])
+        for beta, levels in zip(params[int(shape.const) : shape.first].T, pdf["levels"]):
+            last = np.stack([s[len(s) - reach :] for s in levels])
+            future = np.array([_ahead(s, horizon, policy) for s in levels[1:]])
             tails.append(last[0] - beta @ last[1:])
-            ahead = (np.stack(list(future)) - centers[:, None]) / widths[:, None]
-            shifts.append(beta @ ahead[1:])
+            shifts.append(beta @ future if len(beta) else np.zeros(horizon))
         return emit(pdf, list(path.T), shifts, tails, None)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in chunks(frames):
+        for stations in chunks(frames, max(BATCH // len(variables), 1)):
+            rows = []
+            for record in stations.to_dict("records"):
+                for model in record["models"]:
+                    target, at = model["target"], variables.index(model["target"])
+                    centers, widths = model["centers"], model["widths"]
+                    names = _order(target, variables, shape.r)
+                    levels = _scaled(record, names, variables, centers, widths)
+                    rows.append(
+                        (record["station"], target, record["last_day"], centers[at], widths[at],
+                         model["coef"], levels)
+                    )
+            pdf = pd.DataFrame(
+                rows,
+                columns=["station", "target", "last_day", "center", "scale", "coef", "levels"],
+            )
             yield from isolated(pdf, work, failed)
 
     return run
@@ -211,28 +232,24 @@ def forecast(
     """Forecast rows (station, target, last_day, step, value, error), unscaled.
 
     ``models`` are registry rows of one family and one order; ``history`` is a
-    pack whose last day the forecast starts after.
+    pack whose last day the forecast starts after. A station's models (one per
+    variable) travel together with its series.
     """
     ship_package(models.sparkSession)
     _, d, _ = order
     _, seasonal_d, _, period = seasonal
     regressors = len(variables) - 1 if family == "sarimax" else 0
     shape = model_shape(order, seasonal, regressors)
-    joined = models.select(KEY, "target", "coef", "scales").join(
-        history.select(KEY, "last_day", *variables), KEY
-    )
-    future = _per_target(
-        lambda c: future_regressor(F.col(c), horizon, policy), variables, regressors > 0
+    if policy not in ("hold", "head"):
+        raise ValueError(f"unknown exog policy {policy!r}")
+    variables = list(variables)
+    model = F.struct("target", "coef", *scaler_arrays(variables))
+    by_station = models.groupBy(KEY).agg(F.collect_list(model).alias("models"))
+    ready = by_station.join(history.select(KEY, "last_day", *variables), KEY).repartition(
+        task_count(models.sparkSession), KEY
     )
-    ready = joined.select(
-        KEY,
-        "target",
-        "coef",
-        "last_day",
-        *_series_columns(variables, regressors > 0),
-        future.alias("future"),
-    ).repartition(task_count(models.sparkSession), KEY, "target")
-    paths = ready.mapInPandas(_forecast_tasks(shape, d, seasonal_d, horizon), PATH_SCHEMA)
+    tasks = _forecast_tasks(shape, d, seasonal_d, variables, horizon, policy)
+    paths = ready.mapInPandas(tasks, PATH_SCHEMA)
     good = paths.filter(F.col("error").isNull())
     steps = good.select(
         KEY,

@@ -221,7 +221,7 @@ def exog_future(df: DataFrame, columns, horizon: int, policy: str = "hold") -> D
     return head.unionByName(tiled)
 
 
-def pack_series(df: DataFrame, columns=VARIABLES, extra=()) -> DataFrame:
+def pack_series(df: DataFrame, columns=VARIABLES) -> DataFrame:
     """One row per station: first and last day, length, and an array per column.
 
     The array is bounded by the calendar span because the series has one row
@@ -236,7 +236,6 @@ def pack_series(df: DataFrame, columns=VARIABLES, extra=()) -> DataFrame:
             F.max(DAY).alias("last_day"),
             F.count(F.lit(1)).alias("n"),
             row,
-            *extra,
         )
         .withColumns({c: F.col(f"_rows.{c}") for c in columns})
         .drop("_rows")

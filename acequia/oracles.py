@@ -293,17 +293,15 @@ def _normal_equations() -> str:
 
 
 def _sequences() -> str:
-    weighted = ", ".join(
-        _single(" + ".join(["0e0", *[f"lag({v}, {31 - i}) over w * {i}" for i in range(1, 31)]]))
-        + f" as weighted_{v}"
-        for v in ("temp_c", "rh", "wind_ms")
+    shown = [f"{v}_{i}" for v in ("temp_c", "rh", "wind_ms") for i in (1, 6, 12, 18, 24, 30)]
+    lags = ", ".join(
+        _single(f"lag({name.rsplit('_', 1)[0]}, {31 - int(name.rsplit('_', 1)[1])}) over w")
+        + f" as {name}"
+        for name in shown
     )
     return _on_filled(
-        f"""select station, day, cast(30 as bigint) as length, target_temp_c, oldest_temp_c,
-    newest_temp_c, weighted_temp_c, weighted_rh, weighted_wind_ms
-  from (select station, day, row_number() over w as rn, {_single("temp_c")} as target_temp_c,
-      {_single("lag(temp_c, 30) over w")} as oldest_temp_c,
-      {_single("lag(temp_c, 1) over w")} as newest_temp_c, {weighted}
+        f"""select station, day, cast(30 as bigint) as length, target_temp_c, {", ".join(shown)}
+  from (select station, day, row_number() over w as rn, {_single("temp_c")} as target_temp_c, {lags}
     from whole window w as (partition by station order by day))
   where rn > 30""",
         WHOLE,
