@@ -32,14 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session (one machine, as in tests) may fall back to a
     temporary folder; on a cluster a missing setting is an error.
     """
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if folder:
-        return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="acequia-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
-        return folder
-    raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
