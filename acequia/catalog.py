@@ -659,6 +659,93 @@ def _forecast(family, **settings):
     return run
 
 
+# Orders for which the estimators reduce to regressions that SQL can express.
+PLAIN_AR = {"order": (1, 1, 0), "seasonal": (0, 0, 0, 1), "test_size": 0}
+PLAIN_REGRESSION = {"order": (0, 1, 0), "seasonal": (0, 0, 0, 1), "test_size": 0}
+
+
+def _forecast_rows(spark, sf_dir, config: TrainConfig, digits: int):
+    rows = climate(spark, sf_dir)
+    models = materialize(train_all(rows, config), "models")
+    out = predict_all(models, history_pack(rows, config.variables), HORIZON)
+    return out.select(
+        "model",
+        KEY,
+        "variable",
+        DAY,
+        F.col("step").cast("bigint").alias("step"),
+        r(by_unit("value"), digits).alias("value"),
+    )
+
+
+def sarima_plain_fit(spark, sf_dir):
+    """The seasonal-model fit at order (1,1,0): one lag and a constant, scaled data."""
+    models = train_all(climate(spark, sf_dir), TrainConfig(families=("sarima",), **PLAIN_AR))
+    width = F.col("scales")[F.col("target")]["scale"]
+    return models.select(
+        KEY,
+        F.col("target").alias("variable"),
+        "n",
+        r(F.col("coef")[1], 4).alias("phi"),
+        r(
+            F.col("coef")[0] * width / F.when(F.col("target") == "rad_j", 1e6).otherwise(1.0), 4
+        ).alias("intercept"),
+        r(F.col("sigma2") * width * width / F.when(F.col("target") == "rad_j", 1e12).otherwise(1.0), 4)
+        .alias("variance"),
+    )
+
+
+def sarima_plain_forecast(spark, sf_dir):
+    return _forecast_rows(spark, sf_dir, TrainConfig(families=("sarima",), **PLAIN_AR), 4)
+
+
+def sarimax_plain_fit(spark, sf_dir):
+    """Differenced target on one differenced regressor, no constant."""
+    config = TrainConfig(families=("sarimax",), variables=("temp_c", "rh"), **PLAIN_REGRESSION)
+    models = train_all(climate(spark, sf_dir), config)
+    other = F.when(F.col("target") == "rh", F.lit("temp_c")).otherwise(F.lit("rh"))
+    ratio = F.col("scales")[F.col("target")]["scale"] / F.col("scales")[other]["scale"]
+    return models.select(
+        KEY,
+        F.col("target").alias("variable"),
+        "n",
+        r(F.col("coef")[0] * ratio, 4).alias("slope"),
+    )
+
+
+def sarimax_plain_forecast(spark, sf_dir):
+    """Without ARMA terms and with regressors held, the last level is the forecast."""
+    config = TrainConfig(families=("sarimax",), variables=("temp_c", "rh"), **PLAIN_REGRESSION)
+    return _forecast_rows(spark, sf_dir, config, 4)
+
+
+ONE_VARIABLE = {"variables": ("temp_c",), "test_size": 0}
+
+
+def var_single_selection(spark, sf_dir):
+    """Order 0 against order 1 for one variable."""
+    pack, config = _whole_pack(spark, sf_dir, variables=("temp_c",), maxlags=1)
+    rows = var.lag_selection(var.fit_orders(pack, config))
+    return rows.select(
+        KEY,
+        F.col("p").cast("bigint").alias("p"),
+        *[r(c, 5).alias(c) for c in ("aic", "bic", "hqic", "fpe")],
+        "chosen",
+    )
+
+
+def var_single_forecast(spark, sf_dir):
+    return _forecast_rows(
+        spark, sf_dir, TrainConfig(families=("var",), maxlags=1, **ONE_VARIABLE), 4
+    )
+
+
+def window_single_forecast(spark, sf_dir):
+    return _forecast_rows(
+        spark, sf_dir, TrainConfig(families=("window",), window=1, **ONE_VARIABLE), 4
+    )
+
+
 def _trained(spark, sf_dir) -> tuple[str, DataFrame]:
     """All families trained on the train part and saved; the registry and the history."""
     rows = climate(spark, sf_dir)
@@ -760,6 +847,13 @@ QUERIES = {
     "sarima_ar_fit": sarima_ar_fit,
     "sarima_ar_forecast": sarima_ar_forecast,
     "exog_regression": exog_regression,
+    "sarima_plain_fit": sarima_plain_fit,
+    "sarima_plain_forecast": sarima_plain_forecast,
+    "sarimax_plain_fit": sarimax_plain_fit,
+    "sarimax_plain_forecast": sarimax_plain_forecast,
+    "var_single_selection": var_single_selection,
+    "var_single_forecast": var_single_forecast,
+    "window_single_forecast": window_single_forecast,
     "sarima_fit": _fit("sarima"),
     "sarima_forecast": _forecast("sarima"),
     "sarimax_fit": _fit("sarimax"),

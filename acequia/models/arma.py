@@ -124,9 +124,11 @@ def _bounded(shape: Shape, params):
 def _descend(shape: Shape, params, w, x, start, rounds: int, step=1e-5):
     """Damped Gauss-Newton, one damping factor per series.
 
-    A series leaves the batch once its error sum stops falling.
+    A series leaves the batch once its error sum stops falling. Without
+    moving-average terms the problem is (nearly) linear and is solved to the end.
     """
     params = params.copy()
+    tolerance = 1e-5 if shape.q or shape.Q else 1e-13
     k, n = params.shape
     best = _sse(residuals(shape, params, w, x, start))
     damping = np.full(n, 1e-3)
@@ -155,12 +157,13 @@ def _descend(shape: Shape, params, w, x, start, rounds: int, step=1e-5):
         delta = np.linalg.solve(normal, grad)[..., 0].T
         trial = _bounded(shape, here - delta)
         sse = _sse(residuals(shape, trial, w_l, x_l, s_l))
-        better = sse < best[live]
+        # near the optimum the error sum cannot tell steps apart that still sharpen them
+        better = sse <= best[live] * (1 + 1e-13)
         gain = (best[live] - sse) / np.maximum(best[live], 1e-300)
         params[:, live[better]] = trial[:, better]
         best[live[better]] = sse[better]
         damping[live] = np.where(better, damping[live] / 5, damping[live] * 8)
-        settled = np.where(better, gain < 1e-5, (gain > -1e-9) | (damping[live] > 1e3))
+        settled = np.where(better, gain < tolerance, (gain > -1e-9) | (damping[live] > 1e3))
         live = live[~settled]
         if not len(live):
             break
@@ -201,6 +204,8 @@ def fit(shape: Shape, w, x, lengths, rounds: int = 15):
 def _first_steps(shape: Shape, w, lengths):
     """Parameters of the best start point after three steps, per series."""
     n, start, runs = w.shape[1], len(w) - lengths, []
+    if not shape.size:
+        return np.zeros((0, n))
     with np.errstate(over="ignore", invalid="ignore"):
         for guess in STARTS[: 3 if shape.q or shape.Q else 1]:
             params = np.zeros((shape.size, n))

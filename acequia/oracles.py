@@ -312,7 +312,88 @@ LOG = """log as (select *, date_trunc('minute', ts) as a, (event_id * 37) % 5400
     case when event_type = 'error' then -value else value end as water from events),
 log2 as (select *, date_trunc('minute', a + to_seconds(seconds)) as b from log)"""
 
+
+
+def _closed_path(model: str, source: str) -> str:
+    """Rows of mean + slope^step * (last - mean) from (station, last_day, last, slope, mean)."""
+    return f"""select '{model}' as model, station, 'temp_c' as variable,
+    last_day + cast(step as integer) as day, cast(step as bigint) as step,
+    round(mean + power(slope, step) * (last - mean), 4) as value
+  from {source} cross join (select unnest(generate_series(1, 45)) as step)"""
+
+
+# one variable: its own series, gap-free from its first reading on
+SINGLE = """single as (select station, day, temp_c as y,
+    lag(temp_c) over (partition by station order by day) as x from filled where temp_c is not null),
+scaled as (select s.station, s.day, (y - m) / w as y, (x - m) / w as x from single s
+  join (select station, avg(y) as m, stddev_pop(y) as w from single group by station)
+  using (station)),
+one as (select station, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept,
+    regr_count(y, x) as t, var_pop(case when x is not null then y end) as v0,
+    var_pop(case when x is not null then y end) * (1e0 - regr_r2(y, x)) as v1
+  from scaled group by station),
+scores as (select station, p, t, p + 1 as free, ln(case p when 0 then v0 else v1 end) as ld
+  from one cross join (select unnest([0, 1]) as p)),
+best as (select station, arg_min(p, ld + 2e0 / t * free) as best from scores group by station)"""
+
+VAR_PATH = """plain as (select station, regr_slope(y, x) as b, regr_intercept(y, x) as a,
+    avg(y) as level, arg_max(y, day) as last, max(day) as last_day from single group by station),
+path as (select station, last_day, last, case when best = 1 then b else 0e0 end as slope,
+    case when best = 1 then a / (1e0 - b) else level end as mean
+  from plain join best using (station))"""
+
+RIDGE_PATH = """bounds as (select station, min(y) as lo, max(y) - min(y) as wide from single group by station),
+unit as (select s.station, day, (y - lo) / wide as y, (x - lo) / wide as x from single s
+  join bounds using (station)),
+fit as (select station, covar_pop(y, x) * regr_count(y, x) / (regr_sxx(y, x) + 1e0) as b,
+    avg(case when x is not null then y end) as my, avg(x) as mx,
+    arg_max(y, day) as last, max(day) as last_day from unit group by station),
+path as (select station, last_day, last * wide + lo as last, b as slope,
+    (my - b * mx) / (1e0 - b) * wide + lo as mean from fit join bounds using (station))"""
+
+PAIR = """two as (select station, day, temp_c, rh from filled
+  where temp_c is not null and rh is not null),
+moves as (select station, day, temp_c, rh, temp_c - lag(temp_c) over w as dt, rh - lag(rh) over w as dr
+  from two window w as (partition by station order by day))"""
+
 ORACLES = {
+    "sarima_plain_fit": _on_filled(
+        f"""select a.station, a.variable, a.n, round(phi, 4) as phi,
+    round({BY_UNIT.format(x='intercept').replace('variable', 'a.variable')}, 4) as intercept,
+    round(variance / case when a.variable = 'rad_j' then 1e12 else 1e0 end, 4) as variance
+  from ar a join (select station, variable,
+      (regr_syy(w, b) - coalesce(regr_sxy(w, b) * regr_slope(w, b), 0e0)) / regr_count(w, b) as variance
+    from long group by station, variable) v using (station, variable)""",
+        WHOLE,
+        AR,
+    ),
+    "sarima_plain_forecast": _ar_forecast()
+    .replace("select station, variable, last_day", "select 'sarima' as model, station, variable, last_day", 1),
+    "sarimax_plain_fit": _on_filled(
+        """select station, 'temp_c' as variable, count(dt) as n,
+    round(sum(dt * dr) / sum(dr * dr), 4) as slope from moves group by station
+  union all select station, 'rh', count(dt), round(sum(dt * dr) / sum(dt * dt), 4)
+  from moves group by station""",
+        PAIR,
+    ),
+    "sarimax_plain_forecast": _on_filled(
+        """select 'sarimax' as model, station, variable, last_day + cast(step as integer) as day,
+    cast(step as bigint) as step, round(value, 4) as value
+  from (select station, 'temp_c' as variable, max(day) as last_day, arg_max(temp_c, day) as value
+      from two group by station
+    union all select station, 'rh', max(day), arg_max(rh, day) from two group by station)
+  cross join (select unnest(generate_series(1, 45)) as step)""",
+        PAIR,
+    ),
+    "var_single_selection": _on_filled(
+        """select station, cast(p as bigint) as p, round(ld + 2e0 / t * free, 5) as aic,
+    round(ld + ln(t) / t * free, 5) as bic, round(ld + 2e0 * ln(ln(t)) / t * free, 5) as hqic,
+    round((t + free) / cast(t - free as double) * exp(ld), 5) as fpe, p = best as chosen
+  from scores join best using (station)""",
+        SINGLE,
+    ),
+    "var_single_forecast": _on_filled(_closed_path("var", "path"), SINGLE, VAR_PATH),
+    "window_single_forecast": _on_filled(_closed_path("window", "path"), SINGLE, RIDGE_PATH),
     "csv_roundtrip": _on_climate(f"select station, day, {_round()} from climate"),
     "detect_date_column": _on_climate(
         f"select station, day, 'FECHA_registro' as date_column, {_round()} from climate"
