@@ -23,8 +23,12 @@ def label_split(df: DataFrame, test_size: int) -> DataFrame:
 
     A station with no row left to train on is labelled 'short' throughout.
     """
-    from_end = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc(DAY)))
-    total = F.count(F.lit(1)).over(Window.partitionBy(KEY))
+    backwards = Window.partitionBy(KEY).orderBy(F.desc(DAY))
+    from_end = F.row_number().over(backwards)
+    # the same ordering as the rank, so both share one sort
+    total = F.count(F.lit(1)).over(
+        backwards.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
     return df.withColumn(
         "split",
         F.when(total <= test_size, F.lit("short"))
