@@ -44,7 +44,8 @@ def fit(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(KEY, "variable").agg(
         F.coalesce(F.regr_slope("w", "w_before"), F.lit(0.0)).alias("phi"),
         F.coalesce(
-            F.regr_intercept("w", "w_before"), F.avg(F.when(F.col("w_before").isNotNull(), F.col("w")))
+            F.regr_intercept("w", "w_before"),
+            F.avg(F.when(F.col("w_before").isNotNull(), F.col("w"))),
         ).alias("intercept"),
         F.regr_count("w", "w_before").alias("n"),
         F.max_by("w", DAY).alias("last_w"),
@@ -54,11 +55,17 @@ def fit(pairs: DataFrame) -> DataFrame:
 
 
 def forecast(models: DataFrame, horizon: int) -> DataFrame:
-    """Closed-form path mu + phi^h (w_T - mu), summed back to levels (d = 1)."""
+    """Closed-form path mu + phi^h (w_T - mu), summed back to levels (d = 1).
+
+    At phi = 1 there is no mean to return to: the differences grow by the intercept.
+    """
     mean = F.col("intercept") / (F.lit(1.0) - F.col("phi"))
+    path = F.when(
+        F.col("phi") == 1.0, F.col("last_w") + F.col("intercept") * F.col("step")
+    ).otherwise(mean + F.pow("phi", F.col("step")) * (F.col("last_w") - mean))
     steps = future_days(models, F.lit(horizon)).withColumns(
         {
-            "value": mean + F.pow("phi", F.col("step")) * (F.col("last_w") - mean),
+            "value": path,
             "tail": F.array("last_level"),
         }
     )

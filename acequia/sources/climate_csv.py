@@ -59,8 +59,13 @@ def read_climate_csv(
         .option("nanValue", "NaN")
         .csv(path)
     )
+    # outside ANSI mode an unreadable date would become null and its row be lost
+    problem = F.concat_ws(" ", F.lit("unreadable date"), F.col(DAY))
+    unreadable = F.when(F.col(DAY).isNotNull(), F.raise_error(problem).cast("date"))
     named = canonical_names(
-        raw.withColumnRenamed(date_heading, DAY).withColumn(DAY, F.to_date(DAY, date_format))
+        raw.withColumnRenamed(date_heading, DAY).withColumn(
+            DAY, F.coalesce(F.to_date(DAY, date_format), unreadable)
+        )
     )
     if KEY not in named.columns:
         named = named.withColumn(KEY, F.lit(station).cast("bigint"))

@@ -1,7 +1,7 @@
 """The daily climate table derived from ``lineitem``, and irrigation-log text from ``events``.
 
-The reference data are not available, so each supplier stands for a weather
-station and each ship date for a day. Sums are taken over integers, which makes
+No climate files are at hand, so each supplier stands for a weather station and
+each ship date for a day. Sums are taken over integers, which makes
 every derived value independent of the order rows are added in.
 """
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from acequia.models import ar, arma, linear, sarima, var
 from acequia.operators.scaling import scales_map
 from acequia.operators.series import pack_series
-from acequia.plans.predict import forecast_irrigation, history_pack, predict_all
+from acequia.plans.predict import forecast_irrigation, history_pack, predict_all, publish
 from acequia.plans.train import fit_family, train_all, training_pack
 from acequia.schema import VARIABLES, TrainConfig
 
@@ -290,7 +290,7 @@ def test_constant_series(spark):
     assert all(r["value"] == pytest.approx(5.0) for r in out)
 
 
-def test_forecast_starts_after_history_in_natural_units(spark):
+def test_forecast_starts_after_history_in_natural_units(spark, tmp_path):
     rng = np.random.default_rng(0)
     n = 400
     block = np.column_stack([
@@ -304,6 +304,11 @@ def test_forecast_starts_after_history_in_natural_units(spark):
     assert (out.groupby("model").size() == 365).all()
     assert out.day.min() == START + dt.timedelta(days=n)
     assert out.temp_c.between(-30, 60).all() and out.ET0.notna().all()
+    totals = publish(spark.createDataFrame(out), str(tmp_path / "results"), "csv").collect()
+    assert {r["model"]: r["days"] for r in totals} == {"sarima": 365, "var": 365}
+    assert sorted(p.name for p in (tmp_path / "results").glob("sheet=*")) == [
+        "sheet=SARIMA", "sheet=VAR",
+    ]
 
 
 def test_first_order_by_hand(spark):
@@ -321,6 +326,14 @@ def test_first_order_by_hand(spark):
         assert value == pytest.approx(level)
 
 
+def test_first_order_without_a_mean(spark):
+    """Differences 1, 2, 3, ... have slope one; the path keeps growing."""
+    x = np.cumsum(np.arange(20.0))
+    models = ar.fit(ar.differenced_pairs(table(spark, {1: x[:, None]}, ("rh",)), ("rh",)))
+    got = [r["value"] for r in ar.forecast(models, 3).orderBy("step").collect()]
+    assert got == pytest.approx(list(np.cumsum(np.arange(23.0))[-3:]))
+
+
 def test_no_models(spark):
     df = table(spark, {1: seasonal_climate(100)}, NAMES)
     config = TrainConfig(families=("window",), test_size=99, variables=NAMES)
