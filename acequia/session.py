@@ -27,19 +27,14 @@ def build_session(app: str = "acequia", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as Spark's own settings name it.
 
-    Only a local session (one machine, as in tests) may fall back to a
-    temporary folder; on a cluster a missing setting is an error.
+    ``spark.checkpoint.dir`` if set, else the checkpoint folder of the context,
+    else the warehouse; the scheme of the path, or the cluster's default file
+    system, decides where it lies. The same rule holds on every master.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="acequia-")
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

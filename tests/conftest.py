@@ -9,12 +9,13 @@ from acequia.session import build_session, ship_package  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         app="acequia-tests",
         master="local[8]",
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="8g",
+        spark__checkpoint__dir=f"file://{tmp_path_factory.mktemp('shared')}",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
     )
