@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acequia.llm import chat, decontaminate, language, packing, pii, quality, simhash, toxicity
+from acequia.llm import chat, decontaminate, language, packing, pii, quality, simhash, suffix_dedup, toxicity
 from acequia.session import materialize
 
 TOKENIZER_KEY = "acequia.llm.tokenizer"
@@ -105,6 +105,17 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.predict(docs, model, out="t").select("doc_id", "t.*")
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeated(docs).select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -114,4 +125,5 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
