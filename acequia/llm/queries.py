@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acequia.llm import chat, decontaminate, language, packing, pii, quality, simhash, suffix_dedup, toxicity
+from acequia.llm import (
+    chat,
+    decontaminate,
+    language,
+    licenses,
+    packing,
+    pii,
+    quality,
+    simhash,
+    suffix_dedup,
+    toxicity,
+)
 from acequia.session import materialize
 
 TOKENIZER_KEY = "acequia.llm.tokenizer"
@@ -75,6 +86,19 @@ def op5_simhash(spark, sf_dir):
     )
 
 
+def op6_licenses(spark, sf_dir):
+    """Documents as files ``source/lang/doc_id``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.scan(docs.select(path.alias("path"), "text")).select(
+        F.regexp_extract("path", r"(-?\d+)$", 1).try_cast("long").alias("doc_id"),
+        "path",
+        "license",
+        F.round("score", 9).alias("score"),
+        "evidence",
+    )
+
+
 def op7_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs).select(
@@ -122,6 +146,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
+    "op6_licenses": op6_licenses,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
