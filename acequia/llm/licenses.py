@@ -8,8 +8,9 @@ least that share of the template's length, so the words that may be left out
 (frequent words of prose first) as long as the rest keeps that guarantee are
 left out, and the others are cues. No header above the threshold is missed.
 
-A header takes the template of the largest cosine, a file that of its best
-header. A file is a licence file if it is named like one, or if a header makes
+Every cue line and every run is compared by itself, so prose beside a notice
+does not hide it. A header takes the template of the largest cosine, a file
+that of its best header. A file is a licence file if it is named like one, or if a header makes
 up ``file_share`` of its words; its licence holds for its directory. A file
 without a header of its own inherits from the nearest directory above it.
 
@@ -134,7 +135,7 @@ def candidates(files: DataFrame, path: str, text: str, cues: set[str]) -> DataFr
 
 
 def _headers(found: DataFrame) -> DataFrame:
-    """Runs of cue lines: file, first line, words."""
+    """Cue lines and their runs: file, kind, first line, words."""
     lines = found.where(F.size("lines") > 0).select("path", "hash", "n_words", F.explode("lines").alias("x"))
     # Repeated rows are one file here.
     lines = lines.select("path", "hash", "n_words", "x.line", "x.words").dropDuplicates(["path", "hash", "line"])
@@ -142,7 +143,12 @@ def _headers(found: DataFrame) -> DataFrame:
     gap = F.coalesce(F.col("line") - F.lag("line").over(order) > 2, F.lit(True))
     starts = lines.withColumn("first", F.when(gap, F.col("line")))
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return starts.withColumn("first", F.last("first", ignorenulls=True).over(upto))
+    run = F.last("first", ignorenulls=True).over(upto)
+    both = F.array(
+        F.struct(F.lit("line").alias("kind"), F.col("line").alias("first")),
+        F.struct(F.lit("run").alias("kind"), run.alias("first")),
+    )
+    return starts.withColumn("both", both).select("path", "hash", "n_words", "words", F.inline("both"))
 
 
 def score_headers(found: DataFrame, known: Vocabulary, least: float = LEAST) -> DataFrame:
@@ -150,7 +156,7 @@ def score_headers(found: DataFrame, known: Vocabulary, least: float = LEAST) ->
     spark = found.sparkSession
     weights = spark.createDataFrame(list(known.idf.items()), "word string, idf double")
     vectors = spark.createDataFrame(known.vectors, "template int, license string, word string, weight double")
-    file = ["path", "hash", "n_words", "first"]
+    file = ["path", "hash", "n_words", "kind", "first"]
     words = (
         _headers(found)
         .select(*file, F.explode("words").alias("word"))

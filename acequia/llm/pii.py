@@ -47,8 +47,7 @@ PATTERNS = {
     r"|\d{1,2}/\d{1,2}/\d{4}(?![\d/])|\d{1,2}\.\d{1,2}\.\d{4}(?!\d|\.\d)",
     "ipv4": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
-    "nanp": r"(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)"
-    r"|\+1[2-9]\d{2}[2-9]\d{6}(?!\d)",
+    "nanp": r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+1\d{10}(?!\d)",
     "phone": r"\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)",
     "card": r"\d(?:[ -]?\d){12,18}(?!\d)",
 }
@@ -109,17 +108,20 @@ def _digits(c: Column) -> Column:
     return F.transform(_chars(F.regexp_replace(c, r"\D", "")), _int)
 
 
-def _symbols(value: Column, free: Callable[[Column, Column, Column], Column], kind: str, key: str,
-             tweak: Column | None = None, lowest: Callable[[Column], Column] | None = None,
-             letters: Column | None = None) -> Column:
+def _symbols(
+    value: Column,
+    free: Callable[[Column, Column, Column], Column],
+    kind: str,
+    key: str,
+    tweak: Column | None = None,
+    letters: Column | None = None,
+) -> Column:
     """``value`` with its free characters permuted, each within its own class.
 
     ``free(character, place, all)`` tells which letters and digits take part;
-    ``lowest(place)`` is the least digit allowed there, ``letters`` how many
-    letters of the alphabet are.
+    ``letters`` is how many letters of the alphabet there are.
     """
     tweak = F.lit("") if tweak is None else tweak
-    lowest = lowest or (lambda i: F.lit(0))
     letters = F.lit(26) if letters is None else letters
 
     def with_chars(chars: Column) -> Column:
@@ -128,10 +130,10 @@ def _symbols(value: Column, free: Callable[[Column, Column, Column], Column], ki
         def with_places(at: Column) -> Column:
             def number(i: Column) -> Column:
                 c = F.lower(F.get(chars, i))
-                return F.when(c.rlike("[0-9]"), _int(F.ascii(c) - 48) - lowest(i)).otherwise(_int(F.ascii(c) - 97))
+                return F.when(c.rlike("[0-9]"), _int(F.ascii(c) - 48)).otherwise(_int(F.ascii(c) - 97))
 
             def modulus(i: Column) -> Column:
-                return F.when(F.get(chars, i).rlike("[0-9]"), F.lit(10) - lowest(i)).otherwise(letters)
+                return F.when(F.get(chars, i).rlike("[0-9]"), F.lit(10)).otherwise(letters)
 
             made = feistel(F.transform(at, number), F.transform(at, modulus), kind, tweak, key)
 
@@ -139,7 +141,7 @@ def _symbols(value: Column, free: Callable[[Column, Column, Column], Column], ki
                 def char(c: Column, i: Column) -> Column:
                     n = F.get(new, _int(F.array_position(at, i)) - 1)
                     letter = F.char(n + 97)
-                    written = F.when(c.rlike("[0-9]"), (n + lowest(i)).cast("string")).otherwise(
+                    written = F.when(c.rlike("[0-9]"), n.cast("string")).otherwise(
                         F.when(c.rlike("[A-Z]"), F.upper(letter)).otherwise(letter)
                     )
                     return F.when(F.array_contains(at, i), written).otherwise(c)
@@ -244,23 +246,15 @@ def _ssn(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str, nanp: bool) -> Column:
-    """Digits after the country prefix; area and exchange of a North American number keep starting with 2 to 9."""
-
-    def rank(chars: Column, i: Column) -> Column:
-        """How many digits follow place ``i``."""
-        return F.size(F.filter(F.slice(chars, i + 2, F.size(chars)), lambda c: c.rlike("[0-9]")))
-
+    """Digits after the country prefix; ten in a North American number, else all but the first."""
     if not nanp:
-        # The sign and the first digit stay: the zone.
         return _symbols(value, lambda c, i, _: (i > 1) & c.rlike("[0-9]"), "phone", key, F.substring(value, 1, 2))
 
-    chars = _chars(value)
-
-    def lowest(i: Column) -> Column:
-        after = rank(chars, i)
-        return F.when((after == 9) | (after == 6), F.lit(2)).otherwise(F.lit(0))
+    def free(c: Column, i: Column, chars: Column) -> Column:
+        after = F.size(F.filter(F.slice(chars, i + 2, F.size(chars)), lambda c: c.rlike("[0-9]")))
+        return c.rlike("[0-9]") & (after < 10)
 
-    return _symbols(value, lambda c, i, all: c.rlike("[0-9]") & (rank(all, i) < 10), "nanp", key, lowest=lowest)
+    return _symbols(value, free, "nanp", key)
 
 
 def _date(value: Column, key: str) -> Column:

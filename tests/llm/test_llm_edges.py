@@ -1,0 +1,498 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import random
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from acequia.llm import (
+    chat,
+    components,
+    decontaminate,
+    language,
+    licenses,
+    packing,
+    pii,
+    quality,
+    queries,
+    simhash,
+    suffix_dedup,
+    toxicity,
+)
+
+random.seed(1)
+SYLLABLES = "an be co du el fi go hu is jo ka lu mo na op qu ra su té ü 漢".split()
+
+
+def prose(n):
+    return " ".join("".join(random.choices(SYLLABLES, k=random.randint(1, 4))) for _ in range(n))
+
+
+PASSAGE, LONG = prose(60), prose(40_000)
+ROWS = [
+    (1, f"{prose(80)} {PASSAGE} {prose(30)}", "en"),
+    (2, None, "fr"),
+    (3, "", None),
+    (None, f"{PASSAGE} {prose(20)}", "en"),
+    (4, LONG, "de"),
+    (5, f"{prose(40)}\n{PASSAGE}\n{prose(9)}", "en"),
+    (5, f"{prose(40)}\n{PASSAGE}", None),
+    (6, " \t\n ", "es"),
+    (7, LONG, "de"),
+    (8, "x", "en"),
+    (9, f"{PASSAGE} {PASSAGE}", "en"),
+    (9, f"{PASSAGE} {PASSAGE}", "en"),
+    (10, "A\0b <turn user> </turn> \\ $%& | ☃ 𝔘", "fr"),
+]
+ROWS += [(i, prose(120), "en" if i % 2 else "de") for i in range(11, 30)]
+#: Columns that operators might use themselves.
+CLASH = (
+    "fp id part bucket rank row_key row_rank contamination hits language pii parts toxicity quality"
+    " license path hash label_id bad component root text_hash kept n_words f l p t c group words"
+).split()
+SCHEMA = "doc_id long, text string, lang string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    frame = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+    return frame.withColumns({c: F.lit("clash") for c in CLASH}).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def got(frame, *names):
+    return sorted((tuple(r[n] for n in names) for r in frame.collect()), key=repr)
+
+
+def want(rows):
+    return sorted(rows, key=repr)
+
+
+# --- pseudonyms -------------------------------------------------------------
+
+VALUES = {
+    "mail jo.doe99@mail6.example.com.": "jo.doe99@mail6.example.com",
+    "call +1 (606) 555-8093 now": "+1 (606) 555-8093",
+    "card 4153 7406 4059 1891": None,  # wrong check digit
+    "card 4111 1111 1111 1111": "4111 1111 1111 1111",
+    "ip 94.157.49.240 end": "94.157.49.240",
+    "no ip 999.1.1.1 end": None,
+    "iban GB82 WEST 1234 5698 7654 32 x": "GB82 WEST 1234 5698 7654 32",
+    "iban GB83 WEST 1234 5698 7654 32 x": None,
+    "ssn 123-45-6789": "123-45-6789",
+    "ssn 000-12-3456": None,
+    "born 1984-02-29.": "1984-02-29",
+    "born 2023-02-30.": None,
+    "password=e3b3ed3cc8548923d6 x": "e3b3ed3cc8548923d6",
+}
+
+
+def test_pii_values(spark):
+    rows = spark.createDataFrame(list(enumerate(VALUES)), "id long, text string")
+    for r in pii.pseudonymise(rows, "k").collect():
+        value, new = VALUES[r["text"]], r["pii"]["text"]
+        assert len(new) == len(r["text"])  # holds for all but octets
+        if value is None:
+            assert new == r["text"] and r["pii"]["n_replaced"] == 0
+        else:
+            start, end = r["text"].split(value)
+            assert new.startswith(start) and value not in new
+            if not value[0].isdigit() or "." not in value[:4]:
+                assert new.endswith(end)
+
+
+def test_pii_links_equal_values_and_validates_again(spark):
+    texts = [
+        "4111 1111 1111 1111 and 4111111111111111 and 4111-1111-1111-1111",
+        "29/02/1984 29.2.1984 1984-02-29 1984/02/29 02/29/1984",
+        "A.b@ex.org a.B@EX.org",
+        "GB82 WEST 1234 5698 7654 32 or GB82WEST12345698765432",
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    found = {r["id"]: r["pii"]["text"] for r in pii.pseudonymise(rows, "k").collect()}
+    cards = {"".join(c for c in x if c.isdigit()) for x in found[0].split(" and ")}
+    assert len(cards) == 1 and cards != {"4111111111111111"}
+    d = found[1].split(" ")
+    one, two, three, four, five = (x.replace("/", "-").replace(".", "-").split("-") for x in d)
+    assert three == four == one[::-1] and [int(x) for x in two] == [int(x) for x in one]
+    assert five == [one[1], one[0], one[2]]
+    assert found[2].split(" ")[0].lower() == found[2].split(" ")[1].lower()
+    assert found[3].split(" or ")[0].replace(" ", "") == found[3].split(" or ")[1]
+    again = spark.createDataFrame([(0, found[0]), (1, found[3])], "id long, text string")
+    assert all(r["pii"]["n_replaced"] == r["pii"]["n_found"] > 0 for r in pii.pseudonymise(again, "k").collect())
+    other = {r["id"]: r["pii"]["text"] for r in pii.pseudonymise(rows, "another").collect()}
+    assert all(other[i] != found[i] for i in found)
+
+
+def test_feistel_is_a_permutation(spark):
+    pairs = spark.range(7 * 12).select(
+        F.array((F.col("id") % 7).cast("int"), F.floor(F.col("id") / 7).cast("int")).alias("v")
+    )
+    made = pairs.select(pii.feistel(F.col("v"), F.array(F.lit(7), F.lit(12)), "t", F.lit(""), "k").alias("n"))
+    assert sorted(tuple(r["n"]) for r in made.collect()) == [(a, b) for a in range(7) for b in range(12)]
+
+
+def test_pii_edges(docs, empty):
+    made = pii.pseudonymised(docs, "k")
+    assert made.columns == docs.columns
+    assert got(made, "doc_id", "text") == want((i, t) for i, t, _ in ROWS)
+    assert pii.pseudonymised(empty, "k").count() == 0
+    name = pii.pseudonymise(docs, "k").columns[-1]
+    assert name == "_pii"
+
+
+# --- packing ----------------------------------------------------------------
+
+
+def test_packing_edges(spark, docs, empty):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file(spark)
+    encoder = Tokenizer.from_file(path)
+    single = docs.where("doc_id is null or doc_id not in (5, 9)")
+    pieces = packing.pack_documents(single, path, open_windows=2, merge_tasks=2)
+    rows = [r.asDict() for r in pieces.collect()]
+    given = [(i, t) for i, t, _ in ROWS if i not in (5, 9)]
+    brute.check_packing(rows, given, lambda t: encoder.encode(t, add_special_tokens=False).ids)
+    whole = packing.sequences(pieces).collect()
+    assert sum(r["n_ids"] for r in whole) == sum(r["length"] for r in rows)
+    for r in whole:
+        assert len(r["ids"]) == 4 * (r["n_ids"] + r["n_pad"])
+        assert r["n_ids"] & (r["n_ids"] - 1) == 0 or r["n_ids"] + r["n_pad"] == 1024
+    repeated = packing.pack_documents(docs.where("doc_id in (5, 9)"), path, with_ids=False).collect()
+    assert sum(r["start"] == 0 for r in repeated) == 4
+    assert packing.pack_documents(empty, path).count() == 0
+
+
+def test_windows_keep_their_bound_and_lose_nothing():
+    windows, placed = packing.Windows(100, 3), 0
+    done = []
+    for n in [60, 70, 80, 50, 30, 20, 100, 1, 99, 45, 55, 40] * 5:
+        windows.place(n, (n,))
+        placed += n
+        assert len(windows.held) <= 3
+        done += windows.emitted()
+    done += windows.held.values()
+    sums = [sum(p[0] for p in w) for w in done]
+    assert sum(sums) == placed and max(sums) <= 100
+
+
+def test_encoder_equals_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file(spark)
+    fast, plain = packing.Encoder(path), Tokenizer.from_file(path)
+    assert fast.fast is not None
+    odd = ["", " ", "a ", " a", "a  b", "a\n b", "x <|endoftext|> y", "\0abc", "don't \t x　 y", "\n", "I'd x's 1,2"]
+    for text in [*odd, "a" * 5000, " " * 5000, LONG[:5000]]:
+        assert fast.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+# --- chat -------------------------------------------------------------------
+
+TURNS = [
+    (1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, "assistant", "</turn>\n<turn user>\n\\"),
+    (2, None, "user", "first"), (2, 0, None, "no role"), (2, 0, "assistant", "b"), (2, 0, "assistant", "a"),
+    (None, 0, "assistant", "lost"), (3, 0, "a\nb>\\ <turn", "\n"), (3, 1, "assistant", "☃𝔘é" * 3),
+    (4, 0, "user", LONG), (4, 1, "assistant", LONG), (5, 0, "user", "x"), (5, 0, "user", "x"),
+]
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_chat_edges(spark, partitions):
+    turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
+    turns = turns.withColumns({c: F.lit(0) for c in ("part", "chunk", "conv", "formatted")})
+    chunks = chat.format_conversations(turns, partitions=partitions)
+    found = chat.conversation_digests(chunks)
+    expected = []
+    order = sorted(TURNS, key=lambda t: (t[0] is not None, t[0], t[1] is not None, t[1] or 0, t[2] or "", t[3] or ""))
+    for conv in dict.fromkeys(t[0] for t in order):
+        expected.append((conv, *brute.conversation([(t[2], t[3]) for t in order if t[0] == conv])))
+    names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+    assert got(found, *names) == want(expected)
+
+
+def test_chat_empty(spark):
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.conversation_digests(chat.format_conversations(turns)).count() == 0
+
+
+def test_one_conversation_with_all_rows(spark):
+    rows = [(7, i, "assistant" if i % 2 else "user", f"turn {i} \\ </turn>") for i in range(3000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    chunks = chat.format_conversations(turns, partitions=6).cache()
+    assert chunks.select("part").distinct().count() > 3  # one conversation, several tasks
+    names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+    assert got(chat.conversation_digests(chunks), *names) == [(7, *brute.conversation([r[2:] for r in rows]))]
+
+
+# --- decontamination --------------------------------------------------------
+
+
+@pytest.mark.parametrize("block_chars", [decontaminate.BLOCK_CHARS, 400])
+def test_decontamination_edges(spark, docs, empty, block_chars):
+    items = [(1, PASSAGE), (2, None), (3, ""), (4, "x"), (1, PASSAGE), (5, PASSAGE.upper()), (6, ". , !")]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1))
+    found = decontaminate.find_contamination(docs, bench, block_chars=block_chars)
+    assert found.columns == [*docs.columns, "_contamination"]
+    c = found.select(
+        "doc_id", "_contamination.n_words", "_contamination.n_hit", "_contamination.n_items",
+        F.sha2(F.array_join("_contamination.items", ","), 256).alias("digest"), "_contamination.contaminated",
+    )
+    assert got(c, *c.columns) == want((i, *brute.contamination(t, items)) for i, t, _ in ROWS)
+    for r in found.select("text", "_contamination.spans").collect():
+        for a, b in r["spans"]:
+            words = brute.bench_words(r["text"].encode()[a:b].decode())
+            assert brute.lower(" ".join(words)) in " ".join(brute.bench_words(f"{PASSAGE} {PASSAGE} x"))
+    clean = decontaminate.keep_clean(docs, bench)
+    assert clean.columns == docs.columns
+    assert clean.count() == sum(not brute.contamination(t, items)[-1] for _, t, _ in ROWS)
+    assert decontaminate.keep_clean(empty, bench).count() == 0
+    assert decontaminate.keep_clean(docs, bench.limit(0)).count() == len(ROWS)
+
+
+# --- SimHash ----------------------------------------------------------------
+
+
+def test_simhash_edges(docs, empty):
+    ids, prints = [r[0] for r in ROWS], [brute.fingerprint(r[1]) for r in ROWS]
+    low = brute.components(ids, prints)
+    found = simhash.near_duplicates(docs).select(
+        "id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fp"), "component"
+    )
+    assert got(found, "id", "fp", "component") == want(
+        (i, f"{p:016x}", c) for i, p, c in zip(ids, prints, low, strict=True)
+    )
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == len(set(brute.groups(prints)))
+    assert {r["doc_id"] for r in kept.where("doc_id is not null").collect()} == {c for c in low if c is not None}
+    assert simhash.keep_first(empty).count() == 0
+
+
+@pytest.mark.parametrize("distance", [0, 1, 2, 3, 4, 5])
+def test_links_are_those_of_brute_force(spark, distance):
+    rng = np.random.default_rng(distance)
+    centres = rng.integers(-(2**63), 2**63 - 1, 8)
+    prints = {0, -1}
+    for c in centres.tolist():
+        for _ in range(40):
+            x = c & (2**64 - 1)
+            for bit in rng.choice(64, rng.integers(0, 4), replace=False).tolist():
+                x ^= 1 << bit
+            prints.add(x - (1 << 64) if x >> 63 else x)
+    prints = sorted(prints)
+    frame = spark.createDataFrame([(p,) for p in prints], "fp long")
+    found = {tuple(sorted((r["a"], r["b"]))) for r in simhash.links(frame, distance).collect()}
+    expected = {
+        (a, b)
+        for i, a in enumerate(prints)
+        for b in prints[i + 1 :]
+        if ((a ^ b) & (2**64 - 1)).bit_count() <= distance
+    }
+    assert found == expected
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    chain = [(i, i + 1) for i in range(100, 160)]
+    star = [(1000, 1000 + i) for i in range(1, 300)]
+    mixed = [(rng.randrange(5000, 5200), rng.randrange(5000, 5200)) for _ in range(120)]
+    edges = [*chain, *star, *mixed, (7, 7), (160, 99)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    frame = spark.createDataFrame(edges, "a long, b long")
+    found = {r["node"]: r["root"] for r in components.connected_components(frame).collect()}
+    assert found == {x: find(x) for x in root if x != find(x)}
+
+
+# --- licences ---------------------------------------------------------------
+
+
+def test_license_scan(spark, empty):
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    header = "\n".join(
+        ['# Licensed under the Apache License, Version 2.0 (the "License");', "# you may not use this file except",
+         "# in compliance with the License. You may obtain", "# a copy of the License at",
+         "# http://www.apache.org/licenses/LICENSE-2.0", "", prose(200)]
+    )
+    files = [
+        ("a/LICENSE", mit), ("a/b/x.py", prose(50)), ("a/b/y.py", header), ("a/b/c/LICENSE.txt", apache),
+        ("a/b/c/d/z.py", prose(9)), ("q/z.py", prose(9)), ("LICENCE", None), (None, mit), ("e", ""),
+        ("a/b/x.py", f"{prose(30)}\n{mit}\n{prose(30)}"), ("a/b/x.py", f"{prose(5)}"), ("a/b/x.py", None),
+        ("w/n.txt", mit + "\n" + prose(3)), ("w/m.txt", prose(99)),
+    ]
+    frame = spark.createDataFrame(files, "path string, text string").withColumn("license", F.lit("clash"))
+    found = sorted(
+        ((r["path"], r["license"], r["evidence"]) for r in licenses.scan(frame).collect()), key=repr
+    )
+    assert found == want([
+        ("a/LICENSE", "MIT", "file"), ("a/b/x.py", "MIT", "inherited"), ("a/b/y.py", "Apache-2.0", "header"),
+        ("a/b/c/LICENSE.txt", "Apache-2.0", "file"), ("a/b/c/d/z.py", "Apache-2.0", "inherited"),
+        ("q/z.py", None, None), ("LICENCE", None, None), (None, "MIT", "file"), ("e", None, None),
+        ("a/b/x.py", "MIT", "header"), ("a/b/x.py", "MIT", "inherited"), ("a/b/x.py", "MIT", "inherited"),
+        ("w/n.txt", "MIT", "file"), ("w/m.txt", "MIT", "inherited"),
+    ])
+    assert licenses.scan(frame.limit(0)).count() == 0
+
+
+def test_cues_miss_no_header():
+    """A text above the threshold holds a cue: the rest of a template is too short a vector."""
+    known = licenses.Vocabulary()
+    rest = {}
+    for template, _, word, weight in known.vectors:
+        if word not in known.cues:
+            rest[template] = rest.get(template, 0) + weight * weight
+    assert all(x < licenses.LEAST**2 for x in rest.values())
+
+
+# --- quality ----------------------------------------------------------------
+
+
+def test_quality_edges(docs, empty):
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    found = quality.judge(docs)
+    assert got(found, "id", *names) == want((i, *brute.measures(t)) for i, t, _ in ROWS)
+    assert all(r["kept"] is False for r in found.where("base_failed").collect())
+    assert quality.judge(empty).count() == 0
+
+
+def test_estimate_finds_known_accuracies():
+    rng = np.random.default_rng(5)
+    n, good = 40_000, rng.random(40_000) < 0.7
+    right = (0.95, 0.9, 0.8, 0.7, 0.6)
+    votes = np.stack(
+        [np.where(rng.random(n) < 0.2, 0, np.where((rng.random(n) < p) == good, 1, -1)) for p in right], axis=1
+    )
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    share, shares = quality.estimate([(tuple(p), int(c)) for p, c in zip(patterns.tolist(), counts, strict=True)])
+    assert abs(share - 0.7) < 0.03
+    for p, s in zip(right, shares, strict=True):
+        assert abs(s[True][1] / (s[True][1] + s[True][-1]) - p) < 0.03
+
+
+# --- language ---------------------------------------------------------------
+
+
+def test_language_edges(docs, empty, spark):
+    model = language.fit_model(docs)
+    found = language.identify(docs, model)
+    assert found.columns == [*docs.columns, "_language"]
+    by_text = {}
+    for r in found.select("doc_id", "text", "_language.*").collect():
+        no_letter = r["text"] is None or not any(c.isalpha() for c in r["text"])
+        assert (r["lang_pred"] == "und") == no_letter
+        assert 0 <= r["score"] <= 1 and (not no_letter or r["score"] == 0)
+        assert by_text.setdefault(r["text"], r["lang_pred"]) == r["lang_pred"]
+    assert language.fit_model(empty) is None
+    assert {r["l"]["lang_pred"] for r in language.identify(docs.drop("l"), None, out="l").collect()} == {"und"}
+    kept = language.keep_identified(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == sum(any(c.isalpha() for c in t or "") for _, t, _ in ROWS)
+    one = docs.where("lang = 'de'")
+    assert {r["l"]["lang_pred"] for r in language.identify(one.drop("l"), language.fit_model(one), out="l").collect()} == {"de"}
+
+
+def test_learning_ignores_held_out_rows(spark):
+    rows = [(i, prose(30), "en") for i in range(200)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    wrong = frame.withColumn("lang", F.when(language.held_out(F.col("doc_id")), "zz").otherwise(F.col("lang")))
+    assert language.fit_model(wrong).families.labels == ["germanic"]
+
+
+# --- toxicity ---------------------------------------------------------------
+
+
+def test_toxicity_edges(spark, docs, empty):
+    rows = [(i, prose(60) + (" grobian lump" * (i % 3) if i < 60 else ""), None) for i in range(300)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame(
+        [(i, int(i < 60 and i % 3 > 0)) for i in range(300)] + [(1, None), (None, 1), (9999, 1), (2, 1)],
+        "doc_id long, toxic int",
+    ).withColumn("id", F.lit("clash"))
+    model = toxicity.fit_model(frame, labels)
+    found = {r["doc_id"]: r["toxicity"] for r in toxicity.predict(frame, model).collect()}
+    assert all(found[i]["toxic"] == (i < 60 and i % 3 > 0) for i in range(300))
+    mean = {k: np.mean([found[i]["expected_severity"] for i in range(60) if i % 3 == k]) for k in range(3)}
+    assert mean[0] < mean[1] <= mean[2] + 1e-9
+    marked = toxicity.predict(docs, model)
+    assert marked.columns == [*docs.columns, "_toxicity"] and marked.count() == len(ROWS)
+    assert toxicity.predict(empty, model).count() == 0
+    assert toxicity.fit_model(empty, labels) is None
+    assert toxicity.fit_model(frame, labels.limit(0)) is None
+    assert not any(r["_toxicity"]["toxic"] for r in toxicity.predict(docs, None).collect())
+
+
+def test_thresholds_are_ordered_and_weights_shared():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 4, (3000, 3)).astype(float)
+    score = np.log1p(x) @ np.array([2.0, -1.0, 0.0]) + rng.logistic(size=3000)
+    grades = np.digitize(score, [0.0, 1.5])
+    rows = [(np.flatnonzero(r), r[r > 0]) for r in x]
+    model = toxicity.fit_ordinal(rows, grades, np.ones(3000), np.arange(3), ridge=1e-6, rounds=1500)
+    assert np.allclose(model.weights, [2, -1, 0], atol=0.2)
+    assert np.allclose(model.thresholds, [0, 1.5], atol=0.25)
+
+
+# --- suffix order -----------------------------------------------------------
+
+
+def test_suffix_dedup_edges(docs, empty, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 40_000)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 5_000)
+    short = docs.withColumn("text", F.substring("text", 1, 30_000))
+    found = suffix_dedup.remove_repeated(short).select(
+        "id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n"), F.sha2("kept", 256).alias("kept")
+    )
+    given = [(i, t and t[:30_000]) for i, t, _ in ROWS]
+    assert got(found, *found.columns) == want(brute.without_repeats(given))
+    assert suffix_dedup.remove_repeated(empty).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_suffix_dedup_on_few_letters(spark, monkeypatch, seed):
+    """Few letters and lengths near the limit: many ties between anchors and suffixes."""
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 700)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 60)
+    rng = random.Random(seed)
+    base = "".join(rng.choices("ab", k=400)) + "a" * 80
+    rows = []
+    for i in range(40):
+        a = rng.randrange(len(base))
+        text = "".join(rng.choices("ab", k=rng.randrange(60))) + base[a : a + rng.randrange(120)]
+        rows.append((rng.choice([i, i // 2]), text + rng.choice(["", "é" * 40, "ab" * 30])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = suffix_dedup.remove_repeated(frame).select(
+        "id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n"), F.sha2("kept", 256).alias("kept")
+    )
+    assert got(found, *found.columns) == want(brute.without_repeats(rows))
+
+
+def test_longest_previous_factor():
+    text = b"abracadabraabracadabra"
+    order = sorted(range(len(text)), key=lambda i: text[i:])
+
+    def common(a, b):
+        n = 0
+        while max(a, b) + n < len(text) and text[a + n] == text[b + n]:
+            n += 1
+        return n
+
+    lcp = np.array([0, *[common(a, b) for a, b in zip(order, order[1:], strict=False)]])
+    found = suffix_dedup.longest_previous(np.array(order), lcp, 1)
+    for place, i in enumerate(order):
+        assert found[place] == max((common(i, j) for j in range(i)), default=0)
