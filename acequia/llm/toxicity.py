@@ -1,7 +1,7 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
-Features are hashed byte 5-grams of the lower-cased text, blanks included, so
-that a word and its relatives share some. Of them, those that labelled severe
+Features are hashed runs of 5 and of 8 bytes of the lower-cased text, blanks
+included, so that a word and its relatives share some. Of them, those that labelled severe
 texts hold significantly more often than others are kept. One weight vector is
 shared by all ordered thresholds: P(grade <= k) = sigmoid(threshold_k - score).
 The expected severity is the sum over k of P(grade > k).
@@ -32,12 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from acequia.llm.common import annotate, batch_of, col, free_name, struct_array
+from acequia.session import materialize
 
-GRAM = 5
-BUCKETS = 1 << 18
+GRAMS = (5, 8)
+BUCKETS = 1 << 20
 PER_LABEL = 4000
 KEPT = 4000
 LEAST_DOCS = 5
+#: Tasks that read the sample, whose size is bounded.
+SAMPLE_TASKS = 8
 
 RESULT = T.StructType(
     [
@@ -60,15 +63,19 @@ _TABLE = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
 def codes(text: str | None) -> np.ndarray:
-    """Bucket of the 5-gram at each place of the text, runs of blanks joined."""
+    """Buckets of the runs of bytes at each place of the text, runs of blanks joined."""
     words = (text or "").lower().encode().translate(_TABLE).split()
     if not words:
         return np.zeros(0, np.uint32)
-    data = np.frombuffer(b" " + b" ".join(words) + b" " * GRAM, np.uint8).astype(np.uint32)
-    code = np.zeros(len(data) - GRAM + 1, np.uint32)
-    for i in range(GRAM):
-        code = code * np.uint32(16_777_619) + data[i : len(data) - GRAM + 1 + i]
-    return (code ^ (code >> np.uint32(15))) % np.uint32(BUCKETS)
+    most = max(GRAMS)
+    data = np.frombuffer(b" " + b" ".join(words) + b" " * most, np.uint8).astype(np.uint32)
+    places = len(data) - most + 1
+    code, made = np.zeros(places, np.uint32), []
+    for i in range(most):
+        code = code * np.uint32(16_777_619) + data[i : places + i]
+        if i + 1 in GRAMS:
+            made.append(((code ^ (code >> np.uint32(13))) * np.uint32(2_654_435_761)) >> np.uint32(12))
+    return np.concatenate(made)
 
 
 @dataclass
@@ -163,7 +170,7 @@ def select(
 
 
 def _kept_counts(text: str | None, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Indices of the kept buckets in a text, their counts, and the number of 5-grams."""
+    """Indices of the kept buckets in a text, their counts, and the number of runs."""
     where = codes(text)
     own = place[where]
     index, counts = np.unique(own[own >= 0], return_counts=True)
@@ -201,6 +208,7 @@ def fit_model(
     drawn = marked.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < share * 1_000_000)
     texts = docs.select(col(id).alias("id"), col(text).alias("text"))
     texts = texts.join(F.broadcast(drawn), F.col("id") == F.col("label_id")).select("id", "bad", "text")
+    texts = materialize(texts.repartition(SAMPLE_TASKS), "toxicity")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, seen = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
