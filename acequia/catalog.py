@@ -15,7 +15,7 @@ from acequia.functions import agronomy, naming
 from acequia.functions.arrays import shift_append
 from acequia.models import ar, sarima, var
 from acequia.operators import calendar, reports, scaling, series
-from acequia.plans.predict import forecast_irrigation, history_pack, horizon_days, predict_all
+from acequia.plans.predict import forecast_irrigation, history_pack, predict_all, publish
 from acequia.plans.train import train_all, training_pack
 from acequia.schema import DAY, KEY, SCALER_KINDS, SPANISH_NAMES, VARIABLES, TrainConfig
 from acequia.session import materialize, scratch_path
@@ -76,28 +76,43 @@ def detect_date_column(spark, sf_dir):
     )
 
 
-def _year_folders(spark, sf_dir) -> tuple[str, list[str]]:
-    """Climate written as one folder per year, and the folders."""
-    rows = climate(spark, sf_dir)
+def _year_folders(spark, sf_dir) -> str:
+    """Climate written as one folder per year."""
     path = scratch_path(spark, "yearly-csv")
-    climate_csv.write_climate_csv(rows, path, year_files=True)
-    years = rows.select(F.year(DAY).alias("y")).distinct().collect()
-    return path, [f"{path}/year={row['y']}" for row in years]
+    climate_csv.write_climate_csv(climate(spark, sf_dir), path, year_files=True)
+    return path
 
 
 def union_years(spark, sf_dir):
-    _, folders = _year_folders(spark, sf_dir)
-    headings = climate_csv.csv_headings(spark, folders[0])
-    return rounded(climate_csv.concat_files(spark, folders, headings), KEY, DAY)
+    return rounded(climate_csv.read_climate_csv(spark, _year_folders(spark, sf_dir)), KEY, DAY)
+
+
+def union_mixed_headings(spark, sf_dir):
+    """Files with columns in other orders, one of them with a column that others lack."""
+    rows = naming.spanish_names(climate(spark, sf_dir)).withColumnRenamed(DAY, "Fecha")
+    path = scratch_path(spark, "mixed-csv")
+    odd = F.col(KEY) % 3
+    for part, columns in enumerate(
+        (
+            rows.columns,
+            list(reversed(rows.columns)),
+            ["Humedad del suelo", *sorted(rows.columns)],
+        )
+    ):
+        own = rows.filter(odd == part).withColumn("Humedad del suelo", F.col("Temperatura") / 2)
+        own.select(*columns).write.option("header", True).csv(f"{path}/part={part}")
+    read = climate_csv.read_climate_csv(spark, path)
+    return rounded(read, KEY, DAY, columns=(*VARIABLES, "Humedad del suelo"))
 
 
 def union_tagged(spark, sf_dir):
-    rows = climate(spark, sf_dir)
-    probes = {
-        "mini_1": rows.select(KEY, DAY, "temp_c", "rh"),
-        "mini_2": rows.select(KEY, DAY, "temp_c", "wind_ms"),
-    }
-    both = climate_csv.tagged_union(probes)
+    """Two soil-probe folders with different columns, each row named by its probe."""
+    rows = climate(spark, sf_dir).withColumnRenamed(DAY, "Fecha")
+    path = scratch_path(spark, "probes")
+    probes = {"mini_1": ("temp_c", "rh"), "mini_2": ("wind_ms", "temp_c")}
+    for name, columns in probes.items():
+        rows.select(KEY, *columns, "Fecha").write.option("header", True).csv(f"{path}/{name}")
+    both = climate_csv.read_probe_folders(spark, {n: f"{path}/{n}" for n in probes})
     return rounded(both, "probe", KEY, DAY, columns=("temp_c", "rh", "wind_ms"))
 
 
@@ -119,13 +134,30 @@ def parse_irrigation_log(spark, sf_dir):
 
 
 def dataset_profile(spark, sf_dir):
-    path, _ = _year_folders(spark, sf_dir)
-    return profile.profile_files(spark, path)
+    """Files with either spelling of the extension, another extension, quoted headings and no content."""
+    rows = climate(spark, sf_dir).select(KEY, DAY, "temp_c").withColumnRenamed(DAY, "Fecha")
+    path = scratch_path(spark, "files")
+
+    def save(df, name, extension="csv", header=True):
+        writer = df.coalesce(1).write.option("header", header).option("extension", extension)
+        writer.option("quoteAll", name == "quoted").option("escape", "\"").csv(f"{path}/{name}")
+
+    save(rows.filter(F.col(KEY) % 2 == 0), "lower")
+    save(rows.filter(F.col(KEY) % 2 == 1), "upper", "CSV")
+    save(rows, "other", "txt")
+    save(rows.withColumnRenamed("temp_c", 'Temperatura, media "2 m"').limit(9), "quoted")
+    save(rows.limit(0), "hollow", header=False)
+    save(rows.select(KEY, "temp_c"), "undated")
+    found = profile.profile_files(spark, path)
+    return found.select(
+        "folder", (F.col("size") > 0).alias("has_size"), F.to_json("columns").alias("columns"), "rows",
+        "recommended", "message",
+    )
 
 
 def dataset_rows(spark, sf_dir):
     return (
-        dataset_profile(spark, sf_dir)
+        profile.profile_files(spark, _year_folders(spark, sf_dir))
         .groupBy("folder", F.concat_ws(",", "columns").alias("columns"))
         .agg(F.sum("rows").alias("n_rows"))
     )
@@ -212,9 +244,9 @@ def registry_load(spark, sf_dir):
 
 def _model_names(spark, sf_dir) -> DataFrame:
     """Saved model names made from part names, of known and unknown types."""
+    kinds = ("sarima_", "SARIMAX_", "var_", "lstm_", "prophet_", "sarimax_")
     prefix = F.element_at(
-        F.array(*[F.lit(x) for x in ("sarima_", "SARIMAX_", "var_", "lstm_", "prophet_")]),
-        (F.pmod("p_size", F.lit(5)) + 1).cast("int"),
+        F.array(*[F.lit(x) for x in kinds]), (F.pmod("p_size", F.lit(6)) + 1).cast("int")
     )
     part = table(spark, sf_dir, "part")
     return part.select(
@@ -315,7 +347,7 @@ def forecast_gaps(spark, sf_dir):
 
 def scale_apply(spark, sf_dir):
     rows = gap_free(spark, sf_dir)
-    scaled = scaling.apply_scales(rows, scaling.fit_scales(rows))
+    scaled = scaling.fit_and_scale(rows)
 
     def shown(c: str) -> Column:
         # quartiles are exact, so only a last-digit difference near zero is rounded away
@@ -327,9 +359,8 @@ def scale_apply(spark, sf_dir):
 def scale_inverse(spark, sf_dir):
     """Distance between each reading and its scaled and unscaled self."""
     rows = gap_free(spark, sf_dir)
-    scales = scaling.fit_scales(rows)
     kept = rows.withColumns({f"was_{c}": F.col(c) for c in VARIABLES})
-    back = scaling.invert_scales(scaling.apply_scales(kept, scales), scales)
+    back = scaling.fit_and_scale(kept, undo=True)
     return back.select(
         KEY, DAY, *[F.abs(r(F.col(c) - F.col(f"was_{c}"), 5)).alias(f"off_{c}") for c in VARIABLES]
     )
@@ -372,9 +403,12 @@ def _whole_pack(spark, sf_dir, **settings) -> tuple[DataFrame, TrainConfig]:
 
 
 def var_gram(spark, sf_dir):
+    """Cross-products of today with every term up to the full lag."""
     pack, config = _whole_pack(spark, sf_dir)
-    partial = var.moments(var.lag_blocks(pack, config.variables, 1), config.variables, 1)
-    rows = var.gram_entries(partial, config.variables, 1)
+    lags = config.maxlags
+    rows = var.gram_entries(var.moments(pack, config.variables, lags), config.variables, lags)
+    today = [f"{c}_lag0" for c in config.variables]
+    rows = rows.filter(F.col("term_a").isin("const", *today))
     constant = (F.col("term_a") == "const") & (F.col("term_b") == "const")
     n = F.max(F.when(constant, F.col("value"))).over(Window.partitionBy(KEY))
     return rows.withColumn("n", n.cast("bigint")).withColumn("value", r(F.col("value") / n, 6))
@@ -393,11 +427,8 @@ def complete_series(spark, sf_dir):
 
 
 def temporal_split(spark, sf_dir):
-    train, test = series.temporal_train_test_split(climate(spark, sf_dir), 180)
-    both = train.withColumn("part", F.lit("train")).unionByName(
-        test.withColumn("part", F.lit("test"))
-    )
-    return rounded(both, KEY, DAY, "part", columns=("temp_c",))
+    both = series.labelled_split(climate(spark, sf_dir), 180)
+    return rounded(both.withColumnRenamed("split", "part"), KEY, DAY, "part")
 
 
 def split_bounds(spark, sf_dir):
@@ -405,21 +436,18 @@ def split_bounds(spark, sf_dir):
     return bounds.withColumn("train_pct", r("train_pct", 4))
 
 
-SEQUENCE_PROBES = (1, 6, 12, 18, 24, 30)
-
-
 def sliding_sequences(spark, sf_dir):
-    """Every window of 30 days and the day after it; the window shown at six positions."""
+    """Every window of 30 days and the day after it."""
     rows = series.sliding_sequences(gap_free(spark, sf_dir))
     return rows.select(
         KEY,
         DAY,
         F.size("sequence").cast("bigint").alias("length"),
-        r("temp_c").alias("target_temp_c"),
+        *[r(natural(c)).alias(f"target_{c}") for c in VARIABLES],
         *[
-            r(F.col("sequence")[i - 1][c]).alias(f"{c}_{i}")
-            for c in ("temp_c", "rh", "wind_ms")
-            for i in SEQUENCE_PROBES
+            r(F.col("sequence")[i - 1][c] / (1e6 if c == "rad_j" else 1.0)).alias(f"{c}_{i}")
+            for c in VARIABLES
+            for i in range(1, 31)
         ],
     )
 
@@ -438,11 +466,15 @@ def last_k_state(spark, sf_dir):
 
 def window_shift(spark, sf_dir):
     """The feedback step of a recursive forecast: oldest day out, a new value in."""
-    state = series.last_k(gap_free(spark, sf_dir), 30, ("temp_c",))
-    window = F.transform("state", lambda x: x["temp_c"])
-    moved = state.select(KEY, shift_append(window, F.lit(1.5)).alias("w"))
-    return moved.select(KEY, F.posexplode("w").alias("pos", "temp_c")).select(
-        KEY, F.col("pos").cast("bigint").alias("pos"), r("temp_c").alias("temp_c")
+    state = series.last_k(gap_free(spark, sf_dir), 30)
+    moved = state.select(
+        KEY,
+        F.arrays_zip(
+            *[shift_append(F.col(f"state.{c}"), F.lit(1.5)).alias(c) for c in VARIABLES]
+        ).alias("w"),
+    )
+    return moved.select(KEY, F.posexplode("w").alias("pos", "_w")).select(
+        KEY, F.col("pos").cast("bigint").alias("pos"), *[r(F.col(f"_w.{c}")).alias(c) for c in VARIABLES]
     )
 
 
@@ -451,22 +483,33 @@ def seasonal_difference(spark, sf_dir):
 
 
 def lag_matrix(spark, sf_dir):
-    columns = [f"temp_c_lag{i}" for i in range(1, 16)]
-    lags = series.lag_matrix(gap_free(spark, sf_dir), ["temp_c"], 15)
-    return rounded(lags, KEY, DAY, columns=("temp_c", *columns))
+    lags = series.lag_matrix(gap_free(spark, sf_dir), VARIABLES, 15)
+    return lags.select(
+        KEY,
+        DAY,
+        *[r(natural(c)).alias(c) for c in VARIABLES],
+        *[
+            r(F.col(f"{c}_lag{i}") / (1e6 if c == "rad_j" else 1.0)).alias(f"{c}_lag{i}")
+            for c in VARIABLES
+            for i in range(1, 16)
+        ],
+    )
 
 
 def integrate_forecast(spark, sf_dir):
     """Difference the last 45 days away from the levels, then sum them back."""
-    rows = gap_free(spark, sf_dir).select(KEY, DAY, "temp_c")
-    diffs = series.seasonal_difference(rows.withColumn("level", F.col("temp_c")), ("temp_c",))
-    train, test = series.temporal_train_test_split(diffs, HORIZON)
-    state = series.last_k(train, 31, ("level",)).select(
-        KEY, "last_day", F.transform("state", lambda x: x["level"]).alias("tail")
-    )
-    steps = test.join(state, KEY).withColumn("step", F.datediff(DAY, "last_day"))
-    levels = series.integrate_forecast(steps, [KEY], "temp_c", "tail")
-    return rounded(levels, KEY, DAY, columns=("temp_c",))
+    rows = gap_free(spark, sf_dir)
+    levels = [f"level_{c}" for c in VARIABLES]
+    kept = rows.withColumns({f"level_{c}": F.col(c) for c in VARIABLES})
+    labelled = series.labelled_split(series.seasonal_difference(kept), HORIZON)
+    train, test = (labelled.filter(F.col("split") == x) for x in ("train", "test"))
+    state = series.last_k(train, 31, levels).select(KEY, "last_day", "state")
+    steps = test.select(KEY, DAY, *VARIABLES).join(state, KEY)
+    steps = steps.withColumn("step", F.datediff(DAY, "last_day"))
+    for c in VARIABLES:
+        steps = steps.withColumn("_tail", F.col(f"state.level_{c}"))
+        steps = series.integrate_forecast(steps, [KEY], c, "_tail")
+    return steps.select(KEY, DAY, *[r(r(natural(c), 9)).alias(c) for c in VARIABLES])
 
 
 # --- previews -------------------------------------------------------------
@@ -541,12 +584,11 @@ def _exog_future(policy, horizon):
 
 
 def future_days(spark, sf_dir):
-    """Each station asks for as many days as it has observed; a year is the most it gets."""
+    """Each station asks for as many days as it has observed."""
     asked = climate(spark, sf_dir).groupBy(KEY).agg(
         F.max(DAY).alias("last_day"), F.count(F.lit(1)).alias("asked")
     )
-    horizon = F.least(F.col("asked"), F.lit(horizon_days(10_000))).cast("int")
-    return calendar.future_days(asked, horizon).select(
+    return calendar.future_days(asked, F.col("asked").cast("int")).select(
         KEY, "last_day", F.col("step").cast("bigint").alias("step"), DAY
     )
 
@@ -574,8 +616,8 @@ def sarima_ar_forecast(spark, sf_dir):
 
 
 def exog_regression(spark, sf_dir):
-    others = [c for c in naming.exog_columns("temp_c") if c != "rad_j"]
-    out = ar.simple_regression(gap_free(spark, sf_dir), "temp_c", others)
+    rows = gap_free(spark, sf_dir).withColumn("rad_j", natural("rad_j"))
+    out = ar.simple_regression(rows, "temp_c", naming.exog_columns("temp_c"))
     return out.select(KEY, "regressor", r("slope", 6).alias("slope"), r("intercept", 6).alias("intercept"), "n")
 
 
@@ -606,8 +648,7 @@ def var_normal_equations(spark, sf_dir):
     lags, columns = 2, list(VARIABLES)
     pack, config = _whole_pack(spark, sf_dir)
     pack = materialize(pack, "pack")
-    partial = var.moments(var.lag_blocks(pack, columns, lags), columns, lags)
-    fitted = var.solve(partial, len(columns), lags, None)
+    fitted = var.solve(pack, columns, lags, None)
     rows = gap_free(spark, sf_dir)
     scaled = scaling.apply_scales(rows, pack.select(KEY, "scales"))
     regressors = [f"{c}_lag{i}" for i in range(1, lags + 1) for c in columns]
@@ -650,9 +691,7 @@ def var_normal_equations(spark, sf_dir):
 def _forecast(family, **settings):
     def run(spark, sf_dir):
         rows = climate(spark, sf_dir)
-        models = materialize(
-            train_all(rows, TrainConfig(families=(family,), **settings)), "models"
-        )
+        models = train_all(rows, TrainConfig(families=(family,), **settings))
         out = predict_all(models, history_pack(rows), HORIZON)
         return out.withColumn("value", r(by_unit("value")))
 
@@ -664,10 +703,11 @@ PLAIN_AR = {"order": (1, 1, 0), "seasonal": (0, 0, 0, 1), "test_size": 0}
 PLAIN_REGRESSION = {"order": (0, 1, 0), "seasonal": (0, 0, 0, 1), "test_size": 0}
 
 
-def _forecast_rows(spark, sf_dir, config: TrainConfig, digits: int):
+def _forecast_rows(spark, sf_dir, config: TrainConfig, digits: int, policy: str = "hold"):
     rows = climate(spark, sf_dir)
-    models = materialize(train_all(rows, config), "models")
-    out = predict_all(models, history_pack(rows, config.variables), HORIZON)
+    out = predict_all(
+        train_all(rows, config), history_pack(rows, config.variables), HORIZON, policy
+    )
     return out.select(
         "model",
         KEY,
@@ -714,9 +754,9 @@ def sarimax_plain_fit(spark, sf_dir):
 
 
 def sarimax_plain_forecast(spark, sf_dir):
-    """Without ARMA terms and with regressors held, the last level is the forecast."""
+    """Without ARMA terms: last level plus slope times the regressor's distance from its last."""
     config = TrainConfig(families=("sarimax",), variables=("temp_c", "rh"), **PLAIN_REGRESSION)
-    return _forecast_rows(spark, sf_dir, config, 4)
+    return _forecast_rows(spark, sf_dir, config, 4, "head")
 
 
 ONE_VARIABLE = {"variables": ("temp_c",), "test_size": 0}
@@ -758,7 +798,8 @@ def _trained(spark, sf_dir) -> tuple[str, DataFrame]:
 def train_everything(spark, sf_dir):
     path, _ = _trained(spark, sf_dir)
     return registry.read_registry(spark, path).select(
-        "model_type", "name", KEY, "n", r("sigma2").alias("sigma2"), F.size("coef").alias("n_coef")
+        "model_type", "name", KEY, "n", r("sigma2").alias("sigma2"), F.size("coef").alias("n_coef"),
+        "error",
     )
 
 
@@ -767,16 +808,93 @@ def predict_everything(spark, sf_dir):
     models = registry.require_models(
         registry.load_models(spark, path, ["sarima", "sarimax", "var", "window"])
     )
-    return predict_all(materialize(models, "loaded"), history, HORIZON)
+    return predict_all(models, history, HORIZON)
 
 
 def forecast_irrigation_query(spark, sf_dir):
     rows = climate(spark, sf_dir)
     path = scratch_path(spark, "registry")
     registry.save_models(train_all(rows, TrainConfig(families=("sarima", "var"))), path)
-    models = materialize(registry.load_models(spark, path, ["sarima", "var"]), "loaded")
+    models = registry.load_models(spark, path, ["sarima", "var"])
     out = forecast_irrigation(models, history_pack(rows), HORIZON)
-    return rounded(out, "run_id", "model", KEY, DAY, columns=IRRIGATION)
+    return rounded(out, "run_id", "model", KEY, DAY, "error", columns=IRRIGATION)
+
+
+# --- the whole chain at an order that SQL can follow -----------------------
+
+# A random walk with drift: the forecast is the last level plus h times the mean step.
+DRIFT = TrainConfig(
+    families=("sarima",), order=(0, 1, 0), seasonal=(0, 0, 0, 1), test_size=0
+)
+
+
+def _one_short(spark, sf_dir) -> DataFrame:
+    """Climate, in which station 1 has its first day alone."""
+    rows = climate(spark, sf_dir)
+    first = F.min(DAY).over(Window.partitionBy(KEY))
+    return rows.withColumn("_first", first).filter((F.col(KEY) != 1) | (F.col(DAY) == F.col("_first"))).drop("_first")
+
+
+def train_drift(spark, sf_dir):
+    """Models and failures by family, as the registry keeps them."""
+    path = scratch_path(spark, "registry")
+    registry.save_models(train_all(_one_short(spark, sf_dir), DRIFT), path)
+    saved = registry.read_registry(spark, path)
+    return saved.groupBy("model_type", F.coalesce("error", F.lit("")).alias("error")).agg(
+        F.count(F.lit(1)).alias("models")
+    )
+
+
+def predict_drift(spark, sf_dir):
+    rows = climate(spark, sf_dir)
+    out = predict_all(train_all(rows, DRIFT), history_pack(rows), HORIZON)
+    return out.select(
+        "run_id", "model", KEY, "variable", DAY, F.col("step").cast("bigint").alias("step"),
+        r(by_unit("value"), 4).alias("value"), "error",
+    )
+
+
+def irrigation_drift(spark, sf_dir):
+    """From training to season totals, results exported on the way."""
+    rows = climate(spark, sf_dir)
+    daily = forecast_irrigation(train_all(rows, DRIFT), history_pack(rows), HORIZON)
+    totals = publish(materialize(daily, "daily"), scratch_path(spark, "results"))
+    return rounded(
+        totals, "run_id", "model", KEY, "days", "error",
+        columns=("total_nb", "total_nb_rdc", "mean_nb_rdc"), digits=3,
+    )
+
+
+def predict_gaps(spark, sf_dir):
+    """Stations without history, models without a variable and a failed fit end as error rows."""
+    rows = climate(spark, sf_dir)
+    models = train_all(_one_short(spark, sf_dir), DRIFT)
+    models = models.filter((F.col(KEY) % 7 != 0) | (F.col("target") != "rh"))
+    history = history_pack(rows.filter(F.col(KEY) % 5 != 0))
+    out = forecast_irrigation(models, history, HORIZON)
+    return out.groupBy("run_id", "model", KEY, F.coalesce("error", F.lit("")).alias("error")).agg(
+        F.count(DAY).alias("days")
+    )
+
+
+def sarima_seasonal_ar_fit(spark, sf_dir):
+    """Orders (0,0,0)(1,1,0,30): the seasonal difference on itself a season before."""
+    config = TrainConfig(families=("sarima",), order=(0, 0, 0), seasonal=(1, 1, 0, 30), test_size=0)
+    models = train_all(climate(spark, sf_dir), config)
+    return models.select(
+        KEY, F.col("target").alias("variable"), "n", r(F.col("coef")[1], 4).alias("phi"), "error"
+    )
+
+
+def registry_saved_types(spark, sf_dir):
+    """Types found by name in a saved registry that holds this engine's own families."""
+    path = scratch_path(spark, "registry")
+    models = materialize(_registry_rows(spark, sf_dir), "models")
+    registry.save_models(models, path)
+    for family in ("var", "window"):
+        named = {"model_type": F.lit(family), "name": F.lit(f"{family}_multivariate")}
+        registry.save_models(models.withColumns(named), path)
+    return registry.available_types(registry.list_models(registry.read_registry(spark, path)))
 
 
 def forecast_keys(spark, sf_dir):
@@ -791,6 +909,7 @@ QUERIES = {
     "csv_roundtrip": csv_roundtrip,
     "detect_date_column": detect_date_column,
     "union_years": union_years,
+    "union_mixed_headings": union_mixed_headings,
     "union_tagged": union_tagged,
     "parse_irrigation_log": parse_irrigation_log,
     "dataset_profile": dataset_profile,
@@ -865,6 +984,12 @@ QUERIES = {
     "window_fit": _fit("window"),
     "window_forecast": _forecast("window"),
     "forecast_keys": forecast_keys,
+    "train_drift": train_drift,
+    "predict_drift": predict_drift,
+    "irrigation_drift": irrigation_drift,
+    "predict_gaps": predict_gaps,
+    "sarima_seasonal_ar_fit": sarima_seasonal_ar_fit,
+    "registry_saved_types": registry_saved_types,
     "train_all": train_everything,
     "predict_all": predict_everything,
     "forecast_irrigation": forecast_irrigation_query,

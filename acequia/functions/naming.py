@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 from acequia.schema import NAME_PREFIXES, ROBUST_PATTERNS, SPANISH_NAMES, VARIABLES
 
 
-def canonical_names(df: DataFrame) -> DataFrame:
-    """Rename the Spanish headings by name; every one of the seven must be there."""
-    missing = [
-        es for es, canon in SPANISH_NAMES.items() if es not in df.columns and canon not in df.columns
-    ]
+def require_climate(columns: list[str]) -> None:
+    """Every one of the seven must be there, under its Spanish heading or our name."""
+    missing = [es for es, canon in SPANISH_NAMES.items() if es not in columns and canon not in columns]
     if missing:
         raise ValueError(f"missing climate columns: {missing}")
+
+
+def known_names(df: DataFrame) -> DataFrame:
+    """Rename the Spanish headings that are there."""
     return df.withColumnsRenamed({k: v for k, v in SPANISH_NAMES.items() if k in df.columns})
 
 
+def canonical_names(df: DataFrame) -> DataFrame:
+    """Rename the Spanish headings by name; every one of the seven must be there."""
+    require_climate(df.columns)
+    return known_names(df)
+
+
 def spanish_names(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({v: k for k, v in SPANISH_NAMES.items()})
 

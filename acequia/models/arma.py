@@ -8,7 +8,10 @@ Model, with B the lag operator and s the period::
     phi(B) Phi(B^s) (w_t - beta x_t) = c + theta(B) Theta(B^s) e_t
 
 Parameters are stacked as rows: c (if used), beta, phi, theta, Phi, Theta.
-Residuals before the first full set of autoregressive lags are zero.
+Residuals before the first full set of autoregressive lags are zero. No
+coefficient is clipped. A step is refused if it does not lower the error sum,
+or leaves the invertible moving averages, for which alone errors that start
+from zero mean anything; every process has an invertible form.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 
-BOUND = 0.98
+#: Rounds after which a fit that still falls is returned as not converged.
+MAX_ROUNDS = 30
 STARTS = ((0.0, 0.0, 0.0, 0.0), (0.2, -0.8, 0.1, -0.8), (0.5, 0.2, 0.4, -0.2))
 
 
@@ -110,22 +114,36 @@ def _sse(e):
     return np.where(np.isfinite(total), total, np.inf)
 
 
+def _invertible(shape: Shape, params):
+    """Per series, whether no root of a moving-average polynomial lies inside the unit circle."""
+    _, theta, _, stheta = shape.split(params)
+    good = np.ones(params.shape[1], bool)
+    for block in (theta, stheta):
+        order = len(block)
+        if order == 1:
+            good &= np.abs(block[0]) <= 1
+        elif order:
+            companion = np.zeros((params.shape[1], order, order))
+            companion[:, 0] = -block.T
+            companion[:, np.arange(1, order), np.arange(order - 1)] = 1
+            finite = np.isfinite(companion).all((1, 2))
+            companion[~finite] = 0
+            good &= finite & (np.abs(np.linalg.eigvals(companion)).max(1) <= 1)
+    return good
+
+
 def _products(jac):
     """Per series the matrix of products of derivatives, summed over time."""
     by_series = np.ascontiguousarray(jac.transpose(2, 1, 0))
     return by_series @ by_series.transpose(0, 2, 1)
 
 
-def _bounded(shape: Shape, params):
-    params[shape.first :] = np.clip(params[shape.first :], -BOUND, BOUND)
-    return params
-
-
 def _descend(shape: Shape, params, w, x, start, rounds: int, step=1e-5):
     """Damped Gauss-Newton, one damping factor per series.
 
-    A series leaves the batch once its error sum stops falling. Without
-    moving-average terms the problem is (nearly) linear and is solved to the end.
+    A series leaves the batch once its error sum stops falling; the third
+    result tells which have. Without moving-average terms the problem is
+    (nearly) linear and is solved to the end.
     """
     params = params.copy()
     tolerance = 1e-5 if shape.q or shape.Q else 1e-13
@@ -155,8 +173,9 @@ def _descend(shape: Shape, params, w, x, start, rounds: int, step=1e-5):
         diagonal = np.einsum("nkk->nk", normal)
         normal[:, np.arange(k), np.arange(k)] += damping[live, None] * (diagonal + 1e-9)
         delta = np.linalg.solve(normal, grad)[..., 0].T
-        trial = _bounded(shape, here - delta)
+        trial = here - delta
         sse = _sse(residuals(shape, trial, w_l, x_l, s_l))
+        sse = np.where(_invertible(shape, trial), sse, np.inf)
         # near the optimum the error sum cannot tell steps apart that still sharpen them
         better = sse <= best[live] * (1 + 1e-13)
         gain = (best[live] - sse) / np.maximum(best[live], 1e-300)
@@ -167,7 +186,9 @@ def _descend(shape: Shape, params, w, x, start, rounds: int, step=1e-5):
         live = live[~settled]
         if not len(live):
             break
-    return params, best
+    converged = np.isfinite(best)
+    converged[live] = False
+    return params, best, converged
 
 
 def _plain_regression(w, x):
@@ -178,8 +199,8 @@ def _plain_regression(w, x):
     return np.linalg.solve(normal, np.einsum("rtn,tn->nr", x, w)[..., None])[..., 0].T
 
 
-def fit(shape: Shape, w, x, lengths, rounds: int = 15):
-    """Best parameters (size, series), their error variance and error count.
+def fit(shape: Shape, w, x, lengths, rounds: int = MAX_ROUNDS):
+    """Best parameters (size, series), error variance, error count, and whether each converged.
 
     ``w`` is right-aligned: series i occupies the last ``lengths[i]`` rows.
     Every series takes a few steps from each start point and goes on from the
@@ -196,9 +217,9 @@ def fit(shape: Shape, w, x, lengths, rounds: int = 15):
         params = _first_steps(shape, w, np.asarray(lengths))
     lengths = np.asarray(lengths)
     with np.errstate(over="ignore", invalid="ignore"):
-        params, sse = _descend(shape, params, w, x, len(w) - lengths, rounds)
+        params, sse, converged = _descend(shape, params, w, x, len(w) - lengths, rounds)
     used = lengths - shape.p - shape.P * shape.s
-    return params, sse / used, used
+    return params, sse / used, used, converged
 
 
 def _first_steps(shape: Shape, w, lengths):
@@ -215,8 +236,8 @@ def _first_steps(shape: Shape, w, lengths):
                 phi, _, sphi, _ = shape.split(params)
                 params[0] = w.sum(0) / lengths * (1 - phi.sum(0)) * (1 - sphi.sum(0))
             runs.append(_descend(shape, params, w, None, start, rounds=3))
-    choice = np.argmin([sse for _, sse in runs], axis=0)
-    return np.stack([p for p, _ in runs])[choice, :, np.arange(n)].T
+    choice = np.argmin([run[1] for run in runs], axis=0)
+    return np.stack([run[0] for run in runs])[choice, :, np.arange(n)].T
 
 
 def forecast(shape: Shape, params, w, x, lengths, horizon: int):
@@ -242,3 +263,18 @@ def forecast(shape: Shape, params, w, x, lengths, horizon: int):
         for lag, weight in moving.items():
             u[t] += weight * e[t - lag]
     return u[-horizon:]
+
+
+def integrated(path, tails, weights):
+    """Levels (horizon, series) whose differences are ``path``.
+
+    ``weights`` give a difference from levels by lag; ``tails`` (reach, series)
+    are the last levels, oldest first, as many as the longest lag.
+    """
+    levels = np.vstack([tails, np.zeros_like(path)])
+    for t in range(len(tails), len(levels)):
+        levels[t] = path[t - len(tails)]
+        for lag, weight in weights.items():
+            if lag:
+                levels[t] -= weight * levels[t - lag]
+    return levels[len(tails) :]

@@ -1,9 +1,10 @@
-"""SARIMA and SARIMAX over many stations: Spark prepares, spreads and integrates.
+"""SARIMA and SARIMAX over many stations: Spark prepares and spreads, tasks run the recursions.
 
 Spark packs the series of a station and spreads the stations over all cores;
-Python tasks fit, or run the recursion, for a batch of targets at once; the
-forecast differences are summed back to levels by Spark windows. The estimator minimises the conditional sum of squares, so coefficients are close
-to, but not the same as, exact maximum likelihood ones.
+Python tasks fit, or run the recursion, for a batch of targets of one shape at
+once, and return coefficients, or levels in natural units. The estimator
+minimises the conditional sum of squares, so coefficients are close to, but
+not the same as, exact maximum likelihood ones.
 """
 
 from __future__ import annotations
@@ -17,31 +18,35 @@ from pyspark.sql import functions as F
 
 from acequia.models import arma
 from acequia.models.batches import BATCH, chunks, isolated, right_aligned
-from acequia.operators.scaling import entry
-from acequia.operators.series import integrate_forecast
-from acequia.schema import KEY, TrainConfig
+from acequia.operators.scaling import entry, scales_of_arrays
+from acequia.operators.series import difference_weights
+from acequia.schema import DAY, KEY, TrainConfig
 from acequia.session import ship_package, task_count
 
+#: Series (a target of a station) for one task.
+SERIES_PER_TASK = 512
+
 FIT_SCHEMA = (
-    "station bigint, target string, coef array<double>, sigma2 double, n bigint, error string"
+    "station bigint, target string, coef array<double>, sigma2 double, n bigint, error string, "
+    "centers array<double>, widths array<double>, converged boolean"
 )
 PATH_SCHEMA = (
-    "station bigint, target string, last_day date, center double, scale double, "
-    "path array<double>, shift array<double>, tail array<double>, error string"
+    "station bigint, model string, target string, last_day date, path array<double>, error string"
 )
 ORDER_FIELDS = ("p", "d", "q", "P", "D", "Q", "s")
+NO_HISTORY = "no history for this station"
 
 
-def model_shape(order, seasonal, regressors: int = 0) -> arma.Shape:
+def model_shape(order, seasonal, regressors: int = 0, const: bool | None = None) -> arma.Shape:
     """The seasonal family has a constant, the one with regressors has none."""
     p, _, q = order
     P, _, Q, s = seasonal
-    return arma.Shape(p, q, P, Q, s, const=regressors == 0, r=regressors)
+    return arma.Shape(p, q, P, Q, s, const=regressors == 0 if const is None else const, r=regressors)
 
 
-def shortest_series(shape: arma.Shape) -> int:
-    seasonal = 4 * shape.s if shape.P or shape.Q else 0
-    return max(seasonal, 4 * shape.size + shape.p + shape.P * shape.s)
+def shortest_series(shape: arma.Shape, min_seasons: int = 0) -> int:
+    """Differenced days a fit needs: more errors than parameters."""
+    return max(shape.size + shape.p + shape.P * shape.s + 1, min_seasons * shape.s)
 
 
 def scaler_arrays(variables) -> list[Column]:
@@ -52,8 +57,9 @@ def scaler_arrays(variables) -> list[Column]:
     ]
 
 
-def _order(target: str, variables, regressors: int) -> list[str]:
-    return [target] + ([v for v in variables if v != target] if regressors else [])
+def regressors_of(target: str, variables, chosen=None) -> list[str]:
+    """The chosen variables, or all, but the target."""
+    return [v for v in (chosen or variables) if v != target]
 
 
 def _scaled(record, names, variables, centers, widths) -> list[np.ndarray]:
@@ -81,50 +87,49 @@ def _blocks(rows, d: int, seasonal_d: int, period: int):
     return w, np.stack(x) if x else None, lengths
 
 
-def _fit_tasks(shape: arma.Shape, d: int, seasonal_d: int, variables: list[str]):
-    lost_days = d + seasonal_d * shape.s
-    needed = shortest_series(shape) + lost_days
+def _fit_tasks(config: TrainConfig, family: str):
+    variables = list(config.variables)
+    _, d, _ = config.order
+    _, seasonal_d, _, period = config.seasonal
+    lost_days = d + seasonal_d * period
+    kept = ["station", "target", "centers", "widths"]
 
-    def failed(pdf: pd.DataFrame, message: str) -> pd.DataFrame:
-        out = pdf[["station", "target"]].copy()
-        out["coef"], out["sigma2"], out["error"] = None, np.nan, message
-        out["n"] = pdf["levels"].map(lambda x: len(x[0]))
-        return out
+    def others(target: str) -> list[str]:
+        return regressors_of(target, variables, config.regressors) if family == "sarimax" else []
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, x, lengths = _blocks(pdf["levels"], d, seasonal_d, shape.s)
-        params, sigma2, used = arma.fit(shape, w, x, lengths)
-        out = pdf[["station", "target"]].copy()
-        out["coef"], out["sigma2"], out["n"] = list(params.T), sigma2, used
-        out["error"] = None
-        out.loc[~np.isfinite(sigma2), "error"] = "fit did not converge"
-        return out
+    def emit(pdf: pd.DataFrame, coef, sigma2, n, error, converged) -> pd.DataFrame:
+        out = pdf[kept].copy()
+        out["coef"], out["sigma2"], out["n"], out["error"] = coef, sigma2, n, error
+        out["converged"] = converged
+        return out[["station", "target", "coef", "sigma2", "n", "error", "centers", "widths", "converged"]]
+
+    def failed(pdf: pd.DataFrame, message: str) -> pd.DataFrame:
+        return emit(pdf, None, np.nan, pdf["levels"].map(lambda x: len(x[0])), message, False)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for stations in chunks(frames, max(BATCH // len(variables), 1)):
-            pdf = pd.DataFrame(
-                [
-                    (
-                        record["station"],
-                        target,
-                        _scaled(
-                            record,
-                            _order(target, variables, shape.r),
-                            variables,
-                            record["centers"],
-                            record["widths"],
-                        ),
-                    )
-                    for record in stations.to_dict("records")
-                    for target in variables
-                ],
-                columns=["station", "target", "levels"],
-            )
-            short = pdf["levels"].map(lambda x: len(x[0])) < needed
-            if short.any():
-                yield failed(pdf[short], f"series too short: at least {needed} days needed")
-            if not short.all():
-                yield from isolated(pdf[~short].reset_index(drop=True), work, failed)
+            rows = [
+                (r["station"], target, r["centers"], r["widths"],
+                 _scaled(r, [target, *others(target)], variables, r["centers"], r["widths"]))
+                for r in stations.to_dict("records")
+                for target in variables
+            ]
+            whole = pd.DataFrame(rows, columns=[*kept, "levels"])
+            for count, pdf in whole.groupby(whole["levels"].map(len)):
+                shape = model_shape(config.order, config.seasonal, count - 1, family == "sarima")
+                needed = shortest_series(shape, config.min_seasons) + lost_days
+
+                def work(pdf: pd.DataFrame, shape=shape) -> pd.DataFrame:
+                    w, x, lengths = _blocks(pdf["levels"], d, seasonal_d, period)
+                    params, sigma2, used, converged = arma.fit(shape, w, x, lengths)
+                    error = np.where(np.isfinite(sigma2), None, "fit diverged")
+                    return emit(pdf, list(params.T), sigma2, used, error, converged)
+
+                short = pdf["levels"].map(lambda x: len(x[0])) < needed
+                if short.any():
+                    yield failed(pdf[short], f"series too short: at least {needed} days needed")
+                if not short.all():
+                    yield from isolated(pdf[~short].reset_index(drop=True), work, failed)
 
     return run
 
@@ -133,22 +138,26 @@ def fit(pack: DataFrame, config: TrainConfig, family: str) -> DataFrame:
     """Fitted models (or error rows) for every station and variable of the pack.
 
     ``pack`` has one row per station: the training arrays and the ``scales``
-    map. ``family`` is 'sarima' or 'sarimax' (all other variables regress).
+    map. ``family`` is 'sarima' or 'sarimax' (on ``config.regressors``). One
+    exchange spreads the stations; scalers travel with the series. A fit whose
+    error sum still fell in its last round is kept and says so under
+    ``converged`` in ``params``.
     """
-    ship_package(pack.sparkSession)
-    regressors = len(config.variables) - 1 if family == "sarimax" else 0
-    shape = model_shape(config.order, config.seasonal, regressors)
+    spark = pack.sparkSession
+    ship_package(spark)
     variables = list(config.variables)
-    rows = pack.select(KEY, *variables, *scaler_arrays(variables)).repartition(
-        task_count(pack.sparkSession), KEY
-    )
+    tasks = task_count(spark, pack.count() * len(variables), SERIES_PER_TASK)
+    rows = pack.select(KEY, *variables, *scaler_arrays(variables)).repartition(tasks, KEY)
+    fitted = rows.mapInPandas(_fit_tasks(config, family), FIT_SCHEMA)
     p, d, q = config.order
     P, D, Q, s = config.seasonal
-    fitted = rows.mapInPandas(_fit_tasks(shape, d, D, variables), FIT_SCHEMA)
     settings = dict(zip(ORDER_FIELDS, (p, d, q, P, D, Q, s)))
-    settings["variables"] = ",".join(config.variables)
-    params = F.create_map(*[F.lit(str(x)) for kv in settings.items() for x in kv])
-    return fitted.join(pack.select(KEY, "scales"), KEY).select(
+    settings["variables"] = ",".join(variables)
+    if family == "sarimax":
+        settings["regressors"] = ",".join(config.regressors or variables)
+    known = [F.lit(str(x)) for kv in settings.items() for x in kv]
+    params = F.create_map(*known, F.lit("converged"), F.col("converged").cast("string"))
+    return fitted.select(
         F.lit(family).alias("model_type"),
         F.concat(F.lit(f"{family}_"), "target").alias("name"),
         KEY,
@@ -157,7 +166,7 @@ def fit(pack: DataFrame, config: TrainConfig, family: str) -> DataFrame:
         "coef",
         "sigma2",
         "n",
-        "scales",
+        scales_of_arrays(variables).alias("scales"),
         "error",
         F.current_timestamp().alias("trained_at"),
     )
@@ -170,114 +179,110 @@ def _ahead(series: np.ndarray, horizon: int, policy: str) -> np.ndarray:
     return np.full(horizon, series[-1])
 
 
-def _forecast_tasks(
-    shape: arma.Shape, d: int, seasonal_d: int, variables: list[str], horizon: int, policy: str
-):
-    reach = d + seasonal_d * shape.s
+def _forecast_tasks(columns: list[str], horizon: int, policy: str):
+    kept = ["station", "model", "target", "last_day"]
 
-    def emit(pdf: pd.DataFrame, path, shift, tail, message) -> pd.DataFrame:
-        out = pdf[["station", "target", "last_day", "center", "scale"]].copy()
-        out["path"], out["shift"], out["tail"], out["error"] = path, shift, tail, message
+    def emit(pdf: pd.DataFrame, path, message) -> pd.DataFrame:
+        out = pdf[kept].copy()
+        out["path"], out["error"] = path, message
         return out
 
     def failed(pdf: pd.DataFrame, message: str) -> pd.DataFrame:
-        return emit(pdf, None, None, None, message)
+        return emit(pdf, None, message)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, d, q, P, D, Q, s, count, const = pdf["setting"].iloc[0]
+        shape = model_shape((p, d, q), (P, D, Q, s), count, const)
         params = np.stack(list(pdf["coef"])).T
-        w, x, lengths = _blocks(pdf["levels"], d, seasonal_d, shape.s)
+        w, x, lengths = _blocks(pdf["levels"], d, D, s)
         path = arma.forecast(shape, params, w, x, lengths, horizon)
-        if not np.isfinite(path).all():
+        reach, n = d + D * s, len(pdf)
+        betas = params[int(const) : shape.first].T
+        tails, shifts = np.zeros((reach, n)), np.zeros((horizon, n))
+        for i, (beta, levels) in enumerate(zip(betas, pdf["levels"])):
+            last = np.stack([v[len(v) - reach :] for v in levels])
+            tails[:, i] = last[0] - beta @ last[1:]
+            if count:
+                shifts[:, i] = beta @ np.array([_ahead(v, horizon, policy) for v in levels[1:]])
+        levels = arma.integrated(path, tails, difference_weights(d, D, s)) + shifts
+        levels = levels * pdf["width"].to_numpy(float) + pdf["center"].to_numpy(float)
+        if not np.isfinite(levels).all():
             raise ValueError("forecast is not finite")
-        tails, shifts = [], []
-        for beta, levels in zip(params[int(shape.const) : shape.first].T, pdf["levels"]):
-            last = np.stack([s[len(s) - reach :] for s in levels])
-            future = np.array([_ahead(s, horizon, policy) for s in levels[1:]])
-            tails.append(last[0] - beta @ last[1:])
-            shifts.append(beta @ future if len(beta) else np.zeros(horizon))
-        return emit(pdf, list(path.T), shifts, tails, None)
+        return emit(pdf, list(levels.T), None)
+
+    def task(record, model) -> tuple:
+        """A model with its scaled series, or what is wrong with it."""
+        head = (record["station"], model["model_type"], model["target"], record["last_day"])
+        if model["error"] is not None or model["coef"] is None:
+            return *head, f"not trained: {model['error']}", None, None, None, None, None
+        if record["last_day"] is None:
+            return *head, NO_HISTORY, None, None, None, None, None
+        target, sarimax = model["target"], model["model_type"] == "sarimax"
+        chosen = model["regressors"] or model["variables"]
+        names = [target, *(regressors_of(target, chosen.split(",")) if sarimax else [])]
+        unknown = [c for c in names if c not in columns]
+        if unknown:
+            return *head, f"history lacks {unknown}", None, None, None, None, None
+        at = columns.index(target)
+        centers, widths = model["centers"], model["widths"]
+        levels = _scaled(record, names, columns, centers, widths)
+        setting = (*[int(model[f"order_{f}"]) for f in ORDER_FIELDS], len(names) - 1, not sarimax)
+        return *head, None, setting, centers[at], widths[at], model["coef"], levels
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for stations in chunks(frames, max(BATCH // len(variables), 1)):
-            rows = []
-            for record in stations.to_dict("records"):
-                for model in record["models"]:
-                    target, at = model["target"], variables.index(model["target"])
-                    centers, widths = model["centers"], model["widths"]
-                    names = _order(target, variables, shape.r)
-                    levels = _scaled(record, names, variables, centers, widths)
-                    rows.append(
-                        (record["station"], target, record["last_day"], centers[at], widths[at],
-                         model["coef"], levels)
-                    )
-            pdf = pd.DataFrame(
-                rows,
-                columns=["station", "target", "last_day", "center", "scale", "coef", "levels"],
-            )
-            yield from isolated(pdf, work, failed)
+        for stations in chunks(frames, max(BATCH // len(columns), 1)):
+            rows = [
+                task(record, model)
+                for record in stations.where(stations.notna(), None).to_dict("records")
+                for model in record["models"]
+            ]
+            names = [*kept, "error", "setting", "center", "width", "coef", "levels"]
+            pdf = pd.DataFrame(rows, columns=names)
+            lost = pdf["error"].notna()
+            if lost.any():
+                yield emit(pdf[lost], None, pdf.loc[lost, "error"])
+            for _, same in pdf[~lost].groupby("setting"):
+                yield from isolated(same.reset_index(drop=True), work, failed)
 
     return run
 
 
-def forecast(
-    models: DataFrame,
-    history: DataFrame,
-    order,
-    seasonal,
-    variables,
-    horizon: int,
-    family: str,
-    policy: str = "hold",
-) -> DataFrame:
-    """Forecast rows (station, target, last_day, step, value, error), unscaled.
-
-    ``models`` are registry rows of one family and one order; ``history`` is a
-    pack whose last day the forecast starts after. A station's models (one per
-    variable) travel together with its series.
+def forecast(models: DataFrame, history: DataFrame, horizon: int, policy: str = "hold") -> DataFrame:
+    """Forecast rows (station, model, target, last_day, step, value, error) in natural units.
+
+    ``models`` are registry rows of both seasonal families and of any orders;
+    ``history`` is a pack whose last day the forecast starts after. A station's
+    models travel together with its series; orders are grouped inside the task.
+    A model that cannot be run gives one row with its error.
     """
-    ship_package(models.sparkSession)
-    _, d, _ = order
-    _, seasonal_d, _, period = seasonal
-    regressors = len(variables) - 1 if family == "sarimax" else 0
-    shape = model_shape(order, seasonal, regressors)
+    spark = models.sparkSession
+    ship_package(spark)
     if policy not in ("hold", "head"):
         raise ValueError(f"unknown exog policy {policy!r}")
-    variables = list(variables)
-    model = F.struct("target", "coef", *scaler_arrays(variables))
+    columns = series_columns(history)
+    params = F.col("params")
+    model = F.struct(
+        "model_type", "target", "coef", "error",
+        *[params[f].alias(f"order_{f}") for f in ORDER_FIELDS],
+        params["variables"].alias("variables"), params["regressors"].alias("regressors"),
+        *scaler_arrays(columns),
+    )
     by_station = models.groupBy(KEY).agg(F.collect_list(model).alias("models"))
-    ready = by_station.join(history.select(KEY, "last_day", *variables), KEY).repartition(
-        task_count(models.sparkSession), KEY
-    )
-    tasks = _forecast_tasks(shape, d, seasonal_d, variables, horizon, policy)
-    paths = ready.mapInPandas(tasks, PATH_SCHEMA)
-    good = paths.filter(F.col("error").isNull())
-    steps = good.select(
-        KEY,
-        "target",
-        "last_day",
-        "center",
-        "scale",
-        "tail",
-        F.posexplode(F.arrays_zip("path", "shift")).alias("_pos", "_s"),
+    ready = by_station.join(history.select(KEY, "last_day", *columns), KEY, "left")
+    ready = ready.repartition(task_count(spark), KEY)
+    return forecast_steps(ready.mapInPandas(_forecast_tasks(columns, horizon, policy), PATH_SCHEMA))
+
+
+def series_columns(history: DataFrame) -> list[str]:
+    """The variables of a pack: its array columns."""
+    return [c for c, kind in history.dtypes if kind == "array<double>"]
+
+
+def forecast_steps(paths: DataFrame) -> DataFrame:
+    """One row per step of each path; a path that failed keeps one row with its error."""
+    return paths.select(
+        KEY, "model", "target", "last_day", "error", F.posexplode_outer("path").alias("pos", "value")
     ).select(
-        KEY,
-        "target",
-        "last_day",
-        "center",
-        "scale",
-        "tail",
-        (F.col("_pos") + 1).alias("step"),
-        F.col("_s.path").alias("value"),
-        F.col("_s.shift").alias("shift"),
-    )
-    values = integrate_forecast(steps, [KEY, "target"], "value", "tail", d, seasonal_d, period)
-    unscaled = (F.col("value") + F.col("shift")) * F.col("scale") + F.col("center")
-    done = values.select(
-        KEY, "target", "last_day", "step", unscaled.alias("value"),
-        F.lit(None).cast("string").alias("error"),
-    )
-    lost = paths.filter(F.col("error").isNotNull()).select(
-        KEY, "target", "last_day",
-        F.lit(None).cast("int").alias("step"), F.lit(None).cast("double").alias("value"), "error",
-    )
-    return done.unionByName(lost)
+        KEY, "model", "target", "last_day", (F.col("pos") + 1).alias("step"), "value", "error",
+        F.date_add("last_day", F.col("pos") + 1).alias(DAY),
+    )

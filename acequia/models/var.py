@@ -1,8 +1,9 @@
-"""Vector autoregression and the windowed forecaster, from shared cross-products.
+"""Vector autoregression and the windowed forecaster, from cross-products.
 
-One pass over the series gives each station's cross-product matrix. Long
-series are cut into blocks that overlap by the lag count, so a station's
-matrix is the sum of partial ones and no task needs a whole series.
+A station's packed series gives its cross-product matrix in one pass: blocks
+that overlap by the lag count are multiplied one after another and added up in
+the task, so neither the design nor the blocks' matrices leave it. Order
+choice, refit and solution follow from that matrix in the same task.
 """
 
 from __future__ import annotations
@@ -14,22 +15,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acequia.functions.arrays import tail
 from acequia.models import linear
 from acequia.models.batches import chunks, isolated
-from acequia.operators.scaling import entry
+from acequia.models.sarima import NO_HISTORY, forecast_steps, series_columns
+from acequia.operators.scaling import entry, scales_of_arrays
 from acequia.schema import KEY, TrainConfig
 from acequia.session import ship_package, task_count
 
 BLOCK_DAYS = 1024
-MOMENT_SCHEMA = (
-    "station bigint, block int, n bigint, gram array<double>, head array<double>"
-)
+#: Stations for one task.
+STATIONS_PER_TASK = 256
+MOMENT_SCHEMA = "station bigint, n bigint, gram array<double>, head array<double>"
 SOLVE_SCHEMA = (
     "station bigint, p int, coef array<double>, sigma2 double, n bigint, "
-    "criteria array<double>, error string"
+    "criteria array<double>, error string, centers array<double>, widths array<double>"
+)
+PATH_SCHEMA = (
+    "station bigint, model string, target string, last_day date, path array<double>, error string"
 )
-PATH_SCHEMA = "station bigint, last_day date, target string, path array<double>, error string"
 
 
 def _scalers(columns, scales: str | None) -> list[Column]:
@@ -51,160 +54,115 @@ def _scaled_block(row, columns) -> np.ndarray:
     return (block - row["centers"]) / row["widths"]
 
 
-def lag_blocks(
-    pack: DataFrame, columns, lags: int, scales: str | None = "scales", days: int = BLOCK_DAYS
-) -> DataFrame:
-    """Overlapping slices: block b predicts rows [b*days + lags, (b+1)*days + lags)."""
-    last = F.ceil((F.col("n") - lags) / F.lit(days)).cast("int") - 1
-    levels = pack.filter(F.col("n") > lags).select(
-        KEY, "n", *columns, *_scalers(columns, scales)
-    )
-    return levels.select(
-        KEY,
-        F.explode(F.sequence(F.lit(0), last)).alias("block"),
-        *columns,
-        "centers",
-        "widths",
-    ).select(
-        KEY,
-        "block",
-        "centers",
-        "widths",
-        *[F.slice(c, F.col("block") * days + 1, days + lags).alias(c) for c in columns],
-    )
+def station_moments(block: np.ndarray, lags: int, days: int | None = None) -> np.ndarray:
+    """Cross-products of a whole series, a block of ``days`` rows at a time."""
+    days, total = days or BLOCK_DAYS, 0.0
+    for at in range(0, len(block) - lags, days):
+        total = total + linear.cross_products(block[at : at + days + lags], lags)
+    return total
+
+
+def _spread(pack: DataFrame, columns, scales: str | None) -> DataFrame:
+    """Packed series with their scalers, in tasks of a bounded number of stations."""
+    spark = pack.sparkSession
+    ship_package(spark)
+    tasks = task_count(spark, pack.count(), STATIONS_PER_TASK)
+    return pack.select(KEY, "n", *columns, *_scalers(columns, scales)).repartition(tasks, KEY)
 
 
-def moments(blocks: DataFrame, columns, lags: int) -> DataFrame:
-    """Partial cross-products (upper triangle) per block; the first also keeps its head."""
+def moments(pack: DataFrame, columns, lags: int, scales: str | None = "scales") -> DataFrame:
+    """Cross-products (upper triangle) of each station longer than ``lags``, and its first days."""
     columns = list(columns)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in chunks(frames, 64):
-            grams, heads, counts = [], [], []
+            grams, heads = [], []
             for row in pdf.to_dict("records"):
                 block = _scaled_block(row, columns)
-                grams.append(linear.upper(linear.cross_products(block, lags)))
-                heads.append(block[:lags].ravel() if row["block"] == 0 else None)
-                counts.append(len(block) - lags)
-            out = pdf[["station", "block"]].copy()
-            out["n"], out["gram"], out["head"] = counts, grams, heads
+                grams.append(linear.upper(station_moments(block, lags)))
+                heads.append(block[:lags].ravel())
+            out = pdf[["station"]].copy()
+            out["n"], out["gram"], out["head"] = pdf["n"] - lags, grams, heads
             yield out
 
-    ship_package(blocks.sparkSession)
-    spread = blocks.repartition(task_count(blocks.sparkSession), KEY, "block")
-    return spread.mapInPandas(run, MOMENT_SCHEMA)
+    return _spread(pack.filter(F.col("n") > lags), columns, scales).mapInPandas(run, MOMENT_SCHEMA)
 
 
-def gram_entries(partial: DataFrame, columns, lags: int) -> DataFrame:
-    """Cross-products summed over blocks, as (station, term_a, term_b, value) rows."""
+def gram_entries(moments: DataFrame, columns, lags: int) -> DataFrame:
+    """Cross-products as (station, term_a, term_b, value) rows."""
     terms = ["const"] + [f"{c}_lag{i}" for i in range(lags + 1) for c in columns]
     rows, cols = np.triu_indices(len(terms))
-    names = F.array(
-        *[
-            F.struct(F.lit(terms[i]).alias("term_a"), F.lit(terms[j]).alias("term_b"))
-            for i, j in zip(rows, cols)
-        ]
-    )
-    return (
-        partial.select(KEY, F.posexplode("gram").alias("pos", "value"))
-        .groupBy(KEY, "pos")
-        .agg(F.sum("value").alias("value"))
-        .select(KEY, F.element_at(names, F.col("pos") + 1).alias("_t"), "value")
-        .select(KEY, "_t.term_a", "_t.term_b", "value")
-    )
+    named = [(n, terms[i], terms[j]) for n, (i, j) in enumerate(zip(rows.tolist(), cols.tolist()))]
+    # one row for each pair of terms, whatever the number of stations
+    names = moments.sparkSession.createDataFrame(named, "pos int, term_a string, term_b string")
+    entries = moments.select(KEY, F.posexplode("gram").alias("pos", "value"))
+    return entries.join(F.broadcast(names), "pos").select(KEY, "term_a", "term_b", "value")
 
 
-def _solve_tasks(k: int, lags: int, ic: str | None, ridge: float):
-    size = 1 + k * (lags + 1)
+def _solve_tasks(columns: list[str], lags: int, ic: str | None, ridge: float, needed: int):
+    k = len(columns)
+    names = ["station", "p", "coef", "sigma2", "n", "criteria", "error", "centers", "widths"]
 
     def failed(pdf: pd.DataFrame, message: str) -> pd.DataFrame:
-        out = pdf[["station", "n"]].copy()
+        out = pdf[["station", "n", "centers", "widths"]].copy()
         out["p"], out["coef"], out["sigma2"], out["criteria"] = None, None, np.nan, None
         out["error"] = message
-        return out[["station", "p", "coef", "sigma2", "n", "criteria", "error"]]
+        return out[names]
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in pdf.to_dict("records"):
-            gram = linear.symmetric(np.sum(np.stack(list(row["grams"])), axis=0), size)
+            block = _scaled_block(row, columns)
+            gram = station_moments(block, lags)
             if not np.isfinite(gram).all():
                 raise ValueError("series has gaps")
-            n, table, p = int(row["n"]), None, lags
+            n, table, p = len(block) - lags, None, lags
             if ic is not None:
                 table = linear.criteria(gram, n, k, lags)
                 scores = table[:, linear.CRITERIA.index(ic)]
                 if not np.isfinite(scores).any():
                     raise ValueError("variables are collinear or the series is too short")
                 p = int(np.argmin(scores))
-                head = np.asarray(row["head"], dtype=float).reshape(lags, k)
-                gram = linear.refit_gram(gram, head, k, lags, p)
+                gram = linear.refit_gram(gram, block[:lags], k, lags, p)
                 n += lags - p
             coef, errors = linear.regress(gram, k, p, ridge)
+            sigma2 = float(np.trace(errors)) / (k * n)
+            criteria = None if table is None else table.ravel()
             out.append(
-                (
-                    row["station"],
-                    p,
-                    coef.ravel(),
-                    float(np.trace(errors)) / (k * n),
-                    n,
-                    None if table is None else table.ravel(),
-                    None,
-                )
+                (row["station"], p, coef.ravel(), sigma2, n, criteria, None, row["centers"], row["widths"])
             )
-        return pd.DataFrame(
-            out, columns=["station", "p", "coef", "sigma2", "n", "criteria", "error"]
-        )
+        return pd.DataFrame(out, columns=names)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in chunks(frames):
-            yield from isolated(pdf, work, failed)
+            short = pdf["n"] < needed
+            if short.any():
+                yield failed(pdf[short], f"series too short: at least {needed} days needed")
+            if not short.all():
+                yield from isolated(pdf[~short].reset_index(drop=True), work, failed)
 
     return run
 
 
-def solve(partial: DataFrame, k: int, lags: int, ic: str | None, ridge: float = 0.0) -> DataFrame:
-    """One row per station: order, coefficients, error variance, criteria table.
+def solve(
+    pack: DataFrame, columns, lags: int, ic: str | None, ridge: float = 0.0, scales: str = "scales"
+) -> DataFrame:
+    """One row per station: order, coefficients, error variance, criteria table, scalers.
 
     With ``ic`` the order is chosen on the common sample and refitted on every
-    row it can use; without it the order is ``lags``. A station brings one
-    partial matrix per ``BLOCK_DAYS`` of its calendar.
+    row it can use; without it the order is ``lags``. From the packed series to
+    the coefficients there is one exchange, which spreads the stations.
     """
-    ship_package(partial.sparkSession)
-    stations = partial.groupBy(KEY).agg(
-        F.sum("n").alias("n"),
-        F.collect_list("gram").alias("grams"),
-        F.max("head").alias("head"),
-    )
-    return stations.repartition(task_count(partial.sparkSession), KEY).mapInPandas(
-        _solve_tasks(k, lags, ic, ridge), SOLVE_SCHEMA
-    )
-
-
-def _too_short(pack: DataFrame, needed: int) -> DataFrame:
-    none = F.lit(None)
-    return pack.filter(F.col("n") < needed).select(
-        KEY,
-        none.cast("int").alias("p"),
-        none.cast("array<double>").alias("coef"),
-        none.cast("double").alias("sigma2"),
-        F.col("n"),
-        none.cast("array<double>").alias("criteria"),
-        F.lit(f"series too short: at least {needed} days needed").alias("error"),
-    )
-
-
-def _fit(pack, columns, lags, ic, ridge, scales) -> DataFrame:
-    k = len(columns)
+    columns, k = list(columns), len(columns)
     # the penalty makes any sample solvable, ordinary least squares needs a full one
     needed = lags + 2 if ridge else lags + k * lags + 2
-    enough = pack.filter(F.col("n") >= needed)
-    partial = moments(lag_blocks(enough, columns, lags, scales), columns, lags)
-    return solve(partial, k, lags, ic, ridge).unionByName(_too_short(pack, needed))
+    tasks = _solve_tasks(columns, lags, ic, ridge, needed)
+    return _spread(pack, columns, scales).mapInPandas(tasks, SOLVE_SCHEMA)
 
 
 def fit_orders(pack: DataFrame, config: TrainConfig) -> DataFrame:
     """VAR solutions with their criteria table (see ``lag_selection``)."""
-    return _fit(pack, config.variables, config.maxlags, config.ic, 0.0, "scales")
+    return solve(pack, config.variables, config.maxlags, config.ic)
 
 
 def lag_selection(solutions: DataFrame) -> DataFrame:
@@ -232,17 +190,17 @@ def lag_selection(solutions: DataFrame) -> DataFrame:
 def fit(pack: DataFrame, config: TrainConfig, family: str = "var") -> DataFrame:
     """Registry rows: 'var' (order by criterion) or 'window' (fixed length, ridge)."""
     if family == "var":
-        solved, scales = fit_orders(pack, config), "scales"
+        solved, kind = fit_orders(pack, config), None
     else:
-        scales = "ranges"
-        solved = _fit(pack, config.variables, config.window, None, config.ridge, scales)
+        solved = solve(pack, config.variables, config.window, None, config.ridge, "ranges")
+        kind = "minmax"
     settings = F.create_map(
         F.lit("p"),
         F.col("p").cast("string"),
         F.lit("variables"),
         F.lit(",".join(config.variables)),
     )
-    return solved.join(pack.select(KEY, F.col(scales).alias("scales")), KEY).select(
+    return solved.select(
         F.lit(family).alias("model_type"),
         F.lit(f"{family}_multivariate").alias("name"),
         KEY,
@@ -251,77 +209,91 @@ def fit(pack: DataFrame, config: TrainConfig, family: str = "var") -> DataFrame:
         "coef",
         "sigma2",
         "n",
-        "scales",
+        scales_of_arrays(config.variables, kind).alias("scales"),
         "error",
         F.current_timestamp().alias("trained_at"),
     )
 
 
 def _forecast_tasks(columns: list[str], horizon: int):
-    k = len(columns)
+    kept = ["station", "model", "last_day"]
 
-    def emit(pdf: pd.DataFrame, paths, message) -> pd.DataFrame:
-        out = pdf[["station", "last_day"]].loc[pdf.index.repeat(k)].reset_index(drop=True)
-        out["target"] = list(columns) * len(pdf)
-        out["path"], out["error"] = paths, message
-        return out
+    def emit(pdf: pd.DataFrame, targets, paths, message) -> pd.DataFrame:
+        out = pdf[kept].copy()
+        out["target"], out["path"], out["error"] = targets, paths, message
+        return out[["station", "model", "target", "last_day", "path", "error"]]
 
     def failed(pdf: pd.DataFrame, message: str) -> pd.DataFrame:
-        return emit(pdf, None, message)
+        return emit(pdf, "multivariate", None, message)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = int(pdf["p"].iloc[0])
+        names, p = pdf["names"].iloc[0], int(pdf["p"].iloc[0])
+        k = len(names)
+        at = [columns.index(c) for c in names]
         coef = np.stack([np.reshape(c, (1 + k * p, k)) for c in pdf["coef"]])
-        blocks = [_scaled_block(row, columns) for row in pdf.to_dict("records")]
-        state = np.stack([b[len(b) - p :] for b in blocks])
-        path = linear.recurse(coef, state, horizon)
+        centers = np.stack(list(pdf["centers"]))[:, at].astype(float)
+        widths = np.stack(list(pdf["widths"]))[:, at].astype(float)
+        levels = []
+        for row in pdf.to_dict("records"):
+            block = np.column_stack([row[c] for c in names])
+            levels.append(block[len(block) - p :])
+        state = (np.stack(levels).astype(float) - centers[:, None]) / widths[:, None]
+        path = linear.recurse(coef, state, horizon) * widths[:, None] + centers[:, None]
         if not np.isfinite(path).all():
             raise ValueError("forecast is not finite")
-        return emit(pdf, list(path.transpose(0, 2, 1).reshape(-1, horizon)), None)
+        many = pdf.loc[pdf.index.repeat(k)].reset_index(drop=True)
+        return emit(many, list(names) * len(pdf), list(path.transpose(0, 2, 1).reshape(-1, horizon)), None)
+
+    def problem(row) -> str | None:
+        if row["error"] is not None or row["coef"] is None:
+            return f"not trained: {row['error']}"
+        if row["last_day"] is None:
+            return NO_HISTORY
+        unknown = [c for c in row["names"] if c not in columns]
+        if unknown:
+            return f"history lacks {unknown}"
+        if len(row[row["names"][0]]) < row["p"]:
+            return f"history shorter than {row['p']} days"
+        return None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in chunks(frames, 512):
-            for _, same in pdf.groupby("p"):
+            pdf = pdf.astype(object).where(pdf.notna(), None)
+            pdf["names"] = pdf["variables"].map(lambda v: tuple(v.split(",")))
+            message = pdf.apply(problem, axis=1)
+            lost = message.notna()
+            if lost.any():
+                yield emit(pdf[lost], "multivariate", None, message[lost])
+            for _, same in pdf[~lost].groupby(["names", "p"]):
                 yield from isolated(same.reset_index(drop=True), work, failed)
 
     return run
 
 
-def forecast(
-    models: DataFrame, history: DataFrame, variables, horizon: int, longest: int
-) -> DataFrame:
-    """Forecast rows (station, target, last_day, step, value, error), unscaled.
+def forecast(models: DataFrame, history: DataFrame, horizon: int) -> DataFrame:
+    """Forecast rows (station, model, target, last_day, step, value, error) in natural units.
 
-    Only the last ``longest`` days of a station travel to the recursion.
+    ``models`` are registry rows of both multivariate families and of any
+    order. Only the last days that a model's order asks for travel to the
+    recursion. A model that cannot be run gives one row with its error.
     """
-    ship_package(models.sparkSession)
-    columns = list(variables)
-    joined = models.select(
-        KEY, F.col("params")["p"].cast("int").alias("p"), "coef", "scales"
-    ).join(
-        history.select(
-            KEY, "last_day", *[tail(F.col(c), max(longest, 1)).alias(c) for c in columns]
-        ),
-        KEY,
-    )
+    spark = models.sparkSession
+    ship_package(spark)
+    columns = series_columns(history)
+    p = F.col("params")["p"].cast("int")
+    known = models.select(
+        KEY, F.col("model_type").alias("model"), p.alias("p"),
+        F.col("params")["variables"].alias("variables"), "coef", "error", *_scalers(columns, "scales"),
+    )
+    joined = known.join(history.select(KEY, "last_day", *columns), KEY, "left")
+    days = F.greatest(F.coalesce("p", F.lit(1)), F.lit(1))
+
+    def recent(c: str) -> Column:
+        kept = F.least(days, F.size(c))
+        return F.slice(c, F.size(c) - kept + 1, kept).alias(c)
+
     state = joined.select(
-        KEY, "p", "coef", "last_day", *columns, *_scalers(columns, "scales")
-    ).repartition(task_count(models.sparkSession), KEY)
-    paths = state.mapInPandas(_forecast_tasks(columns, horizon), PATH_SCHEMA)
-    by_target = models.select(KEY, F.explode("scales").alias("target", "_p"))
-    rows = paths.filter(F.col("error").isNull()).join(by_target, [KEY, "target"])
-    done = rows.select(
-        KEY, "target", "last_day", "_p", F.posexplode("path").alias("_pos", "_v")
-    ).select(
-        KEY,
-        "target",
-        "last_day",
-        (F.col("_pos") + 1).alias("step"),
-        (F.col("_v") * F.col("_p.scale") + F.col("_p.center")).alias("value"),
-        F.lit(None).cast("string").alias("error"),
-    )
-    lost = paths.filter(F.col("error").isNotNull()).select(
-        KEY, "target", "last_day",
-        F.lit(None).cast("int").alias("step"), F.lit(None).cast("double").alias("value"), "error",
-    )
-    return done.unionByName(lost)
+        KEY, "model", "p", "variables", "coef", "error", "centers", "widths", "last_day",
+        *[recent(c) for c in columns],
+    ).repartition(task_count(spark), KEY)
+    return forecast_steps(state.mapInPandas(_forecast_tasks(columns, horizon), PATH_SCHEMA))

@@ -83,14 +83,15 @@ def unify_forecasts(
 
 
 def missing_variables(
-    forecasts: DataFrame, keys=("model", KEY), columns=VARIABLES
+    forecasts: DataFrame, keys=("model", KEY), columns=VARIABLES, reasons: str | None = None
 ) -> DataFrame:
-    """Models that lack a forecast for some variable, and which ones."""
+    """Models that lack a forecast for some variable, and which ones.
+
+    ``reasons`` names a column of messages; the distinct ones are listed as well.
+    """
     present = F.collect_set(F.when(F.col("value").isNotNull(), F.col("variable")))
-    return (
-        forecasts.groupBy(*keys)
-        .agg(
-            F.array_except(F.array(*[F.lit(c) for c in columns]), present).alias("missing")
-        )
-        .filter(F.size("missing") > 0)
-    )
+    every = F.array(*[F.lit(c) for c in columns])
+    found = [F.array_except(every, present).alias("missing")]
+    if reasons:
+        found.append(F.array_sort(F.collect_set(reasons)).alias("reasons"))
+    return forecasts.groupBy(*keys).agg(*found).filter(F.size("missing") > 0)

@@ -68,6 +68,41 @@ def entry(variable, scales: str = "scales") -> Column:
     return F.col(scales)[variable]
 
 
+def scales_of_arrays(
+    variables, kind: str | None = None, centers: str = "centers", widths: str = "widths"
+) -> Column:
+    """The ``scales`` map again, from two arrays in the order of ``variables``."""
+    entries = []
+    for i, c in enumerate(variables):
+        chosen = F.lit(kind or SCALER_KINDS.get(c, "standard")).alias("kind")
+        center = F.col(centers)[i].alias("center")
+        entries += [F.lit(c), F.struct(chosen, center, F.col(widths)[i].alias("scale"))]
+    return F.create_map(*entries)
+
+
+def fit_and_scale(
+    df: DataFrame, columns=VARIABLES, kind: str | None = None, undo: bool = False
+) -> DataFrame:
+    """Rows scaled by the parameters of their own station, and back again with ``undo``.
+
+    Parameters and rows come out of one aggregate by station, so a series is
+    read once and nothing is joined; its rows are bounded by its days. With
+    ``undo`` the columns hold the readings scaled and scaled back.
+    """
+    rest = [c for c in df.columns if c != KEY]
+    packed = df.groupBy(KEY).agg(
+        F.collect_list(F.struct(*rest)).alias("_rows"), scales_map(columns, kind).alias("scales")
+    )
+    rows = packed.select(KEY, "scales", F.inline("_rows"))
+
+    def scaled(c: str) -> Column:
+        center, width = entry(c)["center"], entry(c)["scale"]
+        out = (F.col(c) - center) / width
+        return out * width + center if undo else out
+
+    return rows.withColumns({c: scaled(c) for c in columns}).drop("scales")
+
+
 def apply_scales(df: DataFrame, scales: DataFrame, columns=VARIABLES) -> DataFrame:
     """(x - center) / scale for every column, parameters joined by station.
 

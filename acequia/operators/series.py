@@ -37,18 +37,19 @@ def label_split(df: DataFrame, test_size: int) -> DataFrame:
     )
 
 
-def temporal_train_test_split(df: DataFrame, test_size: int) -> tuple[DataFrame, DataFrame]:
-    """(train, test) frames; a test part as long as a series raises."""
+def labelled_split(df: DataFrame, test_size: int) -> DataFrame:
+    """``df`` with ``split`` 'train' or 'test'; a test part as long as a series raises."""
     if test_size < 0:
         raise ValueError("test_size must not be negative")
     problem = F.concat_ws(" ", F.lit("test_size leaves no training rows for station"),
                           F.col(KEY).cast("string"))
-    labelled = label_split(df, test_size).withColumn(
-        "split",
-        F.when(F.col("split") == "short", F.raise_error(problem).cast("string")).otherwise(
-            F.col("split")
-        ),
-    )
+    short = F.when(F.col("split") == "short", F.raise_error(problem).cast("string"))
+    return label_split(df, test_size).withColumn("split", short.otherwise(F.col("split")))
+
+
+def temporal_train_test_split(df: DataFrame, test_size: int) -> tuple[DataFrame, DataFrame]:
+    """(train, test) frames; who needs both at once reads ``labelled_split`` instead."""
+    labelled = labelled_split(df, test_size)
     return (
         labelled.filter(F.col("split") == "train").drop("split"),
         labelled.filter(F.col("split") == "test").drop("split"),

@@ -194,8 +194,8 @@ REGISTRY = _on_filled(
     AR,
 )
 
-NAMES = """names as (select p_partkey, case p_size % 5 when 0 then 'sarima_' when 1 then 'SARIMAX_'
-    when 2 then 'var_' when 3 then 'lstm_' else 'prophet_' end || replace(p_name, ' ', '_') || '_model'
+NAMES = """names as (select p_partkey, case p_size % 6 when 0 then 'sarima_' when 1 then 'SARIMAX_'
+    when 2 then 'var_' when 3 then 'lstm_' when 4 then 'prophet_' else 'sarimax_' end || replace(p_name, ' ', '_') || '_model'
   as name from part)"""
 
 HEADINGS = (
@@ -208,31 +208,33 @@ HEADINGS = (
     ("Humedad relativa", "rh", "standard"),
 )
 
-GRAM_TERMS = ["const"] + [f"{v}_lag{i}" for i in (0, 1) for v in VARS]
+GRAM_LAGS = 15
+GRAM_TERMS = ["const"] + [f"{v}_lag{i}" for i in range(GRAM_LAGS + 1) for v in VARS]
 
 
 def _gram() -> str:
     scaled = "scaled as (select w.station, w.day, {} from whole w join scales s using (station))".format(
         ", ".join(f"({v} - c_{v}) / s_{v} as {v}" for v in VARS)
     )
-    lagged = "lagged as (select station, day, {} from scaled window w as (partition by station order by day))".format(
-        ", ".join(f"{v} as {v}_lag0, lag({v}) over w as {v}_lag1" for v in VARS)
+    lagged = "lagged as (select station, day, 1e0 as const, {} from scaled window w as (partition by station order by day))".format(
+        ", ".join(f"lag({v}, {i}) over w as {v}_lag{i}" for i in range(GRAM_LAGS + 1) for v in VARS)
     )
-    sums = ", ".join(
-        f"sum({a} * {b}) as g{i}_{j}"
-        for i, a in enumerate(["1e0", *GRAM_TERMS[1:]])
-        for j, b in enumerate(["1e0", *GRAM_TERMS[1:]])
-        if j >= i
+    pairs = [(a, b) for i, a in enumerate(GRAM_TERMS[: 1 + len(VARS)]) for b in GRAM_TERMS[i:]]
+    sums = ", ".join(f"sum({a} * {b}) as g{k}" for k, (a, b) in enumerate(pairs))
+    gram = (
+        f"gram as (select station, count(*) as n, {sums} from lagged "
+        f"where rh_lag{GRAM_LAGS} is not null group by station)"
     )
-    gram = f"gram as (select station, {sums} from lagged where rh_lag1 is not null group by station)"
-    rows = " union all ".join(
-        f"select station, '{a}' as term_a, '{b}' as term_b, cast(g0_0 as bigint) as n, "
-        f"round(g{i}_{j} / g0_0, 6) as value from gram"
-        for i, a in enumerate(GRAM_TERMS)
-        for j, b in enumerate(GRAM_TERMS)
-        if j >= i
+    items = ", ".join(f"{{'a': '{a}', 'b': '{b}', 'v': g{k}}}" for k, (a, b) in enumerate(pairs))
+    return _on_filled(
+        f"""select station, x.a as term_a, x.b as term_b, n, round(x.v / n, 6) as value
+  from (select station, n, unnest([{items}]) as x from gram)""",
+        WHOLE,
+        _scales("whole"),
+        scaled,
+        lagged,
+        gram,
     )
-    return _on_filled(rows, WHOLE, _scales("whole"), scaled, lagged, gram)
 
 
 def _head_tail(source: str, k: int, select: str) -> str:
@@ -292,16 +294,16 @@ def _normal_equations() -> str:
     )
 
 
+def _lagged(v: str, lag: int) -> str:
+    return _single(_natural(v, f"lag({v}, {lag}) over w"))
+
+
 def _sequences() -> str:
-    shown = [f"{v}_{i}" for v in ("temp_c", "rh", "wind_ms") for i in (1, 6, 12, 18, 24, 30)]
-    lags = ", ".join(
-        _single(f"lag({name.rsplit('_', 1)[0]}, {31 - int(name.rsplit('_', 1)[1])}) over w")
-        + f" as {name}"
-        for name in shown
-    )
+    lags = ", ".join(f"{_lagged(v, 31 - i)} as {v}_{i}" for v in VARS for i in range(1, 31))
+    targets = ", ".join(f"{_single(_natural(v))} as target_{v}" for v in VARS)
     return _on_filled(
-        f"""select station, day, cast(30 as bigint) as length, target_temp_c, {", ".join(shown)}
-  from (select station, day, row_number() over w as rn, {_single("temp_c")} as target_temp_c, {lags}
+        f"""select * exclude (rn) from (select station, day, cast(30 as bigint) as length,
+    row_number() over w as rn, {targets}, {lags}
     from whole window w as (partition by station order by day))
   where rn > 30""",
         WHOLE,
@@ -356,6 +358,18 @@ PAIR = """two as (select station, day, temp_c, rh from filled
 moves as (select station, day, temp_c, rh, temp_c - lag(temp_c) over w as dt, rh - lag(rh) over w as dr
   from two window w as (partition by station order by day))"""
 
+DRIFT = """drift as (select station, variable, last_day + cast(step as integer) as day,
+    cast(step as bigint) as step, last_level + step * mean as value
+  from (select station, variable, max(day) as last_day, arg_max(level, day) as last_level, avg(w) as mean
+    from ({}) group by station, variable)
+  cross join (select unnest(generate_series(1, 45)) as step))""".format(
+    " union all ".join(
+        f"select station, '{v}' as variable, day, {v} as level, "
+        f"{v} - lag({v}) over (partition by station order by day) as w from whole"
+        for v in VARS
+    )
+)
+
 ORACLES = {
     "sarima_plain_fit": _on_filled(
         f"""select a.station, a.variable, a.n, round(phi, 4) as phi,
@@ -378,12 +392,19 @@ ORACLES = {
     ),
     "sarimax_plain_forecast": _on_filled(
         """select 'sarimax' as model, station, variable, last_day + cast(step as integer) as day,
-    cast(step as bigint) as step, round(value, 4) as value
-  from (select station, 'temp_c' as variable, max(day) as last_day, arg_max(temp_c, day) as value
-      from two group by station
-    union all select station, 'rh', max(day), arg_max(rh, day) from two group by station)
-  cross join (select unnest(generate_series(1, 45)) as step)""",
+    cast(step as bigint) as step,
+    round(last_y + case when n < 45 then 0e0 else slope * (x - last_x) end, 4) as value
+  from ends join ahead using (station, variable)""",
         PAIR,
+        """sides as (select station, 'temp_c' as variable, day, temp_c as y, rh as x, dt as dy, dr as dx from moves
+  union all select station, 'rh', day, rh, temp_c, dr, dt from moves),
+ends as (select station, variable, max(day) as last_day, arg_max(y, day) as last_y,
+    arg_max(x, day) as last_x, sum(dy * dx) / sum(dx * dx) as slope, count(*) as n
+  from sides group by station, variable),
+placed as (select station, variable, x, row_number() over (partition by station, variable order by day) as step
+  from sides),
+ahead as (select station, variable, step, x from (select distinct station, variable from sides)
+  cross join (select unnest(generate_series(1, 45)) as step) left join placed using (station, variable, step))""",
     ),
     "var_single_selection": _on_filled(
         """select station, cast(p as bigint) as p, round(ld + 2e0 / t * free, 5) as aic,
@@ -399,6 +420,19 @@ ORACLES = {
         f"select station, day, 'FECHA_registro' as date_column, {_round()} from climate"
     ),
     "union_years": _on_climate(f"select station, day, {_round()} from climate"),
+    "union_mixed_headings": _on_climate(
+        f"""select station, day, {_round()}, case when station % 3 = 2
+    then cast(cast(temp_c / 2 as float) as double) end as "Humedad del suelo" from climate"""
+    ),
+    "dataset_profile": _on_climate(
+        """select folder, size as has_size, columns, rows, rows > 365 as recommended, message from (
+    select 'lower' as folder, true as size, '["station","Fecha","temp_c"]' as columns,
+      count(*) filter (station % 2 = 0) as rows, cast(null as varchar) as message from climate
+    union all select 'upper', true, '["station","Fecha","temp_c"]', count(*) filter (station % 2 = 1), null from climate
+    union all select 'quoted', true, '["station","Fecha","Temperatura, media \\"2 m\\""]', least(count(*), 9), null from climate
+    union all select 'hollow', false, null, 0, 'empty file'
+    union all select 'undated', true, '["station","temp_c"]', count(*), 'no date column' from climate)"""
+    ),
     "union_tagged": _on_climate(
         """select 'mini_1' as probe, station, day, cast(cast(temp_c as float) as double) as temp_c,
     cast(cast(rh as float) as double) as rh, cast(null as double) as wind_ms from climate
@@ -456,7 +490,8 @@ ORACLES = {
     ),
     "model_family": _with(
         """select p_partkey, replace(name, '_model', '') as bare,
-    case when starts_with(name, 'sarima_') then 'sarima' else replace(name, '_model', '') end as family,
+    case when starts_with(name, 'sarima_') then 'sarima'
+      when starts_with(name, 'sarimax_') then 'sarimax' else replace(name, '_model', '') end as family,
     upper(substr(name, 1, 31)) as sheet from names""",
         NAMES,
     ),
@@ -518,9 +553,8 @@ ORACLES = {
     "interpolate_time": _on_filled(f"select station, day, {_round()} from filled"),
     "complete_series": _on_filled(f"select station, day, {_round()} from filled"),
     "temporal_split": _on_climate(
-        """select station, day, case when row_number() over (partition by station order by day desc)
-    <= 180 then 'test' else 'train' end as part, cast(cast(temp_c as float) as double) as temp_c
-  from climate"""
+        f"""select station, day, case when row_number() over (partition by station order by day desc)
+    <= 180 then 'test' else 'train' end as part, {_round()} from climate"""
     ),
     "split_bounds": _on_climate(
         """select station, n, cast(floor(n * 0.2e0 + 0.5e0) as bigint) as default_test,
@@ -537,9 +571,10 @@ ORACLES = {
         WHOLE,
     ),
     "window_shift": _on_filled(
-        """select station, 29 - rn as pos, cast(cast(temp_c as float) as double) as temp_c
+        f"""select station, 29 - rn as pos, {", ".join(f"{_single(v)} as {v}" for v in VARS)}
   from (select *, row_number() over (partition by station order by day desc) as rn from whole)
-  where rn <= 29 union all select distinct station, cast(29 as bigint), 1.5e0 from whole""",
+  where rn <= 29
+  union all select distinct station, cast(29 as bigint), {", ".join("1.5e0" for _ in VARS)} from whole""",
         WHOLE,
     ),
     "seasonal_difference": _on_filled(
@@ -549,16 +584,18 @@ ORACLES = {
         WHOLE,
     ),
     "lag_matrix": _on_filled(
-        "select station, day, {} as temp_c, {} from whole "
+        "select station, day, {}, {} from whole "
         "window w as (partition by station order by day)".format(
-            _single("temp_c"),
-            ", ".join(f"{_single(f'lag(temp_c, {i}) over w')} as temp_c_lag{i}" for i in range(1, 16)),
+            _round(),
+            ", ".join(f"{_lagged(v, i)} as {v}_lag{i}" for v in VARS for i in range(1, 16)),
         ),
         WHOLE,
     ),
     "integrate_forecast": _on_filled(
-        """select station, day, cast(cast(temp_c as float) as double) as temp_c
-  from (select *, row_number() over (partition by station order by day desc) as rn from whole)
+        "select station, day, {}".format(
+            ", ".join(f"{_single(f'round({_natural(v)}, 9)')} as {v}" for v in VARS)
+        )
+        + """ from (select *, row_number() over (partition by station order by day desc) as rn from whole)
   where rn <= 45""",
         WHOLE,
     ),
@@ -597,7 +634,7 @@ ORACLES = {
     "exog_future_head": _exog("head"),
     "future_days": _on_climate(
         """select station, last_day, step, last_day + cast(step as integer) as day
-  from (select station, last_day, unnest(generate_series(1, least(asked, 365))) as step
+  from (select station, last_day, unnest(generate_series(1, asked)) as step
     from (select station, max(day) as last_day, count(*) as asked from climate group by station))"""
     ),
     "sarima_ar_fit": _on_filled(
@@ -612,9 +649,10 @@ ORACLES = {
     round(regr_intercept(temp_c, x), 6) as intercept, cast(regr_count(temp_c, x) as bigint) as n
   from ({}) group by station, regressor""".format(
             " union all ".join(
-                f"select station, '{v}' as regressor, w_temp_c as temp_c, w_{v} as x from pairs"
+                f"select station, '{v}' as regressor, w_temp_c as temp_c, "
+                f"{_natural(v, f'w_{v}')} as x from pairs"
                 for v in VARS
-                if v not in ("temp_c", "rad_j")
+                if v != "temp_c"
             )
         ),
         WHOLE,
@@ -630,4 +668,46 @@ ORACLES = {
         ),
         WHOLE,
     ),
+    "train_drift": _on_filled(
+        """select 'sarima' as model_type, case when station = 1 then 'series too short: at least 3 days needed'
+    else '' end as error, 7 * count(*) as models
+  from (select distinct station from climate) group by 1, 2""",
+    ),
+    "predict_drift": _on_filled(
+        f"""select 'run' as run_id, 'sarima' as model, station, variable, day, step,
+    round({BY_UNIT.format(x='value')}, 4) as value, cast(null as varchar) as error from drift""",
+        WHOLE,
+        DRIFT,
+    ),
+    "irrigation_drift": _on_filled(
+        """select 'run' as run_id, 'sarima' as model, station, count(*) as days, cast(null as varchar) as error,
+    round(sum("NB"), 3) as total_nb, round(sum("NB_RDC"), 3) as total_nb_rdc,
+    round(avg("NB_RDC"), 3) as mean_nb_rdc from irr group by station""",
+        WHOLE,
+        DRIFT,
+        "paths as (select station, day, {} from drift group by station, day)".format(
+            ", ".join(f"max(case when variable = '{v}' then value end) as {v}" for v in VARS)
+        ),
+        TERMS.format(source="paths") + ",\n" + IRR,
+    ),
+    "predict_gaps": _on_filled(
+        """select 'run' as run_id, 'sarima' as model, station,
+    case when station % 5 = 0 or station = 1 then 'no forecast of ' || '{all}' || case when station = 1
+        then '; not trained: series too short: at least 3 days needed' else '; no history for this station' end
+      when station % 7 = 0 then 'no forecast of rh' else '' end as error,
+    case when station % 5 = 0 or station = 1 or station % 7 = 0 then cast(0 as bigint) else 45 end as days
+  from (select distinct station from climate)""".replace("{all}", ", ".join(VARS)),
+    ),
+    "sarima_seasonal_ar_fit": _on_filled(
+        """select station, variable, count(b) as n, round(regr_slope(w, b), 4) as phi, cast(null as varchar) as error
+  from long30 group by station, variable""",
+        WHOLE,
+        "steps30 as (select station, day, {} from whole window w as (partition by station order by day))".format(
+            ", ".join(f"{v} - lag({v}, 30) over w as w_{v}, lag({v}, 30) over w - lag({v}, 60) over w as b_{v}" for v in VARS)
+        ),
+        "long30 as ({})".format(
+            " union all ".join(f"select station, '{v}' as variable, w_{v} as w, b_{v} as b from steps30" for v in VARS)
+        ),
+    ),
+    "registry_saved_types": "select unnest(['sarima', 'var', 'window']) as model_type",
 }

@@ -2,27 +2,26 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acequia.functions.agronomy import DEFAULT, with_irrigation
 from acequia.models import sarima, var
-from acequia.models.sarima import ORDER_FIELDS
 from acequia.operators.calendar import whole_series
-from acequia.operators.reports import irrigation_totals, unify_forecasts
+from acequia.operators.reports import irrigation_totals, missing_variables, unify_forecasts
 from acequia.operators.series import pack_series
-from acequia.schema import DAY, DEFAULT_HORIZON, KEY, MAX_HORIZON, VARIABLES, CropParams
+from acequia.schema import DAY, DEFAULT_HORIZON, FAMILIES, KEY, MAX_HORIZON, VARIABLES, CropParams
 from acequia.session import materialize
 from acequia.sources.export import export_results
 
+RUN_KEYS = ("run_id", "model", KEY)
+
 
-def horizon_days(requested: int = DEFAULT_HORIZON) -> int:
-    """Requested horizon, at most a year."""
-    if requested < 1:
-        raise ValueError("horizon must be at least one day")
-    return min(requested, MAX_HORIZON)
+def horizon_days(requested: int = DEFAULT_HORIZON, max_horizon: int = MAX_HORIZON) -> int:
+    """The requested horizon; more than ``max_horizon`` days, or none, is an error."""
+    if not 1 <= requested <= max_horizon:
+        raise ValueError(f"horizon must be 1 to {max_horizon} days, got {requested}")
+    return requested
 
 
 def history_pack(df: DataFrame, columns=VARIABLES) -> DataFrame:
@@ -30,72 +29,42 @@ def history_pack(df: DataFrame, columns=VARIABLES) -> DataFrame:
     return pack_series(whole_series(df, columns), columns)
 
 
-def _settings(models: DataFrame) -> list:
-    """Distinct settings among the models: one row per training configuration.
-
-    Autoregressions of any order run together, so only their longest order counts.
-    """
-    orders = [F.col("params")[f].alias(f) for f in ORDER_FIELDS if f != "p"]
-    autoregressive = F.col("model_type").isin("var", "window")
-    p = F.col("params")["p"].cast("int")
-    return (
-        models.groupBy(
-            "model_type",
-            F.col("params")["variables"].alias("variables"),
-            F.when(~autoregressive, p).alias("p"),
-            *orders,
-        )
-        .agg(F.max(p).alias("longest"))
-        .collect()
-    )
-
-
 def predict_all(
     models: DataFrame,
     history: DataFrame,
     horizon: int = DEFAULT_HORIZON,
     policy: str = "hold",
     run_id: str = "run",
+    max_horizon: int = MAX_HORIZON,
 ) -> DataFrame:
     """Forecast rows of every model: run_id, model, station, variable, day, step, value, error.
 
     ``models`` are registry rows, ``history`` is a ``history_pack``. Forecasts
     start the day after each station's last day and are in natural units. A
-    model that fails yields one row with its error and no day.
+    model that failed in training, has no history or cannot be run yields one
+    row with its error and no day. Models and history are written once, so a
+    lazy training is not repeated; orders travel in the rows, and each family
+    pair is one join.
     """
-    horizon = horizon_days(horizon)
+    horizon = horizon_days(horizon, max_horizon)
     history = materialize(history, "history-pack")
-    usable = models.filter(F.col("error").isNull() & F.col("coef").isNotNull())
-    parts = []
-    for setting in _settings(usable):
-        family, variables = setting["model_type"], setting["variables"].split(",")
-        chosen = usable.filter(
-            (F.col("model_type") == family)
-            & (F.col("params")["variables"] == setting["variables"])
-        )
-        if family in ("sarima", "sarimax"):
-            order = tuple(int(setting[f]) for f in ("p", "d", "q"))
-            seasonal = tuple(int(setting[f]) for f in ("P", "D", "Q", "s"))
-            for field in ORDER_FIELDS:
-                chosen = chosen.filter(F.col("params")[field] == str(setting[field]))
-            part = sarima.forecast(
-                chosen, history, order, seasonal, variables, horizon, family, policy
-            )
-        else:
-            part = var.forecast(chosen, history, variables, horizon, setting["longest"])
-        parts.append(part.withColumn("model", F.lit(family)))
-    if not parts:
+    models = materialize(models, "models")
+    if models.filter(F.col("coef").isNotNull()).isEmpty():
         raise ValueError("no trained models of the chosen types")
-    return reduce(DataFrame.unionByName, parts).select(
-        F.lit(run_id).alias("run_id"),
-        "model",
-        KEY,
-        F.col("target").alias("variable"),
-        F.date_add("last_day", F.col("step")).alias(DAY),
-        "step",
-        "value",
-        "error",
+    seasonal = models.filter(F.col("model_type").isin("sarima", "sarimax"))
+    multivariate = models.filter(F.col("model_type").isin("var", "window"))
+    known = sarima.forecast(seasonal, history, horizon, policy).unionByName(
+        var.forecast(multivariate, history, horizon)
     )
+    other = models.filter(~F.coalesce(F.col("model_type").isin(*FAMILIES), F.lit(False)))
+    unknown = other.select(
+        KEY, F.col("model_type").alias("model"), "target",
+        F.concat(F.lit("unknown model type "), F.coalesce("model_type", F.lit("null"))).alias("error"),
+    )
+    return known.unionByName(unknown, allowMissingColumns=True).select(
+        F.lit(run_id).alias("run_id"), "model", KEY, F.col("target").alias("variable"),
+        DAY, "step", "value", "error",
+    )
 
 
 def forecast_irrigation(
@@ -106,15 +75,36 @@ def forecast_irrigation(
     run_id: str = "run",
     crop: CropParams = DEFAULT,
 ) -> DataFrame:
-    """Daily irrigation per model and station from forecasts of all seven variables."""
-    forecasts = predict_all(models, history, horizon, policy, run_id)
-    wide = unify_forecasts(
-        forecasts.filter(F.col("error").isNull()), ("run_id", "model", KEY, DAY)
+    """Daily irrigation per model and station from forecasts of all seven variables.
+
+    A model and station that lack a variable give one row without a day whose
+    ``error`` names the variables and what went wrong with them.
+    """
+    forecasts = materialize(predict_all(models, history, horizon, policy, run_id), "forecasts")
+    wide = unify_forecasts(forecasts.filter(F.col("error").isNull()), (*RUN_KEYS, DAY))
+    daily = with_irrigation(wide, crop).withColumn("error", F.lit(None).cast("string"))
+    return daily.unionByName(incomplete(forecasts), allowMissingColumns=True)
+
+
+def incomplete(forecasts: DataFrame) -> DataFrame:
+    """One row per run, model and station without all variables, and why."""
+    missing = missing_variables(forecasts, RUN_KEYS, reasons="error")
+    return missing.select(
+        *RUN_KEYS,
+        F.concat_ws(
+            "; ",
+            F.concat(F.lit("no forecast of "), F.array_join("missing", ", ")),
+            F.when(F.size("reasons") > 0, F.array_join("reasons", "; ")),
+        ).alias("error"),
     )
-    return with_irrigation(wide, crop)
 
 
 def publish(results: DataFrame, path: str, fmt: str = "json") -> DataFrame:
-    """Write the daily results per model and return season totals."""
+    """Write the daily results per model and return season totals.
+
+    A model and station without results keeps a row with its error.
+    """
     export_results(results, path, fmt)
-    return irrigation_totals(results, ("run_id", "model", KEY))
+    totals = irrigation_totals(results.filter(F.col("error").isNull()), RUN_KEYS)
+    lost = results.filter(F.col("error").isNotNull()).select(*RUN_KEYS, "error")
+    return totals.unionByName(lost, allowMissingColumns=True)

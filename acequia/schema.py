@@ -35,7 +35,7 @@ ROBUST_PATTERNS = ("velocidad", "presión", "precipitacion", "precipitaciones")
 
 # Model families and the prefixes their saved names carry.
 FAMILIES = ("sarima", "sarimax", "var", "window")
-NAME_PREFIXES = ("sarima", "var", "sarimax", "lstm")
+NAME_PREFIXES = ("sarima", "var", "sarimax", "lstm", "window")
 
 MAX_HORIZON = 365
 DEFAULT_HORIZON = 30
@@ -85,7 +85,12 @@ class CropParams:
 
 @dataclass(frozen=True)
 class TrainConfig:
-    """What to fit. ``order`` is (p, d, q), ``seasonal`` is (P, D, Q, s)."""
+    """What to fit. ``order`` is (p, d, q), ``seasonal`` is (P, D, Q, s).
+
+    ``regressors`` are the variables a 'sarimax' model regresses on, the target
+    always left out; None takes all others. ``min_seasons`` asks for so many
+    seasons of differenced days beyond what the estimate itself needs.
+    """
 
     families: tuple[str, ...] = ("sarima", "var")
     order: tuple[int, int, int] = (1, 1, 1)
@@ -96,10 +101,14 @@ class TrainConfig:
     window: int = 30
     ridge: float = 1.0
     variables: tuple[str, ...] = VARIABLES
+    regressors: tuple[str, ...] | None = None
+    min_seasons: int = 0
 
     def __post_init__(self):
         unknown = set(self.families) - set(FAMILIES)
         if not self.families or unknown:
             raise ValueError(f"families must be drawn from {FAMILIES}, got {self.families}")
+        if set(self.regressors or ()) - set(self.variables):
+            raise ValueError(f"regressors must be drawn from {self.variables}")
         if self.test_size < 0:
             raise ValueError("test_size must not be negative")

@@ -70,13 +70,15 @@ def ship_package(spark: SparkSession) -> None:
     context._acequia_shipped = True
 
 
-def task_count(spark: SparkSession) -> int:
+def task_count(spark: SparkSession, items: int | None = None, per_task: int = 1) -> int:
     """Number of tasks for compute-heavy Python stages.
 
     Adaptive execution sizes partitions by bytes, and would put a small but
-    slow-to-fit table into one task; these stages ask for their own count.
+    slow-to-fit table into one task; these stages ask for their own count: one
+    task for ``per_task`` items, and at least one for each core.
     """
-    return max(
+    least = max(
         spark.sparkContext.defaultParallelism,
         int(spark.conf.get("spark.sql.shuffle.partitions")),
     )
+    return max(least, -(-items // per_task)) if items else least

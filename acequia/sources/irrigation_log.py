@@ -76,9 +76,12 @@ def parse_log(raw: DataFrame) -> DataFrame:
 
 
 def read_irrigation_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log by its known headings, in file order; other headings or broken rows raise."""
     raw = (
         spark.read.schema(TEXT_SCHEMA)
         .option("header", True)
+        .option("enforceSchema", False)
+        .option("mode", "FAILFAST")
         .option("sep", ";")
         .option("encoding", "UTF-8")
         .option("ignoreLeadingWhiteSpace", False)

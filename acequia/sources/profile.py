@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,39 +15,69 @@ def recommended(rows: Column) -> Column:
     return rows > F.lit(RECOMMENDED_ROWS)
 
 
+#: A comma outside quotes: an even number of quotes follows it.
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def heading_names(header: Column) -> Column:
+    """Headings of a CSV line, quotes taken off and doubled quotes made single."""
+    return F.transform(
+        F.split(header, _COMMA),
+        lambda x: F.replace(F.regexp_extract(x, r'(?s)^\s*"?(.*?)"?\s*$', 1), F.lit('""'), F.lit('"')),
+    )
+
+
+def _one_slash(path: str) -> str:
+    """A local path as the scan writes it."""
+    return re.sub("^file:/+", "file:/", path)
+
+
 def profile_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(folder, name, size, columns, rows, recommended) for every CSV below ``folder``.
+    """(folder, name, size, columns, rows, recommended, message) for every CSV below ``folder``.
 
     The extension counts in any case. A large file is counted by many tasks;
     only its line count and its first line are merged. Within a file, the line
-    at the start of the block that begins at byte 0 is the heading.
+    at the start of the block that begins at byte 0 is the heading. Files that
+    hold no table keep a row with a message.
     """
+    reader = spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").option("recursiveFileLookup", True)
+    text = reader.text(folder)
+    # The listing, which the driver holds anyway, names empty files too; a scan does not.
+    listed = [(_one_slash(path),) for path in text.inputFiles()]
+    files = spark.createDataFrame(listed, "path string")
+    first = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
     lines = (
-        spark.read.option("pathGlobFilter", "*.[cC][sS][vV]")
-        .option("recursiveFileLookup", True)
-        .text(folder)
-        .select(
+        text.select(
             "value",
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_name").alias("name"),
+            F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("path"),
             F.col("_metadata.file_size").alias("size"),
-            F.when(
-                F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()
-            ).alias("line"),
+            first.alias("line"),
         )
+        .groupBy("path", "size")
+        .agg((F.count(F.lit(1)) - 1).alias("rows"), F.min_by("value", "line").alias("header"))
+    )
+    header = F.regexp_replace("header", "^\uFEFF", "")
+    names = F.when(F.trim(header) != "", heading_names(header))
+    dated = F.exists("columns", lambda c: F.lower(c).contains("fecha"))
+    message = (
+        F.when(F.col("columns").isNull(), F.lit("empty file"))
+        .when(~dated, F.lit("no date column"))
+        .when(F.col("rows") == 0, F.lit("no rows"))
     )
+    parts = F.split("path", "/")
+
+    def part(place: int) -> Column:
+        return F.url_decode(F.replace(F.element_at(parts, place), F.lit("+"), F.lit("%2B")))
+
     return (
-        lines.groupBy("path", "name", "size")
-        .agg(
-            (F.count(F.lit(1)) - 1).alias("rows"),
-            F.min_by("value", "line").alias("header"),
-        )
+        files.join(lines, "path", "left")
         .select(
-            F.element_at(F.split("path", "/"), -2).alias("folder"),
-            "name",
-            "size",
-            F.split(F.regexp_replace("header", "^\\uFEFF", ""), ",").alias("columns"),
-            "rows",
-            recommended(F.col("rows")).alias("recommended"),
+            part(-2).alias("folder"),
+            part(-1).alias("name"),
+            F.coalesce("size", F.lit(0)).alias("size"),
+            names.alias("columns"),
+            F.coalesce("rows", F.lit(0)).alias("rows"),
         )
+        .withColumn("recommended", recommended(F.col("rows")))
+        .withColumn("message", message)
     )

@@ -10,13 +10,8 @@ from acequia.schema import KEY, REGISTRY_SCHEMA
 
 
 def save_models(models: DataFrame, path: str) -> None:
-    """Append fitted models; failed fits (rows with an error) are not saved."""
-    (
-        models.filter(F.col("error").isNull())
-        .write.mode("append")
-        .partitionBy("model_type")
-        .parquet(path)
-    )
+    """Append models; failed fits are kept with their errors, so that they can be reported."""
+    models.write.mode("append").partitionBy("model_type").parquet(path)
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -29,7 +24,7 @@ def load_models(
     """Models of the chosen types; only their folders are read.
 
     A model trained again replaces its older self: ``latest`` keeps the newest
-    row per type, station and target.
+    row per type, station and target; a failed fit only where none succeeded.
     """
     types = [types] if isinstance(types, str) else list(types)
     chosen = read_registry(spark, path).filter(F.col("model_type").isin(types))
@@ -38,7 +33,7 @@ def load_models(
     rest = [c for c in chosen.columns if c not in ("model_type", KEY, "target")]
     return (
         chosen.groupBy("model_type", KEY, "target")
-        .agg(F.max_by(F.struct(*rest), "trained_at").alias("_m"))
+        .agg(F.max_by(F.struct(*rest), F.struct(F.col("error").isNull(), "trained_at")).alias("_m"))
         .select("model_type", KEY, "target", "_m.*")
         .select(*chosen.columns)
     )

@@ -48,17 +48,37 @@ def simulate(phi, theta, sphi, stheta, n, s, count, seed=0):
 def test_error_variance_is_recovered(truth):
     w = simulate(*truth, n=2400, s=12, count=8)
     shape = arma.Shape(1, 1, 1, 1, 12)
-    _, sigma2, used = arma.fit(shape, w, None, np.full(8, 2400))
+    _, sigma2, used, converged = arma.fit(shape, w, None, np.full(8, 2400))
     assert abs(np.sqrt(sigma2).mean() - 1.0) < 0.03
-    assert (used == 2400 - 13).all()
+    assert (used == 2400 - 13).all() and converged.all()
 
 
 def test_pure_ar_coefficients():
     w = simulate(0.5, 0.0, 0.6, 0.0, n=3000, s=12, count=4)
-    params, _, _ = arma.fit(arma.Shape(1, 0, 1, 0, 12), w, None, np.full(4, 3000))
+    params, *_ = arma.fit(arma.Shape(1, 0, 1, 0, 12), w, None, np.full(4, 3000))
     assert np.abs(params[1] - 0.5).max() < 0.1 and np.abs(params[2] - 0.6).max() < 0.1
 
 
+@pytest.mark.parametrize("phi", [0.98, 0.995, 0.9995])
+def test_near_unit_root_equals_least_squares(phi):
+    """No coefficient is clipped: a first-order fit is the regression on the day before."""
+    rng = np.random.default_rng(int(phi * 1e4))
+    w = np.zeros((2000, 3))
+    for t in range(1, 2000):
+        w[t] = 0.1 + phi * w[t - 1] + rng.standard_normal(3)
+    params, _, _, converged = arma.fit(arma.Shape(1, 0, 0, 0, 1), w, None, np.full(3, 2000))
+    for i in range(3):
+        slope, const = np.polyfit(w[:-1, i], w[1:, i], 1)
+        np.testing.assert_allclose(params[:, i], [const, slope], rtol=1e-6)
+    assert converged.all()
+
+
+def test_a_fit_that_still_falls_is_told():
+    w = simulate(0.5, 0.4, 0.3, -0.5, n=600, s=7, count=3)
+    *_, converged = arma.fit(arma.Shape(1, 1, 1, 1, 7), w, None, np.full(3, 600), rounds=0)
+    assert not converged.any()
+
+
 def test_lengths_are_independent():
     """A short series in a batch of longer ones is fitted as if alone."""
     w = simulate(0.5, 0.2, 0.3, -0.2, n=600, s=7, count=2)
@@ -130,6 +150,7 @@ def test_sarimax_finds_the_regressor(spark):
     assert beta_rh == pytest.approx(0.8, abs=0.1)
     plain = sarima.fit(pack, SMALL, "sarima").filter("target = 'temp_c'").first()
     assert row["sigma2"] < plain["sigma2"]
+    assert row["params"]["converged"] in ("true", "false")
     assert row["name"] == "sarimax_temp_c" and len(row["coef"]) == 2 + 4
     assert len(plain["coef"]) == 1 + 4
 
@@ -141,9 +162,7 @@ def test_forecast_levels(spark, family, policy):
     df = table(spark, {1: block}, NAMES)
     model = sarima.fit(training_pack(df, SMALL), SMALL, family).filter("target = 'wind_ms'")
     row = model.first()
-    got = sarima.forecast(
-        model, history_pack(df, NAMES), SMALL.order, SMALL.seasonal, NAMES, h, family, policy
-    )
+    got = sarima.forecast(model, history_pack(df, NAMES), h, policy)
     got = [r["value"] for r in got.orderBy("step").collect()]
     center, scale = block.mean(0), block.std(0)
     center[2], scale[2] = np.median(block[:, 2]), np.subtract(*np.quantile(block[:, 2], [0.75, 0.25]))
@@ -183,9 +202,11 @@ def test_var_like_numpy(spark, monkeypatch, block_days):
     monkeypatch.setattr(var, "BLOCK_DAYS", block_days)
     blocks = {k: seasonal_climate(seed=k) for k in (1, 2)}
     pack = training_pack(table(spark, blocks, NAMES), SMALL)
-    partial = var.moments(var.lag_blocks(pack, NAMES, 6, days=block_days), NAMES, 6)
-    assert partial.count() == 2 * -(-494 // block_days)
-    solved = {r["station"]: r for r in var.solve(partial, 3, 6, "aic").collect()}
+    solution = var.solve(pack, NAMES, 6, "aic")
+    plan = solution._jdf.queryExecution().executedPlan().toString()
+    # all exchanges lie below the one task that adds up, chooses and solves
+    assert plan.count("MapInPandas") == 1 and plan.index("Exchange") > plan.index("MapInPandas")
+    solved = {r["station"]: r for r in solution.collect()}
     scales = {r["station"]: r["scales"] for r in pack.collect()}
     for k, block in blocks.items():
         z = np.column_stack(
@@ -219,7 +240,7 @@ def test_var_forecast_by_definition(spark):
         coef, z = np.reshape(row["coef"], (1 + 3 * p, 3)), list((block - center) / width)
         for _ in range(h):
             z.append(np.concatenate([[1.0], *[z[-i] for i in range(1, p + 1)]]) @ coef)
-        got = var.forecast(models, history_pack(df, NAMES), NAMES, h, p)
+        got = var.forecast(models, history_pack(df, NAMES), h)
         got = got.groupBy("step").pivot("target", list(NAMES)).agg(F.first("value")).orderBy("step")
         np.testing.assert_allclose(
             got.select(*NAMES).toPandas().to_numpy(), np.array(z[-h:]) * width + center, rtol=1e-9
@@ -268,6 +289,39 @@ def test_failures_are_rows(spark):
     }
 
 
+def test_every_model_gives_rows_or_one_error_row(spark):
+    """Failed fits, a station without history and an unknown type are told, not dropped."""
+    good = seasonal_climate()
+    df = table(spark, {1: good, 2: good[:12], 4: good}, NAMES)
+    config = TrainConfig(families=("sarima", "var"), order=(0, 1, 0), seasonal=(0, 0, 0, 1),
+                         maxlags=3, test_size=0, variables=NAMES)
+    models = train_all(df, config).cache()
+    other = models.filter("model_type = 'var' and station = 1").withColumn("model_type", F.lit("lstm"))
+    history = history_pack(df.filter("station != 4"), NAMES)
+    rows = predict_all(models.unionByName(other), history, 3).collect()
+    told = {(r["model"], r["station"], r["variable"]): r["error"] for r in rows if r["error"]}
+    assert {k[:2] for k in told} == {("var", 2), ("sarima", 4), ("var", 4), ("lstm", 1)}
+    assert all("no history" in e for k, e in told.items() if k[1] == 4)
+    assert "too short" in told["var", 2, "multivariate"] and "unknown model type" in told["lstm", 1, "multivariate"]
+    assert len(told) == 1 + 3 + 1 + 1
+    assert all(r["day"] is None and r["value"] is None for r in rows if r["error"])
+    good_rows = [(r["model"], r["station"]) for r in rows if not r["error"]]
+    assert sorted(set(good_rows)) == [("sarima", 1), ("sarima", 2), ("var", 1)]
+    assert len(good_rows) == 3 * 3 * 3
+
+
+def test_chosen_regressors(spark):
+    config = TrainConfig(families=("sarimax",), seasonal=(1, 1, 1, 7), test_size=0, variables=NAMES,
+                         regressors=("rh",))
+    df = table(spark, {1: seasonal_climate()}, NAMES)
+    models = train_all(df, config)
+    sizes = {r["target"]: len(r["coef"]) for r in models.collect()}
+    assert sizes == {"temp_c": 1 + 4, "rh": 4, "wind_ms": 1 + 4}
+    assert predict_all(models, history_pack(df, NAMES), 4).filter("error is null").count() == 12
+    with pytest.raises(ValueError, match="regressors"):
+        TrainConfig(variables=("rh",), regressors=("temp_c",))
+
+
 def test_stations_together_equal_alone(spark):
     blocks = {1: seasonal_climate(seed=4), 2: seasonal_climate(400, seed=5)}
     both = table(spark, blocks, NAMES)
@@ -299,15 +353,22 @@ def test_forecast_starts_after_history_in_natural_units(spark, tmp_path):
     ])
     df = table(spark, {7: block}, VARIABLES)
     config = TrainConfig(families=("sarima", "var"), seasonal=(1, 1, 1, 7), test_size=100)
-    out = forecast_irrigation(train_all(df, config), history_pack(df), 500).toPandas()
+    with pytest.raises(ValueError, match="horizon"):
+        forecast_irrigation(train_all(df, config), history_pack(df), 500)
+    models = train_all(df, config).filter("target != 'rh' or model_type = 'var'").cache()
+    gaps = forecast_irrigation(models, history_pack(df), 5).filter("error is not null").collect()
+    assert [(r["model"], r["station"], r["error"]) for r in gaps] == [("sarima", 7, "no forecast of rh")]
+    daily = forecast_irrigation(train_all(df, config), history_pack(df), 365).cache()
+    out = daily.toPandas()
+    assert out.error.isna().all()
     assert sorted(out.model.unique()) == ["sarima", "var"]
     assert (out.groupby("model").size() == 365).all()
     assert out.day.min() == START + dt.timedelta(days=n)
     assert out.temp_c.between(-30, 60).all() and out.ET0.notna().all()
-    totals = publish(spark.createDataFrame(out), str(tmp_path / "results"), "csv").collect()
+    totals = publish(daily, str(tmp_path / "results"), "csv").collect()
     assert {r["model"]: r["days"] for r in totals} == {"sarima": 365, "var": 365}
-    assert sorted(p.name for p in (tmp_path / "results").glob("sheet=*")) == [
-        "sheet=SARIMA", "sheet=VAR",
+    assert sorted(p.name for p in (tmp_path / "results").glob("model=*")) == [
+        "model=sarima", "model=var",
     ]
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from acequia.functions.agronomy import with_irrigation
-from acequia.schema import CLIMATE_SCHEMA, SPANISH_NAMES
+from acequia.schema import CLIMATE_SCHEMA, SPANISH_NAMES, VARIABLES
 from acequia.session import materialize, scratch_path, shared_folder
 from acequia.sources import climate_csv, export, irrigation_log, profile, registry
 from acequia.streaming.irrigation import read_stream, write_irrigation
@@ -47,6 +47,39 @@ def test_bad_files(spark, tmp_path):
         climate_csv.read_climate_csv(spark, text).collect()
 
 
+def test_files_are_read_by_their_own_headings(spark, tmp_path):
+    names = HEAD.split(",")
+    values = dict(zip(names, ["2024-01-01", *"1234567"], strict=True))
+    write(tmp_path / "a.csv", f"{HEAD}\n{','.join(values[n] for n in names)}\n")
+    back = [*reversed(names), "Suelo"]
+    write(tmp_path / "b.csv", "\ufeff" + ",".join(back) + "\n" + ",".join({**values, "Suelo": "9"}[n] for n in back) + "\n")
+    write(tmp_path / "c.csv", f"{HEAD}\n{','.join(values[n] for n in names)}\n")
+    df = climate_csv.read_climate_csv(spark, str(tmp_path))
+    rows = df.select(*VARIABLES).collect()
+    assert len(rows) == 3 and all(tuple(r) == (1, 2, 3, 4, 5, 6, 7) for r in rows)
+    assert sorted(str(r["Suelo"]) for r in df.collect()) == ["9.0", "None", "None"]
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2
+    with pytest.raises(Exception):
+        climate_csv.read_climate_csv(spark, str(tmp_path), headings=names).collect()
+
+
+def test_probe_folders(spark, tmp_path):
+    for name, text in (("mini1", "Fecha,h10,h20\n2024-01-01,1,2\n"), ("mini2", "h30,Fecha\n3,2024-01-02\n")):
+        (tmp_path / name).mkdir()
+        write(tmp_path / name / "2024.csv", text)
+    df = climate_csv.read_probe_folders(spark, {n: str(tmp_path / n) for n in ("mini1", "mini2")})
+    rows = {r["probe"]: r for r in df.collect()}
+    assert (rows["mini1"]["h10"], rows["mini1"]["h20"], rows["mini1"]["h30"]) == (1.0, 2.0, None)
+    assert rows["mini2"]["h30"] == 3.0 and rows["mini2"]["day"] == dt.date(2024, 1, 2)
+
+
+def test_log_with_other_headings_raises(spark, tmp_path):
+    head = ";".join(reversed(list(irrigation_log.LOG_HEADINGS)))
+    path = write(tmp_path / "log.csv", f"{head}\n{';'.join('1' * 13)}\n")
+    with pytest.raises(Exception):
+        irrigation_log.read_irrigation_log(spark, path).collect()
+
+
 def test_tagged_union_keeps_all_columns(spark):
     a = spark.createDataFrame([(1, 2.0)], "id int, a double")
     b = spark.createDataFrame([(3, 4.0)], "id int, b double")
@@ -79,8 +112,14 @@ def test_profile(spark, tmp_path):
     write(tmp_path / "short.csv", "﻿Fecha,b\n" + "x,1\n" * 365)
     write(tmp_path / "LONG.CSV", "Fecha,c,d\n" + "x,1,2\n" * 366)
     write(tmp_path / "other.txt", "not,this\n")
+    write(tmp_path / "none.csv", "")
+    write(tmp_path / "quoted.csv", '"Fecha","a, ""b"""\n')
+    write(tmp_path / "undated.csv", "x,y\n1,2\n")
     rows = {r["name"]: r for r in profile.profile_files(spark, str(tmp_path)).collect()}
-    assert set(rows) == {"short.csv", "LONG.CSV"}
+    assert set(rows) == {"short.csv", "LONG.CSV", "none.csv", "quoted.csv", "undated.csv"}
+    assert rows["none.csv"]["message"] == "empty file" and rows["none.csv"]["rows"] == 0
+    assert rows["quoted.csv"]["columns"] == ["Fecha", 'a, "b"'] and rows["quoted.csv"]["message"] == "no rows"
+    assert rows["undated.csv"]["message"] == "no date column" and rows["short.csv"]["message"] is None
     assert rows["short.csv"]["rows"] == 365 and not rows["short.csv"]["recommended"]
     assert rows["LONG.CSV"]["rows"] == 366 and rows["LONG.CSV"]["recommended"]
     assert rows["short.csv"]["columns"] == ["Fecha", "b"]
@@ -119,19 +158,23 @@ def test_registry_keeps_the_newest(spark, tmp_path):
     registry.save_models(models(spark, dt.datetime(2024, 1, 4), None, error="no"), path)
     got = registry.load_models(spark, path, "sarima")
     assert [r["coef"] for r in got.collect()] == [[2.0]]
-    assert registry.load_models(spark, path, ["sarima"], latest=False).count() == 2
+    every = registry.load_models(spark, path, ["sarima"], latest=False).collect()
+    assert sorted(r["error"] or "" for r in every) == ["", "", "no"]  # a failure is kept, not loaded
+    registry.save_models(models(spark, dt.datetime(2024, 1, 4), None, "window", "bad"), path)
+    assert registry.load_models(spark, path, "window").first()["error"] == "bad"
     assert {r["name"] for r in registry.list_models(registry.read_registry(spark, path)).collect()} == {
-        "sarima_rh_model", "var_rh_model",
+        "sarima_rh_model", "var_rh_model", "window_rh_model",
     }
     with pytest.raises(ValueError):
-        registry.require_models(registry.load_models(spark, path, "window"))
+        registry.require_models(registry.load_models(spark, path, "sarimax"))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(model_type" in plan
 
 
 def test_export_formats(spark, tmp_path):
     df = spark.createDataFrame(
-        [("sarima", 1, dt.date(2024, 1, 1), 1.5), ("a" * 40, 2, dt.date(2024, 1, 2), None)],
+        [("sarima", 1, dt.date(2024, 1, 1), 1.5), ("a" * 40, 2, dt.date(2024, 1, 2), None),
+         ("a" * 39, 3, dt.date(2024, 1, 2), None), ("Sarima", 4, dt.date(2024, 1, 2), None)],
         "model string, station bigint, day date, NB double",
     )
     for fmt in export.FORMATS:
@@ -139,37 +182,33 @@ def test_export_formats(spark, tmp_path):
         export.export_results(df, path, fmt)
         back = export.read_results(spark, path, df.withColumn("sheet", F.lit("")).schema, fmt)
         rows = {r["station"]: r for r in back.collect()}
-        assert rows[1]["sheet"] == "SARIMA" and rows[1]["NB"] == 1.5
+        assert {rows[1]["sheet"], rows[4]["sheet"]} == {"SARIMA", "SARIMA~2"} and rows[1]["NB"] == 1.5
+        assert rows[3]["sheet"] == "A" * 31 and rows[3]["model"] == "a" * 39
         assert rows[1]["day"] == dt.date(2024, 1, 1)
-        assert rows[2]["sheet"] == "A" * 31 and rows[2]["NB"] is None
+        assert rows[2]["sheet"] == "A" * 29 + "~2" and rows[2]["NB"] is None
     with pytest.raises(ValueError):
         export.export_results(df, str(tmp_path / "x"), "xlsx")
 
 
 class Session:
-    """A session without the folder setting, as far as ``shared_folder`` looks."""
+    """A session as far as ``shared_folder`` looks."""
 
-    def __init__(self, master):
-        self.master, self.folder = master, None
-        self.conf = {}
-        self.sparkContext = self
+    def __init__(self, folder, **conf):
+        self.folder, self.conf, self.sparkContext = folder, conf, self
 
     def getCheckpointDir(self):
         return self.folder
 
-    def setCheckpointDir(self, folder):
-        self.folder = folder
-
 
 def test_shared_folder(spark):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark)
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert shared_folder(spark) == folder
     assert scratch_path(spark, "x").startswith(f"{folder}/acequia/x-")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     assert materialize(spark.range(3), "range").count() == 3
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared_folder(Session("yarn"))
-    local = Session("local[2]")
-    assert shared_folder(local) == shared_folder(local) == local.folder
+    warehouse = {"spark.sql.warehouse.dir": "hdfs:/warehouse/"}
+    assert shared_folder(Session(None, **warehouse)) == "hdfs:/warehouse"
+    assert shared_folder(Session("s3a://b/checkpoints", **warehouse)) == "s3a://b/checkpoints"
 
 
 def test_stream_equals_batch(spark, tmp_path):
