@@ -779,6 +779,58 @@ def var_single_selection(spark, sf_dir):
     )
 
 
+def var_pair_selection(spark, sf_dir):
+    """Order 0 against order 1 for two variables together."""
+    pack, config = _whole_pack(spark, sf_dir, variables=("temp_c", "rh"), maxlags=1)
+    rows = var.lag_selection(var.fit_orders(pack, config))
+    return rows.select(
+        KEY,
+        F.col("p").cast("bigint").alias("p"),
+        *[untied(F.col(c), 5).alias(c) for c in ("aic", "bic", "hqic", "fpe")],
+        "chosen",
+    )
+
+
+# Given coefficients, in scaled units: a constant, a variable's own last day and
+# its day ``p`` days ago, and the last day of the variable after it.
+GIVEN = {"const": 0.05, "last": 0.6, "first": 0.2, "next": 0.1}
+
+
+def _given_coefficients(p: int) -> list[float]:
+    """(1 + K * p, K) coefficients, row by row: constant, then lags 1, 2, ..., p."""
+    k = len(VARIABLES)
+    rows = [[GIVEN["const"]] * k] + [[0.0] * k for _ in range(p * k)]
+    for j in range(k):
+        rows[1 + j][j] += GIVEN["last"]
+        rows[1 + (p - 1) * k + j][j] += GIVEN["first"]
+        rows[1 + (j + 1) % k][j] += GIVEN["next"]
+    return [x for row in rows for x in row]
+
+
+def _fixed_forecast(family: str, p: int, scales: str):
+    """All seven variables fed back through given coefficients, scaled in and out."""
+
+    def run(spark, sf_dir):
+        rows = climate(spark, sf_dir)
+        pack = training_pack(rows, TrainConfig(test_size=0))
+        models = pack.select(
+            F.lit(family).alias("model_type"), F.lit(f"{family}_multivariate").alias("name"), KEY,
+            F.lit("multivariate").alias("target"),
+            F.create_map(
+                F.lit("p"), F.lit(str(p)), F.lit("variables"), F.lit(",".join(VARIABLES))
+            ).alias("params"),
+            F.array(*[F.lit(x) for x in _given_coefficients(p)]).alias("coef"),
+            F.col(scales).alias("scales"), F.lit(None).cast("string").alias("error"),
+        )
+        out = predict_all(models, history_pack(rows), HORIZON)
+        return out.select(
+            "model", KEY, "variable", DAY, F.col("step").cast("bigint").alias("step"),
+            untied(by_unit("value"), 4).alias("value"), "error",
+        )
+
+    return run
+
+
 def var_single_forecast(spark, sf_dir):
     return _forecast_rows(
         spark, sf_dir, TrainConfig(families=("var",), maxlags=1, **ONE_VARIABLE), 4
@@ -977,6 +1029,9 @@ QUERIES = {
     "sarimax_plain_forecast": sarimax_plain_forecast,
     "var_single_selection": var_single_selection,
     "var_single_forecast": var_single_forecast,
+    "var_pair_selection": var_pair_selection,
+    "var_fixed_forecast": _fixed_forecast("var", 2, "scales"),
+    "window_fixed_forecast": _fixed_forecast("window", 30, "ranges"),
     "window_single_forecast": window_single_forecast,
     "sarima_fit": _fit("sarima"),
     "sarima_forecast": _forecast("sarima"),

@@ -358,6 +358,59 @@ PAIR = """two as (select station, day, temp_c, rh from filled
 moves as (select station, day, temp_c, rh, temp_c - lag(temp_c) over w as dt, rh - lag(rh) over w as dr
   from two window w as (partition by station order by day))"""
 
+PAIR_SCORES = """couple as (select station, temp_c as y1, rh as y2, lag(temp_c) over w as x1, lag(rh) over w as x2
+  from two window w as (partition by station order by day)),
+sizes as (select station, stddev_pop(temp_c) * stddev_pop(rh) as wide from two group by station),
+cov as (select station, count(*) as t, var_pop(y1) as a11, covar_pop(y1, y2) as a12, var_pop(y2) as a22,
+    var_pop(x1) as b11, covar_pop(x1, x2) as b12, var_pop(x2) as b22, covar_pop(x1, y1) as c11,
+    covar_pop(x1, y2) as c12, covar_pop(x2, y1) as c21, covar_pop(x2, y2) as c22
+  from couple where x1 is not null group by station),
+explained as (select *, b11 * b22 - b12 * b12 as b,
+    c11 * (b22 * c11 - b12 * c21) + c21 * (b11 * c21 - b12 * c11) as m11,
+    c11 * (b22 * c12 - b12 * c22) + c21 * (b11 * c22 - b12 * c12) as m12,
+    c12 * (b22 * c12 - b12 * c22) + c22 * (b11 * c22 - b12 * c12) as m22 from cov),
+dets as (select station, t, (a11 * a22 - a12 * a12) / (wide * wide) as d0,
+    ((a11 - m11 / b) * (a22 - m22 / b) - (a12 - m12 / b) * (a12 - m12 / b)) / (wide * wide) as d1
+  from explained join sizes using (station)),
+pair_scores as (select station, p, t, 4 * p + 2 as free, 2 * p + 1 as width,
+    ln(case p when 0 then d0 else d1 end) as ld from dets cross join (select unnest([0, 1]) as p)),
+pair_best as (select station, arg_min(p, ld + 2e0 / t * free) as best from pair_scores group by station)"""
+
+
+def _fixed(model: str, p: int, scales: str, center: str, width: str) -> str:
+    """Every variable's last ``p`` scaled days as a list, fed back 45 times."""
+    after = dict(zip(VARS, (*VARS[1:], VARS[0])))
+    last = ", ".join(
+        f"list((w.{v} - {center.format(v=v)}) / {width.format(v=v)} order by day) as {v}" for v in VARS
+    )
+    step = ", ".join(
+        f"list_append({v}[2:], 0.05e0 + 0.6e0 * {v}[{p}] + 0.2e0 * {v}[1] + 0.1e0 * {after[v]}[{p}]) as {v}"
+        for v in VARS
+    )
+    rows = " union all ".join(
+        f"select station, '{v}' as variable, step, last_day, "
+        f"{_natural(v, f'{v}[{p}] * {width.format(v=v)} + {center.format(v=v)}')} as value "
+        f"from path join scales using (station)"
+        for v in VARS
+    )
+    body = f"""select '{model}' as model, station, variable, last_day + cast(step as integer) as day,
+    cast(step as bigint) as step, round(value + 3.3e-5, 4) as value, cast(null as varchar) as error
+  from ({rows}) where step > 0"""
+    recent = f"""recent as (select station, max(day) as last_day, {last}
+  from (select *, row_number() over (partition by station order by day desc) as rn from whole) w
+  join scales using (station) where rn <= {p} group by station)"""
+    path = f"""path as (select 0 as step, * from recent
+  union all select step + 1, station, last_day, {step} from path where step < 45)"""
+    return _on_filled(body, WHOLE, scales, recent, path).replace("with ", "with recursive ", 1)
+
+
+RANGES = "scales as (select station, {} from whole group by station)".format(
+    ", ".join(
+        f"min({v}) as c_{v}, case when max({v}) = min({v}) then 1e0 else max({v}) - min({v}) end as s_{v}"
+        for v in VARS
+    )
+)
+
 DRIFT = """drift as (select station, variable, last_day + cast(step as integer) as day,
     cast(step as bigint) as step, last_level + step * mean as value
   from (select station, variable, max(day) as last_day, arg_max(level, day) as last_level, avg(w) as mean
@@ -668,6 +721,16 @@ ahead as (select station, variable, step, x from (select distinct station, varia
         ),
         WHOLE,
     ),
+    "var_pair_selection": _on_filled(
+        """select station, cast(p as bigint) as p, round(ld + 2e0 / t * free + 3.3e-6, 5) as aic,
+    round(ld + ln(t) / t * free + 3.3e-6, 5) as bic, round(ld + 2e0 * ln(ln(t)) / t * free + 3.3e-6, 5) as hqic,
+    round(power((t + width) / cast(t - width as double), 2) * exp(ld) + 3.3e-6, 5) as fpe, p = best as chosen
+  from pair_scores join pair_best using (station)""",
+        PAIR,
+        PAIR_SCORES,
+    ),
+    "var_fixed_forecast": _fixed("var", 2, _scales("whole"), "c_{v}", "s_{v}"),
+    "window_fixed_forecast": _fixed("window", 30, RANGES, "c_{v}", "s_{v}"),
     "train_drift": _on_filled(
         """select 'sarima' as model_type, case when station = 1 then 'series too short: at least 3 days needed'
     else '' end as error, 7 * count(*) as models

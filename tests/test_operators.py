@@ -324,9 +324,10 @@ def test_names(spark):
 
 
 def test_settings():
-    assert horizon_days() == 30 and horizon_days(400) == 365
-    with pytest.raises(ValueError):
-        horizon_days(0)
+    assert horizon_days() == 30 and horizon_days(400, max_horizon=500) == 400
+    for asked in (0, 400):
+        with pytest.raises(ValueError, match="horizon"):
+            horizon_days(asked)
     with pytest.raises(ValueError):
         TrainConfig(families=("prophet",))
     with pytest.raises(ValueError):
