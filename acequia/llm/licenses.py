@@ -1,12 +1,13 @@
 r"""Licence detection: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-Words of the templates are weighted by their inverse frequency over the
-templates; a word in none of them weighs most. A header is a run of lines that
-hold a cue, with at most one line between them. Cues follow from the templates:
-a text whose cosine to a template reaches ``least`` must hold words with at
-least that share of the template's length, so the words that may be left out
-(frequent words of prose first) as long as the rest keeps that guarantee are
-left out, and the others are cues. No header above the threshold is missed.
+Words of the templates are weighted by their inverse frequency over all files
+and templates; other words weigh as if no file held them. A header is a run of
+lines that hold a cue, with at most one line between them. Cues follow from
+the weights: a text whose cosine to a template reaches ``least`` must hold
+words with at least that share of the template's length, so a template's
+lightest words, as many as leave that guarantee, are no cues and all others
+are. No header above the threshold is missed, and words of running prose, which
+weigh little, pick out no lines.
 
 Every cue line and every run is compared by itself, so prose beside a notice
 does not hide it. A header takes the template of the largest cosine, a file
@@ -80,12 +81,6 @@ TEMPLATES = {
     "CC0-1.0": ("CC0 1.0 Universal Public Domain Dedication",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
-# Words of running prose, left out of the cues first.
-PROSE = (
-    "the of to and in a is or that it by with be are for on at as this you may not can any use from "
-    "un une de la le les des en y el los o del au ou"
-).split()
-
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -94,25 +89,44 @@ def template_words(text: str) -> list[str]:
 
 
 class Vocabulary:
-    """Weights of the templates' words, the templates as unit vectors, and the cues."""
+    """Weights of the templates' words, the templates as unit vectors, and the cues.
+
+    ``files`` is the number of files, ``held`` in how many of them a word is.
+    """
 
-    def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST):
+    def __init__(self, templates: dict[str, tuple[str, ...]], least: float, files: int, held: dict[str, int]):
         counts = [(name, Counter(template_words(t))) for name, texts in templates.items() for t in texts]
-        held = Counter(w for _, words in counts for w in words)
-        self.unseen = math.log(1 + len(counts)) + 1
-        self.idf = {w: math.log((1 + len(counts)) / (1 + n)) + 1 for w, n in held.items()}
+        own = Counter(w for _, words in counts for w in words)
+        total = files + len(counts)
+
+        def weight(n: int) -> float:
+            return math.log(1 + total / (1 + n))
+
+        self.unseen = weight(0)
+        self.idf = {w: weight(n + held.get(w, 0)) for w, n in own.items()}
         self.vectors, self.cues = [], set()
         for number, (name, words) in enumerate(counts):
             raw = {w: n * self.idf[w] for w, n in words.items()}
             length = math.sqrt(sum(x * x for x in raw.values()))
             self.vectors += [(number, name, w, x / length) for w, x in raw.items()]
-            # Words whose joint share stays below least ** 2 can be done without.
-            spared, order = 0.0, sorted(raw, key=lambda w: (w not in PROSE, raw[w], w))
-            for place, word in enumerate(order):
+            spared = 0.0
+            for word in sorted(raw, key=lambda w: (raw[w], w)):
                 spared += (raw[word] / length) ** 2
-                if spared >= least * least or word not in PROSE:
-                    self.cues.update(order[place:])
-                    break
+                if spared >= least * least:
+                    self.cues.add(word)
+
+
+def vocabulary(
+    files: DataFrame, text: str, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST
+) -> Vocabulary:
+    """Weights by the frequency of the templates' words over all files; one row a word comes back."""
+    words = sorted({w for texts in templates.values() for t in texts for w in template_words(t)})
+    known = F.array(*[F.lit(w) for w in words])
+    found = F.array_intersect(known, _words(F.coalesce(col(text), F.lit(""))))
+    # The empty word stands in every file.
+    every = files.select(F.explode(F.concat(F.array(F.lit("")), found)).alias("word"))
+    held = {r["word"]: r["count"] for r in every.groupBy("word").count().collect()}
+    return Vocabulary(templates, least, held.get("", 0), held)
 
 
 def _words(line: Column) -> Column:
@@ -213,7 +227,7 @@ def scan(
 
     Evidence is ``file`` for a licence file, ``header``, ``inherited`` or null.
     """
-    known = Vocabulary(templates, least)
+    known = vocabulary(files, text, templates, least)
     found = materialize(candidates(files, path, text, known.cues), "licences")
     own = score_headers(found, known, least)
     named = F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILE_NAME)
