@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acequia.functions import agronomy, naming
-from acequia.functions.arrays import shift_append
+from acequia.functions.arrays import difference, shift_append
 from acequia.models import ar, sarima, var
 from acequia.operators import calendar, reports, scaling, series
 from acequia.plans.predict import forecast_irrigation, history_pack, predict_all, publish
@@ -934,6 +934,79 @@ def predict_gaps(spark, sf_dir):
     )
 
 
+def _error_sum(w: Column, coef: Column, season: int) -> Column:
+    """Conditional error sum of a (1,1,1)(1,1,1,season) model of the differences ``w``.
+
+    Built-in functions alone, one day after another, apart from the estimator.
+    """
+    c, phi, theta, sphi, stheta = (coef[i] for i in range(5))
+    zeros = F.array_repeat(F.lit(0.0), season + 1)
+    start = F.struct(zeros.alias("e"), F.lit(0.0).alias("sse"))
+
+    def step(state: Column, t: Column) -> Column:
+        e = state["e"]  # the last season + 1 errors, oldest first
+        mean = c + phi * F.get(w, t - 1) + sphi * F.get(w, t - season)
+        mean = mean - phi * sphi * F.get(w, t - season - 1)
+        mean = mean + theta * e[season] + stheta * e[1] + theta * stheta * e[0]
+        now = F.get(w, t) - mean
+        return F.struct(
+            shift_append(e, now).alias("e"), (state["sse"] + now * now).alias("sse")
+        )
+
+    days = F.sequence(F.lit(season + 1), F.size(w) - 1)
+    return F.aggregate(days, start, step, lambda state: state["sse"])
+
+
+def sarima_optimal(spark, sf_dir):
+    """Does any coefficient, moved a little, lower the error sum of a fitted seasonal model?
+
+    Every station and variable at the orders the product trains with; moves out
+    of the invertible moving averages are no candidates.
+    """
+    config = TrainConfig(families=("sarima",), test_size=0)
+    season, move = config.seasonal[3], 0.03
+    pack = materialize(training_pack(climate(spark, sf_dir), config), "pack")
+    models = sarima.fit(pack, config, "sarima").select(KEY, "target", "coef")
+    moved = [F.col("coef")]
+    for i in range(5):
+        for sign in (move, -move):
+            moved.append(_moved(i, sign))
+    levels = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(v).alias("target"),
+                    F.transform(v, _scaler(v)).alias("z"),
+                )
+                for v in VARIABLES
+            ]
+        )
+    ).alias("s")
+    series_ = pack.select(KEY, levels).select(KEY, "s.target", difference(F.col("s.z"), 1, 1, season).alias("w"))
+    tried = models.join(series_, [KEY, "target"]).select(
+        KEY, "target", "w", F.posexplode(F.array(*moved)).alias("move", "c")
+    )
+    legal = (F.col("move") == 0) | ((F.abs(F.col("c")[2]) <= 1) & (F.abs(F.col("c")[4]) <= 1))
+    sums = tried.filter(legal).repartition(64).select(
+        KEY, "target", "move", _error_sum(F.col("w"), F.col("c"), season).alias("sse")
+    )
+    fitted = F.max(F.when(F.col("move") == 0, F.col("sse")))
+    return sums.groupBy(KEY, F.col("target").alias("variable")).agg(
+        (fitted <= F.min("sse") * 1.001).alias("optimal")
+    )
+
+
+def _moved(place: int, step: float) -> Column:
+    """The coefficients with one of them moved."""
+    steps = F.array(*[F.lit(step if i == place else 0.0) for i in range(5)])
+    return F.zip_with("coef", steps, lambda x, d: x + d)
+
+
+def _scaler(variable: str):
+    scale = F.col("scales")[variable]
+    return lambda x: (x - scale["center"]) / scale["scale"]
+
+
 def sarima_seasonal_ar_fit(spark, sf_dir):
     """Orders (0,0,0)(1,1,0,30): the seasonal difference on itself a season before."""
     config = TrainConfig(families=("sarima",), order=(0, 0, 0), seasonal=(1, 1, 0, 30), test_size=0)
@@ -1049,6 +1122,7 @@ QUERIES = {
     "irrigation_drift": irrigation_drift,
     "predict_gaps": predict_gaps,
     "sarima_seasonal_ar_fit": sarima_seasonal_ar_fit,
+    "sarima_optimal": sarima_optimal,
     "registry_saved_types": registry_saved_types,
     "train_all": train_everything,
     "predict_all": predict_everything,

@@ -772,5 +772,10 @@ ahead as (select station, variable, step, x from (select distinct station, varia
             " union all ".join(f"select station, '{v}' as variable, w_{v} as w, b_{v} as b from steps30" for v in VARS)
         ),
     ),
+    "sarima_optimal": _on_filled(
+        "select station, variable, true as optimal from (select distinct station from whole) "
+        "cross join (values {}) v(variable)".format(", ".join(f"('{v}')" for v in VARS)),
+        WHOLE,
+    ),
     "registry_saved_types": "select unnest(['sarima', 'var', 'window']) as model_type",
 }
