@@ -9,9 +9,10 @@ Model, with B the lag operator and s the period::
 
 Parameters are stacked as rows: c (if used), beta, phi, theta, Phi, Theta.
 Residuals before the first full set of autoregressive lags are zero. No
-coefficient is clipped. A step is refused if it does not lower the error sum,
-or leaves the invertible moving averages, for which alone errors that start
-from zero mean anything; every process has an invertible form.
+autoregressive coefficient is bounded. Moving averages stay invertible, as
+errors that start from zero mean nothing otherwise, and every process has an
+invertible form: a step across the unit circle ends on it, or, at higher
+orders, is refused, as is a step that does not lower the error sum.
 """
 
 from __future__ import annotations
@@ -132,6 +133,15 @@ def _invertible(shape: Shape, params):
     return good
 
 
+def _on_circle(shape: Shape, params):
+    """First-order moving averages beyond the unit circle moved onto it, in place."""
+    _, theta, _, stheta = shape.split(params)
+    for block in (theta, stheta):
+        if len(block) == 1:
+            np.clip(block, -1, 1, out=block)
+    return params
+
+
 def _products(jac):
     """Per series the matrix of products of derivatives, summed over time."""
     by_series = np.ascontiguousarray(jac.transpose(2, 1, 0))
@@ -173,7 +183,7 @@ def _descend(shape: Shape, params, w, x, start, rounds: int, step=1e-5):
         diagonal = np.einsum("nkk->nk", normal)
         normal[:, np.arange(k), np.arange(k)] += damping[live, None] * (diagonal + 1e-9)
         delta = np.linalg.solve(normal, grad)[..., 0].T
-        trial = here - delta
+        trial = _on_circle(shape, here - delta)
         sse = _sse(residuals(shape, trial, w_l, x_l, s_l))
         sse = np.where(_invertible(shape, trial), sse, np.inf)
         # near the optimum the error sum cannot tell steps apart that still sharpen them
