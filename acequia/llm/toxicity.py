@@ -225,15 +225,16 @@ def fit_model(
             yield batch_of(_TALLY, [used, n[used], seen[used]])
 
     tallies = texts.mapInArrow(tally, _TALLY).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
-    # At most one row a bucket, of which only those of enough toxic documents are drawn.
-    found = tallies.where(F.col("seen") >= LEAST_DOCS).orderBy("bucket").collect()
-    if not found or found[-1]["bucket"] != BUCKETS:
+    tallies = materialize(tallies, "toxicity")
+    whole = tallies.where(F.col("bucket") == BUCKETS).first()
+    if whole is None or whole["seen"] in (0, whole["n"]):
         return None
+    positive, all_rows = float(whole["seen"]), float(whole["n"])
+    # At most one row a bucket; of them only what ``select`` can choose from is drawn.
+    more = (F.col("seen") >= LEAST_DOCS) & (F.col("seen") * all_rows > 2 * F.col("n") * positive)
+    found = tallies.where(more & (F.col("bucket") < BUCKETS)).orderBy("bucket").collect()
     bucket, n, seen = (np.array([r[c] for r in found], np.int64) for c in _TALLY.names)
-    positive, all_rows = float(seen[-1]), float(n[-1])
-    if positive == all_rows:
-        return None
-    kept = select(bucket[:-1], n[:-1].astype(float), seen[:-1].astype(float), positive, all_rows)
+    kept = select(bucket, n.astype(float), seen.astype(float), positive, all_rows)
     place = _places(kept)
 
     def make():
