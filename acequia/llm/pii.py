@@ -48,8 +48,9 @@ PATTERNS = {
     "ipv4": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
     "nanp": r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+1\d{10}(?!\d)",
-    "phone": r"\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)",
-    "card": r"\d(?:[ -]?\d){12,18}(?!\d)",
+    "phone": r"\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d|\.\d)",
+    # Groups are those printed on cards: a number after a card is not part of it.
+    "card": r"\d{13,19}(?!\d)|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}(?!\d|\.\d)|\d{4}[ -]\d{6}[ -]\d{5}(?!\d)",
 }
 #: One alternation; a value starts where no letter or digit, dot or sign of a value is before it.
 PATTERN = r"(?<![A-Za-z0-9])(?<!\d[.,/-])(?:" + "|".join(PATTERNS.values()) + ")"
@@ -343,7 +344,7 @@ def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", out: str = "p
         F.split(given, PATTERN, -1).alias("gaps"),
     )
     # Most texts hold no digit, sign or label that a value needs.
-    may = given.rlike(r"[0-9@]|[=:]")
+    may = given.rlike("[0-9@=:]|AKIA")
     marked = docs.withColumn(parts, F.when(may, split))
     held = col(parts)
     woven = F.transform(

@@ -269,8 +269,8 @@ def _join(parts: list, kind) -> np.ndarray:
 
 def remove_repeated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per row of ``docs``: id, bytes, removed bytes, their spans, and the bytes kept."""
-    if not GRAM + 1 < length <= GRAM + 64:
-        raise ValueError(f"length must lie between {GRAM + 2} and {GRAM + 64}")
+    if not GRAM + 1 < length < GRAM + 64:  # a context holds at most 64 strings
+        raise ValueError(f"length must lie between {GRAM + 2} and {GRAM + 63}")
     rows = docs.select(col(id).cast("long").alias("id"), F.coalesce(col(text), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // PART_BYTES))  # parts, and buckets, of bounded size
