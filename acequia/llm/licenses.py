@@ -39,6 +39,8 @@ from acequia.session import materialize
 
 LEAST = 0.6
 FILE_SHARE = 0.5
+#: Keys over which the files of a directory are dealt.
+SALTS = 32
 FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
 
 # Short notices by which works refer to a licence, and the
@@ -251,7 +253,10 @@ def scan(
         .select("directory", F.col("near.license").alias("from_above"))
     )
     rows = found.select("path", "hash").withColumn("directory", _directory(F.col("path")))
-    rows = rows.join(inherited, "directory", "left")
+    # One directory may hold a third of all files: its files are dealt over SALTS keys.
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("path", "hash"), F.lit(SALTS)).cast("int"))
+    salted = inherited.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.join(salted, ["directory", "salt"], "left")
     mine = own.select(
         F.col("path").alias("own_path"), F.col("hash").alias("own_hash"), "license", "score", "is_file"
     )
