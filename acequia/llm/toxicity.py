@@ -4,10 +4,12 @@ Features are hashed runs of 5 and of 8 bytes of the lower-cased text, blanks
 included, so that a word and its relatives share some. Of them, those that labelled severe
 texts hold significantly more often than others are kept. One weight vector is
 shared by all ordered thresholds: P(grade <= k) = sigmoid(threshold_k - score).
+Weights are not negative, as kept features speak for toxicity alone.
 The expected severity is the sum over k of P(grade > k).
 
 Two-valued labels are graded first: 0 for a clean text, and toxic texts are
-split into mild (1) and severe (2) at the median density of kept features.
+split into mild (1) and severe (2) at the median of the logarithmic counts of
+kept features, summed.
 
 Selection and weights are fitted on a bounded sample of labelled documents
 (``per_label`` of each label, drawn by a hash of the id, weighted back to the
@@ -39,6 +41,7 @@ BUCKETS = 1 << 20
 PER_LABEL = 4000
 KEPT = 4000
 LEAST_DOCS = 5
+LEAST_GAIN = 30
 #: Tasks that read the sample, whose size is bounded.
 SAMPLE_TASKS = 8
 
@@ -55,7 +58,6 @@ _SAMPLE = T.StructType(
     [
         T.StructField("buckets", T.ArrayType(T.LongType())),
         T.StructField("counts", T.ArrayType(T.LongType())),
-        T.StructField("size", T.LongType()),
     ]
 )
 #: ASCII bytes that are no letters become blanks.
@@ -113,8 +115,8 @@ def fit_ordinal(
     grades: np.ndarray,
     sample_weights: np.ndarray,
     kept: np.ndarray,
-    ridge: float = 0.02,
-    rounds: int = 400,
+    ridge: float = 0.1,
+    rounds: int = 1500,
 ) -> Ordinal:
     """Penalised maximum likelihood by gradient steps with momentum (Adam).
 
@@ -150,7 +152,7 @@ def fit_ordinal(
         state[0] = 0.9 * state[0] + 0.1 * slope
         state[1] = 0.99 * state[1] + 0.01 * slope**2
         move = 0.05 * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.99**t)) + 1e-10)
-        weights -= move[: len(kept)]
+        weights = np.maximum(weights - move[: len(kept)], 0.0)
         steps -= move[len(kept) :]
     return Ordinal(kept, weights, np.cumsum(np.r_[steps[0], np.exp(steps[1:])]))
 
@@ -164,17 +166,15 @@ def select(
 ) -> np.ndarray:
     """Buckets that toxic documents hold significantly more often; the strongest, in order."""
     gain = _deviance(n, positive, all_rows, seen)
-    more = (seen * all_rows > 2 * n * positive) & (seen >= LEAST_DOCS) & (gain > 30)
+    more = (seen * all_rows > 2 * n * positive) & (seen >= LEAST_DOCS) & (gain > LEAST_GAIN)
     found = np.flatnonzero(more)
     return np.sort(bucket[found[np.argsort(-gain[found], kind="stable")[:most]]])
 
 
-def _kept_counts(text: str | None, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Indices of the kept buckets in a text, their counts, and the number of runs."""
-    where = codes(text)
-    own = place[where]
-    index, counts = np.unique(own[own >= 0], return_counts=True)
-    return index, counts, len(where)
+def _kept_counts(text: str | None, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the kept buckets in a text, and their counts."""
+    own = place[codes(text)]
+    return np.unique(own[own >= 0], return_counts=True)
 
 
 def _places(kept: np.ndarray) -> np.ndarray:
@@ -248,8 +248,8 @@ def fit_model(
     sample.sort(key=lambda r: r["id"])
     rows = [(np.array(r["buckets"], np.int64), np.array(r["counts"], float)) for r in sample]
     bad = np.array([r["bad"] for r in sample])
-    density = np.array([c.sum() / max(r["size"], 1) for (_, c), r in zip(rows, sample, strict=True)])
-    severe = bad & (density > np.median(density[bad]))
+    mass = np.array([np.log1p(c).sum() for _, c in rows])
+    severe = bad & (mass > np.median(mass[bad]))
     grades = bad.astype(int) + severe
     share_of = {kind: counts[kind] / max((bad == kind).sum(), 1) for kind in (True, False)}
     weights = np.where(bad, share_of[True], share_of[False])
@@ -271,7 +271,7 @@ def predict(docs: DataFrame, model: Ordinal | None, *, text: str = "text", out:
                 if ordinal is None:
                     rows.append((0, 0.0, 0.0, False))
                     continue
-                index, counts, _ = _kept_counts(value.as_py(), place)
+                index, counts = _kept_counts(value.as_py(), place)
                 above = ordinal.above(ordinal.score(index, counts))
                 grade = int((above >= 0.5).sum())
                 rows.append((grade, float(above.sum()), float(above[0]), grade > 0))

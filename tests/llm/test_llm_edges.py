@@ -454,11 +454,11 @@ def test_toxicity_edges(spark, docs, empty):
 def test_thresholds_are_ordered_and_weights_shared():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 4, (3000, 3)).astype(float)
-    score = np.log1p(x) @ np.array([2.0, -1.0, 0.0]) + rng.logistic(size=3000)
+    score = np.log1p(x) @ np.array([2.0, 1.0, 0.0]) + rng.logistic(size=3000)
     grades = np.digitize(score, [0.0, 1.5])
     rows = [(np.flatnonzero(r), r[r > 0]) for r in x]
     model = toxicity.fit_ordinal(rows, grades, np.ones(3000), np.arange(3), ridge=1e-6, rounds=1500)
-    assert np.allclose(model.weights, [2, -1, 0], atol=0.2)
+    assert np.allclose(model.weights, [2, 1, 0], atol=0.2)
     assert np.allclose(model.thresholds, [0, 1.5], atol=0.25)
 
 
