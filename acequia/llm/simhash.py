@@ -168,8 +168,10 @@ def keep_first(
     chosen = found.groupBy("root").agg(first.alias("keep"))
     names = docs.columns
     key, rank = free_name(docs, "row_key"), free_name(docs, "row_rank")
-    # A struct, in which nulls are equal, so that join and window share one exchange.
-    chosen = chosen.select(F.struct("keep.id", "keep.text_hash").alias("kept_key")).distinct()
+    # A struct, in which nulls are equal, so that join and window share one exchange;
+    # for that its type, nullability included, is the same on both sides.
+    kept_hash = F.coalesce(F.col("keep.text_hash"), F.lit(0)).alias("text_hash")
+    chosen = chosen.select(F.struct(F.col("keep.id").alias("id"), kept_hash).alias("kept_key")).distinct()
     row_key = F.struct(col(id).alias("id"), F.xxhash64(col(text)).alias("text_hash"))
     kept = docs.withColumn(key, row_key).join(chosen, col(key) == F.col("kept_key"), "left_semi")
     others = [col(c) for c in names if c not in (id, text)] or [F.lit(0)]
