@@ -34,4 +34,24 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
 from doc_words left join covered using (r) left join found using (r)
 """
 
-ORACLES = {"op4_decontamination": OP4}
+#: Code points of an escaped text: one more for each backslash and each control string.
+_ESCAPED = """length({x}) + (length({x}) - length(replace({x}, '\\', '')))
+    + (length({x}) - length(replace({x}, '<turn', ''))) // 5
+    + (length({x}) - length(replace({x}, '</turn', ''))) // 6"""
+
+OP3 = f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(case when role = 'assistant' then text end, ''
+    order by turn nulls first, role, text), '')) as loss_sha256,
+  cast(sum(17 + {_ESCAPED.format(x='role')} + (length(role) - length(replace(role, chr(10), '')))
+    + {_ESCAPED.format(x='text')}) as bigint) as formatted_chars
+from turns group by conv_id
+"""
+
+ORACLES = {"op3_chat": OP3, "op4_decontamination": OP4}
