@@ -1,8 +1,9 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
 Features are hashed runs of 5 and of 8 bytes of the lower-cased text, blanks
-included, so that a word and its relatives share some. Of them, those that labelled severe
-texts hold significantly more often than others are kept. One weight vector is
+included, so that a word and its relatives share some. Of them, those that a share of the
+toxic texts holds more than twice the share of the clean ones, significantly, are kept; shares
+do not depend on how many of each label the sample has. One weight vector is
 shared by all ordered thresholds: P(grade <= k) = sigmoid(threshold_k - score).
 Weights are not negative, as kept features speak for toxicity alone.
 The expected severity is the sum over k of P(grade > k).
@@ -18,12 +19,14 @@ label's true count); prediction covers all rows and whole texts.
 Defined cases: a null or empty text has no features and is as clean as the
 thresholds say; labels that are null, or of unknown documents, are ignored; a
 document with several labels takes the largest; without labelled texts of both
-kinds nothing can be learned and every text has severity 0; repeated rows are
+kinds nothing can be learned and every text has severity 0; with too few to tell
+any feature, a warning says so and every text gets the base rate; repeated rows are
 scored alike; further columns are ignored or passed through.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +44,8 @@ BUCKETS = 1 << 20
 PER_LABEL = 4000
 KEPT = 4000
 LEAST_DOCS = 5
-LEAST_GAIN = 30
+#: Least gain of a feature: this share of what a perfect one gains on the sample, within bounds.
+GAIN_SHARE, LEAST_GAIN, ENOUGH_GAIN = 0.1, 12, 30
 #: Tasks that read the sample, whose size is bounded.
 SAMPLE_TASKS = 8
 
@@ -166,7 +170,10 @@ def select(
 ) -> np.ndarray:
     """Buckets that toxic documents hold significantly more often; the strongest, in order."""
     gain = _deviance(n, positive, all_rows, seen)
-    more = (seen * all_rows > 2 * n * positive) & (seen >= LEAST_DOCS) & (gain > LEAST_GAIN)
+    p = positive / all_rows
+    perfect = -2 * all_rows * (p * np.log(p) + (1 - p) * np.log(1 - p))
+    least = min(max(GAIN_SHARE * perfect, LEAST_GAIN), ENOUGH_GAIN)
+    more = (seen * (all_rows - positive) > 2 * (n - seen) * positive) & (seen >= LEAST_DOCS) & (gain > least)
     found = np.flatnonzero(more)
     return np.sort(bucket[found[np.argsort(-gain[found], kind="stable")[:most]]])
 
@@ -231,10 +238,13 @@ def fit_model(
         return None
     positive, all_rows = float(whole["seen"]), float(whole["n"])
     # At most one row a bucket; of them only what ``select`` can choose from is drawn.
-    more = (F.col("seen") >= LEAST_DOCS) & (F.col("seen") * all_rows > 2 * F.col("n") * positive)
+    rate = F.col("seen") * (all_rows - positive) > 2 * (F.col("n") - F.col("seen")) * positive
+    more = (F.col("seen") >= LEAST_DOCS) & rate
     found = tallies.where(more & (F.col("bucket") < BUCKETS)).orderBy("bucket").collect()
     bucket, n, seen = (np.array([r[c] for r in found], np.int64) for c in _TALLY.names)
     kept = select(bucket, n.astype(float), seen.astype(float), positive, all_rows)
+    if not len(kept):
+        warnings.warn(f"{int(positive)} toxic of {int(all_rows)} labelled texts tell no feature", stacklevel=2)
     place = _places(kept)
 
     def make():

@@ -451,6 +451,20 @@ def test_toxicity_edges(spark, docs, empty):
     assert not any(r["_toxicity"]["toxic"] for r in toxicity.predict(docs, None).collect())
 
 
+def test_toxicity_of_a_sample_with_as_many_of_each_label(spark):
+    n, seen = np.array([60.0, 40.0, 30.0]), np.array([50.0, 20.0, 30.0])
+    assert toxicity.select(np.arange(3), n, seen, 80.0, 160.0).tolist() == [0, 2]
+    # One clean text in 20 holds the words as well.
+    rows = [(i, prose(40) + (" grobian lump" if i % 2 or i % 40 == 0 else ""), None) for i in range(600)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    for per_label in (60, 150, 4000):
+        model = toxicity.fit_model(frame, labels, per_label=per_label)
+        found = {r["doc_id"]: r["toxicity"]["toxic"] for r in toxicity.predict(frame, model).collect()}
+        assert np.mean([found[i] for i in range(1, 600, 2)]) >= 0.9
+        assert np.mean([found[i] for i in range(0, 600, 2)]) <= 0.1
+
+
 def test_thresholds_are_ordered_and_weights_shared():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 4, (3000, 3)).astype(float)
