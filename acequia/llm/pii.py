@@ -38,22 +38,35 @@ OPEN_KEY = "acequia open key"
 #: Days of the Gregorian cycle of 400 years, as a product of two moduli, from 1800-01-01.
 FIRST_DAY, DATE_MODULI = -62_091, (189, 773)
 
+#: A whole value of digits; a separator before one ends the value in front of it.
+_NEXT = (
+    r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,3}(?:\.\d{1,3}){3}"
+    r"|\d{3}-\d{2}-\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)"
+)
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9]{8,128}(?![A-Za-z0-9])"
     r"|AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "date": r"\d{4}-\d{2}-\d{2}(?![\d-])|\d{4}/\d{2}/\d{2}(?![\d/])"
-    r"|\d{1,2}/\d{1,2}/\d{4}(?![\d/])|\d{1,2}\.\d{1,2}\.\d{4}(?!\d|\.\d)",
+    "date": rf"\d{{4}}-\d{{2}}-\d{{2}}(?!\d|-(?!{_NEXT})\d)|\d{{4}}/\d{{2}}/\d{{2}}(?!\d|/(?!{_NEXT})\d)"
+    rf"|\d{{1,2}}/\d{{1,2}}/\d{{4}}(?!\d|/(?!{_NEXT})\d)|\d{{1,2}}\.\d{{1,2}}\.\d{{4}}(?!\d|\.\d)",
     "ipv4": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
-    "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
+    "ssn": rf"\d{{3}}-\d{{2}}-\d{{4}}(?!\d|-(?!{_NEXT})\d)",
     "nanp": r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+1\d{10}(?!\d)",
-    "phone": r"\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d|\.\d)",
+    "phone": rf"\+[2-9]\d{{0,2}}(?:(?!-{_NEXT})[ .-]?\(?\d{{1,4}}\)?){{2,5}}(?!\d|\.\d)",
     # Groups are those printed on cards: a number after a card is not part of it.
     "card": r"\d{13,19}(?!\d)|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}(?!\d|\.\d)|\d{4}[ -]\d{6}[ -]\d{5}(?!\d)",
 }
-#: One alternation; a value starts where no letter or digit, dot or sign of a value is before it.
-PATTERN = r"(?<![A-Za-z0-9])(?<!\d[.,/-])(?:" + "|".join(PATTERNS.values()) + ")"
+#: Kinds that start with a digit may be the rest of a longer number: after a digit and a dot, slash or
+#: hyphen they start only if that slash or hyphen parts them from the value found before.
+_NUMBERS = ("date", "ipv4", "ssn", "nanp", "card")
+_ALONE = r"(?:(?<=\G[/-])|(?<!\d[./-]))"
+#: One alternation; a value starts where no letter or digit is before it. A comma parts values.
+PATTERN = (
+    "(?<![A-Za-z0-9])(?:"
+    + "|".join(f"{_ALONE}(?:{p})" if kind in _NUMBERS else p for kind, p in PATTERNS.items())
+    + ")"
+)
 
 
 def session_key(spark: SparkSession) -> str:

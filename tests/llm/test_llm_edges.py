@@ -119,6 +119,37 @@ def test_values_side_by_side(spark):
     assert not set(text.split()) & set(found["text"].split()) - {"+1", "+44"}
 
 
+def test_values_of_unspaced_lists(spark):
+    kinds = [
+        ["4111111111111111", "5500000000000004", "4111-1111-1111-1111"],
+        ["123-45-6789", "219-09-9999", "4111111111111111"],
+        ["10.0.0.1", "10.0.0.2", "94.157.49.240"],
+        ["2020-01-01", "2021-02-03", "2022-11-30"],
+        ["12/05/2021", "13/06/2021", "14/07/2022"],
+        ["2020/01/01", "2021/02/03", "12.05.2021"],
+        ["606-555-8093", "606-555-8094", "(606) 555-8095"],
+        ["+442079460958", "123-45-6789", "2020-01-01"],
+        ["jo@ex.org", "ann@ex.org", "4111111111111111"],
+        ["GB82WEST12345698765432", "2020-01-01", "GB82WEST12345698765432"],
+    ]
+    texts = [(i, sep.join(v), v) for sep in ",;/-" for i, v in enumerate(kinds)]
+    texts += [(10, "1,123-45-6789,4111111111111111,5500000000000004", ["123-45-6789", "4111111111111111", "5500000000000004"])]
+    texts += [(11, "7/jo@ex.org", ["jo@ex.org"]), (12, "2020-01-01-report", ["2020-01-01"])]
+    rows = spark.createDataFrame([(t, v) for _, t, v in texts], "text string, held array<string>")
+    alone = spark.createDataFrame([(v,) for _, _, held in texts for v in held], "text string")
+    new = {r["text"]: r["pii"]["text"] for r in pii.pseudonymise(alone, "k").collect()}
+    for r in pii.pseudonymise(rows, "k").collect():
+        want_text = r["text"]
+        for v in sorted(set(r["held"]), key=len, reverse=True):
+            want_text = want_text.replace(v, new[v])
+        assert r["pii"]["n_found"] == len(r["held"]), r["text"]
+        assert r["pii"]["text"] == want_text
+    # Decimals and longer numbers hold no value.
+    same = ["0.4111111111111111", "1.2.3.4.5", "2020-01-01-05", "9-123-45-6789", "123-45-6789-1", "1.10.0.0.1", "5/12/05/2021"]
+    rows = spark.createDataFrame([(t,) for t in same], "text string")
+    assert all(r["pii"]["text"] == r["text"] for r in pii.pseudonymise(rows, "k").collect())
+
+
 def test_pii_links_equal_values_and_validates_again(spark):
     texts = [
         "4111 1111 1111 1111 and 4111111111111111 and 4111-1111-1111-1111",
