@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from acequia.llm.common import col, free_name
 
 ROUNDS = 10
+SECRET_PIECE = 128
 KEY_SETTING = "acequia.llm.pii.key"
 #: For trials and tests alone; a session that keeps pseudonyms secret sets its own key.
 OPEN_KEY = "acequia open key"
@@ -43,11 +44,28 @@ _NEXT = (
     r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,3}(?:\.\d{1,3}){3}"
     r"|\d{3}-\d{2}-\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)"
 )
+#: Length of an IBAN by country, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    last = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+    return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{last}(?![A-Za-z0-9])"
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9]{8,128}(?![A-Za-z0-9])"
+    "secret": r"(?i:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9]{8,}+"
     r"|AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    # As long as its country says, so that it takes in no neighbour; of other countries, one without blanks.
+    "iban": "|".join(_iban_of(n, countries) for n, countries in IBAN_LENGTHS.items())
+    + r"|[A-Z]{2}\d{2}[A-Z0-9]{8,31}(?![A-Za-z0-9])",
     "date": rf"\d{{4}}-\d{{2}}-\d{{2}}(?!\d|-(?!{_NEXT})\d)|\d{{4}}/\d{{2}}/\d{{2}}(?!\d|/(?!{_NEXT})\d)"
     rf"|\d{{1,2}}/\d{{1,2}}/\d{{4}}(?!\d|/(?!{_NEXT})\d)|\d{{1,2}}\.\d{{1,2}}\.\d{{4}}(?!\d|\.\d)",
     "ipv4": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
@@ -321,7 +339,11 @@ def _email(value: Column, key: str) -> Column:
 
 
 def _secret(value: Column, key: str) -> Column:
-    """The part after the label; hexadecimal digits stay hexadecimal."""
+    """The part after the label; hexadecimal digits stay hexadecimal.
+
+    A secret longer than ``SECRET_PIECE`` is permuted in pieces, each under the place and
+    the hash of all before it, so that the work grows with the length, not its square.
+    """
     secret = F.regexp_extract(value, r"[A-Za-z0-9]+$", 0)
     skipped = F.when(value.startswith("AKIA"), F.lit(4)).otherwise(F.length(value) - F.length(secret))
     letters = F.when(secret.rlike("^[0-9a-f]+$"), F.lit(6)).otherwise(F.lit(26))
@@ -329,7 +351,19 @@ def _secret(value: Column, key: str) -> Column:
     def free(c: Column, i: Column, _: Column) -> Column:
         return _is_sign(c) & (i >= skipped)
 
-    return _symbols(value, free, "secret", key, letters.cast("string"), letters=letters)
+    def whole(long: Column) -> Column:
+        pieces = F.regexp_extract_all(long, F.lit(rf"[A-Za-z0-9]{{1,{SECRET_PIECE}}}"), F.lit(0))
+
+        def piece(p: Column, i: Column) -> Column:
+            before = F.sha2(F.substring(long, F.lit(1), i * SECRET_PIECE), 256)
+            tweak = F.concat_ws(",", letters.cast("string"), i.cast("string"), before)
+            return _symbols(p, lambda c, _i, _c: _is_sign(c), "secret", key, tweak, letters=letters)
+
+        return F.array_join(F.transform(pieces, piece), "")
+
+    label = F.substring(value, F.lit(1), F.length(value) - F.length(secret))
+    short = _symbols(value, free, "secret", key, letters.cast("string"), letters=letters)
+    return F.when(F.length(secret) > SECRET_PIECE, F.concat(label, _let(secret, whole))).otherwise(short)
 
 
 def pseudonym(value: Column, key: str) -> Column:

@@ -150,6 +150,31 @@ def test_values_of_unspaced_lists(spark):
     assert all(r["pii"]["text"] == r["text"] for r in pii.pseudonymise(rows, "k").collect())
 
 
+def test_values_with_a_neighbour_and_long_secrets(spark):
+    token = "Ab3" * 500
+    held = {
+        "ES91 2100 0418 4502 0005 1332 BIC CAIXESBB": "ES91 2100 0418 4502 0005 1332",
+        "AT611904300234573201 THE": "AT611904300234573201",
+        "IBAN GB82 WEST 1234 5698 7654 32 OK 12": "GB82 WEST 1234 5698 7654 32",
+        "AB12 4111 1111 1111 1111": "4111 1111 1111 1111",
+        "Password: hunter2hunter2": "hunter2hunter2",
+        f"TOKEN={token} x": token,
+        f"secret = '{token[:129]}'": token[:129],
+    }
+    assert all(len(c) == 2 for v in pii.IBAN_LENGTHS.values() for c in v.split())
+    rows = spark.createDataFrame([(t,) for t in held], "text string")
+    new = {}
+    for r in pii.pseudonymise(rows, "k").collect():
+        value, made = held[r["text"]], r["pii"]["text"]
+        start, end = r["text"].split(value)
+        assert made.startswith(start) and made.endswith(end) and len(made) == len(r["text"])
+        assert value not in made and r["pii"]["n_replaced"] == 1
+        new[value] = made[len(start) : len(made) - len(end)]
+    # Every piece differs from the text and from the other pieces.
+    pieces = [new[token][i : i + 128] for i in range(0, 1500, 128)]
+    assert len(set(pieces)) == len(pieces) and new[token][128:256] != token[128:256]
+
+
 def test_pii_links_equal_values_and_validates_again(spark):
     texts = [
         "4111 1111 1111 1111 and 4111111111111111 and 4111-1111-1111-1111",
