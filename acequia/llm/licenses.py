@@ -1,13 +1,16 @@
 r"""Licence detection: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-Words of the templates are weighted by their inverse frequency over all files
-and templates; other words weigh as if no file held them. A header is a run of
+Words are weighted by their inverse frequency over all files and templates. A
+word that fewer than ``RARE`` of them hold weighs as if that share held it, so
+weights depend on shares alone and do not grow with the number of files; and
+the words that weigh less are few, at most 1 / ``RARE`` times the mean number
+of different words in a file. A header is a run of
 lines that hold a cue, with at most one line between them. Cues follow from
 the weights: a text whose cosine to a template reaches ``least`` must hold
 words with at least that share of the template's length, so a template's
-lightest words, as many as leave that guarantee, are no cues and all others
-are. No header above the threshold is missed, and words of running prose, which
-weigh little, pick out no lines.
+commonest words, as many as leave that guarantee, are no cues and all others
+are. No header above the threshold is missed, and words of running prose pick
+out no lines.
 
 Every cue line and every run is compared by itself, so prose beside a notice
 does not hide it. A header takes the template of the largest cosine, a file
@@ -15,8 +18,8 @@ that of its best header. A file is a licence file if it is named like one, or if
 up ``file_share`` of its words; its licence holds for its directory. A file
 without a header of its own inherits from the nearest directory above it.
 
-Everything is a DataFrame expression or a join; template tables are the only
-thing broadcast, and their size is fixed by this module.
+Everything is a DataFrame expression or a join; templates and the weights of
+their and of common words are the only things broadcast.
 
 Defined cases: a null or empty text has no header and can inherit; a null path
 belongs to no directory; rows repeated get equal rows, and rows of one path
@@ -39,6 +42,8 @@ from acequia.session import materialize
 
 LEAST = 0.6
 FILE_SHARE = 0.5
+#: Share of files below which a word weighs no more.
+RARE = 0.05
 #: Keys over which the files of a directory are dealt.
 SALTS = 32
 FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
@@ -102,17 +107,17 @@ class Vocabulary:
         total = files + len(counts)
 
         def weight(n: int) -> float:
-            return math.log(1 + total / (1 + n))
+            return math.log(1 + min(total / (1 + n), 1 / RARE))
 
         self.unseen = weight(0)
-        self.idf = {w: weight(n + held.get(w, 0)) for w, n in own.items()}
+        self.idf = {w: weight(own[w] + held.get(w, 0)) for w in {*own, *held}}
         self.vectors, self.cues = [], set()
         for number, (name, words) in enumerate(counts):
             raw = {w: n * self.idf[w] for w, n in words.items()}
             length = math.sqrt(sum(x * x for x in raw.values()))
             self.vectors += [(number, name, w, x / length) for w, x in raw.items()]
             spared = 0.0
-            for word in sorted(raw, key=lambda w: (raw[w], w)):
+            for word in sorted(raw, key=lambda w: (-held.get(w, 0), raw[w], w)):
                 spared += (raw[word] / length) ** 2
                 if spared >= least * least:
                     self.cues.add(word)
@@ -121,14 +126,17 @@ class Vocabulary:
 def vocabulary(
     files: DataFrame, text: str, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST
 ) -> Vocabulary:
-    """Weights by the frequency of the templates' words over all files; one row a word comes back."""
+    """Weights by the frequency of words over all files; the templates' and the common words come back."""
     words = sorted({w for texts in templates.values() for t in texts for w in template_words(t)})
-    known = F.array(*[F.lit(w) for w in words])
-    found = F.array_intersect(known, _words(F.coalesce(col(text), F.lit(""))))
+    found = F.array_distinct(_words(F.coalesce(col(text), F.lit(""))))
     # The empty word stands in every file.
     every = files.select(F.explode(F.concat(F.array(F.lit("")), found)).alias("word"))
-    held = {r["word"]: r["count"] for r in every.groupBy("word").count().collect()}
-    return Vocabulary(templates, least, held.get("", 0), held)
+    counts = materialize(every.groupBy("word").count(), "licences")
+    whole = counts.where(F.col("word") == "").first()
+    n_files = whole["count"] if whole else 0
+    known = F.col("word").isin(words) | (F.col("count") + 1 > RARE * n_files)
+    held = {r["word"]: r["count"] for r in counts.where(known & (F.col("word") != "")).collect()}
+    return Vocabulary(templates, least, n_files, held)
 
 
 def _words(line: Column) -> Column:

@@ -418,6 +418,37 @@ def test_license_scan(spark, empty):
     assert licenses.scan(frame.limit(0)).count() == 0
 
 
+def test_reworded_headers_at_several_corpus_sizes(spark):
+    mit, gpl = "This project is released under the MIT License.", "This file is licensed under the GNU General Public License, version 3."
+    scores = []
+    for n in (200, 2_000, 40_000):
+        # One file in ten holds each line as the templates have it; most hold ordinary words of a header.
+        line = (
+            F.when(F.col("id") % 10 == 3, licenses.TEMPLATES["MIT"][0])
+            .when(F.col("id") % 10 == 4, licenses.TEMPLATES["GPL-3.0"][0])
+            .when(F.col("id") == 0, mit).when(F.col("id") == 1, gpl)
+            .otherwise("this project and that file is all there is")
+        )
+        filler = F.concat(F.lit("\n"), F.sha2(F.col("id").cast("string"), 256))
+        files = spark.range(n).select(F.format_string("d/%d", "id").alias("path"), F.concat(line, filler).alias("text"))
+        found = licenses.scan(files).where("path in ('d/0', 'd/1')")
+        scores.append({r["path"]: (r["license"], r["score"]) for r in found.collect()})
+    assert all(s["d/0"][0] == "MIT" and s["d/1"][0] == "GPL-3.0" for s in scores)
+    for path in ("d/0", "d/1"):
+        assert max(s[path][1] for s in scores) - min(s[path][1] for s in scores) < 0.05
+    # The formula alone, for more files than a test can hold; words of the header that no other file has.
+    for n in (20, 100_000, 10_000_000):
+        for share, header, name in ((0.02, mit, "MIT"), (0.2, gpl, "GPL-3.0")):
+            own = {w for t in licenses.TEMPLATES.values() for x in t for w in licenses.template_words(x)}
+            known = licenses.Vocabulary(licenses.TEMPLATES, licenses.LEAST, n, {w: int(share * n) for w in own})
+            x = {w: known.idf.get(w, known.unseen) for w in licenses.template_words(header)}
+            dots = {}
+            for number, license, w, weight in known.vectors:
+                dots[license, number] = dots.get((license, number), 0.0) + weight * x.get(w, 0.0)
+            best = max(dots, key=dots.get)
+            assert best[0] == name and dots[best] / np.sqrt(sum(v * v for v in x.values())) >= licenses.LEAST
+
+
 def test_cues_miss_no_header():
     """A text above the threshold holds a cue: the rest of a template is too short a vector."""
     held = {w: 900 for w in ("the", "of", "and", "to", "is")}
