@@ -54,4 +54,101 @@ select conv_id, count(*) as n_turns,
 from turns group by conv_id
 """
 
-ORACLES = {"op3_chat": OP3, "op4_decontamination": OP4}
+
+def _field(name: str) -> str:
+    text = f"cast({name} as varchar)"
+    return f"coalesce(cast(strlen({text}) as varchar) || ':' || {text}, '-')"
+
+
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ord(c) as bigint))),
+    lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)),
+                            lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def _levels(name: str, leaves: str) -> str:
+    """Recursive SQL: every node (tree, level, pos, hash) above ``leaves``, and the nodes of its level."""
+    return f"""
+{name} as (
+  select tree, 0 as level, pos, hash, count(*) over (partition by tree) as n from {leaves}
+  union all
+  select tree, level + 1, pos // 3, sha256(string_agg(hash, '' order by pos)), (n + 2) // 3
+  from {name} where n > 1 group by tree, level, pos // 3, n)"""
+
+
+def _climb(name: str, nodes: str, start: str) -> str:
+    """Recursive SQL: every leaf's way up, its claim folded with the others' hashes."""
+    return f"""
+{name} as (
+  select tree, pos, level, n, claim, told, id from (select *, 0 as level from {start})
+  union all
+  select w.tree, w.pos // 3, w.level + 1, (w.n + 2) // 3,
+         sha256(string_agg(case when s.pos = w.pos then w.claim else s.hash end, '' order by s.pos)),
+         w.told || coalesce(string_agg(s.hash, '' order by s.pos) filter (where s.pos <> w.pos), ''), w.id
+  from {name} w join {nodes} s on s.tree = w.tree and s.level = w.level and s.pos // 3 = w.pos // 3
+  where w.n > 1 group by w.tree, w.pos, w.level, w.n, w.claim, w.told, w.id)"""
+
+
+_FIELDS = [_field(c) for c in ("doc_id", "source", "lang", "n_chars")]
+OP11 = f"""
+with recursive rows as (
+  select row_number() over () as id, doc_id, coalesce('=' || source, '') as tree,
+         sha256({" || ".join([*_FIELDS, _field("text")])}) as hash,
+         case when {_CRC} % 2 = 0
+              then sha256({" || ".join([*_FIELDS, _field("replace(text, chr(10), '')")])}) end as altered
+  from documents),
+leaves as (
+  select *, coalesce(altered, hash) as claim, count(*) over (partition by tree) as n,
+         row_number() over (partition by tree order by doc_id nulls first, hash) - 1 as pos from rows),
+{_levels("nodes", "leaves")},
+tops as (select tree as source, hash, row_number() over (order by tree) - 1 as pos, '' as tree
+         from nodes where n = 1),
+{_levels("table_nodes", "tops")},
+top as (select hash as root from table_nodes where n = 1),
+{_climb("ways", "nodes", "(select tree, pos, n, claim, '' as told, id from leaves)")},
+{_climb("table_ways", "table_nodes", "(select '' as tree, t.pos, (select count(*) from tops) as n, w.claim, w.told, w.id"
+        " from ways w join tops t on t.source = w.tree where w.n = 1)")}
+select l.doc_id, l.hash as leaf, t.hash as subroot, root, sha256(w.told) as proof_sha256,
+       w.claim as folded_root, w.claim = root as verified
+from leaves l join tops t on t.source = l.tree join table_ways w on w.id = l.id and w.n = 1, top
+"""
+
+OP12 = """
+with texts as (select doc_id, coalesce(text, '') as text from documents)
+select doc_id, max(doc_id) over copies as keep_id, count(*) over copies as group_size,
+       row_number() over (partition by text order by doc_id desc nulls last) = 1 as kept,
+       sha256(text) as text_sha256
+from texts window copies as (partition by text)
+"""
+
+OP13 = """
+with given as (
+  select row_number() over () as r, vec_id,
+         case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.r as anchor, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+         cast(list_inner_product(a.v, b.v) as bigint) as score
+  from given a join given b on a.r <> b.r where a.vec_id % 50 = 0),
+positives as (
+  select anchor, anchor_id, vec_id as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over best as integer) as rank, n.vec_id as negative_id,
+       positive_score, n.score as negative_score
+from positives p join scores n on n.anchor = p.anchor and not n.same
+  and 50 * positive_score <= 100 * n.score and 100 * n.score <= 95 * positive_score
+window best as (partition by p.anchor, positive_id order by n.score desc, n.vec_id)
+qualify rank <= 3
+"""
+
+ORACLES = {
+    "op3_chat": OP3,
+    "op4_decontamination": OP4,
+    "op11_merkle": OP11,
+    "op12_exact_dedup": OP12,
+    "op13_hard_negatives": OP13,
+}

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acequia.llm import (
+    bond,
     chat,
+    chunk_dedup,
     decontaminate,
     language,
     licenses,
+    merkle,
     packing,
     pii,
     quality,
@@ -140,6 +143,29 @@ def op10_suffix_dedup(spark, sf_dir):
     )
 
 
+def op11_merkle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.col("text").contains("\n")
+    claimed = [F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in fields]
+    leaves = docs.withColumn("leaf", merkle.leaf(*map(F.col, fields)))
+    leaves = leaves.withColumn("claim", F.when(tampered, merkle.leaf(*claimed)).otherwise(F.col("leaf")))
+    return merkle.prove(merkle.manifest(leaves, claim="claim")).withColumnRenamed("id", "doc_id")
+
+
+def op12_exact_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunk_dedup.find_copies(docs).select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256"
+    )
+
+
+def op13_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bond.mine(bond.vectors(rows, label, F.col("vec_id") % 50 == 0))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -151,4 +177,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_merkle": op11_merkle,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
