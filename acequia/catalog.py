@@ -8,7 +8,7 @@ of a sum are rounded to some decimals. Radiation is reported in MJ.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acequia.functions import agronomy, naming
@@ -570,7 +570,8 @@ def _irrigation_columns(*columns):
 
 
 def irrigation_daily(spark, sf_dir):
-    rows = agronomy.calculate_irrigation(completed(spark, sf_dir))
+    # No job of its own asks whether there are rows: that would run the whole exchange twice.
+    rows = agronomy.calculate_irrigation(completed(spark, sf_dir), observed=Observation("irrigation"))
     return rounded(
         rows.withColumn("dia", F.col("dia").cast("bigint")), KEY, DAY, "dia", columns=IRRIGATION
     )

@@ -8,12 +8,13 @@ arithmetic type.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from acequia.schema import DAY, CropParams
 
 DEFAULT = CropParams()
+NO_FORECAST = "no forecast rows to compute irrigation from"
 
 
 def pressure_kpa(pressure_hpa: Column) -> Column:
@@ -163,8 +164,25 @@ def with_irrigation(df: DataFrame, crop: CropParams = DEFAULT, day: str = DAY) -
     )
 
 
-def calculate_irrigation(df: DataFrame, crop: CropParams = DEFAULT) -> DataFrame:
-    """``with_irrigation`` for a finished forecast; an empty one is an error."""
+def calculate_irrigation(
+    df: DataFrame, crop: CropParams = DEFAULT, observed: Observation | None = None
+) -> DataFrame:
+    """``with_irrigation`` for a finished forecast; an empty one is an error.
+
+    Without ``observed`` emptiness is found by a job of its own, before anything
+    is computed. With it the rows are counted as they are computed, and
+    ``require_rows`` tells after they were written or collected.
+    """
+    if observed is not None:
+        return with_irrigation(df.observe(observed, F.count(F.lit(1)).alias("rows")), crop)
     if df.isEmpty():
-        raise ValueError("no forecast rows to compute irrigation from")
+        raise ValueError(NO_FORECAST)
     return with_irrigation(df, crop)
+
+
+def require_rows(observed: Observation) -> int:
+    """Rows that were computed; none is an error. To be called after the action."""
+    rows = observed.get["rows"]
+    if not rows:
+        raise ValueError(NO_FORECAST)
+    return rows

@@ -17,8 +17,35 @@ def lagged_terms(block: np.ndarray, lags: int) -> np.ndarray:
 
 
 def cross_products(block: np.ndarray, lags: int) -> np.ndarray:
-    z = lagged_terms(block, lags)
-    return z.T @ z
+    """Cross-products of the lagged terms, from one product for each lag difference.
+
+    The block of lags (i + 1, j + 1) covers the same days as (i, j), one day
+    earlier: the product of the day that comes in is added and that of the day
+    that goes out taken away. So only today's products with each lag are sums
+    over all days, n * lags * K^2 multiplications instead of n * (lags * K)^2,
+    and no design matrix is built.
+    """
+    n, k = block.shape
+    rows, width = n - lags, k * (lags + 1)
+    if rows <= 2 * lags:  # the corrections would cost more than the design
+        z = lagged_terms(block, lags)
+        return z.T @ z
+    today = block[lags:]
+    out = np.empty((1 + width, 1 + width))
+    gram = np.empty((lags + 1, k, lags + 1, k))
+    for j in range(lags + 1):
+        gram[0, :, j] = today.T @ block[lags - j : n - j]
+    incoming, outgoing = block[:lags][::-1], block[n - lags :][::-1]
+    change = np.einsum("ia,jb->iajb", incoming, incoming) - np.einsum("ia,jb->iajb", outgoing, outgoing)
+    for i in range(lags):
+        gram[i + 1, :, i + 1 :] = gram[i, :, i:lags] + change[i, :, i:]
+    for i in range(1, lags + 1):
+        gram[i, :, :i] = gram[:i, :, i].transpose(2, 0, 1)
+    sums = today.sum(axis=0) + np.vstack([np.zeros(k), np.cumsum(incoming - outgoing, axis=0)])
+    out[0, 0] = rows
+    out[0, 1:] = out[1:, 0] = sums.ravel()
+    out[1:, 1:] = gram.reshape(width, width)
+    return out
 
 
 def upper(matrix: np.ndarray) -> np.ndarray:
@@ -60,14 +87,51 @@ def regress(gram: np.ndarray, k: int, p: int, ridge: float = 0.0):
     return coef, errors
 
 
+def nested_errors(gram: np.ndarray, k: int, maxlags: int) -> np.ndarray | None:
+    """(maxlags + 1, K, K) error cross-products of every order, from one factorisation.
+
+    With the terms in the order constant, lag 1, ..., lag maxlags, today, the
+    Cholesky rows of today hold what each further lag explains: the errors of
+    order p are today's products less those of its first 1 + K * p columns.
+    None where the matrix is too close to singular for that.
+    """
+    order = np.r_[0, 1 + k : 1 + k + maxlags * k, 1 : 1 + k]
+    scale = np.sqrt(np.diag(gram)[order])
+    if not (scale > 0).all():
+        return None
+    try:
+        root = np.linalg.cholesky(gram[np.ix_(order, order)] / np.outer(scale, scale))
+    except np.linalg.LinAlgError:
+        return None
+    if np.diag(root).min() < 1e-6:
+        return None
+    now = root[-k:] * scale[-k:, None]
+    left = now[:, -k:] @ now[:, -k:].T
+    out = np.empty((maxlags + 1, k, k))
+    for p in range(maxlags, -1, -1):
+        out[p] = left
+        explained = now[:, 1 + k * (p - 1) : 1 + k * p] if p else now[:, :1]
+        left = left + explained @ explained.T
+    return out
+
+
+def _singular(errors: np.ndarray) -> bool:
+    """Whether some mix of the errors is constant, up to rounding."""
+    spread = np.sqrt(np.maximum(np.diag(errors), 0.0))
+    if not (spread > 0).all():
+        return True
+    return np.linalg.eigvalsh(errors / np.outer(spread, spread))[0] < 1e-10
+
+
 def criteria(gram: np.ndarray, rows: int, k: int, maxlags: int) -> np.ndarray:
     """(maxlags+1, 4): aic, bic, hqic, fpe of each order on the common sample."""
     out = np.full((maxlags + 1, 4), np.inf)
+    nested = nested_errors(gram, k, maxlags)
     for p in range(maxlags + 1):
-        _, errors = regress(gram, k, p)
-        sign, logdet = np.linalg.slogdet(errors / rows)
-        if sign <= 0 or rows <= k * p + 1:
+        errors = regress(gram, k, p)[1] if nested is None else nested[p]
+        if rows <= k * p + 1 or _singular(errors):
             continue
+        logdet = np.linalg.slogdet(errors / rows)[1]
         free = p * k * k + k
         width = k * p + 1
         out[p] = (

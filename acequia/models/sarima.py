@@ -18,23 +18,20 @@ from pyspark.sql import functions as F
 
 from acequia.models import arma
 from acequia.models.batches import BATCH, chunks, isolated, right_aligned
+from acequia.models.family import NO_HISTORY, SERIES_PER_TASK, forecast_steps
 from acequia.operators.scaling import entry, scales_of_arrays
 from acequia.operators.series import difference_weights
-from acequia.schema import DAY, KEY, TrainConfig
+from acequia.schema import KEY, TrainConfig
 from acequia.session import ship_package, task_count
 
-#: Series (a target of a station) for one task.
-SERIES_PER_TASK = 512
-
 FIT_SCHEMA = (
     "station bigint, target string, coef array<double>, sigma2 double, n bigint, error string, "
-    "centers array<double>, widths array<double>, converged boolean"
+    "centers array<double>, widths array<double>, converged boolean, rounds int"
 )
 PATH_SCHEMA = (
     "station bigint, model string, target string, last_day date, path array<double>, error string"
 )
 ORDER_FIELDS = ("p", "d", "q", "P", "D", "Q", "s")
-NO_HISTORY = "no history for this station"
 
 
 def model_shape(order, seasonal, regressors: int = 0, const: bool | None = None) -> arma.Shape:
@@ -87,7 +84,7 @@ def _blocks(rows, d: int, seasonal_d: int, period: int):
     return w, np.stack(x) if x else None, lengths
 
 
-def _fit_tasks(config: TrainConfig, family: str):
+def _fit_tasks(config: TrainConfig, family: str, starts_only: bool = False):
     variables = list(config.variables)
     _, d, _ = config.order
     _, seasonal_d, _, period = config.seasonal
@@ -97,11 +94,13 @@ def _fit_tasks(config: TrainConfig, family: str):
     def others(target: str) -> list[str]:
         return regressors_of(target, variables, config.regressors) if family == "sarimax" else []
 
-    def emit(pdf: pd.DataFrame, coef, sigma2, n, error, converged) -> pd.DataFrame:
+    def emit(pdf: pd.DataFrame, coef, sigma2, n, error, converged, rounds=0) -> pd.DataFrame:
         out = pdf[kept].copy()
         out["coef"], out["sigma2"], out["n"], out["error"] = coef, sigma2, n, error
-        out["converged"] = converged
-        return out[["station", "target", "coef", "sigma2", "n", "error", "centers", "widths", "converged"]]
+        out["converged"], out["rounds"] = converged, rounds
+        return out[[
+            "station", "target", "coef", "sigma2", "n", "error", "centers", "widths", "converged", "rounds"
+        ]]
 
     def failed(pdf: pd.DataFrame, message: str) -> pd.DataFrame:
         return emit(pdf, None, np.nan, pdf["levels"].map(lambda x: len(x[0])), message, False)
@@ -121,9 +120,13 @@ def _fit_tasks(config: TrainConfig, family: str):
 
                 def work(pdf: pd.DataFrame, shape=shape) -> pd.DataFrame:
                     w, x, lengths = _blocks(pdf["levels"], d, seasonal_d, period)
-                    params, sigma2, used, converged = arma.fit(shape, w, x, lengths)
+                    starts = arma.start_values(shape, w, x, lengths)
+                    if starts_only:
+                        nothing = [None] * len(pdf)
+                        return emit(pdf, list(starts.T), np.nan, lengths, nothing, False)
+                    params, sigma2, used, converged, rounds = arma.fit(shape, w, x, lengths, starts)
                     error = np.where(np.isfinite(sigma2), None, "fit diverged")
-                    return emit(pdf, list(params.T), sigma2, used, error, converged)
+                    return emit(pdf, list(params.T), sigma2, used, error, converged, rounds)
 
                 short = pdf["levels"].map(lambda x: len(x[0])) < needed
                 if short.any():
@@ -134,20 +137,38 @@ def _fit_tasks(config: TrainConfig, family: str):
     return run
 
 
-def fit(pack: DataFrame, config: TrainConfig, family: str) -> DataFrame:
+def _spread(pack: DataFrame, config: TrainConfig, stations: int | None) -> DataFrame:
+    """Packed series with their scalers, in tasks of a bounded number of series."""
+    spark = pack.sparkSession
+    ship_package(spark)
+    variables = list(config.variables)
+    stations = pack.count() if stations is None else stations
+    tasks = task_count(spark, stations * len(variables), SERIES_PER_TASK)
+    return pack.select(KEY, *variables, *scaler_arrays(variables)).repartition(tasks, KEY)
+
+
+def start_values(pack: DataFrame, config: TrainConfig, family: str, stations: int | None = None) -> DataFrame:
+    """(station, target, start, error): what ``fit`` starts from, in the order of its parameters."""
+    rows = _spread(pack, config, stations)
+    made = rows.mapInPandas(_fit_tasks(config, family, starts_only=True), FIT_SCHEMA)
+    return made.select(KEY, "target", F.col("coef").alias("start"), "error")
+
+
+def fit(
+    pack: DataFrame, config: TrainConfig, family: str, stations: int | None = None
+) -> DataFrame:
     """Fitted models (or error rows) for every station and variable of the pack.
 
     ``pack`` has one row per station: the training arrays and the ``scales``
-    map. ``family`` is 'sarima' or 'sarimax' (on ``config.regressors``). One
-    exchange spreads the stations; scalers travel with the series. A fit whose
-    error sum still fell in its last round is kept and says so under
-    ``converged`` in ``params``.
+    map; ``stations`` is its number of rows, where the caller knows it. ``family``
+    is 'sarima' or 'sarimax' (on ``config.regressors``). A task finds the start
+    values of its series by two regressions and goes on from them; one exchange
+    spreads the stations, scalers travel with the series. A fit whose error sum
+    still fell in its last round is kept and says so under ``converged`` in
+    ``params``.
     """
-    spark = pack.sparkSession
-    ship_package(spark)
     variables = list(config.variables)
-    tasks = task_count(spark, pack.count() * len(variables), SERIES_PER_TASK)
-    rows = pack.select(KEY, *variables, *scaler_arrays(variables)).repartition(tasks, KEY)
+    rows = _spread(pack, config, stations)
     fitted = rows.mapInPandas(_fit_tasks(config, family), FIT_SCHEMA)
     p, d, q = config.order
     P, D, Q, s = config.seasonal
@@ -156,7 +177,8 @@ def fit(pack: DataFrame, config: TrainConfig, family: str) -> DataFrame:
     if family == "sarimax":
         settings["regressors"] = ",".join(config.regressors or variables)
     known = [F.lit(str(x)) for kv in settings.items() for x in kv]
-    params = F.create_map(*known, F.lit("converged"), F.col("converged").cast("string"))
+    told = [x for c in ("converged", "rounds") for x in (F.lit(c), F.col(c).cast("string"))]
+    params = F.create_map(*known, *told)
     return fitted.select(
         F.lit(family).alias("model_type"),
         F.concat(F.lit(f"{family}_"), "target").alias("name"),
@@ -276,13 +298,3 @@ def forecast(models: DataFrame, history: DataFrame, horizon: int, policy: str =
 def series_columns(history: DataFrame) -> list[str]:
     """The variables of a pack: its array columns."""
     return [c for c, kind in history.dtypes if kind == "array<double>"]
-
-
-def forecast_steps(paths: DataFrame) -> DataFrame:
-    """One row per step of each path; a path that failed keeps one row with its error."""
-    return paths.select(
-        KEY, "model", "target", "last_day", "error", F.posexplode_outer("path").alias("pos", "value")
-    ).select(
-        KEY, "model", "target", "last_day", (F.col("pos") + 1).alias("step"), "value", "error",
-        F.date_add("last_day", F.col("pos") + 1).alias(DAY),
-    )

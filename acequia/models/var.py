@@ -1,9 +1,9 @@
 """Vector autoregression and the windowed forecaster, from cross-products.
 
-A station's packed series gives its cross-product matrix in one pass: blocks
-that overlap by the lag count are multiplied one after another and added up in
-the task, so neither the design nor the blocks' matrices leave it. Order
-choice, refit and solution follow from that matrix in the same task.
+A station's packed series gives its cross-product matrix in one pass, without a
+design matrix: one product for each lag difference, corrected at the ends.
+Order choice, for all orders from one factorisation, refit and solution follow
+from that matrix in the same task.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from acequia.models import linear
 from acequia.models.batches import chunks, isolated
-from acequia.models.sarima import NO_HISTORY, forecast_steps, series_columns
+from acequia.models.family import NO_HISTORY, forecast_steps
+from acequia.models.sarima import series_columns
 from acequia.operators.scaling import entry, scales_of_arrays
 from acequia.schema import KEY, TrainConfig
 from acequia.session import ship_package, task_count
 
-BLOCK_DAYS = 1024
+#: Days multiplied at once; longer than any series of daily rows on record.
+BLOCK_DAYS = 1 << 17
 #: Stations for one task.
 STATIONS_PER_TASK = 256
 MOMENT_SCHEMA = "station bigint, n bigint, gram array<double>, head array<double>"
@@ -62,11 +64,12 @@ def station_moments(block: np.ndarray, lags: int, days: int | None = None) -> np
     return total
 
 
-def _spread(pack: DataFrame, columns, scales: str | None) -> DataFrame:
+def _spread(pack: DataFrame, columns, scales: str | None, stations: int | None = None) -> DataFrame:
     """Packed series with their scalers, in tasks of a bounded number of stations."""
     spark = pack.sparkSession
     ship_package(spark)
-    tasks = task_count(spark, pack.count(), STATIONS_PER_TASK)
+    stations = pack.count() if stations is None else stations
+    tasks = task_count(spark, stations, STATIONS_PER_TASK)
     return pack.select(KEY, "n", *columns, *_scalers(columns, scales)).repartition(tasks, KEY)
 
 
@@ -145,8 +148,9 @@ def _solve_tasks(columns: list[str], lags: int, ic: str | None, ridge: float, ne
 
 
 def solve(
-    pack: DataFrame, columns, lags: int, ic: str | None, ridge: float = 0.0, scales: str = "scales"
-) -> DataFrame:
+    pack: DataFrame, columns, lags: int, ic: str | None, ridge: float = 0.0, scales: str = "scales",
+    stations: int | None = None,
+) -> DataFrame:
     """One row per station: order, coefficients, error variance, criteria table, scalers.
 
     With ``ic`` the order is chosen on the common sample and refitted on every
@@ -157,12 +161,12 @@ def solve(
     # the penalty makes any sample solvable, ordinary least squares needs a full one
     needed = lags + 2 if ridge else lags + k * lags + 2
     tasks = _solve_tasks(columns, lags, ic, ridge, needed)
-    return _spread(pack, columns, scales).mapInPandas(tasks, SOLVE_SCHEMA)
+    return _spread(pack, columns, scales, stations).mapInPandas(tasks, SOLVE_SCHEMA)
 
 
-def fit_orders(pack: DataFrame, config: TrainConfig) -> DataFrame:
+def fit_orders(pack: DataFrame, config: TrainConfig, stations: int | None = None) -> DataFrame:
     """VAR solutions with their criteria table (see ``lag_selection``)."""
-    return solve(pack, config.variables, config.maxlags, config.ic)
+    return solve(pack, config.variables, config.maxlags, config.ic, stations=stations)
 
 
 def lag_selection(solutions: DataFrame) -> DataFrame:
@@ -187,12 +191,14 @@ def lag_selection(solutions: DataFrame) -> DataFrame:
     )
 
 
-def fit(pack: DataFrame, config: TrainConfig, family: str = "var") -> DataFrame:
+def fit(
+    pack: DataFrame, config: TrainConfig, family: str = "var", stations: int | None = None
+) -> DataFrame:
     """Registry rows: 'var' (order by criterion) or 'window' (fixed length, ridge)."""
     if family == "var":
-        solved, kind = fit_orders(pack, config), None
+        solved, kind = fit_orders(pack, config, stations), None
     else:
-        solved = solve(pack, config.variables, config.window, None, config.ridge, "ranges")
+        solved = solve(pack, config.variables, config.window, None, config.ridge, "ranges", stations)
         kind = "minmax"
     settings = F.create_map(
         F.lit("p"),

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from acequia.functions.agronomy import DEFAULT, with_irrigation
-from acequia.models import sarima, var
+from acequia.models import families  # noqa: F401 - registers the built-in ones
+from acequia.models.family import by_forecast, known
 from acequia.operators.calendar import whole_series
 from acequia.operators.reports import irrigation_totals, missing_variables, unify_forecasts
 from acequia.operators.series import pack_series
-from acequia.schema import DAY, DEFAULT_HORIZON, FAMILIES, KEY, MAX_HORIZON, VARIABLES, CropParams
-from acequia.session import materialize
+from acequia.schema import DAY, DEFAULT_HORIZON, KEY, MAX_HORIZON, VARIABLES, CropParams
+from acequia.session import materialize, materialize_counted
 from acequia.sources.export import export_results
 
 RUN_KEYS = ("run_id", "model", KEY)
@@ -36,6 +39,7 @@ def predict_all(
     policy: str = "hold",
     run_id: str = "run",
     max_horizon: int = MAX_HORIZON,
+    observed: Observation | None = None,
 ) -> DataFrame:
     """Forecast rows of every model: run_id, model, station, variable, day, step, value, error.
 
@@ -43,28 +47,37 @@ def predict_all(
     start the day after each station's last day and are in natural units. A
     model that failed in training, has no history or cannot be run yields one
     row with its error and no day. Models and history are written once, so a
-    lazy training is not repeated; orders travel in the rows, and each family
-    pair is one join.
+    lazy training is not repeated; which types there are is observed on the way.
+    Each type is run by its family's job (``acequia.models.family``), families
+    that share one together; types without a family give error rows.
+    ``observed`` collects ``rows`` and ``failures`` while the forecasts are
+    written or collected, without a job of its own.
     """
     horizon = horizon_days(horizon, max_horizon)
     history = materialize(history, "history-pack")
-    models = materialize(models, "models")
-    if models.filter(F.col("coef").isNotNull()).isEmpty():
-        raise ValueError("no trained models of the chosen types")
-    seasonal = models.filter(F.col("model_type").isin("sarima", "sarimax"))
-    multivariate = models.filter(F.col("model_type").isin("var", "window"))
-    known = sarima.forecast(seasonal, history, horizon, policy).unionByName(
-        var.forecast(multivariate, history, horizon)
+    models, seen = materialize_counted(
+        models, "models", types=F.collect_set("model_type"), trained=F.count("coef")
     )
-    other = models.filter(~F.coalesce(F.col("model_type").isin(*FAMILIES), F.lit(False)))
+    if not seen["trained"]:
+        raise ValueError("no trained models of the chosen types")
+    parts = [
+        job(models.filter(F.col("model_type").isin(names)), history, horizon, policy)
+        for job, names in by_forecast(seen["types"])
+    ]
+    other = models.filter(~F.coalesce(F.col("model_type").isin(*known()), F.lit(False)))
     unknown = other.select(
-        KEY, F.col("model_type").alias("model"), "target",
+        KEY, F.col("model_type").alias("model"), "target", F.lit(None).cast("date").alias("last_day"),
+        F.lit(None).cast("int").alias("step"), F.lit(None).cast("double").alias("value"),
         F.concat(F.lit("unknown model type "), F.coalesce("model_type", F.lit("null"))).alias("error"),
+        F.lit(None).cast("date").alias(DAY),
     )
-    return known.unionByName(unknown, allowMissingColumns=True).select(
+    out = reduce(DataFrame.unionByName, [*parts, unknown]).select(
         F.lit(run_id).alias("run_id"), "model", KEY, F.col("target").alias("variable"),
         DAY, "step", "value", "error",
     )
+    if observed is None:
+        return out
+    return out.observe(observed, F.count(F.lit(1)).alias("rows"), F.count("error").alias("failures"))
 
 
 def forecast_irrigation(

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from acequia.models import sarima, var
+from acequia.models import families  # noqa: F401 - registers the built-in ones
+from acequia.models.family import family
 from acequia.operators.calendar import complete_series
 from acequia.operators.scaling import scales_map
 from acequia.operators.series import label_split
 from acequia.schema import DAY, KEY, TrainConfig
-from acequia.session import materialize
+from acequia.session import materialize_counted
 
 
 def training_pack(df: DataFrame, config: TrainConfig) -> DataFrame:
@@ -43,16 +44,27 @@ def training_pack(df: DataFrame, config: TrainConfig) -> DataFrame:
     )
 
 
-def fit_family(pack: DataFrame, config: TrainConfig, family: str) -> DataFrame:
-    if family in ("sarima", "sarimax"):
-        return sarima.fit(pack, config, family)
-    return var.fit(pack, config, family)
+def fit_family(
+    pack: DataFrame, config: TrainConfig, name: str, stations: int | None = None
+) -> DataFrame:
+    """Registry rows of one family, found by its name (see ``acequia.models.family``)."""
+    return family(name).fit(pack, config, stations)
 
 
-def train_all(df: DataFrame, config: TrainConfig = TrainConfig()) -> DataFrame:
+def train_all(
+    df: DataFrame, config: TrainConfig = TrainConfig(), observed: Observation | None = None
+) -> DataFrame:
     """Registry rows for every (family, station, target), failures as error rows.
 
-    The packed series are written once and read by each family.
+    The packed series are written once, counted on the way, and read by each
+    family. ``observed`` collects ``models`` and ``failures`` while the rows are
+    written or collected, without a job of its own.
     """
-    pack = materialize(training_pack(df, config), "training-pack")
-    return reduce(DataFrame.unionByName, [fit_family(pack, config, f) for f in config.families])
+    pack, seen = materialize_counted(training_pack(df, config), "training-pack")
+    parts = [fit_family(pack, config, name, seen["rows"]) for name in config.families]
+    models = reduce(DataFrame.unionByName, parts)
+    if observed is None:
+        return models
+    return models.observe(
+        observed, F.count(F.lit(1)).alias("models"), F.count("error").alias("failures")
+    )

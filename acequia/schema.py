@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
@@ -33,8 +34,7 @@ DATE_HEADING = "Fecha"
 # Headings containing one of these are scaled by median and IQR.
 ROBUST_PATTERNS = ("velocidad", "presión", "precipitacion", "precipitaciones")
 
-# Model families and the prefixes their saved names carry.
-FAMILIES = ("sarima", "sarimax", "var", "window")
+# The prefixes that saved names carry.
 NAME_PREFIXES = ("sarima", "var", "sarimax", "lstm", "window")
 
 MAX_HORIZON = 365
@@ -90,6 +90,7 @@ class TrainConfig:
     ``regressors`` are the variables a 'sarimax' model regresses on, the target
     always left out; None takes all others. ``min_seasons`` asks for so many
     seasons of differenced days beyond what the estimate itself needs.
+    ``parameters`` holds settings of registered families, by family.
     """
 
     families: tuple[str, ...] = ("sarima", "var")
@@ -103,11 +104,15 @@ class TrainConfig:
     variables: tuple[str, ...] = VARIABLES
     regressors: tuple[str, ...] | None = None
     min_seasons: int = 0
+    parameters: Mapping[str, Mapping[str, object]] = field(default_factory=dict)
 
     def __post_init__(self):
-        unknown = set(self.families) - set(FAMILIES)
+        from acequia.models import families  # noqa: F401 - registers the built-in ones
+        from acequia.models.family import known
+
+        unknown = set(self.families) - set(known())
         if not self.families or unknown:
-            raise ValueError(f"families must be drawn from {FAMILIES}, got {self.families}")
+            raise ValueError(f"families must be drawn from {known()}, got {self.families}")
         if set(self.regressors or ()) - set(self.variables):
             raise ValueError(f"regressors must be drawn from {self.variables}")
         if self.test_size < 0:

@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -54,6 +55,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, label: str, **metrics) -> tuple[DataFrame, dict]:
+    """``materialize``, and its row count and further aggregates, observed while it is written."""
+    seen = Observation(label)
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()])
+    return materialize(counted, label), dict(seen.get)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per session.
 

@@ -48,7 +48,7 @@ def simulate(phi, theta, sphi, stheta, n, s, count, seed=0):
 def test_error_variance_is_recovered(truth):
     w = simulate(*truth, n=2400, s=12, count=8)
     shape = arma.Shape(1, 1, 1, 1, 12)
-    _, sigma2, used, converged = arma.fit(shape, w, None, np.full(8, 2400))
+    _, sigma2, used, converged, _ = arma.fit(shape, w, None, np.full(8, 2400))
     assert abs(np.sqrt(sigma2).mean() - 1.0) < 0.03
     assert (used == 2400 - 13).all() and converged.all()
 
@@ -66,7 +66,7 @@ def test_near_unit_root_equals_least_squares(phi):
     w = np.zeros((2000, 3))
     for t in range(1, 2000):
         w[t] = 0.1 + phi * w[t - 1] + rng.standard_normal(3)
-    params, _, _, converged = arma.fit(arma.Shape(1, 0, 0, 0, 1), w, None, np.full(3, 2000))
+    params, _, _, converged, _ = arma.fit(arma.Shape(1, 0, 0, 0, 1), w, None, np.full(3, 2000))
     for i in range(3):
         slope, const = np.polyfit(w[:-1, i], w[1:, i], 1)
         np.testing.assert_allclose(params[:, i], [const, slope], rtol=1e-6)
@@ -75,7 +75,7 @@ def test_near_unit_root_equals_least_squares(phi):
 
 def test_a_fit_that_still_falls_is_told():
     w = simulate(0.5, 0.4, 0.3, -0.5, n=600, s=7, count=3)
-    *_, converged = arma.fit(arma.Shape(1, 1, 1, 1, 7), w, None, np.full(3, 600), rounds=0)
+    *_, converged, _ = arma.fit(arma.Shape(1, 1, 1, 1, 7), w, None, np.full(3, 600), rounds=0)
     assert not converged.any()
 
 
