@@ -229,6 +229,8 @@ def find_copies(
     groups = found.groupBy(*key).agg(
         F.count("*").alias("group_size"), F.max(F.struct("id", "row")).alias("stays")
     )
+    # Written, so that the join has exchanges of its own, which adaptive execution can split.
+    groups = materialize(groups, "copy-groups")
     return found.join(groups, key).select(
         "id",
         F.col("stays.id").alias("keep_id"),
