@@ -139,24 +139,25 @@ def parse_irrigation_log(spark, sf_dir):
 
 
 def dataset_profile(spark, sf_dir):
-    """Files with either spelling of the extension, another extension, quoted headings and no content."""
+    """Folders of files with either spelling of the extension, another extension, quoted headings, no content."""
     rows = climate(spark, sf_dir).select(KEY, DAY, "temp_c").withColumnRenamed(DAY, "Fecha")
     path = scratch_path(spark, "files")
 
     def save(df, name, extension="csv", header=True):
-        writer = df.coalesce(1).write.option("header", header).option("extension", extension)
+        writer = df.repartition(4).write.option("header", header).option("extension", extension)
         writer.option("quoteAll", name == "quoted").option("escape", "\"").csv(f"{path}/{name}")
 
     save(rows.filter(F.col(KEY) % 2 == 0), "lower")
     save(rows.filter(F.col(KEY) % 2 == 1), "upper", "CSV")
     save(rows, "other", "txt")
-    save(rows.withColumnRenamed("temp_c", 'Temperatura, media "2 m"').limit(9), "quoted")
-    save(rows.limit(0), "hollow", header=False)
+    save(rows.withColumnRenamed("temp_c", 'Temperatura, media "2 m"'), "quoted")
+    save(rows.filter(F.col(KEY).isNull()), "hollow", header=False)
     save(rows.select(KEY, "temp_c"), "undated")
     found = profile.profile_files(spark, path)
-    return found.select(
-        "folder", (F.col("size") > 0).alias("has_size"), F.to_json("columns").alias("columns"), "rows",
-        "recommended", "message",
+    return found.groupBy("folder", F.to_json("columns").alias("columns"), "message").agg(
+        F.bool_and(F.col("size") > 0).alias("has_size"),
+        F.sum("rows").alias("rows"),
+        profile.recommended(F.sum("rows")).alias("recommended"),
     )
 
 
@@ -881,6 +882,9 @@ def forecast_irrigation_query(spark, sf_dir):
 # --- the whole chain at an order that SQL can follow -----------------------
 
 # A random walk with drift: the forecast is the last level plus h times the mean step.
+#: Days by which a station may lag behind the earliest or latest reading of all.
+GAP_DAYS = 5
+
 DRIFT = TrainConfig(
     families=("sarima",), order=(0, 1, 0), seasonal=(0, 0, 0, 1), test_size=0
 )
@@ -924,12 +928,24 @@ def irrigation_drift(spark, sf_dir):
 
 
 def predict_gaps(spark, sf_dir):
-    """Stations without history, models without a variable and a failed fit end as error rows."""
+    """Stations without history, models without a variable and a failed fit end as error rows.
+
+    The gaps are those of the data: a station whose readings end more than
+    ``GAP_DAYS`` before the latest reading of all has no recent history, and one
+    that began more than that after the first has no model of ``rh`` yet.
+    """
     rows = climate(spark, sf_dir)
+    span = rows.agg(F.min(DAY).alias("first"), F.max(DAY).alias("last")).first()
+    own = Window.partitionBy(KEY)
+    ends = F.max(DAY).over(own)
+    recent = rows.withColumn("_ends", ends).filter(F.datediff(F.lit(span["last"]), "_ends") <= GAP_DAYS)
+    early = rows.groupBy(KEY).agg(F.min(DAY).alias("_begins")).filter(
+        F.datediff("_begins", F.lit(span["first"])) <= GAP_DAYS
+    )
     models = train_all(_one_short(spark, sf_dir), DRIFT)
-    models = models.filter((F.col(KEY) % 7 != 0) | (F.col("target") != "rh"))
-    history = history_pack(rows.filter(F.col(KEY) % 5 != 0))
-    out = forecast_irrigation(models, history, HORIZON)
+    known = models.filter(F.col("target") == "rh").join(early.select(KEY), KEY, "left_semi")
+    models = models.filter(F.col("target") != "rh").unionByName(known)
+    out = forecast_irrigation(models, history_pack(recent.drop("_ends")), HORIZON)
     return out.groupBy("run_id", "model", KEY, F.coalesce("error", F.lit("")).alias("error")).agg(
         F.count(DAY).alias("days")
     )

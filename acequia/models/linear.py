@@ -6,6 +6,8 @@ variables 1, 2, ... p days ago.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 
@@ -48,6 +50,37 @@ def cross_products(block: np.ndarray, lags: int) -> np.ndarray:
     return out
 
 
+@dataclass(frozen=True)
+class Waves:
+    """Random Fourier features of a window: cosines of random directions through it.
+
+    Their inner products approach a Gaussian kernel of ``width`` window units, so
+    a ridge regression on them follows bends that lags alone cannot. Directions
+    and phases come from ``seed``, so a saved model needs the three numbers only.
+    """
+
+    count: int
+    width: float
+    seed: int
+
+    def of(self, windows: np.ndarray) -> np.ndarray:
+        """(..., count) features of (..., days * K) windows."""
+        rng = np.random.default_rng(self.seed)
+        directions = rng.standard_normal((windows.shape[-1], self.count)) / self.width
+        phases = rng.uniform(0, 2 * np.pi, self.count)
+        return np.sqrt(2.0 / self.count) * np.cos(windows @ directions + phases)
+
+
+def wave_products(block: np.ndarray, lags: int, waves: Waves, days: int = 4096) -> np.ndarray:
+    """Cross-products of the lagged terms and the features of the lags, ``days`` rows at a time."""
+    k, total = block.shape[1], 0.0
+    for at in range(0, len(block) - lags, days):
+        z = lagged_terms(block[at : at + days + lags], lags)
+        z = np.hstack([z, waves.of(z[:, 1 + k :])])
+        total = total + z.T @ z
+    return total
+
+
 def upper(matrix: np.ndarray) -> np.ndarray:
     return matrix[np.triu_indices(len(matrix))]
 
@@ -70,13 +103,14 @@ def least_squares(xx: np.ndarray, xy: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(xx, rcond=1e-12, hermitian=True) @ xy
 
 
-def regress(gram: np.ndarray, k: int, p: int, ridge: float = 0.0):
-    """Coefficients (1 + K*p, K) of today on p lags, and the error cross-products.
+def regress(gram: np.ndarray, k: int, p: int, ridge: float = 0.0, more: int = 0):
+    """Coefficients (1 + K*p + more, K) of today on p lags, and the error cross-products.
 
-    The ridge penalty spares the constant.
+    ``more`` terms follow the lags in the matrix. The ridge penalty spares the
+    constant.
     """
     today = np.arange(1, 1 + k)
-    regs = np.r_[0, 1 + k : 1 + k + p * k]
+    regs = np.r_[0, 1 + k : 1 + k + p * k + more]
     xx, xy = gram[np.ix_(regs, regs)].copy(), gram[np.ix_(regs, today)]
     if ridge:
         xx[np.arange(1, len(regs)), np.arange(1, len(regs))] += ridge
@@ -160,12 +194,19 @@ def refit_gram(gram: np.ndarray, head: np.ndarray, k: int, maxlags: int, p: int)
     return out
 
 
-def recurse(coef: np.ndarray, state: np.ndarray, horizon: int) -> np.ndarray:
-    """(series, horizon, K) paths; coef (series, 1+K*p, K), state (series, p, K) oldest first."""
+def recurse(
+    coef: np.ndarray, state: np.ndarray, horizon: int, waves: Waves | None = None
+) -> np.ndarray:
+    """(series, horizon, K) paths; coef (series, 1+K*p, K), state (series, p, K) oldest first.
+
+    With ``waves`` their features of the window follow the lags in ``coef``.
+    """
     n, width, k = coef.shape
-    p = (width - 1) // k
+    p = (width - 1 - (waves.count if waves else 0)) // k
     path = np.concatenate([state[:, state.shape[1] - p :], np.zeros((n, horizon, k))], axis=1)
     for t in range(p, p + horizon):
         recent = path[:, t - p : t][:, ::-1].reshape(n, p * k)
+        if waves:
+            recent = np.hstack([recent, waves.of(recent)])
         path[:, t] = coef[:, 0] + np.einsum("nr,nrk->nk", recent, coef[:, 1:])
     return path[:, p:]

@@ -102,7 +102,9 @@ def gram_entries(moments: DataFrame, columns, lags: int) -> DataFrame:
     return entries.join(F.broadcast(names), "pos").select(KEY, "term_a", "term_b", "value")
 
 
-def _solve_tasks(columns: list[str], lags: int, ic: str | None, ridge: float, needed: int):
+def _solve_tasks(
+    columns: list[str], lags: int, ic: str | None, ridge: float, needed: int, waves: linear.Waves | None
+):
     k = len(columns)
     names = ["station", "p", "coef", "sigma2", "n", "criteria", "error", "centers", "widths"]
 
@@ -116,7 +118,7 @@ def _solve_tasks(columns: list[str], lags: int, ic: str | None, ridge: float, ne
         out = []
         for row in pdf.to_dict("records"):
             block = _scaled_block(row, columns)
-            gram = station_moments(block, lags)
+            gram = linear.wave_products(block, lags, waves) if waves else station_moments(block, lags)
             if not np.isfinite(gram).all():
                 raise ValueError("series has gaps")
             n, table, p = len(block) - lags, None, lags
@@ -128,7 +130,7 @@ def _solve_tasks(columns: list[str], lags: int, ic: str | None, ridge: float, ne
                 p = int(np.argmin(scores))
                 gram = linear.refit_gram(gram, block[:lags], k, lags, p)
                 n += lags - p
-            coef, errors = linear.regress(gram, k, p, ridge)
+            coef, errors = linear.regress(gram, k, p, ridge, waves.count if waves else 0)
             sigma2 = float(np.trace(errors)) / (k * n)
             criteria = None if table is None else table.ravel()
             out.append(
@@ -149,7 +151,7 @@ def _solve_tasks(columns: list[str], lags: int, ic: str | None, ridge: float, ne
 
 def solve(
     pack: DataFrame, columns, lags: int, ic: str | None, ridge: float = 0.0, scales: str = "scales",
-    stations: int | None = None,
+    stations: int | None = None, waves: linear.Waves | None = None,
 ) -> DataFrame:
     """One row per station: order, coefficients, error variance, criteria table, scalers.
 
@@ -160,7 +162,7 @@ def solve(
     columns, k = list(columns), len(columns)
     # the penalty makes any sample solvable, ordinary least squares needs a full one
     needed = lags + 2 if ridge else lags + k * lags + 2
-    tasks = _solve_tasks(columns, lags, ic, ridge, needed)
+    tasks = _solve_tasks(columns, lags, ic, ridge, needed, waves)
     return _spread(pack, columns, scales, stations).mapInPandas(tasks, SOLVE_SCHEMA)
 
 
@@ -194,17 +196,31 @@ def lag_selection(solutions: DataFrame) -> DataFrame:
 def fit(
     pack: DataFrame, config: TrainConfig, family: str = "var", stations: int | None = None
 ) -> DataFrame:
-    """Registry rows: 'var' (order by criterion) or 'window' (fixed length, ridge)."""
+    """Registry rows: 'var' (order by criterion) or 'window' (fixed length, ridge).
+
+    ``config.parameters["window"]`` may hold ``features``, the number of random
+    Fourier features of the window besides its lags (0: a linear model), their
+    ``width`` in units of the scaled window and a ``seed``.
+    """
+    waves = None
     if family == "var":
         solved, kind = fit_orders(pack, config, stations), None
     else:
-        solved = solve(pack, config.variables, config.window, None, config.ridge, "ranges", stations)
+        own = config.parameters.get("window", {})
+        if int(own.get("features", 0)):
+            # Scaled windows lie in a cube; half its diagonal is a middling distance.
+            width = float(own.get("width", 0.5 * (config.window * len(config.variables)) ** 0.5))
+            waves = linear.Waves(int(own["features"]), width, int(own.get("seed", 1)))
+        solved = solve(
+            pack, config.variables, config.window, None, config.ridge, "ranges", stations, waves
+        )
         kind = "minmax"
     settings = F.create_map(
         F.lit("p"),
         F.col("p").cast("string"),
         F.lit("variables"),
         F.lit(",".join(config.variables)),
+        *([F.lit(x) for n in _WAVES for x in (n, str(getattr(waves, n)))] if waves else []),
     )
     return solved.select(
         F.lit(family).alias("model_type"),
@@ -221,6 +237,10 @@ def fit(
     )
 
 
+#: Settings of the features, as a model's parameters name them.
+_WAVES = ("count", "width", "seed")
+
+
 def _forecast_tasks(columns: list[str], horizon: int):
     kept = ["station", "model", "last_day"]
 
@@ -236,7 +256,10 @@ def _forecast_tasks(columns: list[str], horizon: int):
         names, p = pdf["names"].iloc[0], int(pdf["p"].iloc[0])
         k = len(names)
         at = [columns.index(c) for c in names]
-        coef = np.stack([np.reshape(c, (1 + k * p, k)) for c in pdf["coef"]])
+        waves = pdf["waves"].iloc[0]
+        waves = linear.Waves(int(waves[0]), float(waves[1]), int(waves[2])) if waves else None
+        width = 1 + k * p + (waves.count if waves else 0)
+        coef = np.stack([np.reshape(c, (width, k)) for c in pdf["coef"]])
         centers = np.stack(list(pdf["centers"]))[:, at].astype(float)
         widths = np.stack(list(pdf["widths"]))[:, at].astype(float)
         levels = []
@@ -244,7 +267,7 @@ def _forecast_tasks(columns: list[str], horizon: int):
             block = np.column_stack([row[c] for c in names])
             levels.append(block[len(block) - p :])
         state = (np.stack(levels).astype(float) - centers[:, None]) / widths[:, None]
-        path = linear.recurse(coef, state, horizon) * widths[:, None] + centers[:, None]
+        path = linear.recurse(coef, state, horizon, waves) * widths[:, None] + centers[:, None]
         if not np.isfinite(path).all():
             raise ValueError("forecast is not finite")
         many = pdf.loc[pdf.index.repeat(k)].reset_index(drop=True)
@@ -270,7 +293,9 @@ def _forecast_tasks(columns: list[str], horizon: int):
             lost = message.notna()
             if lost.any():
                 yield emit(pdf[lost], "multivariate", None, message[lost])
-            for _, same in pdf[~lost].groupby(["names", "p"]):
+            pdf["waves"] = [None if w is None else tuple(w.split(" ")) for w in pdf["waves"]]
+            pdf["setting"] = list(zip(pdf["names"], pdf["p"], pdf["waves"]))
+            for _, same in pdf[~lost].groupby("setting"):
                 yield from isolated(same.reset_index(drop=True), work, failed)
 
     return run
@@ -289,7 +314,9 @@ def forecast(models: DataFrame, history: DataFrame, horizon: int) -> DataFrame:
     p = F.col("params")["p"].cast("int")
     known = models.select(
         KEY, F.col("model_type").alias("model"), p.alias("p"),
-        F.col("params")["variables"].alias("variables"), "coef", "error", *_scalers(columns, "scales"),
+        F.col("params")["variables"].alias("variables"),
+        F.when(F.col("params")["count"].isNotNull(), F.concat_ws(" ", *[F.col("params")[n] for n in _WAVES])).alias("waves"),
+        "coef", "error", *_scalers(columns, "scales"),
     )
     joined = known.join(history.select(KEY, "last_day", *columns), KEY, "left")
     days = F.greatest(F.coalesce("p", F.lit(1)), F.lit(1))
@@ -299,7 +326,7 @@ def forecast(models: DataFrame, history: DataFrame, horizon: int) -> DataFrame:
         return F.slice(c, F.size(c) - kept + 1, kept).alias(c)
 
     state = joined.select(
-        KEY, "model", "p", "variables", "coef", "error", "centers", "widths", "last_day",
+        KEY, "model", "p", "variables", "waves", "coef", "error", "centers", "widths", "last_day",
         *[recent(c) for c in columns],
     ).repartition(task_count(spark), KEY)
     return forecast_steps(state.mapInPandas(_forecast_tasks(columns, horizon), PATH_SCHEMA))

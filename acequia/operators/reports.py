@@ -71,15 +71,21 @@ def unify_forecasts(
     """Long per-variable forecasts to one wide row per model, station and day.
 
     Keeps only days every variable has a forecast for, which is what joining
-    the variables one by one on the day would keep, with one exchange.
+    the variables one by one on the day would keep, with one exchange. Two
+    forecasts of one variable for the same keys are an error.
     """
-    wide = forecasts.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("variable") == c, F.col("value"))).alias(c) for c in columns],
-    )
+    sums = []
+    for c in columns:
+        own = F.when(F.col("variable") == c, F.col("value"))
+        sums += [F.max(own).alias(c), F.count(own).alias(f"_n_{c}")]
+    grouped = forecasts.groupBy(*keys).agg(*sums)
+    most = F.greatest(*[F.col(f"_n_{c}") for c in columns]) if len(columns) > 1 else F.col(f"_n_{columns[0]}")
+    named = F.concat(F.lit("two forecasts of one variable for "), F.to_json(F.struct(*keys)))
+    wide = grouped.withColumn(columns[0], F.when(most > 1, F.raise_error(named)).otherwise(F.col(columns[0])))
     complete = F.lit(True)
     for c in columns:
         complete = complete & F.col(c).isNotNull()
-    return wide.filter(complete)
+    return wide.filter(complete).select(*keys, *columns)
 
 
 def missing_variables(

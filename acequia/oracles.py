@@ -482,7 +482,7 @@ ahead as (select station, variable, step, x from (select distinct station, varia
     select 'lower' as folder, true as size, '["station","Fecha","temp_c"]' as columns,
       count(*) filter (station % 2 = 0) as rows, cast(null as varchar) as message from climate
     union all select 'upper', true, '["station","Fecha","temp_c"]', count(*) filter (station % 2 = 1), null from climate
-    union all select 'quoted', true, '["station","Fecha","Temperatura, media \\"2 m\\""]', least(count(*), 9), null from climate
+    union all select 'quoted', true, '["station","Fecha","Temperatura, media \\"2 m\\""]', count(*), null from climate
     union all select 'hollow', false, null, 0, 'empty file'
     union all select 'undated', true, '["station","temp_c"]', count(*), 'no date column' from climate)"""
     ),
@@ -755,11 +755,15 @@ ahead as (select station, variable, step, x from (select distinct station, varia
     ),
     "predict_gaps": _on_filled(
         """select 'run' as run_id, 'sarima' as model, station,
-    case when station % 5 = 0 or station = 1 then 'no forecast of ' || '{all}' || case when station = 1
-        then '; not trained: series too short: at least 3 days needed' else '; no history for this station' end
-      when station % 7 = 0 then 'no forecast of rh' else '' end as error,
-    case when station % 5 = 0 or station = 1 or station % 7 = 0 then cast(0 as bigint) else 45 end as days
-  from (select distinct station from climate)""".replace("{all}", ", ".join(VARS)),
+    case when station = 1 or stale or late then 'no forecast of ' ||
+        case when station = 1 or stale then '{all}' else 'rh' end ||
+        case when station = 1 then '; not trained: series too short: at least 3 days needed'
+             when stale then '; no history for this station' else '' end
+      else '' end as error,
+    case when station = 1 or stale or late then cast(0 as bigint) else 45 end as days
+  from (select station, max(b) over () - b > 5 as stale, a - min(a) over () > 5 as late from span)""".replace(
+            "{all}", ", ".join(VARS)
+        ),
     ),
     "sarima_seasonal_ar_fit": _on_filled(
         """select station, variable, count(b) as n, round(regr_slope(w, b), 4) as phi, cast(null as varchar) as error

@@ -214,3 +214,59 @@ def test_nested_errors_like_single_regressions():
     collinear = np.c_[block, block[:, 0] * 2]
     assert linear.nested_errors(linear.cross_products(collinear, 6), 4, 6) is None
     assert np.isfinite(linear.criteria(gram, 294, 3, 6)).all()
+
+
+def threshold_series(n, seed):
+    """Rises below one half and falls above it: today says next to nothing linear about tomorrow."""
+    rng, x = np.random.default_rng(seed), np.full(n, 0.3)
+    for t in range(1, n):
+        x[t] = np.clip(1.8 * min(x[t - 1], 1 - x[t - 1]) + 0.02 * rng.normal(), 0.01, 0.99)
+    return x
+
+
+def test_features_follow_a_threshold(spark):
+    n, keep, days = 1500, 1300, 4
+    series = {s: threshold_series(n, s) for s in range(2)}
+    start = dt.date(2020, 1, 1)
+    rows = [(s, start + dt.timedelta(i), float(x)) for s, xs in series.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, f"{KEY} long, {DAY} date, temp_c double")
+    settings = {"families": ("window",), "variables": ("temp_c",), "window": days, "ridge": 0.01, "test_size": n - keep}
+    error = {}
+    for own in ({}, {"features": 100, "width": 0.6}):
+        models = train_all(df, TrainConfig(**settings, parameters={"window": own}))
+        waves = linear.Waves(100, 0.6, 1) if own else None
+        past = df.filter(F.date_diff(DAY, F.lit(start)) < keep)
+        ahead = {r[KEY]: r["value"] for r in predict_all(models, history_pack(past, ("temp_c",)), 1).collect()}
+        squares = []
+        for r in models.collect():
+            scale, xs = r["scales"]["temp_c"], series[r[KEY]]
+            z = (xs - scale["center"]) / scale["scale"]
+            coef = np.array(r["coef"]).reshape(1, -1, 1)
+            states = np.stack([z[t - days : t] for t in range(keep, n)])[:, :, None]
+            path = linear.recurse(np.repeat(coef, len(states), 0), states, 1, waves)[:, 0, 0]
+            got = path * scale["scale"] + scale["center"]
+            assert abs(ahead[r[KEY]] - got[0]) < 1e-9  # the saved model forecasts as it was fitted
+            squares.append(np.mean((got - xs[keep:]) ** 2))  # days the fit has not seen
+        error[bool(own)] = np.sqrt(np.mean(squares))
+    assert error[True] < 0.04 < 0.1 < error[False]
+
+
+def test_recursion_with_features_is_the_regression_fed_back():
+    rng = np.random.default_rng(2)
+    waves = linear.Waves(20, 1.5, 7)
+    block = rng.normal(size=(200, 2))
+    gram = linear.wave_products(block, 3, waves, days=64)
+    coef, errors = linear.regress(gram, 2, 3, 0.1, 20)
+    z = linear.lagged_terms(block, 3)
+    z = np.hstack([z[:, :1], z[:, 3:], waves.of(z[:, 3:])])
+    penalty = np.diag([0.0] + [0.1] * (z.shape[1] - 1))
+    want = np.linalg.solve(z.T @ z + penalty, z.T @ block[3:])
+    np.testing.assert_allclose(coef, want, rtol=1e-7, atol=1e-9)
+    np.testing.assert_allclose(errors, (block[3:] - z @ want).T @ (block[3:] - z @ want), rtol=1e-6)
+    path = linear.recurse(coef[None], block[None, -3:], 4, waves)[0]
+    state = block[-3:]
+    for h in range(4):
+        window = state[::-1].ravel()
+        now = np.r_[1.0, window, waves.of(window)] @ coef
+        np.testing.assert_allclose(path[h], now, rtol=1e-9)
+        state = np.vstack([state[1:], now])

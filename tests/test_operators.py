@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from acequia.functions import agronomy, naming
@@ -332,3 +333,21 @@ def test_settings():
         TrainConfig(families=("prophet",))
     with pytest.raises(ValueError):
         TrainConfig(test_size=-1)
+
+
+def test_two_forecasts_of_one_variable_are_an_error(spark):
+    rows = [("m", 1, "a", 1.0), ("m", 1, "b", 2.0), ("m", 1, "a", 3.0)]
+    long = spark.createDataFrame(rows, "model string, station long, variable string, value double")
+    with pytest.raises(Exception, match="two forecasts of one variable"):
+        reports.unify_forecasts(long, ("model", "station"), ("a", "b")).collect()
+
+
+def test_rows_counted_as_they_are_computed(spark):
+    for rows, many in ((weather(spark), True), (weather(spark).limit(0), False)):
+        seen = Observation()
+        got = agronomy.calculate_irrigation(rows, observed=seen).collect()
+        if many:
+            assert agronomy.require_rows(seen) == len(got)
+        else:
+            with pytest.raises(ValueError, match="no forecast rows"):
+                agronomy.require_rows(seen)

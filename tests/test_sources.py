@@ -1,5 +1,6 @@
 """Reading and writing files: CSV rules, the irrigation log, profiles, the registry, exports."""
 
+import os
 import datetime as dt
 
 import pytest
@@ -228,3 +229,40 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_headings_cover_the_variables():
     assert list(SPANISH_NAMES) == HEAD.split(",")[1:]
+
+
+def test_profile_keeps_broken_files_as_rows(spark, tmp_path, monkeypatch):
+    """A file that cannot be read, one lost after listing and one not in UTF-8 cost only themselves."""
+    for i in range(9):
+        write(tmp_path / f"good{i}.csv", "Fecha,b\n2024-01-01,1\n")
+    write(tmp_path / "broken.csv", "Fecha,b\n2024-01-01,1\n")
+    # A checksum beside a file that does not fit it, as after a fault of the disk.
+    (tmp_path / ".broken.csv.crc").write_bytes(b"crc\0\0\0\x02\0\0\0\0\0")
+    (tmp_path / "latin.csv").write_bytes("Fecha,año\n2024-01-01,1\n".encode("latin-1"))
+    write(tmp_path / "lost.csv", "Fecha,b\n2024-01-01,1\n")
+    once, read = [], profile._read_apart
+
+    def after_the_listing(text, paths, listed):
+        if not once:
+            once.append((tmp_path / "lost.csv").unlink())
+        return read(text, paths, listed)
+
+    monkeypatch.setattr(profile, "_read_apart", after_the_listing)
+    rows = {r["name"]: r for r in profile.profile_files(spark, str(tmp_path)).collect()}
+    assert len(rows) == 12
+    for i in range(9):
+        assert rows[f"good{i}.csv"]["rows"] == 1 and rows[f"good{i}.csv"]["message"] is None
+    assert rows["latin.csv"]["message"] == "not UTF-8"
+    assert rows["latin.csv"]["rows"] == 1 and rows["latin.csv"]["columns"] is None
+    assert rows["broken.csv"]["message"].startswith("unreadable: ") and "hecksum" in rows["broken.csv"]["message"]
+    assert rows["lost.csv"]["message"].startswith("unreadable: ")
+
+
+@pytest.mark.skipif(os.geteuid() == 0, reason="the superuser may read any file")
+def test_profile_of_a_file_without_permission(spark, tmp_path):
+    write(tmp_path / "good.csv", "Fecha,b\n2024-01-01,1\n")
+    write(tmp_path / "closed.csv", "Fecha,b\n2024-01-01,1\n")
+    (tmp_path / "closed.csv").chmod(0)
+    rows = {r["name"]: r for r in profile.profile_files(spark, str(tmp_path)).collect()}
+    assert rows["good.csv"]["message"] is None
+    assert rows["closed.csv"]["message"].startswith("unreadable: ")
