@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from acequia.functions import agronomy, naming
 from acequia.functions.arrays import difference, shift_append
-from acequia.models import ar, sarima, var
+from acequia.models import ar, family, sarima, var
 from acequia.operators import calendar, reports, scaling, series
 from acequia.plans.predict import forecast_irrigation, history_pack, predict_all, publish
 from acequia.plans.train import train_all, training_pack
@@ -833,6 +833,161 @@ def _fixed_forecast(family: str, p: int, scales: str):
     return run
 
 
+# Given coefficients of the seasonal families at the product's orders, in scaled units.
+SEASONAL = {"const": 0.01, "beta": 0.1, "phi": 0.4, "theta": -0.5, "sphi": 0.2, "stheta": -0.6}
+
+
+def _seasonal_fixed_forecast(family: str, policy: str = "hold"):
+    """All seven variables at orders (1,1,1)(1,1,1,30) from given coefficients."""
+
+    def run(spark, sf_dir):
+        rows = climate(spark, sf_dir)
+        config = TrainConfig(families=(family,), test_size=0)
+        pack = training_pack(rows, config)
+        polynomials = [SEASONAL[n] for n in ("phi", "theta", "sphi", "stheta")]
+        if family == "sarima":
+            coef = [SEASONAL["const"], *polynomials]
+        else:
+            coef = [*[SEASONAL["beta"] * (j + 1) for j in range(len(VARIABLES) - 1)], *polynomials]
+        orders = dict(zip(sarima.ORDER_FIELDS, (*config.order, *config.seasonal)))
+        params = {**orders, "variables": ",".join(VARIABLES)}
+        models = pack.select(
+            F.lit(family).alias("model_type"), KEY, F.explode(F.array(*[F.lit(v) for v in VARIABLES])).alias("target"),
+            F.create_map(*[F.lit(str(x)) for kv in params.items() for x in kv]).alias("params"),
+            F.array(*[F.lit(x) for x in coef]).alias("coef"), "scales", F.lit(None).cast("string").alias("error"),
+        )
+        out = predict_all(models, history_pack(rows), HORIZON, policy)
+        return out.select(
+            "model", KEY, "variable", DAY, F.col("step").cast("bigint").alias("step"),
+            untied(by_unit("value"), 4).alias("value"), "error",
+        )
+
+    return run
+
+
+def sarima_start_values(spark, sf_dir):
+    """Where the seasonal fits start: the polynomials found by two regressions, every variable."""
+    config = TrainConfig(families=("sarima",), test_size=0)
+    found = sarima.start_values(training_pack(climate(spark, sf_dir), config), config, "sarima")
+    names = ("phi", "theta", "sphi", "stheta")
+    return found.select(
+        KEY, F.col("target").alias("variable"),
+        *[untied(F.col("start")[i + 1], 5).alias(n) for i, n in enumerate(names)],
+    )
+
+
+def var_nested_selection(spark, sf_dir):
+    """Orders 0 to 3 of two variables together, from one factorisation."""
+    pack, config = _whole_pack(spark, sf_dir, variables=("temp_c", "rh"), maxlags=3)
+    rows = var.lag_selection(var.fit_orders(materialize(pack, "pack"), config))
+    return rows.select(
+        KEY,
+        F.col("p").cast("bigint").alias("p"),
+        *[untied(F.col(c), 5).alias(c) for c in ("aic", "bic", "hqic", "fpe")],
+        "chosen",
+    )
+
+
+def window_normal_equations(spark, sf_dir):
+    """A ridge fit leaves errors whose product with a regressor is the penalty times its weight.
+
+    Per station, equation and regressor of the fitted 30-day window: the sum of
+    products of error and regressor, less the penalty times the coefficient (the
+    constant has none), over the sample's days. Summed in the JVM from the
+    fitted coefficients and the packed series, independently of the solver.
+    """
+    config = TrainConfig(families=("window",), test_size=0)
+    lags, columns, k = config.window, list(VARIABLES), len(VARIABLES)
+    pack = materialize(training_pack(climate(spark, sf_dir), config), "pack")
+    fitted = var.solve(pack, columns, lags, None, config.ridge, "ranges").select(KEY, "coef")
+    fitted = materialize(fitted, "fitted")
+    scaled = [F.transform(c, _scaler(c, "ranges")).alias(c) for c in columns]
+    days = pack.select(KEY, *scaled).select(
+        KEY, F.transform(F.arrays_zip(*columns), lambda z: F.array(*[z[c] for c in columns])).alias("z")
+    )
+    # Today, and a constant with the days before it, latest first.
+    ends = F.sequence(F.lit(lags + 1), F.size("z"))
+    rows = days.filter(F.size("z") > lags).select(
+        KEY,
+        F.inline(
+            F.transform(
+                ends,
+                lambda t: F.struct(
+                    F.element_at("z", t).alias("today"),
+                    F.concat(
+                        F.array(F.lit(1.0)), F.flatten(F.reverse(F.slice("z", t - lags, lags)))
+                    ).alias("x"),
+                ),
+            )
+        ),
+    )
+    equations = F.sequence(F.lit(0), F.lit(k - 1))
+    weights = F.transform(
+        equations, lambda j: F.transform(F.sequence(F.lit(0), F.lit(lags * k)), lambda i: F.get("coef", i * k + j))
+    )
+    design = rows.join(fitted.select(KEY, weights.alias("weights")), KEY)
+
+    def error(j: int) -> Column:
+        products = F.zip_with(F.get("weights", F.lit(j)), "x", lambda a, b: a * b)
+        return F.get("today", F.lit(j)) - F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
+
+    sums = (
+        design.select(KEY, *[error(j).alias(f"e{j}") for j in range(k)], "x")
+        .select(KEY, *[f"e{j}" for j in range(k)], F.posexplode("x").alias("place", "x"))
+        .groupBy(KEY, "place")
+        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"e{j}") * F.col("x")).alias(f"s{j}") for j in range(k)])
+        .join(fitted, KEY)
+    )
+    penalty = F.when(F.col("place") > 0, F.lit(config.ridge)).otherwise(0.0)
+    each = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("equation"),
+                ((F.col(f"s{j}") - penalty * F.get("coef", F.col("place") * k + j)) / F.col("n")).alias("product"),
+            )
+            for j, c in enumerate(columns)
+        ]
+    )
+    return sums.select(KEY, F.col("place").cast("bigint").alias("place"), F.inline(each)).select(
+        KEY, "place", "equation", F.abs(r("product", 6)).alias("product")
+    )
+
+
+# A family of one's own: each day of a period has its mean, and the forecast repeats them.
+PERIOD = 7
+
+
+def _phase_means(values, parameters):
+    period = int(parameters["period"])
+    end = len(values)
+    return [values[(end - 1 - p) % period :: period].mean() for p in range(period)]
+
+
+def _repeat_phases(coef, state, horizon, parameters):
+    period = int(parameters["period"])
+    # coef[p] belongs to the days p before the last one, and so to the step that is period - p after it.
+    return [coef[-h % period] for h in range(1, horizon + 1)]
+
+
+def own_family_forecast(spark, sf_dir):
+    """A registered family, unknown to training and forecasting code: trained, saved, loaded, forecast."""
+    made = family.series_family(
+        "phase_mean", _phase_means, _repeat_phases, state_days=1, parameters={"period": PERIOD}, least_days=PERIOD
+    )
+    family.register(made, replace=True)
+    rows = climate(spark, sf_dir)
+    path = scratch_path(spark, "registry")
+    config = TrainConfig(families=("phase_mean",), test_size=0)
+    registry.save_models(train_all(_one_short(spark, sf_dir), config), path)
+    models = registry.load_models(spark, path, "phase_mean")
+    out = predict_all(models, history_pack(rows), HORIZON)
+    return out.select(
+        "model", KEY, "variable", F.coalesce(F.date_format(DAY, "yyyy-MM-dd"), F.lit("")).alias("day"),
+        F.coalesce(F.col("step").cast("bigint"), F.lit(0)).alias("step"),
+        untied(by_unit("value"), 4).alias("value"), F.coalesce("error", F.lit("")).alias("error"),
+    )
+
+
 def var_single_forecast(spark, sf_dir):
     return _forecast_rows(
         spark, sf_dir, TrainConfig(families=("var",), maxlags=1, **ONE_VARIABLE), 4
@@ -951,12 +1106,14 @@ def predict_gaps(spark, sf_dir):
     )
 
 
-def _error_sum(w: Column, coef: Column, season: int) -> Column:
+def _error_sum(w: Column, coef: Column, season: int, const: bool = True) -> Column:
     """Conditional error sum of a (1,1,1)(1,1,1,season) model of the differences ``w``.
 
-    Built-in functions alone, one day after another, apart from the estimator.
+    ``coef`` is the constant, if there is one, phi, theta, Phi, Theta. Built-in
+    functions alone, one day after another, apart from the estimator.
     """
-    c, phi, theta, sphi, stheta = (coef[i] for i in range(5))
+    c = coef[0] if const else F.lit(0.0)
+    phi, theta, sphi, stheta = (coef[i + const] for i in range(4))
     zeros = F.array_repeat(F.lit(0.0), season + 1)
     start = F.struct(zeros.alias("e"), F.lit(0.0).alias("sse"))
 
@@ -974,53 +1131,69 @@ def _error_sum(w: Column, coef: Column, season: int) -> Column:
     return F.aggregate(days, start, step, lambda state: state["sse"])
 
 
-def sarima_optimal(spark, sf_dir):
+def _optimal(family: str):
     """Does any coefficient, moved a little, lower the error sum of a fitted seasonal model?
 
     Every station and variable at the orders the product trains with; moves out
     of the invertible moving averages are no candidates.
     """
-    config = TrainConfig(families=("sarima",), test_size=0)
-    season, move = config.seasonal[3], 0.03
-    pack = materialize(training_pack(climate(spark, sf_dir), config), "pack")
-    models = sarima.fit(pack, config, "sarima").select(KEY, "target", "coef")
-    moved = [F.col("coef")]
-    for i in range(5):
-        for sign in (move, -move):
-            moved.append(_moved(i, sign))
-    levels = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(v).alias("target"),
-                    F.transform(v, _scaler(v)).alias("z"),
-                )
-                for v in VARIABLES
-            ]
+
+    def run(spark, sf_dir):
+        config = TrainConfig(families=(family,), test_size=0)
+        season, move, const = config.seasonal[3], 0.03, family == "sarima"
+        others = 0 if const else len(VARIABLES) - 1
+        size = const + others + 4
+        pack = materialize(training_pack(climate(spark, sf_dir), config), "pack")
+        models = sarima.fit(pack, config, family).select(KEY, "target", "coef")
+        moved = [F.col("coef")]
+        for i in range(size):
+            moved += [_moved(i, step, size) for step in (move, -move)]
+        scaled = pack.select(KEY, *[F.transform(v, _scaler(v)).alias(v) for v in VARIABLES])
+        differenced = scaled.select(KEY, *[difference(F.col(v), 1, 1, season).alias(v) for v in VARIABLES])
+        regressors = [F.array(*[F.col(o) for o in VARIABLES if o != v]) for v in VARIABLES]
+        each = F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(v).alias("target"), F.col(v).alias("y"), x.alias("x"))
+                    for v, x in zip(VARIABLES, regressors)
+                ]
+            )
         )
-    ).alias("s")
-    series_ = pack.select(KEY, levels).select(KEY, "s.target", difference(F.col("s.z"), 1, 1, season).alias("w"))
-    tried = models.join(series_, [KEY, "target"]).select(
-        KEY, "target", "w", F.posexplode(F.array(*moved)).alias("move", "c")
-    )
-    legal = (F.col("move") == 0) | ((F.abs(F.col("c")[2]) <= 1) & (F.abs(F.col("c")[4]) <= 1))
-    sums = tried.filter(legal).repartition(64).select(
-        KEY, "target", "move", _error_sum(F.col("w"), F.col("c"), season).alias("sse")
-    )
-    fitted = F.max(F.when(F.col("move") == 0, F.col("sse")))
-    return sums.groupBy(KEY, F.col("target").alias("variable")).agg(
-        (fitted <= F.min("sse") * 1.001).alias("optimal")
-    )
+        tried = models.join(materialize(differenced.select(KEY, each), "differences"), [KEY, "target"]).select(
+            KEY, "target", "y", "x", F.posexplode(F.array(*moved)).alias("move", "c")
+        )
+        theta, stheta = size - 3, size - 1
+        legal = (F.abs(F.col("c")[theta]) <= 1) & (F.abs(F.col("c")[stheta]) <= 1)
+        tried = tried.filter((F.col("move") == 0) | legal).repartition(64)
+        if others:
+            # The target less its regressors' share, then the errors of what is left.
+            left = F.zip_with("y", F.get("x", F.lit(0)), lambda y, x: y - F.col("c")[0] * x)
+            for j in range(1, others):
+                left = F.zip_with(left, F.get("x", F.lit(j)), _less(F.col("c")[j]))
+            tried = tried.select(KEY, "target", "move", left.alias("y"), F.slice("c", others + 1, 4).alias("c"))
+        sums = tried.select(
+            KEY, "target", "move", _error_sum(F.col("y"), F.col("c"), season, const).alias("sse")
+        )
+        fitted = F.max(F.when(F.col("move") == 0, F.col("sse")))
+        return sums.groupBy(KEY, F.col("target").alias("variable")).agg(
+            (fitted <= F.min("sse") * 1.001).alias("optimal")
+        )
+
+    return run
+
+
+def _less(weight: Column):
+    return lambda y, x: y - weight * x
 
 
-def _moved(place: int, step: float) -> Column:
+def _moved(place: int, step: float, size: int) -> Column:
     """The coefficients with one of them moved."""
-    steps = F.array(*[F.lit(step if i == place else 0.0) for i in range(5)])
+    steps = F.array(*[F.lit(step if i == place else 0.0) for i in range(size)])
     return F.zip_with("coef", steps, lambda x, d: x + d)
 
 
-def _scaler(variable: str):
-    scale = F.col("scales")[variable]
+def _scaler(variable: str, scales: str = "scales"):
+    scale = F.col(scales)[variable]
     return lambda x: (x - scale["center"]) / scale["scale"]
 
 
@@ -1139,7 +1312,15 @@ QUERIES = {
     "irrigation_drift": irrigation_drift,
     "predict_gaps": predict_gaps,
     "sarima_seasonal_ar_fit": sarima_seasonal_ar_fit,
-    "sarima_optimal": sarima_optimal,
+    "sarima_optimal": _optimal("sarima"),
+    "sarimax_optimal": _optimal("sarimax"),
+    "sarima_start_values": sarima_start_values,
+    "sarima_fixed_forecast": _seasonal_fixed_forecast("sarima"),
+    "sarimax_fixed_forecast": _seasonal_fixed_forecast("sarimax"),
+    "sarimax_fixed_forecast_head": _seasonal_fixed_forecast("sarimax", "head"),
+    "var_nested_selection": var_nested_selection,
+    "window_normal_equations": window_normal_equations,
+    "own_family_forecast": own_family_forecast,
     "registry_saved_types": registry_saved_types,
     "train_all": train_everything,
     "predict_all": predict_everything,

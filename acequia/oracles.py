@@ -377,6 +377,173 @@ pair_scores as (select station, p, t, 4 * p + 2 as free, 2 * p + 1 as width,
 pair_best as (select station, arg_min(p, ld + 2e0 / t * free) as best from pair_scores group by station)"""
 
 
+def _sums(terms: list[str], name: str = "g") -> str:
+    """All products of two terms, summed; ``name_i_j`` for i <= j."""
+    return ", ".join(
+        f"sum({x} * {y}) as {name}_{i}_{j}"
+        for i, x in enumerate(terms)
+        for j, y in enumerate(terms)
+        if i <= j
+    )
+
+
+def _eliminate(name: str, source: str, keys: str, size: int, pivots: int) -> str:
+    """Gaussian elimination of the first ``pivots`` terms, a table for each.
+
+    ``name{k}`` has what terms 0..k-1 leave of the products of the rest.
+    """
+    out, before = [], source
+    for k in range(pivots):
+        cells = []
+        for i in range(size):
+            for j in range(i, size):
+                left = f"g_{i}_{j} - g_{k}_{i} * g_{k}_{j} / g_{k}_{k}" if i > k else f"g_{i}_{j}"
+                cells.append(f"{left} as g_{i}_{j}")
+        out.append(f"{name}{k + 1} as (select {keys}, {', '.join(cells)} from {before})")
+        before = f"{name}{k + 1}"
+    return ",\n".join(out)
+
+
+def _weights(name: str, source: str, keys: str, terms: int) -> str:
+    """Least-squares weights b0.. of the last term on the others, by substituting back."""
+    out, before = [], source
+    for k in reversed(range(terms)):
+        rest = "".join(f" - g_{k}_{j} * b{j}" for j in range(k + 1, terms))
+        out.append(f"{name}{k} as (select *, (g_{k}_{terms}{rest}) / g_{k}_{k} as b{k} from {before})")
+        before = f"{name}{k}"
+    return ",\n".join(out)
+
+
+def _start_values() -> str:
+    """Two regressions: on a sparse set of lags, then on lags of the series and of its residuals."""
+    long_lags = [1, 2, 3, 30, 31, 32, 60, 61, 62]
+    own = "over (partition by station, variable order by day)"
+    terms = ["1e0", *[f"l{i}" for i in long_lags], "w"]
+    lags = ", ".join(f"lag(w, {i}) {own} as l{i}" for i in long_lags)
+    known = " - ".join(["w - b0", *[f"b{k + 1} * l{i}" for k, i in enumerate(long_lags)]])
+    back = ", ".join(f"lag(e, {i}) {own} as e{i}" for i in (1, 30, 31))
+    short = ["1e0", "l1", "l30", "l31", "e1", "e30", "e31", "w"]
+    keys = "station, variable"
+    return _on_filled(
+        """select station, variable, round(b1 + 3.3e-6, 5) as phi, round(b4 + 3.3e-6, 5) as theta,
+    round(b2 + 3.3e-6, 5) as sphi, round(b5 + 3.3e-6, 5) as stheta from second0""",
+        WHOLE,
+        "steps30 as (select station, day, {} from whole window w as (partition by station order by day))".format(
+            ", ".join(f"{_natural(v, _difference(v))} as {v}" for v in VARS)
+        ),
+        f"series as (select * from ({_long('steps30')}) where value is not null)",
+        f"lagged as (select station, variable, day, value as w, {lags.replace('lag(w,', 'lag(value,')} from series)",
+        f"sums1 as (select {keys}, {_sums(terms)} from lagged where l62 is not null group by {keys})",
+        _eliminate("first_", "sums1", keys, len(terms), len(terms) - 1),
+        _weights("first", f"first_{len(terms) - 1}", keys, len(terms) - 1),
+        f"errors as (select l.*, {known} as e from lagged l join first0 using ({keys}) where l62 is not null)",
+        f"pairs as (select *, {back} from errors)",
+        f"sums2 as (select {keys}, {_sums(short)} from pairs where e31 is not null group by {keys})",
+        _eliminate("second_", "sums2", keys, len(short), len(short) - 1),
+        _weights("second", f"second_{len(short) - 1}", keys, len(short) - 1),
+    )
+
+
+def _nested_selection() -> str:
+    """Orders 0 to 3 of two variables: what the constant and each further lag leave of today's products."""
+    own = "over (partition by station order by day)"
+    terms = ["1e0", *[f"{v}{i}" for i in (1, 2, 3) for v in ("a", "b")], "a0", "b0"]
+    lagged = ", ".join(f"lag({v}, {i}) {own} as {v}{i}" for i in (1, 2, 3) for v in ("a", "b"))
+    det = "g_7_7 * g_8_8 - g_7_8 * g_7_8"
+    scores = " union all ".join(
+        f"select station, {p} as p, t, {4 * p + 2} as free, {2 * p + 1} as width, "
+        f"ln(({det}) / (cast(t as double) * t)) as ld from left_{2 * p + 1} join many using (station)"
+        for p in range(4)
+    )
+    return _on_filled(
+        """select station, cast(p as bigint) as p, round(ld + 2e0 / t * free + 3.3e-6, 5) as aic,
+    round(ld + ln(t) / t * free + 3.3e-6, 5) as bic, round(ld + 2e0 * ln(ln(t)) / t * free + 3.3e-6, 5) as hqic,
+    round(power((t + width) / cast(t - width as double), 2) * exp(ld) + 3.3e-6, 5) as fpe, p = best as chosen
+  from scores join (select station, arg_min(p, ld + 2e0 / t * free) as best from scores group by station)
+    using (station)""",
+        """two as (select station, day, (temp_c - avg(temp_c) over s) / stddev_pop(temp_c) over s as a,
+    (rh - avg(rh) over s) / stddev_pop(rh) over s as b
+  from filled where temp_c is not null and rh is not null window s as (partition by station))""",
+        f"couple as (select station, a as a0, b as b0, {lagged} from two)",
+        f"sums as (select station, {_sums(terms)} from couple where a3 is not null group by station)",
+        "many as (select station, count(*) as t from couple where a3 is not null group by station)",
+        _eliminate("left_", "sums", "station", len(terms), 7),
+        f"scores as ({scores})",
+    )
+
+
+def _seasonal_fixed(model: str, policy: str = "hold") -> str:
+    """Errors of the whole history day by day, then 45 days ahead, at orders (1,1,1)(1,1,1,30)."""
+    phi, theta, sphi, stheta = 0.4, -0.5, 0.2, -0.6
+    exog = model == "sarimax"
+    const = 0.0 if exog else 0.01
+
+    def level(v: str, source: str = "") -> str:
+        """Scaled level of a target, less its regressors' share."""
+        z = f"({source}{v} - c_{v}) / s_{v}"
+        if not exog:
+            return z
+        others = [o for o in VARS if o != v]
+        share = " - ".join(f"{0.1 * (j + 1)!r}e0 * ({source}{o} - c_{o}) / s_{o}" for j, o in enumerate(others))
+        return f"{z} - {share}"
+
+    def shift(v: str) -> str:
+        """What the regressors add on a day ahead."""
+        others = [o for o in VARS if o != v]
+        return " + ".join(f"{0.1 * (j + 1)!r}e0 * (f.{o} - c_{o}) / s_{o}" for j, o in enumerate(others))
+
+    levels = " union all ".join(
+        f"select station, day, '{v}' as variable, {level(v)} as value from whole join scales using (station)" for v in VARS
+    )
+    own = "over (partition by station, variable order by day)"
+    w = f"value - lag(value, 1) {own} - lag(value, 30) {own} + lag(value, 31) {own}"
+    auto = f"w - {const}e0 - {phi}e0 * lag(w, 1) {own} - {sphi}e0 * lag(w, 30) {own} + {phi * sphi!r}e0 * lag(w, 31) {own}"
+    # State lists are oldest first: place 31 is yesterday, 2 a season ago, 1 the day before that.
+    error = f"x[1] - {theta}e0 * e[31] - {stheta}e0 * e[2] - {theta * stheta!r}e0 * e[1]"
+    ahead = (
+        f"{const}e0 + {phi}e0 * w[31] + {sphi}e0 * w[2] - {phi * sphi!r}e0 * w[1]"
+        f" + {theta}e0 * e[31] + {stheta}e0 * e[2] + {theta * stheta!r}e0 * e[1]"
+    )
+    future = (
+        "select station, unnest(range(1, 46)) as step, * exclude (station) from (select * from whole "
+        "qualify row_number() over (partition by station order by day desc) = 1)"
+    )
+    if policy == "head":
+        future = (
+            "select row_number() over (partition by station order by day) as step, * from whole "
+            "qualify step <= 45"
+        )
+    parts = []
+    for v in VARS:
+        value = f"(y[31] + {shift(v)}) * s_{v} + c_{v}" if exog else f"y[31] * s_{v} + c_{v}"
+        joined = " join future f using (station, step)" if exog else ""
+        parts.append(
+            f"select p.station, p.variable, p.step, p.last_day, {_natural(v, value)} as value "
+            f"from path p join scales using (station){joined} where p.variable = '{v}' and p.step > 0"
+        )
+    return _on_filled(
+        f"""select '{model}' as model, station, variable, last_day + cast(step as integer) as day,
+    cast(step as bigint) as step, round(value + 3.3e-5, 4) as value, cast(null as varchar) as error
+  from ({" union all ".join(parts)})""",
+        WHOLE,
+        _scales("whole"),
+        f"levels as ({levels})",
+        f"steps as (select *, {w} as w from levels)",
+        f"known as (select *, {auto} as a from steps where w is not null)",
+        f"""ends as (select station, variable, max(day) as last_day,
+    list_reduce(list_prepend(list_resize(cast([] as double[]), 31, 0e0), list([a] order by day) filter (a is not null)),
+      lambda e, x: list_append(e[2:], {error})) as e,
+    list(w order by day)[-31:] as w from known group by station, variable)""",
+        "tails as (select station, variable, list(value order by day)[-31:] as y from levels group by station, variable)",
+        f"future as ({future})",
+        f"""path as (select 0 as step, station, variable, last_day, e, w, y from ends join tails using (station, variable)
+  union all
+  select step + 1, station, variable, last_day, list_append(e[2:], 0e0), list_append(w[2:], next),
+    list_append(y[2:], next + y[31] + y[2] - y[1])
+  from (select *, {ahead} as next from path where step < 45))""",
+    ).replace("with ", "with recursive ", 1)
+
+
 def _fixed(model: str, p: int, scales: str, center: str, width: str) -> str:
     """Every variable's last ``p`` scaled days as a list, fed back 45 times."""
     after = dict(zip(VARS, (*VARS[1:], VARS[0])))
@@ -781,5 +948,36 @@ ahead as (select station, variable, step, x from (select distinct station, varia
         "cross join (values {}) v(variable)".format(", ".join(f"('{v}')" for v in VARS)),
         WHOLE,
     ),
+    "sarimax_optimal": _on_filled(
+        "select station, variable, true as optimal from (select distinct station from whole) "
+        "cross join (values {}) v(variable)".format(", ".join(f"('{v}')" for v in VARS)),
+        WHOLE,
+    ),
+    "sarima_start_values": _start_values(),
+    "sarima_fixed_forecast": _seasonal_fixed("sarima"),
+    "sarimax_fixed_forecast": _seasonal_fixed("sarimax"),
+    "sarimax_fixed_forecast_head": _seasonal_fixed("sarimax", "head"),
+    "var_nested_selection": _nested_selection(),
+    "window_normal_equations": _on_filled(
+        """select s.station, cast(place as bigint) as place, equation, 0e0 as product
+  from (select distinct station from whole) s, (select unnest(range(0, 211)) as place),
+    (values {}) e(equation)""".format(", ".join(f"('{v}')" for v in VARS)),
+        WHOLE,
+    ),
+    "own_family_forecast": _on_filled(
+        """select 'phase_mean' as model, station, variable,
+    case when station = 1 then '' else strftime(last_day + cast(step as integer), '%Y-%m-%d') end as day,
+    case when station = 1 then cast(0 as bigint) else cast(step as bigint) end as step,
+    case when station <> 1 then round({x} + 3.3e-5, 4) end as value,
+    case when station = 1 then 'not trained: ValueError: series too short: at least 7 days needed' else '' end as error
+  from phases join (select unnest(range(1, 46)) as step) on (phase + step) % 7 = 0
+  where station <> 1 or step = 1""".replace("{x}", BY_UNIT.format(x="value")),
+        WHOLE,
+        """numbered as (select *, (row_number() over (partition by station order by day desc) - 1) % 7 as phase,
+    max(day) over (partition by station) as last_day from whole)""",
+        "phases as (select station, variable, phase, last_day, avg(value) as value from ({}) group by 1, 2, 3, 4)".format(
+            _long("numbered", keep="station, phase, last_day")
+        ),
+    ),
     "registry_saved_types": "select unnest(['sarima', 'var', 'window']) as model_type",
 }
