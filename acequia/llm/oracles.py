@@ -145,9 +145,36 @@ window best as (partition by p.anchor, positive_id order by n.score desc, n.vec_
 qualify rank <= 3
 """
 
+OP10 = """
+with texts as (
+  select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+strings as (
+  select r, doc_id, s, substring(h, 2 * s + 1, 100) as w
+  from (select *, unnest(range(0, length(h) // 2 - 49)) as s from texts where doc_id is not null)),
+again as (
+  select r, s from strings join (select w, min(doc_id) as least from strings group by w) using (w)
+  where least < doc_id),
+spans as (
+  select r, min(s) as a, max(s) + 50 as b
+  from (select r, s, sum(new) over (partition by r order by s) as n
+        from (select r, s, case when s <= 50 + lag(s) over (partition by r order by s) then 0 else 1 end as new from again))
+  group by r, n),
+gaps as (
+  select r, a, b, lag(b, 1, 0) over (partition by r order by a) as after from spans),
+cut as (
+  select r, sum(b - a) as n_removed, count(*) as n_spans, max(b) as last,
+    string_agg(substring(h, 2 * after + 1, 2 * (a - after)), '' order by a) as before
+  from gaps join texts using (r) group by r)
+select doc_id, length(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+       coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(coalesce(before, '') || substring(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from texts left join cut using (r)
+"""
+
 ORACLES = {
     "op3_chat": OP3,
     "op4_decontamination": OP4,
+    "op10_suffix_dedup": OP10,
     "op11_merkle": OP11,
     "op12_exact_dedup": OP12,
     "op13_hard_negatives": OP13,

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -663,3 +664,70 @@ def test_stages_on_nulls_alone(spark, bench_dir):
     for name, stage in corpus_pipeline.STAGES:
         left = {"language": 0, "near_duplicates": 1}.get(name, 3)
         assert stage(spark, nothing, bench_dir).count() == left, name
+
+
+# --- common passages in suffix dedup ----------------------------------------
+
+
+def _around_a_passage(count, seed=7):
+    """Documents of which each holds one passage between neighbours of its own."""
+    rng = random.Random(seed)
+    passage = "".join(rng.choices("abcdefghij klmnop", k=300))
+
+    def own():
+        return "".join(rng.choices("qrstuvwxyz0123456789 ", k=60))
+
+    return [(i, own() + passage + own()) for i in range(count)]
+
+
+@pytest.mark.parametrize("kinds,many", [(32, 1024), (1, 1024), (10**9, 2), (2, 3)])
+def test_split_anchors_like_brute_force(spark, docs, monkeypatch, kinds, many):
+    """However many contexts an anchor may have before it is split, the result is the same."""
+    monkeypatch.setattr(suffix_dedup, "KINDS", kinds)
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 20_000)
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 5_000)
+    twice = _around_a_passage(60)
+    twice += [(200, twice[3][1] + twice[3][1]), (200, twice[3][1]), (None, twice[5][1]), (300, twice[7][1])]
+    rows = [(i, t) for i, t, _ in ROWS if i != 4 and i != 7] + [(i + 50 if i is not None else None, t) for i, t in twice]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = suffix_dedup.remove_repeated(frame).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got(found, *names) == want(brute.without_repeats(rows))
+
+
+def _group_sizes(rows, part_bytes=1 << 20):
+    """Most kinds of one anchor a first-round bucket gets, and most strings that share a tag in the second."""
+    n = -(-sum(len(t) for _, t in rows) // part_bytes)
+    parts = [[r for r in rows if r[0] % n == k] for k in range(n)]
+    buckets, most, shared = 1, Counter(), Counter()
+    loaded = [suffix_dedup._Part([i for i, _ in p], [t.encode() for _, t in p], buckets, 50) for p in parts]
+    sent = [np.concatenate(x) for x in zip(*[
+        (p.short[p.sent], p.found.whole[p.first][p.sent], p.id[p.sent], p.mark) for p in loaded
+    ])]
+    verdict = suffix_dedup.judge_contexts(*sent)
+    most.update(sent[0].tolist())
+    edges = np.cumsum([0] + [len(p.sent) for p in loaded])
+    for k, p in enumerate(loaded):
+        told = verdict[edges[k] : edges[k + 1]][p.spoken_for]
+        for bucket, _, ids, strings, _, tags, _ in suffix_dedup._messages(p, told, k, buckets):
+            if bucket >= 0:
+                for tag, many in zip(np.frombuffer(tags, np.uint32).tolist(), strings, strict=True):
+                    shared[bucket, tag] += many
+    return max(most.values()), max(shared.values())
+
+
+def test_groups_do_not_grow_with_a_passage(monkeypatch):
+    """20,000 documents around one passage make no larger groups than 5,000."""
+    parts = -(-20_000 * 420 // (1 << 20))
+    kinds, strings = _group_sizes(_around_a_passage(20_000))
+    assert kinds <= suffix_dedup.KINDS * parts  # without the split it is 20,000
+    assert strings <= suffix_dedup.MANY * 31
+    monkeypatch.setattr(suffix_dedup, "KINDS", 8)
+    monkeypatch.setattr(suffix_dedup, "MANY", 64)
+    for n in (5_000, 20_000, 40_000):  # one fixed bound for all sizes
+        kinds, strings = _group_sizes(_around_a_passage(n))
+        assert kinds <= 8 * -(-n * 420 // (1 << 20)) and strings <= 64 * 31
