@@ -306,8 +306,7 @@ def remove_repeated(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     parts = rows.withColumn("part", spread).repartition(n, "part")
 
     def load(table: pa.Table) -> _Part:
-        ids = table.column("id").to_pylist()
-        return _Part(ids, list(utf8(table.column("text"))), buckets, length)
+        return _Part(*_rows(table), buckets, length)
 
     def send(table: pa.Table) -> pa.Table:
         part, number = load(table), table.column("part")[0].as_py()
@@ -351,11 +350,11 @@ def remove_repeated(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     def cut_out(table: pa.Table, answers: pa.Table) -> pa.Table:
         made = []
         if table.num_rows:
-            texts = list(utf8(table.column("text")))
+            ids, texts = _rows(table)
             row, begin, end = _covered({r["bucket"]: r["data"] for r in answers.to_pylist()}, length)
             by = np.argsort(row, kind="stable")
             edges = np.searchsorted(row[by], np.arange(len(texts) + 1))
-            for i, (name, raw) in enumerate(zip(table.column("id").to_pylist(), texts, strict=True)):
+            for i, (name, raw) in enumerate(zip(ids, texts, strict=True)):
                 own = by[edges[i] : edges[i + 1]]
                 made.append((name, len(raw), *_without(raw, begin[own], end[own])))
         return _table(RESULT, made)
@@ -370,6 +369,13 @@ def remove_repeated(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     return parts.groupBy("part").cogroup(second.groupBy("part")).applyInArrow(cut_out, RESULT)
 
 
+def _rows(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
+    """Ids and texts of a part in one order, however the shuffle delivered them."""
+    rows = list(zip(table.column("id").to_pylist(), utf8(table.column("text")), strict=True))
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, xxhash.xxh64_intdigest(r[1])))
+    return [i for i, _ in rows], [t for _, t in rows]
+
+
 def _table(schema: T.StructType, rows) -> pa.Table:
     columns = list(zip(*rows, strict=True)) or [[] for _ in schema.fields]
     return pa.Table.from_batches([batch_of(schema, columns)])
