@@ -19,6 +19,8 @@ further columns are ignored or passed through.
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -38,6 +40,8 @@ SIZE = 4096
 FOLDS = 5
 #: Texts scored by one matrix product.
 ROWS = 256
+#: A prediction less sure than this is no prediction for a filter.
+LEAST_SCORE = 0.05
 
 #: Language codes (ISO 639) by family. Any other code is a family of its own.
 FAMILIES = {
@@ -267,8 +271,28 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text", out: s
     return annotate(docs, name, RESULT, make)
 
 
-def keep_identified(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with their columns."""
+def keep_identified(
+    docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang",
+    wanted: Sequence[str] | None = None, least_score: float = LEAST_SCORE,
+) -> DataFrame:
+    """The rows of ``docs`` in a wanted language, with their columns; a null ``lang`` gets the prediction.
+
+    ``wanted`` are languages, by default all that were learned; a row goes if
+    the predicted one is not among them, if its text holds no letter, or if the
+    prediction's score is below ``least_score``. If nothing can be learned,
+    because no text has a language, all rows are passed through with a warning.
+    """
+    model = fit_model(docs, id=id, text=text, lang=lang)
+    if model is None:
+        warnings.warn("no text with a language to learn from: all rows are kept", stacklevel=2)
+        return docs
+    learned = sorted({name for machine in model.within.values() for name in machine.labels})
+    if wanted is not None and set(wanted) - set(learned):
+        warnings.warn(f"no text in {sorted(set(wanted) - set(learned))} to learn from", stacklevel=2)
     name = free_name(docs, "language")
-    found = identify(docs, fit_model(docs, id=id, text=text, lang=lang), text=text, out=name)
-    return found.where(F.col(f"{name}.lang_pred") != UNKNOWN).select(*[col(c) for c in docs.columns])
+    found = identify(docs, model, text=text, out=name)
+    told = F.col(f"{name}.lang_pred")
+    sure = told.isin(list(learned if wanted is None else wanted)) & (F.col(f"{name}.score") >= least_score)
+    return found.where(sure).select(
+        *[F.coalesce(col(c).cast("string"), told).alias(c) if c == lang else col(c) for c in docs.columns]
+    )

@@ -9,11 +9,16 @@ the whole is a permutation of the format: separators, letter case, lengths and
 prefixes stay, check digits are computed anew, and equal values, however they
 are written, get equal pseudonyms in all documents.
 
-Kinds: e-mail addresses (all labels but the last), telephone numbers (country
-prefix kept), payment cards (first digit kept, Luhn), IBANs (country kept,
-mod 97), US social security numbers, IPv4 addresses, dates from 1800 to 2199
-(year-month-day, or with the year last; day first unless only month first is a
-date), access keys and passwords after their usual labels.
+Kinds: e-mail addresses (all labels but the last), telephone numbers (calling
+code of one to three digits kept), payment cards (first digit kept, Luhn), IBANs
+in any case (country kept, mod 97), US social security numbers, IPv4 addresses,
+dates from 1800 to 2199 (year-month-day, or with the year last; day first unless
+only month first is a date), and secrets: what follows a usual label up to a
+blank or quote, from eight characters on, and tokens of well-known prefixes with
+or without a label. A secret's punctuation and known prefix stay. One of
+hexadecimal digits alone stays such, and any other keeps its first character
+that is no hexadecimal digit apart from those, so no two secrets of different
+classes can meet in one pseudonym.
 
 Defined cases: a null text stays null and has no values; an empty text stays
 empty; a value that fails its validation stays as it is; repeated rows give
@@ -23,6 +28,7 @@ results. No shuffle, no state between rows.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,13 +65,30 @@ def _iban_of(length: int, countries: str) -> str:
     return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{last}(?![A-Za-z0-9])"
 
 
+#: Usual labels of secrets, and how well-known tokens begin.
+_LABEL = r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"'`]?|(?i:bearer)\s{1,3}"
+_TOKENS = {
+    r"gh[pousr]_": r"[A-Za-z0-9]{16,}+",
+    r"github_pat_": r"[A-Za-z0-9_]{16,}+",
+    r"sk-": r"[A-Za-z0-9_-]{16,}+",
+    r"[sr]k_(?:live|test)_": r"[A-Za-z0-9]{10,}+",
+    r"xox[abeoprs]-": r"[A-Za-z0-9-]{8,}+",
+    r"AIza": r"[A-Za-z0-9_-]{30,}+",
+    r"eyJ": r"[A-Za-z0-9_-]{5,}+\.[A-Za-z0-9_-]{5,}+\.[A-Za-z0-9_-]*+",
+    r"AKIA": r"[0-9A-Z]{16}(?![A-Za-z0-9])",
+}
+#: What stays of a secret: its label and its known prefix.
+_SECRET_HEAD = rf"^(?:{_LABEL})?(?:{'|'.join(_TOKENS)})?"
+#: Telephone calling codes of one and two digits; all others have three.
+_CALLING = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})"
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?i:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9]{8,}+"
-    r"|AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "secret": rf"(?:{_LABEL})[^\s\"'`]{{8,}}+|" + "|".join(f"{head}{rest}" for head, rest in _TOKENS.items()),
     # As long as its country says, so that it takes in no neighbour; of other countries, one without blanks.
-    "iban": "|".join(_iban_of(n, countries) for n, countries in IBAN_LENGTHS.items())
-    + r"|[A-Z]{2}\d{2}[A-Z0-9]{8,31}(?![A-Za-z0-9])",
+    "iban": "(?i:"
+    + "|".join(_iban_of(n, countries) for n, countries in IBAN_LENGTHS.items())
+    + r"|[A-Z]{2}\d{2}[A-Z0-9]{8,31}(?![A-Za-z0-9]))",
     "date": rf"\d{{4}}-\d{{2}}-\d{{2}}(?!\d|-(?!{_NEXT})\d)|\d{{4}}/\d{{2}}/\d{{2}}(?!\d|/(?!{_NEXT})\d)"
     rf"|\d{{1,2}}/\d{{1,2}}/\d{{4}}(?!\d|/(?!{_NEXT})\d)|\d{{1,2}}\.\d{{1,2}}\.\d{{4}}(?!\d|\.\d)",
     "ipv4": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
@@ -88,8 +111,11 @@ PATTERN = (
 
 
 def session_key(spark: SparkSession) -> str:
-    """The key set for this session, else the open one."""
-    return spark.conf.get(KEY_SETTING, None) or OPEN_KEY
+    """The key set for this session, else the open one, with a warning."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms under the open key can be undone by anyone", stacklevel=2)
+    return key or OPEN_KEY
 
 
 def _int(c: Column) -> Column:
@@ -146,25 +172,30 @@ def _symbols(
     kind: str,
     key: str,
     tweak: Column | None = None,
-    letters: Column | None = None,
+    other: Column | None = None,
 ) -> Column:
     """``value`` with its free characters permuted, each within its own class.
 
-    ``free(character, place, all)`` tells which letters and digits take part;
-    ``letters`` is how many letters of the alphabet there are.
+    ``free(character, place, all)`` tells which letters and digits take part.
+    With ``other``, a place, letters before it are a to f, and a small one at it
+    is one of g to z.
     """
     tweak = F.lit("") if tweak is None else tweak
-    letters = F.lit(26) if letters is None else letters
+    other = F.lit(-1) if other is None else other
 
     def with_chars(chars: Column) -> Column:
         places = F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: free(F.get(chars, i), i, chars))
 
         def with_places(at: Column) -> Column:
+            def first(i: Column) -> Column:
+                return F.when((i == other) & F.get(chars, i).rlike("[a-z]"), F.lit(6)).otherwise(F.lit(0))
+
             def number(i: Column) -> Column:
                 c = F.lower(F.get(chars, i))
-                return F.when(c.rlike("[0-9]"), _int(F.ascii(c) - 48)).otherwise(_int(F.ascii(c) - 97))
+                return F.when(c.rlike("[0-9]"), _int(F.ascii(c) - 48)).otherwise(_int(F.ascii(c) - 97) - first(i))
 
             def modulus(i: Column) -> Column:
+                letters = F.when(i < other, F.lit(6)).otherwise(F.lit(26) - first(i))
                 return F.when(F.get(chars, i).rlike("[0-9]"), F.lit(10)).otherwise(letters)
 
             made = feistel(F.transform(at, number), F.transform(at, modulus), kind, tweak, key)
@@ -172,7 +203,7 @@ def _symbols(
             def with_made(new: Column) -> Column:
                 def char(c: Column, i: Column) -> Column:
                     n = F.get(new, _int(F.array_position(at, i)) - 1)
-                    letter = F.char(n + 97)
+                    letter = F.char(n + 97 + first(i))
                     written = F.when(c.rlike("[0-9]"), n.cast("string")).otherwise(
                         F.when(c.rlike("[A-Z]"), F.upper(letter)).otherwise(letter)
                     )
@@ -229,14 +260,14 @@ def _mod97(value: Column) -> Column:
 
 
 def _iban(value: Column, key: str) -> Column:
-    plain = F.regexp_replace(value, " ", "")
+    plain = F.upper(F.regexp_replace(value, " ", ""))
     changed = _symbols(
-        value, lambda c, i, _: (i > 3) & c.rlike("[A-Z0-9]"), "iban", key, F.substring(value, 1, 2)
+        value, lambda c, i, _: (i > 3) & _is_sign(c), "iban", key, F.upper(F.substring(value, 1, 2))
     )
 
     def checked(text: Column) -> Column:
         bare = F.regexp_replace(F.concat(F.substring(text, 1, 2), F.lit("00"), F.substring(text, F.lit(5), F.length(text))), " ", "")
-        check = F.lpad((98 - _mod97(bare)).cast("string"), 2, "0")
+        check = F.lpad((98 - _mod97(F.upper(bare))).cast("string"), 2, "0")
         return F.concat(F.substring(text, 1, 2), check, F.substring(text, F.lit(5), F.length(text)))
 
     return F.when(_mod97(plain) == 1, _let(changed, checked)).otherwise(value)
@@ -278,9 +309,10 @@ def _ssn(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str, nanp: bool) -> Column:
-    """Digits after the country prefix; ten in a North American number, else all but the first."""
+    """Digits after the calling code; ten in a North American number."""
     if not nanp:
-        return _symbols(value, lambda c, i, _: (i > 1) & c.rlike("[0-9]"), "phone", key, F.substring(value, 1, 2))
+        code = F.regexp_extract(value, _CALLING, 0)
+        return _symbols(value, lambda c, i, _: (i >= F.length(code)) & c.rlike("[0-9]"), "phone", key, code)
 
     def free(c: Column, i: Column, chars: Column) -> Column:
         after = F.size(F.filter(F.slice(chars, i + 2, F.size(chars)), lambda c: c.rlike("[0-9]")))
@@ -339,31 +371,28 @@ def _email(value: Column, key: str) -> Column:
 
 
 def _secret(value: Column, key: str) -> Column:
-    """The part after the label; hexadecimal digits stay hexadecimal.
+    """The letters and digits after label and known prefix.
 
-    A secret longer than ``SECRET_PIECE`` is permuted in pieces, each under the place and
-    the hash of all before it, so that the work grows with the length, not its square.
+    They are permuted in pieces of ``SECRET_PIECE`` characters, each under its
+    place and the hash of all before it, so that the work grows with the length,
+    not its square.
     """
-    secret = F.regexp_extract(value, r"[A-Za-z0-9]+$", 0)
-    skipped = F.when(value.startswith("AKIA"), F.lit(4)).otherwise(F.length(value) - F.length(secret))
-    letters = F.when(secret.rlike("^[0-9a-f]+$"), F.lit(6)).otherwise(F.lit(26))
-
-    def free(c: Column, i: Column, _: Column) -> Column:
-        return _is_sign(c) & (i >= skipped)
+    head = F.regexp_extract(value, _SECRET_HEAD, 0)
+    secret = F.substring(value, F.length(head) + 1, F.length(value))
 
     def whole(long: Column) -> Column:
-        pieces = F.regexp_extract_all(long, F.lit(rf"[A-Za-z0-9]{{1,{SECRET_PIECE}}}"), F.lit(0))
+        pieces = F.regexp_extract_all(long, F.lit(rf"(?s).{{1,{SECRET_PIECE}}}"), F.lit(0))
 
         def piece(p: Column, i: Column) -> Column:
             before = F.sha2(F.substring(long, F.lit(1), i * SECRET_PIECE), 256)
-            tweak = F.concat_ws(",", letters.cast("string"), i.cast("string"), before)
-            return _symbols(p, lambda c, _i, _c: _is_sign(c), "secret", key, tweak, letters=letters)
+            # The first letter that is no hexadecimal digit; beyond the end if there is none.
+            other = F.length(F.regexp_extract(p, r"(?s)^[^A-Zg-z]*", 0))
+            tweak = F.concat_ws(",", other.cast("string"), i.cast("string"), before)
+            return _symbols(p, lambda c, _i, _c: _is_sign(c), "secret", key, tweak, other)
 
         return F.array_join(F.transform(pieces, piece), "")
 
-    label = F.substring(value, F.lit(1), F.length(value) - F.length(secret))
-    short = _symbols(value, free, "secret", key, letters.cast("string"), letters=letters)
-    return F.when(F.length(secret) > SECRET_PIECE, F.concat(label, _let(secret, whole))).otherwise(short)
+    return F.concat(head, _let(secret, whole))
 
 
 def pseudonym(value: Column, key: str) -> Column:

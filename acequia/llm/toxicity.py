@@ -1,26 +1,31 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
-Features are hashed runs of 5 and of 8 bytes of the lower-cased text, blanks
-included, so that a word and its relatives share some. Of them, those that a share of the
-toxic texts holds more than twice the share of the clean ones, significantly, are kept; shares
-do not depend on how many of each label the sample has. One weight vector is
-shared by all ordered thresholds: P(grade <= k) = sigmoid(threshold_k - score).
-Weights are not negative, as kept features speak for toxicity alone.
-The expected severity is the sum over k of P(grade > k).
+Features are the words of the lower-cased text and its hashed runs of 5 and of 8
+bytes, blanks included, so that a word and its relatives share some. Kept are
+those that two or more toxic texts hold, as a share more than twice that of the
+clean ones: all that do so significantly, of each kind of feature as many as
+keep the expected share of chance finds below ``FALSE_SHARE`` (Benjamini and
+Hochberg), up to ``KEPT``; and where those are fewer than ``FILL``, as with few
+labels, the strongest of the others, which the ridge shrinks instead of a floor
+dropping them. The test follows the number of labels and of features. One weight
+vector is shared by all ordered thresholds: P(grade <= k) =
+sigmoid(threshold_k - score). Weights are not negative, as kept features speak
+for toxicity alone. The expected severity is the sum over k of P(grade > k).
 
 Two-valued labels are graded first: 0 for a clean text, and toxic texts are
 split into mild (1) and severe (2) at the median of the logarithmic counts of
 kept features, summed.
 
 Selection and weights are fitted on a bounded sample of labelled documents
-(``per_label`` of each label, drawn by a hash of the id, weighted back to the
-label's true count); prediction covers all rows and whole texts.
+(``per_label`` of each label, drawn by a hash of the id, one row an id, weighted
+back to the label's true count); prediction covers all rows and whole texts.
 
 Defined cases: a null or empty text has no features and is as clean as the
 thresholds say; labels that are null, or of unknown documents, are ignored; a
-document with several labels takes the largest; without labelled texts of both
-kinds nothing can be learned and every text has severity 0; with too few to tell
-any feature, a warning says so and every text gets the base rate; repeated rows are
+document with several labels takes the largest, one with several rows lends the
+sample the row of the largest text hash; without labelled texts of both kinds
+nothing can be learned and every text has severity 0; with too few to tell any
+feature, a warning says so and every text gets the base rate; repeated rows are
 scored alike; further columns are ignored or passed through.
 """
 
@@ -29,6 +34,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import erfc, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +47,13 @@ from acequia.session import materialize
 
 GRAMS = (5, 8)
 BUCKETS = 1 << 20
+#: Buckets of the runs, then of the words.
+WORDS = 1 << 19
+ALL_BUCKETS = BUCKETS + WORDS
 PER_LABEL = 4000
-KEPT = 4000
-LEAST_DOCS = 5
-#: Least gain of a feature: this share of what a perfect one gains on the sample, within bounds.
-GAIN_SHARE, LEAST_GAIN, ENOUGH_GAIN = 0.1, 12, 30
+KEPT, FILL = 4000, 2000
+#: Expected share of chance finds among the kept features of a kind.
+FALSE_SHARE = 0.05
 #: Tasks that read the sample, whose size is bounded.
 SAMPLE_TASKS = 8
 
@@ -81,9 +89,26 @@ def codes(text: str | None) -> np.ndarray:
         code = code * np.uint32(16_777_619) + data[i : places + i]
         if i + 1 in GRAMS:
             made.append(((code ^ (code >> np.uint32(13))) * np.uint32(2_654_435_761)) >> np.uint32(12))
+    made.append(BUCKETS + _words(data[: len(data) - most + 1]))
     return np.concatenate(made)
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """A bucket for each word between blanks: differences of one running sum, moved to a common place."""
+    factor = np.uint32(2_246_822_519)
+    back = np.uint32(pow(2_246_822_519, -1, 1 << 32))
+    powers = np.full(len(data), factor, np.uint32)
+    powers[0] = 1
+    sums = np.cumsum((data + np.uint32(1)) * np.cumprod(powers, dtype=np.uint32), dtype=np.uint32)
+    powers[1:] = back
+    unmoved = np.cumprod(powers, dtype=np.uint32)
+    blank = np.flatnonzero(data == 32)
+    first, last = blank[:-1], blank[1:] - 1  # a word lies after its first place and ends at its last
+    code = (sums[last] - sums[first]) * unmoved[first]
+    code = (code ^ (code >> np.uint32(15))) * np.uint32(2_654_435_761)
+    return code >> np.uint32(13)
+
+
 @dataclass
 class Ordinal:
     """Weights of the kept buckets, shared by the ordered thresholds."""
@@ -166,16 +191,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def select(
-    bucket: np.ndarray, n: np.ndarray, seen: np.ndarray, positive: float, all_rows: float, most: int = KEPT
-) -> np.ndarray:
-    """Buckets that toxic documents hold significantly more often; the strongest, in order."""
+    bucket: np.ndarray, n: np.ndarray, seen: np.ndarray, positive: float, all_rows: float, tested: tuple[int, int],
+    most: int = KEPT, fill: int = FILL,
+) -> np.ndarray:
+    """Buckets that toxic documents hold more often, those that do so significantly first; in order.
+
+    ``tested`` is how many buckets of runs and of words two documents or more
+    hold: as many as could have been found by chance.
+    """
     gain = _deviance(n, positive, all_rows, seen)
-    p = positive / all_rows
-    perfect = -2 * all_rows * (p * np.log(p) + (1 - p) * np.log(1 - p))
-    least = min(max(GAIN_SHARE * perfect, LEAST_GAIN), ENOUGH_GAIN)
-    more = (seen * (all_rows - positive) > 2 * (n - seen) * positive) & (seen >= LEAST_DOCS) & (gain > least)
-    found = np.flatnonzero(more)
-    return np.sort(bucket[found[np.argsort(-gain[found], kind="stable")[:most]]])
+    more = seen * (all_rows - positive) > 2 * (n - seen) * positive
+    chance = np.array([erfc(sqrt(max(g, 0.0) / 2)) / 2 for g in gain.tolist()])
+    found = []
+    for kind, tests in enumerate(tested):
+        own = np.flatnonzero(more & ((bucket >= BUCKETS) == bool(kind)))
+        own = own[np.argsort(chance[own], kind="stable")]
+        good = np.flatnonzero(chance[own] <= FALSE_SHARE * np.arange(1, len(own) + 1) / max(tests, 1))
+        found.append(own[: good[-1] + 1] if len(good) else own[:0])
+    found = np.concatenate(found)
+    found = found[np.argsort(-gain[found], kind="stable")[:most]]
+    rest = np.setdiff1d(np.flatnonzero(more), found)
+    rest = rest[np.argsort(-gain[rest], kind="stable")[: max(fill - len(found), 0)]]
+    return np.sort(bucket[np.concatenate([found, rest])])
 
 
 def _kept_counts(text: str | None, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +222,7 @@ def _kept_counts(text: str | None, place: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _places(kept: np.ndarray) -> np.ndarray:
-    place = np.full(BUCKETS, -1, np.int32)
+    place = np.full(ALL_BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     return place
 
@@ -214,35 +251,39 @@ def fit_model(
     # Ids and labels of the sample alone, about 2 * per_label rows by the exact counts.
     drawn = marked.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < share * 1_000_000)
     texts = docs.select(col(id).alias("id"), col(text).alias("text"))
-    texts = texts.join(F.broadcast(drawn), F.col("id") == F.col("label_id")).select("id", "bad", "text")
+    texts = texts.join(F.broadcast(drawn), F.col("id") == F.col("label_id"))
+    # One row an id: however many rows share one, the sample stays as large as it was drawn.
+    texts = texts.groupBy("id", "bad").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
     texts = materialize(texts.repartition(SAMPLE_TASKS), "toxicity")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, seen = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
+        n, seen = np.zeros(ALL_BUCKETS + 1, np.int64), np.zeros(ALL_BUCKETS + 1, np.int64)
         for batch in batches:
             for bad, value in zip(batch.column("bad").to_pylist(), batch.column("text"), strict=True):
                 own = np.unique(codes(value.as_py()))
                 n[own] += 1
-                n[BUCKETS] += 1  # documents
+                n[ALL_BUCKETS] += 1  # documents
                 if bad:
                     seen[own] += 1
-                    seen[BUCKETS] += 1
+                    seen[ALL_BUCKETS] += 1
         used = np.flatnonzero(n)
         if len(used):
             yield batch_of(_TALLY, [used, n[used], seen[used]])
 
     tallies = texts.mapInArrow(tally, _TALLY).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
     tallies = materialize(tallies, "toxicity")
-    whole = tallies.where(F.col("bucket") == BUCKETS).first()
+    whole = tallies.where(F.col("bucket") == ALL_BUCKETS).first()
     if whole is None or whole["seen"] in (0, whole["n"]):
         return None
     positive, all_rows = float(whole["seen"]), float(whole["n"])
     # At most one row a bucket; of them only what ``select`` can choose from is drawn.
+    common = tallies.where((F.col("bucket") < ALL_BUCKETS) & (F.col("n") > 1))
+    tests = {r["kind"]: r["count"] for r in common.groupBy((F.col("bucket") >= BUCKETS).alias("kind")).count().collect()}
     rate = F.col("seen") * (all_rows - positive) > 2 * (F.col("n") - F.col("seen")) * positive
-    more = (F.col("seen") >= LEAST_DOCS) & rate
-    found = tallies.where(more & (F.col("bucket") < BUCKETS)).orderBy("bucket").collect()
-    bucket, n, seen = (np.array([r[c] for r in found], np.int64) for c in _TALLY.names)
-    kept = select(bucket, n.astype(float), seen.astype(float), positive, all_rows)
+    found = common.where((F.col("seen") > 1) & rate).orderBy("bucket").toPandas()
+    bucket, n, seen = (found[c].to_numpy(np.int64) for c in _TALLY.names)
+    tested = (tests.get(False, 0), tests.get(True, 0))
+    kept = select(bucket, n.astype(float), seen.astype(float), positive, all_rows, tested)
     if not len(kept):
         warnings.warn(f"{int(positive)} toxic of {int(all_rows)} labelled texts tell no feature", stacklevel=2)
     place = _places(kept)

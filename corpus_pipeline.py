@@ -18,12 +18,17 @@ from acequia.llm.queries import table, tokenizer_file
 from acequia.session import materialize, ship_package
 
 SHINGLE, DISTANCE = 3, 3
+LANGUAGES, LEAST_SCORE = None, language.LEAST_SCORE
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; others go."""
+    """Documents in one of ``LANGUAGES`` (None: any that was learned); a null ``lang`` gets the prediction.
+
+    Texts without a letter go, and predictions less sure than ``LEAST_SCORE``.
+    Without one text of a known language all documents stay, with a warning.
+    """
     ship_package(spark)
-    return language.keep_identified(docs)
+    return language.keep_identified(docs, wanted=LANGUAGES, least_score=LEAST_SCORE)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

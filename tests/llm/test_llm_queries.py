@@ -5,12 +5,14 @@ import os
 import zlib
 
 import brute
+import brute_pii
 import pytest
 from compare import connect
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from acequia.llm import queries
+from acequia.llm import pii, queries, toxicity
 from acequia.llm.oracles import ORACLES
 
 SF_DIR = os.environ.get("ACEQUIA_SF_DIR", "/root/testdata/sf0.001")
@@ -73,6 +75,17 @@ def test_pii_leaves_no_planted_value(result, tables):
     assert gone
 
 
+def test_pii_like_an_independent_finder_and_permutation(spark, result, tables):
+    texts = {d[0]: d[1] for d in tables["documents"]}
+    found = result("op1_pii")
+    seen = 0
+    for r in found:
+        text, n, replaced = brute_pii.pseudonymised(texts[r["doc_id"]], pii.OPEN_KEY)
+        assert (r["text"], r["n_replaced"]) == (text, replaced)
+        seen += n
+    assert seen
+
+
 def test_packing(spark, result, tables):
     from tokenizers import Tokenizer
 
@@ -152,12 +165,37 @@ def test_language(result, tables):
 
 
 def test_toxicity(result, tables):
-    toxic = {d: t for d, _, t in tables["labels"]}
     found = result("op9_toxicity")
     assert len(found) == len(tables["documents"])
     assert all(0 <= r["expected_severity"] <= 2 for r in found)
-    clean = [r["toxic"] for r in found if toxic.get(r["doc_id"]) == 0]
-    assert sum(clean) <= 0.02 * len(clean)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_toxicity_at_every_size(spark, sf):
+    """Labelled toxic documents are found, and clean ones left alone, however many labels there are."""
+    folder = f"{os.path.dirname(SF_DIR)}/{sf}"
+    if not os.path.isdir(folder):
+        pytest.skip("no driver tables of this size")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    found = queries.QUERIES["op9_toxicity"](spark, folder).join(labels.withColumnRenamed("toxic", "label"), "doc_id")
+    sums = {r["label"]: (r["n"], r["bad"]) for r in found.groupBy("label").agg(
+        F.count("*").alias("n"), F.count_if("toxic").alias("bad")).collect()}
+    assert sums[1][1] >= 0.9 * sums[1][0] and sums[0][1] <= 0.02 * sums[0][0]
+
+
+def test_toxicity_of_labels_it_has_not_seen(spark):
+    """Four fifths of the labels of 10,000 documents find nine tenths of the rest."""
+    folder = f"{os.path.dirname(SF_DIR)}/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no driver tables of this size")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    model = toxicity.fit_model(docs, labels.where(~held))
+    found = toxicity.predict(docs.join(labels.where(held), "doc_id"), model, out="t")
+    sums = {r["toxic"]: (r["n"], r["bad"]) for r in found.groupBy("toxic").agg(
+        F.count("*").alias("n"), F.count_if("t.toxic").alias("bad")).collect()}
+    assert sums[1][1] >= 0.9 * sums[1][0] and sums[0][1] <= 0.02 * sums[0][0]
 
 
 def test_suffix_dedup(result, tables):
