@@ -57,7 +57,7 @@ from acequia.llm.common import batch_of, col, utf8
 LENGTH = 50
 GRAM = 20
 PART_BYTES = 8 << 20
-PARTS_A_BUCKET = 4
+PARTS_A_BUCKET = 2
 #: Contexts of one anchor that one part sends, and that one bucket compares.
 KINDS, MANY = 32, 1024
 #: Bytes of strings that are sorted at once.
