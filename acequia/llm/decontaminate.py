@@ -15,14 +15,19 @@ distinct ids; null ids of documents are kept, items with a null id mark words
 but are not listed; an empty benchmark leaves every document clean; further
 columns of either table are ignored or passed through.
 
-The automaton is sent to the tasks in blocks of at most ``block_chars``
-characters of patterns, so what is broadcast has a fixed bound; a larger
-benchmark takes one scan per block, and the hits of the scans are joined.
+The windows are sent to the tasks in blocks of at most ``block_chars``
+characters, compressed, so an automaton has a fixed bound. The tasks of a worker
+share the automaton of a benchmark of one block; with more blocks a task takes
+them in turn over a bounded number of documents, all in one stage.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
+import zlib
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -31,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acequia.llm.common import annotate, free_name, struct_array, utf8
+from acequia.llm.common import free_name, struct_array, utf8
 
 WINDOW = 13
 BLOCK_CHARS = 8_000_000
+#: Documents that a task holds while it takes several blocks in turn.
+CHUNK_BYTES = 64 << 20
 SHARE = (1, 20)
 
 #: Word bytes: digits, letters and everything from 0x80; all others become a blank.
@@ -54,14 +61,6 @@ RESULT = T.StructType(
         T.StructField("contaminated", T.BooleanType()),
     ]
 )
-_HITS = T.StructType(
-    [
-        T.StructField("words", T.ArrayType(T.IntegerType())),
-        T.StructField("items", T.ArrayType(T.StringType())),
-    ]
-)
-
-
 def normalise(text: bytes) -> bytes:
     """Lower-cased words between single blanks, with a blank at either end."""
     return b" " + b" ".join(text.translate(_TABLE).split()) + b" "
@@ -92,60 +91,63 @@ def windows(benchmark: DataFrame, item: str, text: str, size: int) -> DataFrame:
     )
 
 
-def _blocks(found: DataFrame, limit: int) -> list[list[tuple[str, tuple[str, ...]]]]:
-    """Windows in blocks of at most ``limit`` characters each, drawn as a stream.
+def _blocks(found: DataFrame, limit: int) -> Iterator[list[tuple[str, tuple[str, ...]]]]:
+    """Windows in blocks of at most ``limit`` characters each, one after another.
 
-    The driver holds the benchmark's windows, never documents; ``toLocalIterator``
-    brings them one partition at a time.
+    ``toLocalIterator`` brings them one partition at a time; the driver holds one
+    block of the benchmark's windows, never documents.
     """
-    blocks, size = [[]], 0
+    block, size = [], 0
     for row in found.toLocalIterator():
-        if blocks[-1] and size + len(row["words"]) > limit:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["words"], tuple(row["items"])))
+        if block and size + len(row["words"]) > limit:
+            yield block
+            block, size = [], 0
+        block.append((row["words"], tuple(row["items"])))
         size += len(row["words"])
-    return blocks
+    if block:
+        yield block
 
 
-def _automaton(block) -> ahocorasick.Automaton:
+def _automaton(packed: bytes) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for words, items in block:
+    for words, items in pickle.loads(zlib.decompress(packed)):
         key = " " + words.encode().decode("latin-1") + " "  # one character a byte
         found.add_word(key, (words.count(" ") + 1, items))
-    if block:
-        found.make_automaton()
+    found.make_automaton()
     return found
 
 
-def _scan(docs: DataFrame, text: str, name: str, shared) -> DataFrame:
-    """``docs`` with the hit words and items of one block of windows."""
+#: The automaton that this worker made last, by its block's name: tasks of a worker share one of a small benchmark.
+_KEPT: dict[str, ahocorasick.Automaton] = {}
+
 
-    def make():
-        automaton = _automaton(shared.value)
-        position = docs_columns.index(text)
+def _kept(name: str, packed: bytes) -> ahocorasick.Automaton:
+    if name not in _KEPT:
+        _KEPT.clear()  # before the next one is made: two never live at once
+        _KEPT[name] = _automaton(packed)
+    return _KEPT[name]
 
-        def compute(batch: pa.RecordBatch) -> pa.Array:
-            words, items = [], []
-            for raw in utf8(batch.column(position)):
-                hit, seen = set(), set()
-                if raw and len(automaton):
-                    norm = normalise(raw)
-                    matches = list(automaton.iter(norm.decode("latin-1")))
-                    if matches:
-                        blanks = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
-                        ends = np.searchsorted(blanks, [m[0] for m in matches]).tolist()
-                        for end, (_, (n, ids)) in zip(ends, matches, strict=True):
-                            hit.update(range(end - n, end))
-                            seen.update(ids)
-                words.append(sorted(hit))
-                items.append(sorted(seen))
-            return struct_array(_HITS, [words, items])
 
-        return compute
+def _hits(norm: bytes, automaton: ahocorasick.Automaton, hit: set[int], seen: set[str]) -> None:
+    """Adds the hit words of a normalised text and the items that hold them."""
+    matches = list(automaton.iter(norm.decode("latin-1")))
+    if matches:
+        blanks = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
+        ends = np.searchsorted(blanks, [m[0] for m in matches]).tolist()
+        for end, (_, (n, ids)) in zip(ends, matches, strict=True):
+            hit.update(range(end - n, end))
+            seen.update(ids)
 
-    docs_columns = docs.columns
-    return annotate(docs, name, _HITS, make)
+
+def _judged(raw: bytes, hit: set[int], seen: set[str]) -> tuple:
+    words, items = sorted(hit), sorted(seen)
+    if words:
+        first, end = word_spans(raw)
+        n, spans = len(first), joined(words, first, end)
+    else:
+        n, spans = len(raw.translate(_TABLE).split()), []
+    bad = bool(words) and SHARE[1] * len(words) >= SHARE[0] * n
+    return n, len(words), len(items), items, spans, bad
 
 
 def find_contamination(
@@ -162,39 +164,48 @@ def find_contamination(
     """``docs`` with a struct ``out``: words, hit words, items, byte spans, verdict.
 
     ``spans`` are [first byte, end) of the hit words in the original UTF-8 text,
-    neighbouring words joined.
+    neighbouring words joined. However many blocks the benchmark has, documents
+    pass one Python stage: a task holds ``CHUNK_BYTES`` of them and takes the
+    blocks in turn, so one automaton is in memory at a time.
     """
-    blocks = _blocks(windows(benchmark, item, item_text, window), block_chars)
-    names, marked = [], docs
-    for block in blocks:
-        names.append(free_name(marked, "hits"))
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        marked = _scan(marked, text, names[-1], shared)
-
-    columns = marked.columns
-
-    def make():
-        at, hits_at = columns.index(text), [columns.index(n) for n in names]
-
-        def compute(batch: pa.RecordBatch) -> pa.Array:
-            hits = [batch.column(i).to_pylist() for i in hits_at]
-            rows = []
-            for i, raw in enumerate(utf8(batch.column(at))):
-                words = sorted({w for h in hits for w in h[i]["words"]})
-                items = sorted({x for h in hits for x in h[i]["items"]})
-                if words:
-                    first, end = word_spans(raw)
-                    n, spans = len(first), joined(words, first, end)
-                else:
-                    n, spans = len(raw.translate(_TABLE).split()), []
-                bad = bool(words) and SHARE[1] * len(words) >= SHARE[0] * n
-                rows.append((n, len(words), len(items), items, spans, bad))
-            return struct_array(RESULT, list(zip(*rows, strict=True)))
-
-        return compute
-
-    result = annotate(marked, free_name(marked, out), RESULT, make)
-    return result.drop(*names).withColumnRenamed(result.columns[-1], free_name(docs, out))
+    context, run_name = docs.sparkSession.sparkContext, uuid.uuid4().hex
+    shared = [
+        context.broadcast(zlib.compress(pickle.dumps(block)))
+        for block in _blocks(windows(benchmark, item, item_text, window), block_chars)
+    ]
+    name = free_name(docs, out)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, RESULT)])
+    position = docs.columns.index(text)
+
+    def judge(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [list(utf8(batch.column(position))) for batch in held]
+        found = [[(set(), set()) for _ in own] for own in texts]
+        norms = [[normalise(raw) for raw in own] for own in texts] if shared else []
+        for number, block in enumerate(shared):
+            automaton = _kept(f"{run_name}-{number}", block.value)
+            for own, marks in zip(norms, found, strict=True):
+                for norm, (hit, seen) in zip(own, marks, strict=True):
+                    if len(norm) > 2:
+                        _hits(norm, automaton, hit, seen)
+        for batch, own, marks in zip(held, texts, found, strict=True):
+            rows = [_judged(raw, *mark) for raw, mark in zip(own, marks, strict=True)]
+            result = struct_array(RESULT, list(zip(*rows, strict=True)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, result], names=[*batch.schema.names, name])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            # With one block nothing is gained by waiting.
+            if held and (size >= CHUNK_BYTES or len(shared) < 2):
+                yield from judge(held)
+                held, size = [], 0
+        if held:
+            yield from judge(held)
+
+    return docs.mapInArrow(run, schema)
 
 
 def joined(words: list[int], first: np.ndarray, end: np.ndarray) -> list[list[int]]:

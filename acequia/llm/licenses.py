@@ -14,7 +14,11 @@ out no lines.
 
 Every cue line and every run is compared by itself, so prose beside a notice
 does not hide it. A header takes the template of the largest cosine, a file
-that of its best header. A file is a licence file if it is named like one, or if a header makes
+that of its best header. Where another licence comes within ``MARGIN`` of the
+best, the file is ambiguous: it gets no licence, and ``candidates`` names those
+that fit. A line ``SPDX-License-Identifier:`` is exact: the identifier, or the
+expression of identifiers, on a file's first such line is its licence, score 1.
+A file is a licence file if it is named like one, or if a header makes
 up ``file_share`` of its words; its licence holds for its directory. A file
 without a header of its own inherits from the nearest directory above it.
 
@@ -48,46 +52,180 @@ RARE = 0.05
 SALTS = 32
 FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
 
-# Short notices by which works refer to a licence, and the
-# opening sentences of licence texts.
+# Short notices by which works refer to a licence, headings and
+# opening sentences of licence texts, and the whole of short ones.
+_GNU = (
+    "This {work} is free software{stop} you can redistribute it and/or modify it under the terms of the GNU {kind} "
+    "as published by the Free Software Foundation{stop} either version {version} of the License, or (at your option) "
+    "any later version."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+    "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+    "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution. {third}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND "
+    'CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+    "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+    "CONSEQUENTIAL DAMAGES"
+)
+_ENDORSE = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. "
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted{kept}. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS "
+    "SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
+)
+_ISC_KEPT = ", provided that the above copyright notice and this permission notice appear in all copies"
+_GPL, _LESSER, _LIBRARY, _AFFERO = (f"{kind}General Public License" for kind in ("", "Lesser ", "Library ", "Affero "))
+
+
+def _gnu(kind: str, version: str, heading: str, work: str = "program", stop: str = ":") -> tuple[str, ...]:
+    return (
+        f"This work is licensed under the GNU {kind}, version {version}.",
+        f"Licensed under the GNU {kind} v{version}",
+        f"GNU {kind.upper()} Version {version}, {heading}",
+        f"GNU {kind.upper()} Version {version}, {heading} Copyright (C) Free Software Foundation, Inc. Everyone is "
+        "permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+        _GNU.format(work=work, kind=kind, version=version, stop=stop),
+    )
+
+
+def _commons(code: str, name: str) -> tuple[str, ...]:
+    return (f"Licensed under CC {code} 4.0.", f"Creative Commons {name} 4.0 International License",
+            f"This work is licensed under a Creative Commons {name} 4.0 International License.")
+
+
+def _named(*names: str) -> tuple[str, ...]:
+    """Notices that give a licence's name."""
+    return tuple(
+        form.format(name) for name in names for form in ("Released under the {}.", "Licensed under the {}.", "{}")
+    )
+
+
 TEMPLATES = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
         "compliance with the License. You may obtain a copy of the License at "
         "http://www.apache.org/licenses/LICENSE-2.0",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, "
+        "REPRODUCTION, AND DISTRIBUTION",
     ),
     "MIT": (
         "Released under the MIT License.",
+        "The MIT License (MIT)",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
         'associated documentation files (the "Software"), to deal in the Software without restriction',
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+        'associated documentation files (the "Software"), to deal in the Software without restriction, including '
+        "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+        "following conditions: The above copyright notice and this permission notice shall be included in all copies "
+        'or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND',
     ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-        "General Public License as published by the Free Software Foundation, either version 3 of the License, "
-        "or (at your option) any later version.",
-    ),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
-    "BSD-3-Clause": (
-        "Released under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-        "that the following conditions are met",
+    "GPL-2.0": _gnu(_GPL, "2", "June 1991", stop=";"),
+    "GPL-3.0": _gnu(_GPL, "3", "29 June 2007"),
+    "LGPL-2.0": _gnu(_LIBRARY, "2", "June 1991", "library", ";"),
+    "LGPL-2.1": _gnu(_LESSER, "2.1", "February 1999", "library", ";"),
+    "LGPL-3.0": _gnu(_LESSER, "3", "29 June 2007", "library"),
+    "AGPL-3.0": _gnu(_AFFERO, "3", "19 November 2007"),
+    "BSD-2-Clause": (*_named("BSD 2-Clause License", "Simplified BSD License"), _BSD.format(third="")),
+    "BSD-3-Clause": (*_named("BSD 3-Clause License", "New BSD License"), _BSD.format(third=_ENDORSE)),
+    "ISC": (*_named("ISC License"), _ISC.format(kept=_ISC_KEPT)),
+    "0BSD": (*_named("BSD Zero Clause License"), _ISC.format(kept="")),
+    "MPL-1.1": (
+        *_named("Mozilla Public License Version 1.1"),
+        'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may '
+        "not use this file except in compliance with the License.",
     ),
     "MPL-2.0": (
+        *_named("Mozilla Public License Version 2.0"),
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+        "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    "EPL-1.0": (
+        *_named("Eclipse Public License - v 1.0"),
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the "
+        "Eclipse Public License v1.0 which accompanies this distribution, and is available at "
+        "http://www.eclipse.org/legal/epl-v10.html",
+    ),
+    "EPL-2.0": (
+        *_named("Eclipse Public License - v 2.0"),
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+        "License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     ),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International License"),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "Creative Commons Attribution-ShareAlike 4.0 International License"),
-    "CC-BY-NC-4.0": (
-        "Licensed under CC BY-NC 4.0.",
-        "Creative Commons Attribution-NonCommercial 4.0 International License",
+    "EUPL-1.2": (
+        *_named("European Union Public Licence v. 1.2"),
+        "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - "
+        'subsequent versions of the EUPL (the "Licence"); You may not use this work except in compliance with the '
+        "Licence.",
+    ),
+    "EUPL-1.1": (
+        *_named("European Union Public Licence v. 1.1"),
+        'Licensed under the EUPL, Version 1.1 only (the "Licence"); You may not use this work except in compliance '
+        "with the Licence.",
+    ),
+    "CDDL-1.0": (
+        *_named("Common Development and Distribution License (CDDL) Version 1.0"),
+        "The contents of this file are subject to the terms of the Common Development and Distribution License "
+        '(the "License"). You may not use this file except in compliance with the License.',
+    ),
+    "BSL-1.0": (
+        *_named("Boost Software License, Version 1.0"),
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy "
+        "at http://www.boost.org/LICENSE_1_0.txt)",
+        "Boost Software License - Version 1.0 - August 17th, 2003",
+    ),
+    "Zlib": (
+        *_named("zlib License"),
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors "
+        "be held liable for any damages arising from the use of this software. Permission is granted to anyone to "
+        "use this software for any purpose, including commercial applications, and to alter it and redistribute it "
+        "freely, subject to the following restrictions",
+    ),
+    "Artistic-2.0": (*_named("Artistic License 2.0"), "The Artistic License 2.0 Copyright (c) 2000-2006, The Perl Foundation."),
+    "PSF-2.0": (*_named("Python Software Foundation License Version 2"),),
+    "PostgreSQL": (
+        *_named("PostgreSQL License"),
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, "
+        "without fee, and without a written agreement is hereby granted, provided that the above copyright notice "
+        "and this paragraph and the following two paragraphs appear in all copies.",
+    ),
+    "MS-PL": _named("Microsoft Public License (Ms-PL)"),
+    "OFL-1.1": (
+        *_named("SIL Open Font License 1.1"),
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    ),
+    "AFL-3.0": (*_named("Academic Free License v. 3.0"), "Licensed under the Academic Free License version 3.0"),
+    "OSL-3.0": (*_named("Open Software License v. 3.0"), "Licensed under the Open Software License version 3.0"),
+    "NCSA": _named("University of Illinois/NCSA Open Source License"),
+    "WTFPL": (
+        *_named("Do What The Fuck You Want To Public License"),
+        "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004",
+    ),
+    "CC-BY-4.0": _commons("BY", "Attribution"),
+    "CC-BY-SA-4.0": _commons("BY-SA", "Attribution-ShareAlike"),
+    "CC-BY-ND-4.0": _commons("BY-ND", "Attribution-NoDerivatives"),
+    "CC-BY-NC-4.0": _commons("BY-NC", "Attribution-NonCommercial"),
+    "CC-BY-NC-SA-4.0": _commons("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-NC-ND-4.0": _commons("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    "CC0-1.0": ("CC0 1.0 Universal Public Domain Dedication", "Creative Commons CC0 1.0 Universal"),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software",
     ),
-    "CC0-1.0": ("CC0 1.0 Universal Public Domain Dedication",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+#: A line that names its licence outright; what follows is an identifier or an expression of some.
+SPDX = r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+(?:\s+(?:OR|AND|WITH)\s+[A-Za-z0-9.+-]+)*)"
+#: Two licences whose cosines differ by less are not told apart.
+MARGIN = 0.005
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -155,7 +293,9 @@ def candidates(files: DataFrame, path: str, text: str, cues: set[str]) -> DataFr
         col(path).alias("path"), F.xxhash64(col(text)).alias("hash"), held.alias("lines"), col(text).alias("text")
     )
     total = F.when(F.size("lines") > 0, F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+"))).otherwise(0)
-    return rows.select("path", "hash", total.cast("long").alias("n_words"), "lines")
+    named = F.when(F.contains("text", F.lit("SPDX-License-Identifier:")), F.regexp_extract("text", SPDX, 1))
+    spdx = F.when(named != "", F.regexp_replace(named, r"\s+", " "))
+    return rows.select("path", "hash", total.cast("long").alias("n_words"), "lines", spdx.alias("spdx"))
 
 
 def _headers(found: DataFrame) -> DataFrame:
@@ -176,7 +316,7 @@ def _headers(found: DataFrame) -> DataFrame:
 
 
 def score_headers(found: DataFrame, known: Vocabulary, least: float = LEAST) -> DataFrame:
-    """The best header of each file that has one: licence, cosine, share of the file's words."""
+    """The best header of each file that has one: licence, cosine, share of the file's words, licences that fit."""
     spark = found.sparkSession
     weights = spark.createDataFrame(list(known.idf.items()), "word string, idf double")
     vectors = spark.createDataFrame(known.vectors, "template int, license string, word string, weight double")
@@ -206,8 +346,17 @@ def score_headers(found: DataFrame, known: Vocabulary, least: float = LEAST) ->
     rank = F.struct(
         (-F.round("score", 9)).alias("down"), F.col("license"), F.col("first"), F.col("score"), F.col("share")
     )
-    best = cosines.where(F.col("score") >= least).groupBy("path", "hash").agg(F.min(rank).alias("b"))
-    return best.select("path", "hash", "b.license", "b.score", "b.share")
+    # The best header of each licence, then of the file: a file has few licences.
+    single = cosines.where(F.col("score") >= least).groupBy("path", "hash", "license").agg(F.min(rank).alias("b"))
+    best = single.groupBy("path", "hash").agg(
+        F.min("b").alias("b"), F.collect_list(F.struct("license", "b.score")).alias("all")
+    )
+    near = F.filter("all", lambda x: x["score"] >= F.col("b.score") - MARGIN)
+    fit = F.array_sort(F.transform(near, lambda x: x["license"]))
+    return best.select(
+        "path", "hash", F.when(F.size(fit) == 1, F.col("b.license")).alias("license"), "b.score", "b.share",
+        fit.alias("candidates"),
+    )
 
 
 def _directory(path: Column) -> Column:
@@ -233,20 +382,34 @@ def scan(
     file_share: float = FILE_SHARE,
     templates: dict[str, tuple[str, ...]] = TEMPLATES,
 ) -> DataFrame:
-    """One row per row of ``files``: path, text hash, licence, cosine, evidence.
+    """One row per row of ``files``: path, text hash, licence, cosine, evidence, candidates.
 
-    Evidence is ``file`` for a licence file, ``header``, ``inherited`` or null.
+    Evidence is ``file`` for a licence file, ``spdx``, ``header``, ``ambiguous``
+    (no licence, but ``candidates``), ``inherited`` or null.
     """
     known = vocabulary(files, text, templates, least)
     found = materialize(candidates(files, path, text, known.cues), "licences")
     own = score_headers(found, known, least)
     named = F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILE_NAME)
     is_file = named | (F.col("share") >= file_share)
-    own = materialize(own.withColumn("is_file", F.coalesce(is_file, F.lit(False))), "licences")
+    own = own.withColumn("is_file", F.coalesce(is_file, F.lit(False)))
+    # What a file says outright goes before what its headers resemble.
+    said = found.where("spdx is not null").select(
+        "path", "hash", F.col("spdx").alias("license"), F.lit(1.0).alias("score"), F.array("spdx").alias("candidates"),
+        F.lit(False).alias("is_file"), F.lit(True).alias("by_spdx"),
+    )
+    told = own.drop("share").withColumn("by_spdx", F.lit(False)).unionByName(said)
+    own = told.groupBy("path", "hash").agg(
+        F.max_by(F.struct("license", "score", "candidates"), "by_spdx").alias("best"),
+        F.max("is_file").alias("is_file"),
+        F.max("by_spdx").alias("by_spdx"),
+    )
+    own = own.select("path", "hash", "best.*", "is_file", "by_spdx")
+    own = materialize(own, "licences")
 
     first = F.min(F.struct((-F.round("score", 9)).alias("down"), "license", "path", "score"))
     held = (
-        own.where("is_file and path is not null")
+        own.where("is_file and path is not null and license is not null")
         .groupBy(_clean(_directory(F.col("path"))).alias("at"))
         .agg(first.alias("f"))
         .select("at", F.col("f.license").alias("license"))
@@ -266,18 +429,21 @@ def scan(
     salted = inherited.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.join(salted, ["directory", "salt"], "left")
     mine = own.select(
-        F.col("path").alias("own_path"), F.col("hash").alias("own_hash"), "license", "score", "is_file"
+        F.col("path").alias("own_path"), F.col("hash").alias("own_hash"), "license", "score", "is_file", "candidates", "by_spdx"
     )
     joined = rows.join(
         mine, F.col("path").eqNullSafe(F.col("own_path")) & (F.col("hash") == F.col("own_hash")), "left"
     )
     evidence = (
-        F.when(F.col("is_file"), F.lit("file"))
+        F.when(F.col("license").isNull() & (F.size("candidates") > 1), F.lit("ambiguous"))
+        .when(F.col("is_file"), F.lit("file"))
+        .when(F.col("by_spdx"), F.lit("spdx"))
         .when(F.col("license").isNotNull(), F.lit("header"))
         .when(F.col("from_above").isNotNull(), F.lit("inherited"))
     )
+    inherited_one = F.when(F.size("candidates") > 1, F.col("license")).otherwise(F.coalesce("license", "from_above"))
     return joined.select(
-        "path", "hash", F.coalesce("license", "from_above").alias("license"), "score", evidence.alias("evidence")
+        "path", "hash", inherited_one.alias("license"), "score", evidence.alias("evidence"), "candidates"
     )
 
 

@@ -99,6 +99,7 @@ def op6_licenses(spark, sf_dir):
         "license",
         F.round("score", 9).alias("score"),
         "evidence",
+        F.array_join("candidates", " | ").alias("candidates"),
     )
 
 

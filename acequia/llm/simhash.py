@@ -7,8 +7,10 @@ Distinct fingerprints, not documents, are then linked: 64 bits are cut into
 differ by at most one bit in some segment. Every fingerprint looks up its own
 segment value and those one bit away in a table of segment values, and the
 full distance of each match is verified. A one-bit ball is enumerated upwards
-only (a zero bit set to one), so that a pair is met from one side. With two
-segments of 32 bits a table entry stays selective for billions of
+only (a zero bit set to one), so that a pair is met from one side. Before that,
+values that share a segment are linked to the least of them, where that is near,
+and pairs already joined by such stars are left out, so that a family of many
+near copies does not write all its pairs. With two segments of 32 bits a table entry stays selective for billions of
 fingerprints, which whole-segment equality on 16 bits would not.
 
 Defined cases: null or empty texts and texts without words have fingerprint 0
@@ -97,29 +99,82 @@ def _ball(key: Column, segment: int, width: int) -> Column:
     return F.concat(F.array(entry(key, False)), up)
 
 
-def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def _edges(distance: int) -> list[tuple[int, int, int]]:
+    """(segment, lowest bit, width) of each segment."""
+    count = distance // 2 + 1
+    cuts = [BITS * i // count for i in range(count + 1)]
+    return [(n, low, high - low) for n, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False))]
+
+
+def _near(a: Column, b: Column, distance: int) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= distance
+
+
+def star_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b): each value of ``fp`` and the least one that shares a segment with it, if they are near.
+
+    At most one link for each segment of a value, however many share it.
+    """
+    segments = [
+        F.struct(F.lit(n).alias("segment"), _segment(F.col("fp"), low, width).alias("key"))
+        for n, low, width in _edges(distance)
+    ]
+    table = prints.select("fp", F.inline(F.array(*segments)))
+    least = table.groupBy("segment", "key").agg(F.min("fp").alias("least"))
+    near = (F.col("fp") != F.col("least")) & _near(F.col("fp"), F.col("least"), distance)
+    return table.join(least, ["segment", "key"]).where(near).select(
+        F.col("fp").alias("a"), F.col("least").alias("b")
+    )
+
+
+def links(prints: DataFrame, distance: int = DISTANCE, group: str | None = None) -> DataFrame:
     """(a, b) for all pairs of distinct values of ``fp`` at most ``distance`` bits apart.
 
-    A pair near in several segments may come more than once.
+    A pair near in several segments may come more than once. With ``group``, a
+    column of ``prints``, pairs of one group are left out and the others come as
+    their groups, each pair of groups once.
     """
     if distance < 1:
         return prints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where(F.lit(False))
-    count = distance // 2 + 1
-    edges = [BITS * i // count for i in range(count + 1)]
     keys, balls = [], []
-    for segment, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
-        key = _segment(F.col("fp"), low, high - low)
+    for segment, low, width in _edges(distance):
+        key = _segment(F.col("fp"), low, width)
         keys.append(F.struct(F.lit(segment).alias("segment"), key.alias("key")))
-        balls.append(_ball(key, segment, high - low))
-    table = prints.select(F.col("fp").alias("b"), F.explode(F.array(*keys)).alias("t"))
-    probes = prints.select(F.col("fp").alias("a"), F.explode(F.concat(*balls)).alias("p"))
+        balls.append(_ball(key, segment, width))
+    own = F.col(group or "fp")
+    table = prints.select(F.col("fp").alias("b"), own.alias("group_b"), F.explode(F.array(*keys)).alias("t"))
+    probes = prints.select(F.col("fp").alias("a"), own.alias("group_a"), F.explode(F.concat(*balls)).alias("p"))
     near = (
         (F.col("p.segment") == F.col("t.segment"))
         & (F.col("p.key") == F.col("t.key"))
-        & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+        & _near(F.col("a"), F.col("b"), distance)
         & (F.col("p.flipped") | (F.col("a") < F.col("b")))
     )
-    return probes.join(table, near).select("a", "b")
+    if group is None:
+        return probes.join(table, near).select("a", "b")
+    found = probes.join(table, near & (F.col("group_a") != F.col("group_b")))
+    pair = (F.greatest("group_a", "group_b").alias("a"), F.least("group_a", "group_b").alias("b"))
+    return found.select(*pair).distinct()
+
+
+def fingerprint_roots(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, root) of distinct fingerprints; root is the least one that links lead to.
+
+    A family of very many near copies is one star, or a few, before pairs are
+    looked for, and pairs within a star are not written: what comes out of the
+    join are links between stars.
+    """
+    if distance < 1:
+        return prints.select("fp", F.col("fp").alias("root"))
+    stars = connected_components(star_links(prints, distance))
+    placed = prints.join(stars, prints["fp"] == stars["node"], "left").select(
+        "fp", F.coalesce("root", "fp").alias("star")
+    )
+    placed = materialize(placed, "stars")
+    merged = connected_components(links(placed, distance, "star"))
+    return placed.join(merged, placed["star"] == merged["node"], "left").select(
+        "fp", F.coalesce("root", "star").alias("root")
+    )
 
 
 def near_duplicates(
@@ -140,11 +195,8 @@ def near_duplicates(
     prints = materialize(
         prints.select("id", "fp", F.xxhash64("text").alias("text_hash")), "fingerprints"
     )
-    first = prints.groupBy("fp").agg(F.min("id").alias("low"))
-    roots = connected_components(links(first.select("fp"), distance))
-    placed = first.join(roots, first["fp"] == roots["node"], "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
+    first = materialize(prints.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
+    placed = first.join(fingerprint_roots(first.select("fp"), distance), "fp")
     least = placed.groupBy("root").agg(F.min("low").alias("component"))
     named = placed.join(least, "root").select("fp", "root", "component")
     return prints.join(named, "fp").select("id", "fp", "text_hash", "root", "component")

@@ -350,9 +350,60 @@ def test_one_conversation_with_all_rows(spark):
     assert got(chat.conversation_digests(chunks), *names) == [(7, *brute.conversation([r[2:] for r in rows]))]
 
 
+# --- families of near copies --------------------------------------------------
+
+
+def test_a_family_of_near_copies_writes_no_pairs(spark):
+    """Hundreds of fingerprints around one: a link or two for each, not all their pairs."""
+    rng = random.Random(11)
+    prints = {0x0123456789ABCDEF}
+    while len(prints) < 400:
+        value = 0x0123456789ABCDEF
+        for bit in rng.sample(range(64), rng.randint(1, 2)):
+            value ^= 1 << bit
+        prints.add(value)
+    prints |= {rng.getrandbits(64) for _ in range(200)}
+    chain = [0]
+    for _ in range(12):  # each three bits from the one before
+        chain.append(chain[-1] ^ sum(1 << b for b in rng.sample(range(64), 3)))
+    values = sorted(prints | set(chain))
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    frame = spark.createDataFrame([(v,) for v in signed], "fp long").repartition(4)
+    pairs = sum((a ^ b).bit_count() <= 3 for a, b in itertools.combinations(values, 2))
+    stars = simhash.star_links(frame)
+    assert stars.count() <= 2 * len(values)
+    placed = simhash.fingerprint_roots(frame)
+    groups = {}
+    for value, g in zip(signed, brute.groups(values), strict=True):
+        groups.setdefault(g, []).append(value)
+    want_roots = {v: min(own) for own in groups.values() for v in own}
+    assert {r["fp"]: r["root"] for r in placed.collect()} == want_roots
+    assert pairs > 5_000  # what would be written without stars
+    joined = components.connected_components(stars)
+    held = frame.join(joined, frame["fp"] == joined["node"], "left").select("fp", F.coalesce("root", "fp").alias("star"))
+    assert simhash.links(held, 3, "star").count() < 2 * len(values)
+
+
 # --- decontamination --------------------------------------------------------
 
 
+def test_decontamination_in_many_blocks_is_one_stage(spark, docs, monkeypatch):
+    """However many blocks the benchmark makes, one Python stage takes them in turn, one automaton at a time."""
+    bench = spark.createDataFrame([(f"i{k}", prose(40)) for k in range(60)] + [("p", PASSAGE)], "item_id string, text string")
+    whole = decontaminate.find_contamination(docs, bench)
+    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 100_000)
+    blocks = list(decontaminate._blocks(decontaminate.windows(bench, "item_id", "text", 13), 2_000))
+    assert len(blocks) > 40 and all(sum(len(w) for w, _ in b) <= 2_000 for b in blocks)
+    parts = decontaminate.find_contamination(docs, bench, block_chars=2_000)
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items", "spans", "contaminated")
+    flat = lambda df: df.select("doc_id", *[f"contamination.{n}" for n in names[1:]])
+    assert got(flat(parts.drop("contamination").withColumnRenamed("_contamination", "contamination")), *names) == got(
+        flat(whole.drop("contamination").withColumnRenamed("_contamination", "contamination")), *names
+    )
+
+
 @pytest.mark.parametrize("block_chars", [decontaminate.BLOCK_CHARS, 400])
 def test_decontamination_edges(spark, docs, empty, block_chars):
     items = [(1, PASSAGE), (2, None), (3, ""), (4, "x"), (1, PASSAGE), (5, PASSAGE.upper()), (6, ". , !")]
@@ -468,6 +519,106 @@ def test_license_scan(spark, empty):
     assert licenses.scan(frame.limit(0)).count() == 0
 
 
+#: Headings and notices as files have them, in lines.
+NOTICES = {
+    "LGPL-2.1": """/* This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version. */""",
+    "LGPL-3.0": "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007",
+    "GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991",
+    "GPL-3.0": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.""",
+    "AGPL-3.0": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU Affero General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.""",
+    "Apache-2.0": """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/""",
+    "MIT": "The MIT License (MIT)\n\nCopyright (c) 2020 Somebody",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "EPL-2.0": """ * This program and the accompanying materials are made available under the
+ * terms of the Eclipse Public License 2.0 which is available at
+ * https://www.eclipse.org/legal/epl-2.0/""",
+    "EPL-1.0": "Eclipse Public License - v 1.0",
+    "EUPL-1.2": "                      EUROPEAN UNION PUBLIC LICENCE v. 1.2",
+    "MPL-2.0": "Mozilla Public License Version 2.0\n==================================",
+    "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.""",
+    "CDDL-1.0": "COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0",
+    "Artistic-2.0": "           The Artistic License 2.0\n\n    Copyright (c) 2000-2006, The Perl Foundation.",
+    "PostgreSQL": "Released under the PostgreSQL License.",
+    "OFL-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "WTFPL": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\n Version 2, December 2004",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "CC0-1.0": "Creative Commons CC0 1.0 Universal",
+    "CC-BY-NC-SA-4.0": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "MS-PL": "Microsoft Public License (Ms-PL)",
+    "AFL-3.0": "Licensed under the Academic Free License version 3.0",
+    "NCSA": "University of Illinois/NCSA Open Source License",
+}
+
+
+def test_notices_and_headings_of_many_licences(spark):
+    rows = [(f"{n}/x.c", f"{prose(60)}\n\n{text}\n\n{prose(90)}", n) for n, text in NOTICES.items()]
+    rows += [(f"plain{i}/x.c", prose(80), None) for i in range(40)]
+    rows += [
+        ("s1/x.c", f"// SPDX-License-Identifier: MIT\n{prose(30)}", "MIT"),
+        ("s2/x.c", f"{prose(9)}\n# SPDX-License-Identifier:  GPL-2.0-only  OR BSD-3-Clause\n", "GPL-2.0-only OR BSD-3-Clause"),
+        ("s3/x.c", f"# SPDX-License-Identifier: ISC\n# Released under the MIT License.\n{prose(30)}", "ISC"),
+    ]
+    found = {r["path"]: r for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "path string, text string")).collect()}
+    assert len(found) == len(rows)
+    assert {p: found[p]["license"] for p, _, _ in rows} == {p: n for p, _, n in rows}
+    assert all(found[f"s{i}/x.c"]["evidence"] == "spdx" and found[f"s{i}/x.c"]["score"] == 1 for i in (1, 2, 3))
+    assert len(licenses.TEMPLATES) >= 25
+
+
+def test_ambiguous_notices_are_reported_and_not_guessed(spark):
+    """The two BSD licences begin alike; a notice that stops there fits both."""
+    start = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    twice = {"One": (f"{start}.",), "Two": (f"{start}",), "MIT": licenses.TEMPLATES["MIT"]}
+    files = [("a/x", f"{start}\n{prose(50)}"), ("a/y", prose(40)), ("b/LICENSE", start), ("b/z", prose(9))]
+    found = {
+        r["path"]: (r["license"], r["evidence"], r["candidates"])
+        for r in licenses.scan(spark.createDataFrame(files, "path string, text string"), templates=twice).collect()
+    }
+    assert found["a/x"] == found["b/LICENSE"] == (None, "ambiguous", ["One", "Two"])
+    assert found["a/y"] == found["b/z"] == (None, None, None)
+
+
 def test_reworded_headers_at_several_corpus_sizes(spark):
     mit, gpl = "This project is released under the MIT License.", "This file is licensed under the GNU General Public License, version 3."
     scores = []
