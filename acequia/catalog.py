@@ -405,7 +405,8 @@ def irrigation_totals(spark, sf_dir):
 def _whole_pack(spark, sf_dir, **settings) -> tuple[DataFrame, TrainConfig]:
     """Training pack over every day (no test part)."""
     config = TrainConfig(test_size=0, **settings)
-    return training_pack(climate(spark, sf_dir), config), config
+    # Written first: what follows counts it and reads it again.
+    return materialize(training_pack(climate(spark, sf_dir), config), "pack"), config
 
 
 def var_gram(spark, sf_dir):
@@ -641,7 +642,7 @@ def _fit(family, **settings):
 
 def var_lag_selection(spark, sf_dir):
     pack, config = _whole_pack(spark, sf_dir)
-    table_ = var.lag_selection(var.fit_orders(materialize(pack, "pack"), config))
+    table_ = var.lag_selection(var.fit_orders(pack, config))
     return table_.select(KEY, "p", *[r(c, 4).alias(c) for c in ("aic", "bic", "hqic", "fpe")], "chosen")
 
 
@@ -654,7 +655,6 @@ def var_normal_equations(spark, sf_dir):
     """
     lags, columns = 2, list(VARIABLES)
     pack, config = _whole_pack(spark, sf_dir)
-    pack = materialize(pack, "pack")
     fitted = var.solve(pack, columns, lags, None)
     rows = gap_free(spark, sf_dir)
     scaled = scaling.apply_scales(rows, pack.select(KEY, "scales"))
@@ -879,7 +879,7 @@ def sarima_start_values(spark, sf_dir):
 def var_nested_selection(spark, sf_dir):
     """Orders 0 to 3 of two variables together, from one factorisation."""
     pack, config = _whole_pack(spark, sf_dir, variables=("temp_c", "rh"), maxlags=3)
-    rows = var.lag_selection(var.fit_orders(materialize(pack, "pack"), config))
+    rows = var.lag_selection(var.fit_orders(pack, config))
     return rows.select(
         KEY,
         F.col("p").cast("bigint").alias("p"),

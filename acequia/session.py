@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Paths that ``scratch_path`` gave out.
+_SCRATCH: list[str] = []
 
 
 def build_session(app: str = "acequia", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,8 +42,36 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; never reused, so reruns cannot collide."""
-    return f"{shared_folder(spark)}/acequia/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; never reused, so reruns cannot collide.
+
+    ``discard_scratch`` deletes all that a session was given; it runs by itself
+    when the driver's process ends in order.
+    """
+    path = f"{shared_folder(spark)}/acequia/{label}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(_discard_at_exit)
+    _SCRATCH.append(path)
+    return path
+
+
+def discard_scratch(spark: SparkSession) -> int:
+    """Delete every intermediate table this process has written; returns how many there were.
+
+    Results that were not written or collected yet may still read them, so it is
+    called when a run has ended.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
+def _discard_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        discard_scratch(spark)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -6,6 +6,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from acequia import session
 from acequia.functions.agronomy import with_irrigation
 from acequia.schema import CLIMATE_SCHEMA, SPANISH_NAMES, VARIABLES
 from acequia.session import materialize, scratch_path, shared_folder
@@ -266,3 +267,23 @@ def test_profile_of_a_file_without_permission(spark, tmp_path):
     rows = {r["name"]: r for r in profile.profile_files(spark, str(tmp_path)).collect()}
     assert rows["good.csv"]["message"] is None
     assert rows["closed.csv"]["message"].startswith("unreadable: ")
+
+
+def test_intermediate_tables_are_deleted_when_a_run_ends(spark, monkeypatch):
+    """What a run wrote on its way goes, and nothing else."""
+    monkeypatch.setattr(session, "_SCRATCH", [])
+    other = scratch_path(spark, "other")
+    session._SCRATCH.clear()
+    spark.range(3).write.parquet(other)
+    made = materialize(spark.range(5), "made")
+    path = session._SCRATCH[-1]
+    assert made.count() == 5 and session.discard_scratch(spark) == 1
+    assert session.discard_scratch(spark) == 0
+    assert spark.read.parquet(other).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
+def test_rows_are_counted_while_they_are_written(spark):
+    df, seen = session.materialize_counted(spark.range(7), "n", most=F.max("id"))
+    assert seen == {"rows": 7, "most": 6} and df.count() == 7
