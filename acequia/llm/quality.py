@@ -23,6 +23,7 @@ Windows are compared by 64-bit hashes within one text.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,7 +159,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], start: float = 0.8) ->
                 False: {1: (1 - start) * spoken, -1: start * spoken, 0: silent},
             }
         )
-    good, last = 0.8, -math.inf
+    good, last, settled = 0.8, -math.inf, not total
     for _ in range(MOST_ROUNDS if total else 0):
         likelihood, right = 0.0, []
         for votes, n in patterns:
@@ -181,8 +182,11 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], start: float = 0.8) ->
                     )
                     s[kind][vote] = (own + PRIOR_VOTES / 3) / (weight + PRIOR_VOTES)
         if abs(likelihood - last) < TOLERANCE * total:
+            settled = True
             break
         last = likelihood
+    if not settled:
+        warnings.warn(f"the estimate still moved after {MOST_ROUNDS} rounds", stacklevel=2)
     return good, shares
 
 
