@@ -131,17 +131,17 @@ with given as (
   where label is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scores as (
-  select a.r as anchor, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+  select a.r as anchor, a.vec_id as anchor_id, b.r, b.vec_id, a.label = b.label as same,
          cast(list_inner_product(a.v, b.v) as bigint) as score
   from given a join given b on a.r <> b.r where a.vec_id % 50 = 0),
 positives as (
-  select anchor, anchor_id, vec_id as positive_id, score as positive_score from scores where same
+  select anchor, anchor_id, r, vec_id as positive_id, score as positive_score from scores where same
   qualify row_number() over (partition by anchor order by score desc, vec_id) <= 5)
 select p.anchor_id, positive_id, cast(row_number() over best as integer) as rank, n.vec_id as negative_id,
        positive_score, n.score as negative_score
 from positives p join scores n on n.anchor = p.anchor and not n.same
   and 50 * positive_score <= 100 * n.score and 100 * n.score <= 95 * positive_score
-window best as (partition by p.anchor, positive_id order by n.score desc, n.vec_id)
+window best as (partition by p.anchor, p.r order by n.score desc, n.vec_id)
 qualify rank <= 3
 """
 
