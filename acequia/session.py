@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -69,9 +70,10 @@ def discard_scratch(spark: SparkSession) -> int:
 
 
 def _discard_at_exit() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.sparkContext._jsc is not None:
-        discard_scratch(spark)
+    with contextlib.suppress(Exception):  # the JVM may have gone before
+        spark = SparkSession.getActiveSession()
+        if spark is not None and spark.sparkContext._jsc is not None:
+            discard_scratch(spark)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
