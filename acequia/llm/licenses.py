@@ -13,7 +13,8 @@ are. No header above the threshold is missed, and words of running prose pick
 out no lines.
 
 Every cue line and every run is compared by itself, so prose beside a notice
-does not hide it. A header takes the template of the largest cosine, a file
+does not hide it. A header shares ``SHARED`` words with a template, or all of a
+shorter one, and takes the template of the largest cosine, a file
 that of its best header. Where another licence comes within ``MARGIN`` of the
 best, the file is ambiguous: it gets no licence, and ``candidates`` names those
 that fit. A line ``SPDX-License-Identifier:`` is exact: the identifier, or the
@@ -226,6 +227,9 @@ TEMPLATES = {
 SPDX = r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+(?:\s+(?:OR|AND|WITH)\s+[A-Za-z0-9.+-]+)*)"
 #: Two licences whose cosines differ by less are not told apart.
 MARGIN = 0.005
+#: Different words that a header shares with a template at least, or all of a shorter one: a lone
+#: common word (as ``mit`` in German) is no licence, however much of a short name it makes up.
+SHARED = 3
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -249,11 +253,12 @@ class Vocabulary:
 
         self.unseen = weight(0)
         self.idf = {w: weight(own[w] + held.get(w, 0)) for w in {*own, *held}}
-        self.vectors, self.cues = [], set()
+        self.vectors, self.sizes, self.cues = [], [], set()
         for number, (name, words) in enumerate(counts):
             raw = {w: n * self.idf[w] for w, n in words.items()}
             length = math.sqrt(sum(x * x for x in raw.values()))
             self.vectors += [(number, name, w, x / length) for w, x in raw.items()]
+            self.sizes.append((number, min(len(raw), SHARED)))
             spared = 0.0
             for word in sorted(raw, key=lambda w: (-held.get(w, 0), raw[w], w)):
                 spared += (raw[word] / length) ** 2
@@ -320,6 +325,7 @@ def score_headers(found: DataFrame, known: Vocabulary, least: float = LEAST) ->
     spark = found.sparkSession
     weights = spark.createDataFrame(list(known.idf.items()), "word string, idf double")
     vectors = spark.createDataFrame(known.vectors, "template int, license string, word string, weight double")
+    vectors = vectors.join(spark.createDataFrame(known.sizes, "template int, shared int"), "template")
     file = ["path", "hash", "n_words", "kind", "first"]
     words = (
         _headers(found)
@@ -334,8 +340,9 @@ def score_headers(found: DataFrame, known: Vocabulary, least: float = LEAST) ->
     )
     dots = (
         words.join(F.broadcast(vectors), "word")
-        .groupBy(*file, "template", "license")
-        .agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+        .groupBy(*file, "template", "license", "shared")
+        .agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.count(F.lit(1)).alias("common"))
+        .where("common >= shared")
     )
     null_safe = [sizes[c].eqNullSafe(dots[c]) for c in file]
     cosines = sizes.join(dots, null_safe).select(
