@@ -192,6 +192,30 @@ def test_export_formats(spark, tmp_path):
         export.export_results(df, str(tmp_path / "x"), "xlsx")
 
 
+def test_exports_are_compressed(spark, tmp_path, monkeypatch):
+    """Text is compressed, in files of a bounded number of rows, and reads back whole; plain text can be asked for."""
+    monkeypatch.setattr(export, "ROWS_PER_FILE", 700)
+    value = F.when(F.col("id") % 7 != 0, F.rand(1) * 9)
+    df = spark.range(0, 3000, 1, 2).select(
+        F.concat(F.lit("sarima_"), F.col("id") % 2).alias("model"), F.col("id").alias("station"),
+        F.lit(dt.date(2024, 1, 1)).alias("day"), *[value.alias(c) for c in ("ETc", "NN", "ETc_RDC", "NN_RDC")],
+    )
+    for fmt in export.FORMATS:
+        size, files = {}, {}
+        for codec in (None, "none"):
+            path = tmp_path / f"{fmt}-{codec}"
+            export.export_results(df, str(path), fmt, codec=codec)
+            found = sorted(p for p in path.rglob("part-*"))
+            size[codec], files[codec] = sum(p.stat().st_size for p in found), found
+            back = export.read_results(spark, str(path), df.withColumn("sheet", F.lit("")).schema, fmt)
+            assert sorted(map(tuple, back.select(df.columns).collect())) == sorted(map(tuple, df.collect()))
+        if fmt == "parquet":
+            assert all(".zstd." in p.name for p in files[None])
+        else:
+            assert all(p.name.endswith(f".{fmt}.gz") for p in files[None]) and len(files[None]) == 8
+            assert all(p.suffix == f".{fmt}" for p in files["none"]) and size[None] < 0.6 * size["none"]
+
+
 class Session:
     """A session as far as ``shared_folder`` looks."""
 
